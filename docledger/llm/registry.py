@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "quality", "sharding")
+MODULES = ("mixing", "quality", "sharding", "decontamination")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
