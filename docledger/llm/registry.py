@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "quality", "sharding", "ngram_join", "decontamination")
+MODULES = ("mixing", "language", "quality", "sharding", "ngram_join", "decontamination")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
