@@ -273,7 +273,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return docs.withColumn("held_out", held_out()).withColumn("language", predict(model, F.col("text")))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """docs without those that have no language or whose score is below least."""
     out = identify(docs).where((F.col("language.lang_pred") != UNKNOWN) & (F.col("language.score") >= least))
     return out.select(*docs.columns)

@@ -38,7 +38,7 @@ def source_targets(sizes: DataFrame, source_weights: Sequence[float], budget: fl
 
 
 def mix(docs: DataFrame, source_weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, most_epochs: float = 2.0, seed: str = "mix", buckets: int = BUCKETS) -> DataFrame:
-    """Mix documents (doc_id, source, size, weight, tie) to the targets of their sources.
+    """Mix documents (doc_id, source, size, weight, tie, and more) to the targets of their sources.
 
     Each source first gives its complete epochs, target // source_size copies of every row. The
     rest of the target is filled by an Efraimidis-Spirakis sample without replacement: a row
@@ -47,23 +47,24 @@ def mix(docs: DataFrame, source_weights: Sequence[float] = (5, 2, 1), budget: fl
     misses its target by half a document at most. Rows are whole or absent, never cut.
 
     No source is sorted whole. Keys fall into ranges, range sizes are summed with map-side
-    combining, and only the one range in which a source's budget ends is sorted by row.
+    combining, and only the one range in which a source's budget ends is sorted by row. That
+    gives a last key per source, by which every row decides for itself: wide columns of
+    docs are never shuffled.
 
     Null doc_id draws as the empty string; null weight counts as 1 and a weight of 0 or less as
     the smallest one; null source is a source of its own; size 0 takes nothing. Rows that repeat a
-    doc_id share its key, are ordered by tie and count each for itself. An empty table gives an
-    empty one.
+    doc_id share its key and are ordered by tie; those that share tie as well share a decision.
+    An empty table gives an empty one.
 
     Returns the columns of docs and source_size, target, epochs, copies, taken.
     """
-    spark = docs.sparkSession
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long") + 1).cast("double") / float(2**48 + 1)
     key = -F.log(u) / F.greatest(F.coalesce(F.col("weight"), F.lit(1.0)), F.lit(1e-9))
     at = F.least(F.floor((1 - F.exp(-F.col("es_key"))) * buckets), F.lit(buckets - 1)).cast("int")
     skey = F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source")))
-    rows = stage(docs.withColumn("es_key", key).withColumn("es_bucket", at).withColumn("skey", skey), "mix-rows")
-    sums = rows.groupBy("skey", "es_bucket").agg(F.first("source").alias("source"), F.sum("size").alias("bucket_size"))
-    sums = stage(sums, "mix-sums")
+    keyed = docs.withColumn("es_key", key).withColumn("es_bucket", at).withColumn("skey", skey)
+    rows = stage(keyed.select("skey", "source", "es_key", "es_bucket", "doc_id", "tie", "size"), "mix-rows")
+    sums = stage(rows.groupBy("skey", "es_bucket").agg(F.first("source").alias("source"), F.sum("size").alias("bucket_size")), "mix-sums")
     sizes = sums.groupBy("skey").agg(F.first("source").alias("source"), F.sum("bucket_size").alias("source_size"))
     targets = source_targets(sizes.select("source", "source_size"), source_weights, budget, most_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -73,26 +74,37 @@ def mix(docs: DataFrame, source_weights: Sequence[float] = (5, 2, 1), budget: fl
     ends = ends.join(targets.select("skey", "rest"), "skey").where(F.col("upto") >= F.col("rest")).groupBy("skey").agg(F.min(F.struct("es_bucket", (F.col("upto") - F.col("bucket_size")).alias("base"))).alias("end"))
     plan = targets.join(ends, "skey", "left").select("skey", "source_size", "target", "epochs", "rest", F.coalesce("end.es_bucket", F.lit(buckets)).alias("end_bucket"), F.coalesce("end.base", F.lit(0)).alias("base"))
     plan = stage(plan, "mix-plan")
-    joined = join_small(rows, plan, ["skey"])
-    inner = joined.where(F.col("es_bucket") != F.col("end_bucket")).withColumn("part", (F.col("es_bucket") < F.col("end_bucket")).cast("int"))
-    prior = Window.partitionBy("skey").orderBy("es_key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    middle = F.col("base") + F.coalesce(F.sum("size").over(prior), F.lit(0)) + F.col("size") / 2
-    edge = joined.where(F.col("es_bucket") == F.col("end_bucket")).withColumn("part", (middle < F.col("rest")).cast("int"))
-    out = inner.unionByName(edge).withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + F.col("part")).otherwise(F.lit(0)).cast("long"))
+    edge = join_small(rows, plan.select("skey", "rest", "base", F.col("end_bucket").alias("es_bucket")), ["skey", "es_bucket"])
+    place = ("es_key", "doc_id", "tie")
+    upto = F.col("base") + F.sum("size").over(Window.partitionBy("skey").orderBy(*place))
+    middle = upto - F.sum("size").over(Window.partitionBy("skey", *place)) / 2
+    last = edge.withColumn("middle", middle).where(F.col("middle") < F.col("rest")).groupBy("skey").agg(F.max(F.struct(*place)).alias("last"))
+    plan = stage(plan.join(last, "skey", "left").drop("rest", "base"), "mix-last")
+    part = (F.col("es_bucket") < F.col("end_bucket")) | ((F.col("es_bucket") == F.col("end_bucket")) & F.coalesce(F.struct(*place) <= F.col("last"), F.lit(False)))
+    out = join_small(keyed, plan, ["skey"]).withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + part.cast("int")).otherwise(F.lit(0)).cast("long"))
     out = out.withColumn("taken", F.col("copies") * F.col("size"))
     return out.select(*docs.columns, "source_size", "target", "epochs", "copies", "taken")
 
 
 def weighted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, source, size, weight, tie) of documents: labelled quality 1 weighs 2, quality 0 weighs 0.5, unlabelled 1."""
-    quality = labels.groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
-    return narrow.join(quality, "doc_id", "left").select("doc_id", "source", "size", F.coalesce(0.5 + 1.5 * F.col("quality"), F.lit(1.0)).alias("weight"), "tie")
+    """docs with size, weight and tie: labelled quality 1 weighs 2, quality 0 weighs 0.5, unlabelled 1."""
+    quality = labels.groupBy("doc_id").agg(F.avg("quality").alias("mean_quality"))
+    sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("tie", F.xxhash64("text"))
+    weighed = join_small(sized, quality, ["doc_id"], "left")
+    return weighed.withColumn("weight", F.coalesce(0.5 + 1.5 * F.col("mean_quality"), F.lit(1.0))).drop("mean_quality")
+
+
+def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The mix itself: every document as many times as it is taken, in the columns of docs."""
+    row = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text")
+    taken = mix(weighted_documents(row, labels))
+    return taken.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = weighted_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    narrow = weighted_documents(docs, table(spark, sf_dir, "labels")).drop("text")
+    return mix(narrow).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 OP1_SQL = r"""

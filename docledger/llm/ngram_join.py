@@ -83,10 +83,11 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list, lis
 
 
 def _name_sets(batches: Iterator[pa.RecordBatch], k: int, levels: Levels) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> (doc_id, n_shingles, key, uneven)."""
-    for ids, sets in _sets(batches, k):
-        columns = [(ids, pa.int64()), ([len(s) for s in sets], pa.int64()), ([set_key(s) if len(s) else None for s in sets], pa.int64()), ([len(s) > 0 and uneven(s, levels) for s in sets], pa.bool_())]
-        yield pa.record_batch([pa.array(x, t) for x, t in columns], names=["doc_id", "n_shingles", "key", "uneven"])
+    """(row_key, text, doc_id) -> (doc_id, row_key, n_shingles, key, uneven)."""
+    for b in batches:
+        _, sets = next(_sets(iter([b]), k))
+        columns = [(b.column(2), pa.int64()), (b.column(0), pa.int64()), ([len(s) for s in sets], pa.int64()), ([set_key(s) if len(s) else None for s in sets], pa.int64()), ([len(s) > 0 and uneven(s, levels) for s in sets], pa.bool_())]
+        yield pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in columns], names=["doc_id", "row_key", "n_shingles", "key", "uneven"])
 
 
 def _sign_sets(batches: Iterator[pa.RecordBatch], k: int, levels: Levels) -> Iterator[pa.RecordBatch]:
@@ -254,7 +255,7 @@ def _candidates(docs: DataFrame, named: DataFrame, k: int, levels: Levels) -> Da
     return edges.union(join_small(rows.select("sig", F.col("key").alias("b")), mine, ["sig"]).where("a <> b").select("a", "b"))
 
 
-def link_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def link_rows(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Components of documents (doc_id, text) under Jaccard similarity of word k-shingles, num / den or more.
 
     Texts with A-Z lower-cased give sets of distinct shingles, as 64-bit hashes. Equal sets are
@@ -265,29 +266,52 @@ def link_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     blocks of pairs of parts. Classes that are connected already are not compared again, so
     components are exact without a list of all links.
 
-    Texts without words and nulls have no set and are alone. Null doc_ids count as the largest id.
-    Rows that repeat a doc_id or a text are rows of their own. An empty table gives an empty one.
-    Returns doc_id, n_shingles, component_id (the smallest doc_id of its component).
+    Texts without words and nulls have no set and are alone. A null doc_id is never the smallest
+    one unless it is alone. Rows that repeat a doc_id or a text are rows of their own. An empty
+    table gives an empty one.
+    Returns doc_id, row_key (a hash of doc_id and text), n_shingles, root (of the component, null
+    without a set) and component_id (the smallest doc_id of the component).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     levels = Levels(num, den, 2**31)
-    named = stage(docs.mapInArrow(partial(_name_sets, k=k, levels=levels), "doc_id long, n_shingles long, key long, uneven boolean"), "sets")
-    classes = named.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"), F.max("n_shingles").alias("n"))
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text", "doc_id")
+    named = stage(rows.mapInArrow(partial(_name_sets, k=k, levels=levels), "doc_id long, row_key long, n_shingles long, key long, uneven boolean"), "sets")
+    classes = named.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"))
     comps = connected_components(_candidates(docs, named, k, levels))
-    links = _links(docs, named, comps, k, num, den, block_shingles)
+    links = _links(rows, named, comps, k, num, den, block_shingles)
     roots = connected_components(links)
     labelled = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     ids = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_key = stage(labelled.join(ids, "root").select("key", "component_id"), "components")
+    by_key = stage(labelled.join(ids, "root").select("key", "root", "component_id"), "components")
     out = named.join(by_key, "key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "row_key", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def link_components(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; see link_rows."""
+    return link_rows(docs, **options).select("doc_id", "n_shingles", "component_id")
 
 
-def _links(docs: DataFrame, named: DataFrame, comps: DataFrame, k: int, num: int, den: int, block_shingles: int) -> DataFrame:
-    one = named.join(comps.withColumnRenamed("node", "key"), "key").groupBy("key", "root").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each component of link_rows: the first by doc_id, then by a hash of doc_id and text.
+
+    Rows without words all stay, but of rows that repeat doc_id and text one stays. What goes is
+    joined, not what stays; only rows whose doc_id and text repeat are brought together.
+    """
+    linked = stage(link_rows(docs, **options), "linked")
+    first = linked.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first"))
+    gone = stage(linked.join(first.select("root", F.col("first.row_key").alias("stays")), "root").where("row_key <> stays").select("row_key").distinct(), "gone")
+    twice = stage(linked.groupBy("row_key").count().where("count > 1").select("row_key"), "twice")
+    kept = join_small(docs.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), "text")), gone, ["row_key"], "left_anti")
+    if not twice.isEmpty():
+        kept = join_small(kept, twice, ["row_key"], "left_anti").union(join_small(kept, twice, ["row_key"], "left_semi").dropDuplicates(["row_key"]))
+    return kept.select(*docs.columns)
+
+
+def _links(rows: DataFrame, named: DataFrame, comps: DataFrame, k: int, num: int, den: int, block_shingles: int) -> DataFrame:
+    one = named.join(comps.withColumnRenamed("node", "key"), "key").groupBy("key", "root").agg(F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n"))
     one = stage(one, "candidate-sets")
-    texts = join_small(docs, one.select("doc_id", "key"), ["doc_id"]).select("key", "text")
-    # rows that repeat a doc_id may have other texts: the key of each set is computed anew
+    texts = join_small(rows.select("row_key", "text"), one.select("row_key", "key"), ["row_key"]).select("key", "text")
     sets = texts.mapInArrow(partial(_texts_sets, k=k), "key long, shingles array<long>")
     sizes = one.groupBy("root").agg(F.sum("n").alias("total"), F.min("key").alias("hub"))
     total = sizes.agg(F.sum("total")).first()[0] or 0
