@@ -319,7 +319,7 @@ def _links(rows: DataFrame, named: DataFrame, comps: DataFrame, k: int, num: int
     place = stage(one.join(sizes, "root").select("key", "root", "hub", F.ceil(F.col("total") / block_shingles).cast("int").alias("parts")), "places")
     sets = stage(join_small(sets, place, ["key"]), "candidate-shingles")
     schema = "a long, b long"
-    linker = partial(_link_block, num=num, den=den)
+    linker = lambda pdf: _link_block(pdf, num, den)
     small = sets.where("parts = 1").select(F.pmod(F.xxhash64("root"), F.lit(bins)).alias("block"), F.col("root").alias("part"), "key", F.lit(True).alias("probe"), "shingles")
     links = small.groupBy("block").applyInPandas(linker, schema)
     large = sets.where("parts > 1")
