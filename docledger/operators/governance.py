@@ -11,7 +11,7 @@ DEFAULT_SLA = 90
 def age_days(now: Column, reviewed: Column) -> Column:
     """Whole elapsed days (24 hours, not midnights), 0 at least."""
     micros = F.unix_micros(now.cast("timestamp")) - F.unix_micros(reviewed.cast("timestamp"))
-    return F.greatest(F.lit(0), F.floor(micros / 86_400_000_000)).cast("int")
+    return F.when(micros.isNotNull(), F.greatest(F.lit(0), F.floor(micros / 86_400_000_000))).cast("int")
 
 
 def staleness(docs: DataFrame, now: str, include_fresh: bool = False) -> DataFrame:

@@ -17,7 +17,7 @@ ENTITIES = {
   CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 60 WHEN 'BUILDING' THEN 120 WHEN 'MACHINERY' THEN 30 ELSE 90 END AS sla_days
   FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS reviewed FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) r ON o_custkey = c_custkey""",
     "stale": """SELECT *, CASE WHEN reviewed IS NULL THEN 'never_reviewed' WHEN age_days > sla_days THEN 'stale' ELSE 'fresh' END AS status
-  FROM (SELECT *, greatest(0, floor((epoch_us(TIMESTAMP '1998-08-01') - epoch_us(reviewed)) / 86400000000.0))::INT AS age_days FROM reviewed)""",
+  FROM (SELECT *, CASE WHEN reviewed IS NOT NULL THEN greatest(0, floor((epoch_us(TIMESTAMP '1998-08-01') - epoch_us(reviewed)) / 86400000000.0))::INT END AS age_days FROM reviewed)""",
     "owners": """SELECT *, coalesce(nullif(dri, ''), nullif(owner, ''), nullif(team, '')) AS accountable, coalesce(nullif(team, ''), nullif(owner, '')) AS durable FROM (
   SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'owner-' || (c_custkey % 50) END AS owner,
   CASE WHEN c_custkey % 4 = 0 THEN n_name END AS team, CASE WHEN c_acctbal >= 5000 THEN c_name END AS dri
