@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -17,8 +19,8 @@ from .shingles import mix, shingle_set, texts_words
 
 #: Shingles that the sets of one block hold together, about; bounds a task's memory.
 BLOCK_SHINGLES = 1_000_000
-#: Levels whose largest set is at most this size have two partitionings, so that hardly any set is too uneven for both.
-TWO_WAYS = 100
+#: Ranges that must agree are named together, several at a time, while a set then has at most this many signatures a level.
+MOST_SUBSETS = 100
 
 
 class Levels:
@@ -26,8 +28,10 @@ class Levels:
 
     Class c holds sizes up to his[c], and linked sets lie in the same class or in neighbours. At
     level L linked sets whose larger one is of class L differ by most[L] shingles at most. Hashes
-    are cut into parts[L] ranges, more than that: where one of the two sets has more than most
-    filled ranges, some filled range is the same in both.
+    are cut into parts[L] ranges. Small sets have most + together ranges, of which that
+    many (empty ones included) must agree: each choice of them is a signature. For large ones
+    a signature is one filled range, and there are more ranges: where one of the two sets has more than
+    most filled ones, some filled range is the same in both.
     """
 
     def __init__(self, num: int, den: int, largest: int):
@@ -36,7 +40,9 @@ class Levels:
         while self.his[-1] < largest:
             self.his.append(max(self.his[-1] + 1, self.his[-1] * den // num))
         self.most = [self.differ(h, h) for h in self.his]
-        self.parts = [1 if k == 0 else int(1.1 * k) + 5 for k in self.most]
+        self.together = [max([m for m in (1, 2, 3, 4) if k and math.comb(k + m, m) <= MOST_SUBSETS], default=1) for k in self.most]
+        self.parts = [1 if k == 0 else k + m if m > 1 else int(1.1 * k) + 5 for k, m in zip(self.most, self.together, strict=True)]
+        self.subsets = [np.array(list(combinations(range(p), m))) if m > 1 else None for p, m in zip(self.parts, self.together, strict=True)]
 
     def differ(self, n: int, m: int) -> int:
         """Most that linked sets of n and m shingles can differ by."""
@@ -52,29 +58,38 @@ def set_key(s: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
-def _ranges(s: np.ndarray, levels: Levels) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(level, way, sorted hashes, starts of the filled ranges, their numbers) of each partitioning of a set."""
-    for level in (levels.of(len(s)), levels.of(len(s)) + 1):
-        p = levels.parts[level]
-        for way in range(1 if p == 1 or levels.his[level] > TWO_WAYS else 2):
-            h = s if way == 0 else np.sort(mix(s + np.uint64(way)))
-            part = ((h >> np.uint64(32)) * np.uint64(p)) >> np.uint64(32)
-            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            yield level, way, h, first, part[first]
+def _parts(s: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """Filled ranges of a sorted set cut into p: where each starts, and its number."""
+    part = ((s >> np.uint64(32)) * np.uint64(p)) >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    return first, part[first]
 
 
 def signatures(s: np.ndarray, levels: Levels) -> np.ndarray:
-    """Signatures of a sorted set: a hash of each filled range, at its own level and the next."""
-    return np.concatenate([mix(np.add.reduceat(mix(h), first) + mix(part + np.uint64((level * 2 + way) << 32))) for level, way, h, first, part in _ranges(s, levels)])
+    """Signatures of a sorted set at its own level and the next."""
+    own, out = levels.of(len(s)), []
+    for level in (own, own + 1):
+        first, part = _parts(s, levels.parts[level])
+        tag = np.uint64(level << 32)
+        h = mix(np.add.reduceat(mix(s), first) + mix(part + tag))
+        if levels.subsets[level] is not None:
+            ranges = np.zeros(levels.parts[level], np.uint64)
+            ranges[part] = h
+            subsets = levels.subsets[level]
+            h = mix(ranges[subsets].sum(1, dtype=np.uint64) + mix(np.arange(len(subsets), dtype=np.uint64) + tag))
+        out.append(h)
+    return np.concatenate(out)
 
 
 def uneven(s: np.ndarray, levels: Levels) -> bool:
-    """Whether the ranges of a set are filled too unevenly for a proof that its signatures find all its links."""
-    filled: dict[int, int] = {}
-    for level, _, _, first, _ in _ranges(s, levels):
-        filled[level] = max(filled.get(level, 0), len(first))
+    """Whether the ranges of a large set are filled too unevenly for a proof that its signatures find all its links."""
     n = len(s)
-    return any(f <= min(levels.most[level], levels.differ(n, min(levels.his[level], n * levels.den // levels.num))) for level, f in filled.items())
+    for level in (levels.of(n), levels.of(n) + 1):
+        if levels.most[level] and levels.subsets[level] is None:
+            partner = min(levels.his[level], n * levels.den // levels.num)
+            if len(_parts(s, levels.parts[level])[0]) <= min(levels.most[level], levels.differ(n, partner)):
+                return True
+    return False
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -151,6 +166,29 @@ class Trie:
         self.size = len(vocabulary)
         self.order = sorted(range(len(sets)), key=lambda i: self.sets[i].astype(">u4").tobytes())
         self.root = self._build(0, len(self.order), 0)
+        self.place = np.empty(len(sets), np.int64)
+        self.place[self.order] = np.arange(len(sets))
+        self._sketch()
+
+    def _sketch(self) -> None:
+        """Counts of each set's shingles in a number of bins; sets by size."""
+        sizes = np.array([len(s) for s in self.sets])
+        bins = 1 << min(10, max(6, int(np.median(sizes) * 4).bit_length()))
+        self.by_size = np.argsort(sizes, kind="stable")
+        self.sizes = sizes[self.by_size]
+        self.counts = np.zeros((len(sizes), bins), np.uint16)
+        for row, i in enumerate(self.by_size):
+            np.add.at(self.counts[row], self.sets[i] % bins, 1)
+        self.row = np.empty(len(sizes), np.int64)
+        self.row[self.by_size] = np.arange(len(sizes))
+
+    def _possible(self, probe: int, num: int, den: int, group: np.ndarray) -> np.ndarray:
+        """Places in the tree's order of sets of other groups that size and bin counts allow a link with."""
+        n = len(self.sets[probe])
+        low, high = np.searchsorted(self.sizes, [-(-num * n // den), n * den // num + 1])
+        rows = low + np.flatnonzero(group[self.by_size[low:high]] != group[probe])
+        overlap = np.minimum(self.counts[rows], self.counts[self.row[probe]]).sum(1, dtype=np.int64)
+        return self.place[self.by_size[rows[overlap * (den + num) >= num * (n + self.sizes[rows])]]]
 
     def _build(self, lo: int, hi: int, depth: int) -> list:
         """Node: [label, children, lo, hi, smallest size, largest size]; built without recursion."""
@@ -184,20 +222,24 @@ class Trie:
     def links(self, probe: int, num: int, den: int, group: np.ndarray) -> list[int]:
         """Sets linked with the set probe, among those whose group is another than its own.
 
-        The overlap along a path is computed once for all sets below it. A subtree goes when
-        even if all that remains of the probe and of its longest set were common, the
-        overlap would fall short, or when its sizes are out of range.
+        The overlap along a path is computed once for all sets below it. A subtree goes when it
+        holds no possible set, or when even if all that remains of the probe and of its longest
+        set were common, the overlap would fall short.
         """
+        possible = self._possible(probe, num, den, group)
+        if not len(possible):
+            return []
+        below = np.zeros(len(self.sets) + 1, np.int64)
+        below[possible + 1] = 1
+        below = np.cumsum(below)
         x = self.sets[probe]
         n = len(x)
         has = np.zeros(self.size, bool)
         has[x] = True
-        own = group[probe]
-        ordered = group[self.order]
         found, todo = [], [(self.root, 0)]
         while todo:
             (label, children, lo, hi, least, most, depth), overlap = todo.pop()
-            if most * den < num * n or n * den < num * least or (ordered[lo:hi] == own).all():
+            if below[lo] == below[hi]:
                 continue
             overlap += int(np.count_nonzero(has[label]))
             left_x = n - (int(np.searchsorted(x, label[-1], "right")) if len(label) else 0)
@@ -209,7 +251,7 @@ class Trie:
                 at = self.order[i]
                 if len(self.sets[at]) != depth:
                     break
-                if at != probe and group[at] != own and overlap * den >= num * (n + depth - overlap):
+                if below[i] != below[i + 1] and overlap * den >= num * (n + depth - overlap):
                     found.append(at)
             todo += [(c, overlap) for c in children]
         return found
