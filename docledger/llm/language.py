@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -18,9 +17,10 @@ from .common import join_small, table
 WINDOW = 64
 #: Units of each direction.
 HIDDEN = 8
-#: Bounds of the sample that the network is trained on: documents a language and windows a document.
-FIT_DOCS, FIT_WINDOWS = 300, 8
-EPOCHS, BATCH, RATE = 5, 256, 0.01
+#: Bounds of the sample that the network is trained on, per language: documents, and windows of them together.
+FIT_DOCS, FIT_WINDOWS = 300, 2400
+#: Steps of training, of as many windows each, and the first rate.
+STEPS, BATCH, RATE = 180, 256, 0.01
 #: Windows that run through the network together.
 LANES = 1024
 UNKNOWN = "und"
@@ -150,14 +150,15 @@ def loss_and_gradients(m: Model, windows: np.ndarray, labels: np.ndarray) -> tup
     return loss, [gx.reshape(m.x.shape), gu, gv, gb]
 
 
-def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int = EPOCHS, seed: int = 7) -> Model:
+def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], steps: int = STEPS, seed: int = 7) -> Model:
     """Train on [N, WINDOW] bytes with a language number each, by Adam with gradients clipped in norm."""
     m = new_model(langs, seed)
     if len(langs) < 2 or not len(windows):
         return m
     rng = np.random.default_rng(seed)
     first, second = [np.zeros_like(p) for p in m.parameters], [np.zeros_like(p) for p in m.parameters]
-    step, total = 0, epochs * -(-len(windows) // BATCH)
+    step, epochs = 0, -(-steps // -(-len(windows) // BATCH))
+    total = epochs * -(-len(windows) // BATCH)
     for _ in range(epochs):
         order = rng.permutation(len(windows))
         for i in range(0, len(order), BATCH):
@@ -226,11 +227,11 @@ def predict(m: Model, text: Column) -> Column:
     return F.when(text.rlike(r"\p{L}"), named).otherwise(F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")))
 
 
-def _draw_windows(frames: Iterator[pd.DataFrame], per_doc: int) -> Iterator[pd.DataFrame]:
-    """(doc_id, lang, text) -> (doc_id, lang, window): windows at places drawn from the whole text."""
+def _draw_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(doc_id, lang, text, per_doc) -> (doc_id, lang, window): windows at places drawn from the whole text."""
     for pdf in frames:
         rows = []
-        for i, lang, text in zip(pdf["doc_id"], pdf["lang"], pdf["text"], strict=True):
+        for i, lang, text, per_doc in zip(pdf["doc_id"], pdf["lang"], pdf["text"], pdf["per_doc"], strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             rng = np.random.default_rng(int(i) & (2**63 - 1))
             starts = range(0, len(raw), WINDOW) if len(raw) <= WINDOW * per_doc else sorted(rng.integers(0, len(raw) - WINDOW, per_doc))
@@ -241,16 +242,18 @@ def _draw_windows(frames: Iterator[pd.DataFrame], per_doc: int) -> Iterator[pd.D
 def fit(docs: DataFrame, learn: Column, fit_docs: int = FIT_DOCS, fit_windows: int = FIT_WINDOWS, seed: int = 7) -> Model:
     """Train on a bounded sample of rows where learn holds and lang is not null.
 
-    fit_docs documents a language, the first by a hash of doc_id, give fit_windows windows each at
-    most. What reaches the driver is bounded by the number of languages times these.
+    fit_docs documents a language at most, the first by a hash of doc_id, share fit_windows windows,
+    so that languages weigh alike. What reaches the driver is bounded by the number of languages times these.
     """
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id", F.lit(seed)).alias("h"))
     counts = rows.groupBy("lang").count()
     share = (F.shiftrightunsigned("h", 11) / float(2**53)) * F.col("count") <= 3 * fit_docs + 20
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = join_small(rows, counts, ["lang"]).where(share).withColumn("at", F.row_number().over(order)).where(F.col("at") <= fit_docs).select("doc_id", "lang")
-    texts = join_small(docs.where(learn).select("doc_id", "lang", "text").where("text is not null"), chosen.distinct(), ["doc_id", "lang"], "left_semi")
-    drawn = texts.mapInPandas(partial(_draw_windows, per_doc=fit_windows), "doc_id long, lang string, window binary").collect()
+    chosen = join_small(rows, counts, ["lang"]).where(share).withColumn("at", F.row_number().over(order)).where(F.col("at") <= fit_docs)
+    per_doc = F.ceil(fit_windows / F.count("*").over(Window.partitionBy("lang"))).cast("int")
+    chosen = chosen.select("doc_id", "lang", per_doc.alias("per_doc")).distinct()
+    texts = join_small(docs.where(learn).select("doc_id", "lang", "text").where("text is not null"), chosen, ["doc_id", "lang"])
+    drawn = texts.select("doc_id", "lang", "text", "per_doc").mapInPandas(_draw_windows, "doc_id long, lang string, window binary").collect()
     drawn.sort(key=lambda r: (r["lang"], r["doc_id"], r["window"]))
     langs = sorted({r["lang"] for r in drawn})
     windows = np.frombuffer(b"".join(bytes(r["window"]) for r in drawn), np.uint8).reshape(-1, WINDOW)
