@@ -303,8 +303,9 @@ def link_rows(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, block_
     Texts with A-Z lower-cased give sets of distinct shingles, as 64-bit hashes. Equal sets are
     one class. Signatures (see Levels) bring every two classes that may be linked into one
     candidate component. Sets of these classes only are gathered into blocks, and a prefix tree
-    in each finds links. A candidate component beyond block_shingles is dealt over several blocks
-    that share one set, its hub; whatever is not connected to the hub afterwards meets all others in
+    in each finds links. A candidate component beyond block_shingles is taken apart by size: a set
+    goes with those of its class and with those of the next. What is still beyond is dealt over
+    several blocks that share one set, its hub; whatever is not connected to the hub afterwards meets all others in
     blocks of pairs of parts. Classes that are connected already are not compared again, so
     components are exact without a list of all links.
 
@@ -320,7 +321,7 @@ def link_rows(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, block_
     named = stage(rows.mapInArrow(partial(_name_sets, k=k, levels=levels), "doc_id long, row_key long, n_shingles long, key long, uneven boolean"), "sets")
     classes = named.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"))
     comps = connected_components(_candidates(docs, named, k, levels))
-    links = _links(rows, named, comps, k, num, den, block_shingles)
+    links = _links(rows, named, comps, k, levels, block_shingles)
     roots = connected_components(links)
     labelled = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     ids = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -350,11 +351,16 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     return kept.select(*docs.columns)
 
 
-def _links(rows: DataFrame, named: DataFrame, comps: DataFrame, k: int, num: int, den: int, block_shingles: int) -> DataFrame:
+def _links(rows: DataFrame, named: DataFrame, comps: DataFrame, k: int, levels: Levels, block_shingles: int) -> DataFrame:
+    num, den = levels.num, levels.den
     one = named.join(comps.withColumnRenamed("node", "key"), "key").groupBy("key", "root").agg(F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n"))
     one = stage(one, "candidate-sets")
     texts = join_small(rows.select("row_key", "text"), one.select("row_key", "key"), ["row_key"]).select("key", "text")
     sets = texts.mapInArrow(partial(_texts_sets, k=k), "key long, shingles array<long>")
+    whole = one.groupBy("root").agg(F.sum("n").alias("whole"))
+    level = F.size(F.filter(F.array(*[F.lit(h) for h in levels.his]), lambda h: h < F.col("n")))
+    unit = F.when(F.col("whole") <= block_shingles, F.array("root")).otherwise(F.array(*[F.xxhash64("root", level + i) for i in (0, 1)]))
+    one = one.join(whole, "root").select("key", "n", F.explode(unit).alias("root"))
     sizes = one.groupBy("root").agg(F.sum("n").alias("total"), F.min("key").alias("hub"))
     total = sizes.agg(F.sum("total")).first()[0] or 0
     bins = max(1, -(-2 * total // block_shingles))
