@@ -66,12 +66,12 @@ def drop_staged(*frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a side that is expected to be small: broadcast only where a count proves it small.
 
-    Beyond BROADCAST_ROWS it is an ordinary shuffled join, whose skewed partitions adaptive
+    Beyond rows it is an ordinary shuffled join, whose skewed partitions adaptive
     execution splits. small should be staged, since it is counted first.
     """
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if small.limit(rows + 1).count() <= rows:
         small = F.broadcast(small)
     return big.join(small, on, how)

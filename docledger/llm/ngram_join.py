@@ -51,6 +51,14 @@ class Levels:
     def of(self, n: int) -> int:
         return int(np.searchsorted(self.his, n))
 
+    def sign(self, s: np.ndarray) -> np.ndarray:
+        """Hashes of which linked sets share one."""
+        return signatures(s, self)
+
+    def doubtful(self, s: np.ndarray) -> bool:
+        """Whether sign may miss a link of a set, so that it needs the join by prefixes."""
+        return uneven(s, self)
+
 
 def set_key(s: np.ndarray) -> int:
     """A 64-bit name of a set of hashes; equal sets share it."""
@@ -101,7 +109,7 @@ def _name_sets(batches: Iterator[pa.RecordBatch], k: int, levels: Levels) -> Ite
     """(row_key, text, doc_id) -> (doc_id, row_key, n_shingles, key, uneven)."""
     for b in batches:
         _, sets = next(_sets(iter([b]), k))
-        columns = [(b.column(2), pa.int64()), (b.column(0), pa.int64()), ([len(s) for s in sets], pa.int64()), ([set_key(s) if len(s) else None for s in sets], pa.int64()), ([len(s) > 0 and uneven(s, levels) for s in sets], pa.bool_())]
+        columns = [(b.column(2), pa.int64()), (b.column(0), pa.int64()), ([len(s) for s in sets], pa.int64()), ([set_key(s) if len(s) else None for s in sets], pa.int64()), ([len(s) > 0 and levels.doubtful(s) for s in sets], pa.bool_())]
         yield pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in columns], names=["doc_id", "row_key", "n_shingles", "key", "uneven"])
 
 
@@ -110,7 +118,7 @@ def _sign_sets(batches: Iterator[pa.RecordBatch], k: int, levels: Levels) -> Ite
     for _, sets in _sets(batches, k):
         by_key = {set_key(s): s for s in sets if len(s)}
         if by_key:
-            sigs = [signatures(s, levels) for s in by_key.values()]
+            sigs = [levels.sign(s) for s in by_key.values()]
             keys = np.repeat(np.array(list(by_key), np.int64), [len(s) for s in sigs])
             yield pa.record_batch([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(keys)], names=["sig", "key"])
 
@@ -297,8 +305,8 @@ def _candidates(docs: DataFrame, named: DataFrame, k: int, levels: Levels) -> Da
     return edges.union(join_small(rows.select("sig", F.col("key").alias("b")), mine, ["sig"]).where("a <> b").select("a", "b"))
 
 
-def link_rows(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """Components of documents (doc_id, text) under Jaccard similarity of word k-shingles, num / den or more.
+def link_rows(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, block_shingles: int = BLOCK_SHINGLES, levels: Levels | None = None) -> DataFrame:
+    """Components of documents (doc_id, text, perhaps row_key) under Jaccard similarity of word k-shingles, num / den or more.
 
     Texts with A-Z lower-cased give sets of distinct shingles, as 64-bit hashes. Equal sets are
     one class. Signatures (see Levels) bring every two classes that may be linked into one
@@ -315,9 +323,11 @@ def link_rows(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, block_
     Returns doc_id, row_key (a hash of doc_id and text), n_shingles, root (of the component, null
     without a set) and component_id (the smallest doc_id of the component).
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    levels = Levels(num, den, 2**31)
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text", "doc_id")
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    row_key = F.col("row_key") if "row_key" in docs.columns else F.xxhash64(doc_id, "text").alias("row_key")
+    rows = docs.select(row_key, "text", doc_id)
+    docs = docs.select(doc_id, "text")
+    levels = levels or Levels(num, den, 2**31)
     named = stage(rows.mapInArrow(partial(_name_sets, k=k, levels=levels), "doc_id long, row_key long, n_shingles long, key long, uneven boolean"), "sets")
     classes = named.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"))
     comps = connected_components(_candidates(docs, named, k, levels))
