@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +42,8 @@ def inferred_edges(links: DataFrame, docs: DataFrame, declared: DataFrame) -> Da
 def dependents(edges: DataFrame, origins: DataFrame, transitive: bool = True) -> DataFrame:
     """Documents that depend on an origin, directly or over any number of edges; origins themselves are left out.
 
-    A frontier moves against the edges until it adds nothing. Each round is checkpointed where
-    spark.checkpoint.dir is set, which cuts the growing plan; only whether rows are left
+    A frontier moves against the edges until it adds nothing. Each round is checkpointed, which
+    cuts the growing plan; only whether rows are left
     reaches the driver. Cycles end because documents seen are never visited again.
     """
     steps = edges.select("doc_id", "upstream_id").distinct()
@@ -59,12 +61,11 @@ def dependents(edges: DataFrame, origins: DataFrame, transitive: bool = True) ->
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder; keep the plan where the session names none."""
+    """Cut the lineage by a checkpoint in the folder that the session names; a temporary one only where it names none."""
     context = df.sparkSession.sparkContext
-    at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if at and not context.getCheckpointDir():
-        context.setCheckpointDir(at)
-    return df.checkpoint() if at or context.getCheckpointDir() else df.cache()
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docledger-"))
+    return df.checkpoint()
 
 
 def transitive_suspects(edges: DataFrame, status: DataFrame) -> DataFrame:
