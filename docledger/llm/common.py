@@ -66,6 +66,15 @@ def drop_staged(*frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs as one struct column row next to some of its columns, so that helper columns clash with none of its names."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("row.*")
+
+
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a side that is expected to be small: broadcast only where a count proves it small.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, lower_ascii, stage, table, words
+from .common import BROADCAST_ROWS, lower_ascii, packed, stage, table, unpacked, words
 
 #: Words of a window that is compared, and how many of them must agree (0.8 of it, rounded up).
 WINDOW, AGREE = 13, 11
@@ -87,7 +87,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     lets the optimizer choose.
     """
     bad = stage(overlaps(docs.select("doc_id", "text"), benchmark).select("doc_key").distinct(), "contaminated")
-    return docs.withColumn("doc_key", F.xxhash64("doc_id", "text")).join(bad, "doc_key", "left_anti").drop("doc_key")
+    return unpacked(packed(docs, F.xxhash64("doc_id", "text").alias("doc_key")).join(bad, "doc_key", "left_anti"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_small, table
+from .common import join_small, packed, table, unpacked
 
 #: Bytes that the network reads as one sequence; texts are cut into such windows and every byte is labelled.
 WINDOW = 64
@@ -278,8 +278,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """docs without those that have no language or whose score is below least."""
-    out = identify(docs).where((F.col("language.lang_pred") != UNKNOWN) & (F.col("language.score") >= least))
-    return out.select(*docs.columns)
+    out = identify(packed(docs, "doc_id", "text", "lang"))
+    return unpacked(out.where((F.col("language.lang_pred") != UNKNOWN) & (F.col("language.score") >= least)))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, stage, table, word_count
+from .common import join_small, packed, stage, table, unpacked, word_count
 
 #: Key ranges per source whose sizes are summed before any row is sorted.
 BUCKETS = 4096
@@ -88,7 +88,7 @@ def mix(docs: DataFrame, source_weights: Sequence[float] = (5, 2, 1), budget: fl
 
 def weighted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with size, weight and tie: labelled quality 1 weighs 2, quality 0 weighs 0.5, unlabelled 1."""
-    quality = labels.groupBy("doc_id").agg(F.avg("quality").alias("mean_quality"))
+    quality = labels.select("doc_id", "quality").groupBy("doc_id").agg(F.avg("quality").alias("mean_quality"))
     sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("tie", F.xxhash64("text"))
     weighed = join_small(sized, quality, ["doc_id"], "left")
     return weighed.withColumn("weight", F.coalesce(0.5 + 1.5 * F.col("mean_quality"), F.lit(1.0))).drop("mean_quality")
@@ -96,9 +96,8 @@ def weighted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The mix itself: every document as many times as it is taken, in the columns of docs."""
-    row = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text")
-    taken = mix(weighted_documents(row, labels))
-    return taken.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
+    taken = mix(weighted_documents(packed(docs, "doc_id", "source", "text"), labels))
+    return unpacked(taken.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_small, stage, table
+from .common import join_small, packed, stage, table, unpacked
 from .components import connected_components
 from .shingles import mix, shingle_set, texts_words
 
@@ -342,7 +342,7 @@ def link_rows(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, block_
 
 def link_components(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; see link_rows."""
-    return link_rows(docs, **options).select("doc_id", "n_shingles", "component_id")
+    return link_rows(docs.select("doc_id", "text"), **options).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -351,14 +351,14 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows without words all stay, but of rows that repeat doc_id and text one stays. What goes is
     joined, not what stays; only rows whose doc_id and text repeat are brought together.
     """
-    linked = stage(link_rows(docs, **options), "linked")
+    linked = stage(link_rows(docs.select("doc_id", "text"), **options), "linked")
     first = linked.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first"))
     gone = stage(linked.join(first.select("root", F.col("first.row_key").alias("stays")), "root").where("row_key <> stays").select("row_key").distinct(), "gone")
     twice = stage(linked.groupBy("row_key").count().where("count > 1").select("row_key"), "twice")
-    kept = join_small(docs.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), "text")), gone, ["row_key"], "left_anti")
+    kept = join_small(packed(docs, F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_key")), gone, ["row_key"], "left_anti")
     if not twice.isEmpty():
         kept = join_small(kept, twice, ["row_key"], "left_anti").union(join_small(kept, twice, ["row_key"], "left_semi").dropDuplicates(["row_key"]))
-    return kept.select(*docs.columns)
+    return unpacked(kept)
 
 
 def _links(rows: DataFrame, named: DataFrame, comps: DataFrame, k: int, levels: Levels, block_shingles: int) -> DataFrame:
