@@ -252,9 +252,9 @@ def coverage_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT 'files' AS what, count(*) AS universe, count(*) FILTER (status = 'documented') AS documented, count(*) FILTER (status = 'undocumented') AS undocumented, count(*) FILTER (status = 'waived') AS waived,
-  count(*) FILTER (status = 'documented') * 100.0::DOUBLE / (count(*) - count(*) FILTER (status = 'waived')) AS percent FROM file_cov
+  count(*) FILTER (status = 'documented')::DOUBLE / (count(*) - count(*) FILTER (status = 'waived')) * 100 AS percent FROM file_cov
   UNION ALL SELECT 'symbols', count(*), count(*) FILTER (status = 'documented'), count(*) FILTER (status = 'undocumented'), count(*) FILTER (status = 'waived'),
-  count(*) FILTER (status = 'documented') * 100.0::DOUBLE / (count(*) - count(*) FILTER (status = 'waived')) FROM sym_cov WHERE split_part(name, '.', -1) NOT LIKE '\\_%' ESCAPE '\\'""")
+  count(*) FILTER (status = 'documented')::DOUBLE / (count(*) - count(*) FILTER (status = 'waived')) * 100 FROM sym_cov WHERE split_part(name, '.', -1) NOT LIKE '\\_%' ESCAPE '\\'""")
 def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
     f = coverage.file_coverage(A.files(spark, d), A.code_refs(spark, d), WAIVERS).select("status").withColumn("what", F.lit("files"))
     s = coverage.symbol_coverage(A.symbols(spark, d), A.selections(spark, d), WAIVERS).where("public").select("status").withColumn("what", F.lit("symbols"))
