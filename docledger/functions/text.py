@@ -47,13 +47,10 @@ def is_public(name: Column) -> Column:
 
 
 def directories(path: Column) -> Column:
-    """All directories above a path, the topmost first."""
+    """All directories above a path, the topmost first; none for a path without any."""
     parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-
-
-def directories_or_none(path: Column) -> Column:
-    return F.when(path.contains("/"), directories(path)).otherwise(F.array().cast("array<string>"))
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return F.when(path.contains("/"), above).otherwise(F.array().cast("array<string>"))
 
 
 def proposed_doc_id(path: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docledger.functions import text as X
-from docledger.operators import coverage, drift, governance, graph, records, store, trace
+from docledger.operators import coverage, documents, drift, governance, graph, records, store, trace
 from docledger.plans.oracle import sql
 from docledger.sources import adapters as A
 from docledger.sources import logs
@@ -398,6 +398,113 @@ def apply_edits(spark: SparkSession, d: str) -> DataFrame:
     return store.mark_edits(edits, e.where("event_type = 'error'").select(F.col("event_id").alias("edit_id")), "applied", "now")
 
 
+# Configured documents.
+
+
+@query("""SELECT 'doc-' || s_suppkey AS doc_id, coalesce(string_agg(path, ',' ORDER BY path), '') AS paths FROM supplier LEFT JOIN refs ON doc_id = 'doc-' || s_suppkey GROUP BY 1""")
+def document_tree(spark: SparkSession, d: str) -> DataFrame:
+    docs = A.raw(spark, d, "supplier").select(F.concat(F.lit("doc-"), "s_suppkey").alias("doc_id"))
+    return documents.tree(docs, A.code_refs(spark, d)).select("doc_id", F.array_join("paths", ",").alias("paths"))
+
+
+@query("SELECT l_orderkey AS change_id, bool_or(l_partkey % 3 <> 0) AS should_sync FROM lineitem GROUP BY 1")
+def loop_guard(spark: SparkSession, d: str) -> DataFrame:
+    changes = A.raw(spark, d, "lineitem").select(F.col("l_orderkey").alias("change_id"), F.col("l_partkey").cast("string").alias("path"))
+    managed = A.raw(spark, d, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").cast("string").alias("path"))
+    return documents.loop_guard(changes, managed)
+
+
+_SCOPED = "SELECT o_custkey AS repo_id, CASE WHEN o_orderkey % 4 = 0 THEN 'git' ELSE 'local' END AS sync_kind, o_orderkey AS doc_id FROM orders"
+
+
+def _scoped(spark: SparkSession, d: str) -> DataFrame:
+    o = A.raw(spark, d, "orders")
+    return o.select(F.col("o_custkey").alias("repo_id"), F.when(F.col("o_orderkey") % 4 == 0, "git").otherwise("local").alias("sync_kind"), F.col("o_orderkey").alias("doc_id"))
+
+
+@query(f"WITH s AS ({_SCOPED}), g AS (SELECT DISTINCT repo_id FROM s WHERE sync_kind = 'git') SELECT * FROM s WHERE (sync_kind = 'git') = (repo_id IN (SELECT repo_id FROM g))")
+def scope_pick(spark: SparkSession, d: str) -> DataFrame:
+    return documents.pick_scope(_scoped(spark, d))
+
+
+@query("SELECT o_custkey AS repo_id, max(o_orderkey) AS seq, arg_max(o_totalprice, o_orderkey) AS ratio, arg_max(o_orderdate, o_orderkey) AS captured_at FROM orders GROUP BY 1")
+def latest_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    o = A.raw(spark, d, "orders").select(F.col("o_custkey").alias("repo_id"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("ratio"), F.col("o_orderdate").alias("captured_at"))
+    return documents.latest(o, "repo_id")
+
+
+@query("SELECT o_custkey AS doc_id, min(o_orderkey) AS seq, arg_min(o_orderstatus, o_orderkey) AS sync_kind FROM orders GROUP BY 1")
+def first_document(spark: SparkSession, d: str) -> DataFrame:
+    o = A.raw(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("sync_kind"))
+    return documents.first_per_doc(o)
+
+
+@query("""WITH c AS (SELECT repo_id, count(*) AS drifts, count(*) FILTER (drift_kind = 'HASH') AS hash, count(*) FILTER (drift_kind = 'REGION') AS region FROM records WHERE verdict = 'ESCALATE' AND repo_id <> 'repo-2' GROUP BY 1),
+  r AS (SELECT 'repo-' || i AS repo_id, CASE WHEN i % 2 = 0 THEN 'git' ELSE 'local' END AS mode, i % 3 AS ahead FROM range(12) t(i))
+  SELECT repo_id, mode, ahead, coalesce(drifts, 0) AS drifts, coalesce(hash, 0) AS hash, coalesce(region, 0) AS region, drifts IS NULL AS ok, drifts IS NULL AND (mode = 'git' OR ahead = 0) AS fully_synced FROM r LEFT JOIN c USING (repo_id)""")
+def sync_summary(spark: SparkSession, d: str) -> DataFrame:
+    drifts = A.records(spark, d).where("verdict = 'ESCALATE' and repo_id <> 'repo-2'").select("repo_id", F.col("drift_kind").alias("kind"))
+    repos = spark.range(12).select(F.concat(F.lit("repo-"), "id").alias("repo_id"), F.when(F.col("id") % 2 == 0, "git").otherwise("local").alias("mode"), (F.col("id") % 3).alias("ahead"))
+    return documents.sync_summary(drifts, repos, ("HASH", "REGION"))
+
+
+@query("""SELECT 'duplicate_doc' AS problem, l_orderkey::VARCHAR AS subject FROM lineitem WHERE l_linenumber <= 2 GROUP BY 2 HAVING count(*) > 1
+  UNION ALL SELECT DISTINCT 'dangling_upstream', (o_orderkey + 3)::VARCHAR FROM orders WHERE o_orderkey + 3 NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber <= 2)
+  UNION ALL SELECT 'unindexed_unit', r_name FROM region WHERE r_regionkey > 2 UNION ALL SELECT 'missing_unit', 'nowhere'""")
+def config_problems(spark: SparkSession, d: str) -> DataFrame:
+    docs = A.raw(spark, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("doc_id"))
+    edges = A.raw(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") + 3).alias("upstream_id"))
+    regions = A.raw(spark, d, "region")
+    listed = regions.where("r_regionkey <= 2").select(F.col("r_name").alias("unit")).union(spark.createDataFrame([("nowhere",)], "unit string"))
+    return documents.config_problems(docs, edges, regions.select(F.col("r_name").alias("unit")), listed)
+
+
+@query("""SELECT record_id, CASE WHEN verdict = 'ESCALATE' OR drift_kind IN ('UNHEALABLE', 'MISSING_DOC') THEN 'high' WHEN verdict = 'INVALIDATE' THEN 'low' ELSE 'medium' END AS severity,
+  CASE verdict WHEN 'INVALIDATE' THEN 'dismiss' WHEN 'ESCALATE' THEN 'escalate' ELSE 'apply' END AS action,
+  CASE WHEN drift_kind = 'REGION' AND (seq % 2 = 0 OR seq % 3 = 0) THEN 'FIX' WHEN drift_kind = 'HASH' AND audience = 'user-guide' AND seq % 7 = 0 THEN 'INVALIDATE' WHEN drift_kind = 'HASH' THEN 'FIX' ELSE 'ESCALATE' END AS offline FROM records""")
+def tickets(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    severity, action = documents.ticket(c("verdict"), c("drift_kind"), c("drift_kind") != "MISSING_DOC")
+    detail = F.when(c("seq") % 7 == 0, "a Docstring moved").otherwise("signature")
+    offline = documents.offline_verdict(c("drift_kind"), c("audience"), detail, c("seq") % 2 == 0, F.when(c("seq") % 3 == 0, "llm").otherwise("generated"))
+    return A.records(spark, d).select("record_id", severity.alias("severity"), action.alias("action"), offline.alias("offline"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'owner: o' || (doc_id % 9) || chr(10) END AS header, substr(sha256(text), 1, 16) AS hash FROM documents""")
+def front_matter(spark: SparkSession, d: str) -> DataFrame:
+    head = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("---\nowner: o"), F.col("doc_id") % 9, F.lit("\n---\n"))).otherwise("")
+    return documents.front_matter(A.bodies(spark, d).select("doc_id", F.concat(head, "text").alias("text"))).select("doc_id", "header", "hash")
+
+
+@query("""WITH s AS (SELECT doc_id, pos, trim(regexp_replace(lower(split_part(line, ' ', 1)), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM body_lines),
+  n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY pos) - 1 AS k FROM s) SELECT doc_id, pos, CASE WHEN k = 0 THEN base ELSE base || '-' || k END AS slug FROM n""")
+def heading_slugs(spark: SparkSession, d: str) -> DataFrame:
+    lines = A.bodies(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return documents.heading_slugs(lines.select("doc_id", "pos", F.split("line", " ")[0].alias("heading"))).select("doc_id", "pos", "slug")
+
+
+@query("""SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 5 = 0 THEN 'new' ELSE c_name END AS owner, CASE WHEN c_custkey % 5 <= 1 AND c_mktsegment < 'x' THEN least(c_mktsegment, 'x') || ',x' WHEN c_custkey % 5 <= 1 THEN 'x,' || c_mktsegment ELSE c_mktsegment END AS refs FROM customer""")
+def owner_edits(spark: SparkSession, d: str) -> DataFrame:
+    docs = A.raw(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("owner"), F.array("c_mktsegment").alias("refs"))
+    edit = lambda k, owner, seq: docs.where(f"doc_id % 5 = {k}").select("doc_id", F.lit(owner).cast("string").alias("owner"), F.array(F.lit("x")).alias("add_refs"), F.lit(seq).alias("seq"))
+    edits = edit(0, "old", 1).unionByName(edit(0, "new", 2)).unionByName(edit(1, None, 1))
+    return documents.edit_owners(docs, edits).select("doc_id", "owner", F.array_join("refs", ",").alias("refs"))
+
+
+@query("SELECT path FROM files WHERE starts_with(path, 'economy/') ORDER BY path LIMIT 200")
+def ignored_files(spark: SparkSession, d: str) -> DataFrame:
+    """The first 200 ignored files by path: the cap is the feature."""
+    return A.files(spark, d).where(F.col("path").rlike(X.glob_regex("economy/**"))).select("path").orderBy("path").limit(200)
+
+
+@query("""SELECT 'verdict' AS dimension, verdict AS value, count(*) AS cnt FROM records GROUP BY 2 UNION ALL SELECT 'audience', audience, count(*) FROM records GROUP BY 2 UNION ALL SELECT 'doc_id', doc_id, count(*) FROM records GROUP BY 2
+  UNION ALL SELECT 'total', '', count(*) FROM records UNION ALL SELECT 'resolution', coalesce(resolution, 'unresolved'), count(*) FROM records LEFT JOIN last_res USING (record_id) GROUP BY 2""")
+def report_payload(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.records(spark, d)
+    resolved = records.resolution_summary(rows, A.resolutions(spark, d)).select(F.lit("resolution").alias("dimension"), F.col("resolution").alias("value"), "cnt")
+    return records.log_summary(rows).unionByName(resolved)
+
+
 # What SQL does not express: rows-only here, exact values in tests.
 
 
