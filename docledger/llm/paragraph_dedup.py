@@ -38,13 +38,11 @@ class Bands(Levels):
         seeds = mix(np.arange(1, self.bands * self.rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self.factors = seeds | np.uint64(1)
         self.tags = mix(np.arange(self.bands, dtype=np.uint64) + np.uint64(77))
+        self.weights = mix(np.arange(self.rows, dtype=np.uint64) + np.uint64(777)) | np.uint64(1)
 
     def sign(self, s: np.ndarray) -> np.ndarray:
         low = (s[:, None] * self.factors).min(0).reshape(self.bands, self.rows)
-        out = self.tags.copy()
-        for i in range(self.rows):
-            out = mix(out ^ low[:, i])
-        return out
+        return mix(self.tags + (low * self.weights).sum(1, dtype=np.uint64))
 
     def doubtful(self, s: np.ndarray) -> bool:
         return False
@@ -95,8 +93,8 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_PASSAGE) -> Data
     long = runs.groupBy("doc_key", "run").agg(F.sum("n").alias("n_words"), F.min("pos").alias("first_sentence"), F.max("pos").alias("last_sentence")).where(F.col("n_words") >= least_words)
     inside = stage(runs.join(long, ["doc_key", "run"]), "passages")
     place = F.struct("doc_id", "doc_key", "pos")
-    first = inside.groupBy("h").agg(F.min(place).alias("first"))
-    out = inside.join(first, "h").groupBy("doc_key", "run").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("first_sentence").alias("first_sentence"), F.first("last_sentence").alias("last_sentence"), F.min("first.doc_id").alias("class_doc_id"), F.bool_or(place != F.col("first")).alias("removed"))
+    first = stage(inside.groupBy("h").agg(F.min(place).alias("first")), "first-sentences")
+    out = join_small(inside, first, ["h"]).groupBy("doc_key", "run").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("first_sentence").alias("first_sentence"), F.first("last_sentence").alias("last_sentence"), F.min("first.doc_id").alias("class_doc_id"), F.bool_or(place != F.col("first")).alias("removed"))
     return out.drop("run")
 
 
