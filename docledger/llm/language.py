@@ -21,6 +21,8 @@ HIDDEN = 8
 FIT_DOCS, FIT_WINDOWS = 300, 2400
 #: Steps of training, of as many windows each, and the first rate.
 STEPS, BATCH, RATE = 180, 256, 0.01
+#: Texts that a worker cuts into windows at a time.
+SLICE = 500
 #: Windows that run through the network together.
 LANES = 1024
 UNKNOWN = "und"
@@ -218,7 +220,8 @@ def predict(m: Model, text: Column) -> Column:
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
-            p = pooled(m, [t.encode("utf-8", "surrogatepass") if t else b"" for t in s])
+            texts = (s.iloc[i : i + SLICE] for i in range(0, len(s), SLICE))
+            p = np.concatenate([np.empty((0, len(m.langs))), *(pooled(m, [t.encode("utf-8", "surrogatepass") if t else b"" for t in x]) for x in texts)])
             best = p.argmax(1)
             yield pd.DataFrame({"lang_pred": np.array(m.langs, object)[best], "score": np.clip(p[np.arange(len(p)), best], 0, 1)})
 

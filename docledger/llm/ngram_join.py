@@ -17,6 +17,8 @@ from .common import join_small, packed, stage, table, unpacked
 from .components import connected_components
 from .shingles import mix, shingle_set, texts_words
 
+#: Texts that a worker holds at a time.
+SLICE = 500
 #: Shingles that the sets of one block hold together, about; bounds a task's memory.
 BLOCK_SHINGLES = 1_000_000
 #: Ranges that must agree are named together, several at a time, while a set then has at most this many signatures a level.
@@ -100,15 +102,20 @@ def uneven(s: np.ndarray, levels: Levels) -> bool:
     return False
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of SLICE rows at most, so that a worker holds few texts and their shingles at a time."""
     for b in batches:
-        yield b.column(0).to_pylist(), [shingle_set(w, k) for w in texts_words(b.column(1).to_pylist())]
+        yield from (b.slice(i, SLICE) for i in range(0, b.num_rows, SLICE))
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for b in _slices(batches):
+        yield b, [shingle_set(w, k) for w in texts_words(b.column(1).to_pylist())]
 
 
 def _name_sets(batches: Iterator[pa.RecordBatch], k: int, levels: Levels) -> Iterator[pa.RecordBatch]:
     """(row_key, text, doc_id) -> (doc_id, row_key, n_shingles, key, uneven)."""
-    for b in batches:
-        _, sets = next(_sets(iter([b]), k))
+    for b, sets in _sets(batches, k):
         columns = [(b.column(2), pa.int64()), (b.column(0), pa.int64()), ([len(s) for s in sets], pa.int64()), ([set_key(s) if len(s) else None for s in sets], pa.int64()), ([len(s) > 0 and levels.doubtful(s) for s in sets], pa.bool_())]
         yield pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in columns], names=["doc_id", "row_key", "n_shingles", "key", "uneven"])
 
@@ -126,10 +133,10 @@ def _sign_sets(batches: Iterator[pa.RecordBatch], k: int, levels: Levels) -> Ite
 def _prefixes(batches: Iterator[pa.RecordBatch], k: int, levels: Levels) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> (sig, key) of the shingles of which linked sets share one."""
     for _, sets in _sets(batches, k):
-        for s in sets:
-            if n := len(s):
-                p = s[: n - -(-levels.num * n // levels.den) + 1]
-                yield pa.record_batch([pa.array(p.view(np.int64)), pa.array(np.full(len(p), set_key(s)))], names=["sig", "key"])
+        own = [(s[: len(s) - -(-levels.num * len(s) // levels.den) + 1], set_key(s)) for s in sets if len(s)]
+        if own:
+            keys = np.repeat(np.array([key for _, key in own], np.int64), [len(p) for p, _ in own])
+            yield pa.record_batch([pa.array(np.concatenate([p for p, _ in own]).view(np.int64)), pa.array(keys)], names=["sig", "key"])
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,8 +160,8 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """(key, text) -> (key, shingles)."""
-    for keys, sets in _sets(batches, k):
-        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "shingles"])
+    for b, sets in _sets(batches, k):
+        yield pa.record_batch([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "shingles"])
 
 
 class Trie:
