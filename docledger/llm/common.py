@@ -12,6 +12,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: Spark's own setting that removes shuffle files of a query as soon as it has ended.
+RELEASE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Most rows that a side may have to be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -48,11 +51,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back.
 
     A written table survives the loss of any executor and is read with column pruning and
-    filter pushdown, which an RDD checkpoint is not.
+    filter pushdown, which an RDD checkpoint is not. Once it is written, nothing needs the
+    shuffle files behind it, so their disk is given back at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(RELEASE_SHUFFLES, None)
+    spark.conf.set(RELEASE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(RELEASE_SHUFFLES) if before is None else spark.conf.set(RELEASE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
