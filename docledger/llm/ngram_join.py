@@ -23,6 +23,9 @@ SLICE = 500
 BLOCK_SHINGLES = 1_000_000
 #: Ranges that must agree are named together, several at a time, while a set then has at most this many signatures a level.
 MOST_SUBSETS = 100
+#: Times at most that large candidate components are signed again with other ranges, and the part of
+#: their shingles that must leave them for another time.
+ROUNDS, LEAST_GAIN = 6, 0.1
 
 
 class Levels:
@@ -59,6 +62,10 @@ class Levels:
 
     def doubtful(self, s: np.ndarray) -> bool:
         """Whether sign may miss a link of a set, so that it needs the join by prefixes."""
+        return self.lopsided(s)
+
+    def lopsided(self, s: np.ndarray) -> bool:
+        """Whether signatures by ranges may miss a link of a set."""
         return uneven(s, self)
 
 
@@ -77,18 +84,26 @@ def _parts(s: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(s: np.ndarray, levels: Levels) -> np.ndarray:
     """Signatures of a sorted set at its own level and the next."""
-    own, out = levels.of(len(s)), []
-    for level in (own, own + 1):
-        first, part = _parts(s, levels.parts[level])
-        tag = np.uint64(level << 32)
-        h = mix(np.add.reduceat(mix(s), first) + mix(part + tag))
-        if levels.subsets[level] is not None:
-            ranges = np.zeros(levels.parts[level], np.uint64)
-            ranges[part] = h
-            subsets = levels.subsets[level]
-            h = mix(ranges[subsets].sum(1, dtype=np.uint64) + mix(np.arange(len(subsets), dtype=np.uint64) + tag))
-        out.append(h)
-    return np.concatenate(out)
+    own = levels.of(len(s))
+    return np.concatenate([level_signatures(s, levels, level) for level in (own, own + 1)])
+
+
+def level_signatures(s: np.ndarray, levels: Levels, level: int) -> np.ndarray:
+    """Signatures of a sorted set at one level."""
+    first, part = _parts(s, levels.parts[level])
+    tag = np.uint64(level << 32)
+    h = mix(np.add.reduceat(mix(s), first) + mix(part + tag))
+    if levels.subsets[level] is not None:
+        ranges = np.zeros(levels.parts[level], np.uint64)
+        ranges[part] = h
+        subsets = levels.subsets[level]
+        h = mix(ranges[subsets].sum(1, dtype=np.uint64) + mix(np.arange(len(subsets), dtype=np.uint64) + tag))
+    return h
+
+
+def dealt_anew(s: np.ndarray, seed: int) -> np.ndarray:
+    """A set's hashes dealt over the ranges in another way, sorted; one way for each seed."""
+    return np.sort(mix(s ^ mix(np.array([seed], np.uint64))))
 
 
 def uneven(s: np.ndarray, levels: Levels) -> bool:
@@ -139,10 +154,11 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, levels: Levels) -> Iter
             yield pa.record_batch([pa.array(np.concatenate([p for p, _ in own]).view(np.int64)), pa.array(keys)], names=["sig", "key"])
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stars(batches: Iterator[pa.RecordBatch], negative: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (sig, key) -> (a, b): the first key of each sig with each other key of it.
 
-    Rows stream by, and only the current sig and its first key are kept.
+    Rows stream by, and only the current sig and its first key are kept. negative: sigs without a
+    negative key give nothing.
     """
     sig = first = None
     for b in batches:
@@ -153,15 +169,32 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
         heads = np.where(at >= 0, key[at], first if first is not None else 0)
         sig, first = s[-1], heads[-1]
-        pair = heads != key
+        pair = (heads != key) & (heads < 0) if negative else heads != key
         if pair.any():
             yield pa.record_batch([pa.array(x) for x in np.unique(np.stack((heads[pair], key[pair])), axis=1)], names=["a", "b"])
 
 
-def _texts_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(key, text) -> (key, shingles)."""
+def _texts_sets(batches: Iterator[pa.RecordBatch], k: int, levels: Levels) -> Iterator[pa.RecordBatch]:
+    """(key, text, large) -> (key, shingles, bad): bit r of bad is set where a large set is uneven when dealt with seed r."""
     for b, sets in _sets(batches, k):
-        yield pa.record_batch([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "shingles"])
+        bad = [sum(levels.lopsided(dealt_anew(s, r)) << r for r in range(1, ROUNDS + 1)) if x else 0 for s, x in zip(sets, b.column(2).to_pylist(), strict=True)]
+        yield pa.record_batch([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(bad, pa.int32())], names=["key", "shingles", "bad"])
+
+
+def _sign_nodes(batches: Iterator[pa.RecordBatch], levels: Levels, seed: int) -> Iterator[pa.RecordBatch]:
+    """(shingles, node and label at the set's own level, node and label at the next one, nulls where there is none) -> (sig, node)."""
+    for b in _slices(batches):
+        sigs, nodes = [], []
+        shingles, *ends = (c.to_pylist() if i else c for i, c in enumerate(b.columns))
+        for i, (own, own_label, after, after_label) in enumerate(zip(*ends, strict=True)):
+            s = dealt_anew(shingles[i].values.to_numpy().view(np.uint64), seed)
+            level = levels.of(len(s))
+            for node, label, at in ((own, own_label, level), (after, after_label, level + 1)):
+                if node is not None:
+                    sigs.append(mix(level_signatures(s, levels, at) + mix(np.array([label], np.int64).view(np.uint64))))
+                    nodes.append(np.full(len(sigs[-1]), node, np.int64))
+        if sigs:
+            yield pa.record_batch([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
 
 
 class Trie:
@@ -318,8 +351,8 @@ def link_rows(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, block_
     Texts with A-Z lower-cased give sets of distinct shingles, as 64-bit hashes. Equal sets are
     one class. Signatures (see Levels) bring every two classes that may be linked into one
     candidate component. Sets of these classes only are gathered into blocks, and a prefix tree
-    in each finds links. A candidate component beyond block_shingles is taken apart by size: a set
-    goes with those of its class and with those of the next. What is still beyond is dealt over
+    in each finds links. A candidate component beyond block_shingles is taken apart by size, where a set
+    goes with those of its class and with those of the next, and by further signatures (see _refined). What is still beyond is dealt over
     several blocks that share one set, its hub; whatever is not connected to the hub afterwards meets all others in
     blocks of pairs of parts. Classes that are connected already are not compared again, so
     components are exact without a list of all links.
@@ -368,31 +401,65 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     return unpacked(kept)
 
 
+def _refined(sets: DataFrame, large: DataFrame, levels: Levels, block_shingles: int) -> DataFrame:
+    """Candidate components beyond block_shingles (key, n, root), taken apart: key, n, root, probe.
+
+    A set is a node at its own level and one at the next, where it meets larger sets only, so
+    probe holds at its own. Linked sets share a signature at the level of the larger one however
+    hashes are dealt over ranges. So components that are too large are signed again, each within
+    itself and with the hashes dealt anew, and what no longer shares a signature parts, time after
+    time. Components in which some set would be uneven are left as they are that time.
+    """
+    if large.isEmpty():
+        return large.select("key", "n", "root", F.lit(True).alias("probe"))
+    own = F.size(F.filter(F.array(*[F.lit(h) for h in levels.his]), lambda h: h < F.col("n")))
+    name = F.xxhash64("key", "probe")
+    nodes = large.join(sets.select("key", "bad"), "key").select("key", "n", "bad", "root", own.alias("own"), F.explode(F.array(F.lit(True), F.lit(False))).alias("probe"))
+    node = F.when(F.col("probe"), name.bitwiseOR(F.lit(-(2**63)))).otherwise(name.bitwiseAND(F.lit(2**63 - 1)))
+    label = F.xxhash64("root", F.col("own") + F.when(F.col("probe"), 0).otherwise(1))
+    nodes, before = stage(nodes.select("key", "n", "bad", "probe", node.alias("node"), label.alias("label")), "nodes"), None
+    for seed in range(1, ROUNDS + 1):
+        sizes = nodes.groupBy("label").agg(F.sum("n").alias("total"), F.bit_or("bad").alias("bad"))
+        big = stage(sizes.where((F.col("total") > block_shingles) & (F.getbit("bad", F.lit(seed)) == 0)).select("label", "total"), "big-labels")
+        total = big.agg(F.sum("total")).first()[0]
+        if not total or before and total > (1 - LEAST_GAIN) * before:
+            break
+        before, big = total, big.select("label")
+        again = join_small(nodes, big, ["label"])
+        at = lambda probe: F.max(F.when(probe, F.struct("node", "label")))
+        wide = stage(again.groupBy("key").agg(at(F.col("probe")).alias("own"), at(~F.col("probe")).alias("next")), "nodes-of-sets")
+        ends = [F.col(c).alias(c.replace(".", "_")) for c in ("own.node", "own.label", "next.node", "next.label")]
+        rows = join_small(sets, wide, ["key"]).select("shingles", *ends).mapInArrow(partial(_sign_nodes, levels=levels, seed=seed), "sig long, node long")
+        edges = rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(partial(_stars, negative=True), "a long, b long")
+        parted = again.drop("label").join(connected_components(edges).withColumnRenamed("root", "label"), "node")
+        nodes = stage(join_small(nodes, big, ["label"], "left_anti").unionByName(parted), "nodes")
+    return nodes.select("key", "n", F.col("label").alias("root"), "probe")
+
+
 def _links(rows: DataFrame, named: DataFrame, comps: DataFrame, k: int, levels: Levels, block_shingles: int) -> DataFrame:
     num, den = levels.num, levels.den
     one = named.join(comps.withColumnRenamed("node", "key"), "key").groupBy("key", "root").agg(F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n"))
     one = stage(one, "candidate-sets")
-    texts = join_small(rows.select("row_key", "text"), one.select("row_key", "key"), ["row_key"]).select("key", "text")
-    sets = texts.mapInArrow(partial(_texts_sets, k=k), "key long, shingles array<long>")
     whole = one.groupBy("root").agg(F.sum("n").alias("whole"))
-    level = F.size(F.filter(F.array(*[F.lit(h) for h in levels.his]), lambda h: h < F.col("n")))
-    unit = F.when(F.col("whole") <= block_shingles, F.array("root")).otherwise(F.array(*[F.xxhash64("root", level + i) for i in (0, 1)]))
-    one = one.join(whole, "root").select("key", "n", F.explode(unit).alias("root"))
+    one = stage(one.join(whole, "root").withColumn("large", F.col("whole") > block_shingles), "candidate-sizes")
+    texts = join_small(rows.select("row_key", "text"), one.select("row_key", "key", "large"), ["row_key"]).select("key", "text", "large")
+    sets = stage(texts.mapInArrow(partial(_texts_sets, k=k, levels=levels), "key long, shingles array<long>, bad int"), "candidate-shingles")
+    one = one.where("not large").select("key", "n", "root", F.lit(True).alias("probe")).union(_refined(sets, one.where("large"), levels, block_shingles))
     sizes = one.groupBy("root").agg(F.sum("n").alias("total"), F.min("key").alias("hub"))
     total = sizes.agg(F.sum("total")).first()[0] or 0
     bins = max(1, -(-2 * total // block_shingles))
-    place = stage(one.join(sizes, "root").select("key", "root", "hub", F.ceil(F.col("total") / block_shingles).cast("int").alias("parts")), "places")
-    sets = stage(join_small(sets, place, ["key"]), "candidate-shingles")
+    place = stage(one.join(sizes, "root").select("key", "root", "probe", "hub", F.ceil(F.col("total") / block_shingles).cast("int").alias("parts")), "places")
+    sets = join_small(sets.select("key", "shingles"), place, ["key"])
     schema = "a long, b long"
     linker = lambda pdf: _link_block(pdf, num, den)
-    small = sets.where("parts = 1").select(F.pmod(F.xxhash64("root"), F.lit(bins)).alias("block"), F.col("root").alias("part"), "key", F.lit(True).alias("probe"), "shingles")
+    small = sets.where("parts = 1").select(F.pmod(F.xxhash64("root"), F.lit(bins)).alias("block"), F.col("root").alias("part"), "key", "probe", "shingles")
     links = small.groupBy("block").applyInPandas(linker, schema)
-    large = sets.where("parts > 1")
-    if large.isEmpty():
+    if place.where("parts > 1").isEmpty():
         return stage(links, "links")
+    large = sets.where("parts > 1")
     of = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     every = F.when(F.col("key") == F.col("hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(of))
-    dealt = large.select("root", F.explode(every).alias("of"), "key", F.lit(True).alias("probe"), "shingles").withColumn("part", F.col("root"))
+    dealt = large.select("root", F.explode(every).alias("of"), "key", "probe", "shingles").withColumn("part", F.col("root"))
     first = stage(links.union(dealt.groupBy("root", "of").applyInPandas(_drop_keys(linker, ["root", "of"]), schema)), "links-1")
     roots = connected_components(first)
     state = large.select("key", "root", "hub", "parts", "shingles", of.alias("of")).join(roots.select(F.col("node").alias("key"), F.col("root").alias("mine")), "key", "left").withColumn("mine", F.coalesce("mine", "key"))

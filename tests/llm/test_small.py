@@ -297,10 +297,52 @@ def test_link_components(docs, block):
     assert got == brute_components(sample())
 
 
-def test_uneven_sets_are_joined_by_prefixes(docs, monkeypatch):
-    monkeypatch.setattr(ngram_join, "signatures", lambda s, levels: np.unique(s)[:1] * np.uint64(3))
-    monkeypatch.setattr(ngram_join.Levels, "doubtful", lambda self, s: True)
-    got = {r["doc_id"]: r["component_id"] for r in ngram_join.link_components(docs).collect()}
+class Rough(ngram_join.Levels):
+    """Signatures that find too little, of sets that are all known to be doubtful."""
+
+    def sign(self, s):
+        return np.unique(s)[:1] * np.uint64(3)
+
+    def doubtful(self, s):
+        return True
+
+
+class Lopsided(ngram_join.Levels):
+    """Sets whose ranges are all uneven when dealt anew."""
+
+    def doubtful(self, s):
+        return False
+
+    def lopsided(self, s):
+        return True
+
+
+def passages(n=90, seed=5):
+    """Documents that share passages, so that candidates chain, among them near copies."""
+    rng = np.random.default_rng(seed)
+    word = lambda m: [f"w{x}" for x in rng.integers(0, 5000, m)]
+    shared, rows = [word(30) for _ in range(3)], []
+    for i in range(n):
+        if i % 3 == 2:
+            w = rows[int(rng.integers(len(rows)))][1].split()
+            for _ in range(int(rng.integers(0, 5))):
+                w[int(rng.integers(len(w)))] = "edit"
+        else:
+            w = word(int(rng.integers(20, 120))) + shared[int(rng.integers(3))] + shared[int(rng.integers(3))]
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize(("block", "levels"), [(150, ngram_join.Levels), (2500, ngram_join.Levels), (150, Lopsided)])
+def test_large_candidate_components_are_taken_apart(spark, block, levels):
+    rows = passages()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link_components(df, k=5, num=80, den=100, block_shingles=block, levels=levels(80, 100, 2**31)).collect()}
+    assert got == brute_components(rows, 5, 80, 100)
+
+
+def test_uneven_sets_are_joined_by_prefixes(docs):
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.link_components(docs, levels=Rough(85, 100, 2**31)).collect()}
     assert got == {i: c for i, (_, c) in brute_components(sample()).items()}
 
 
