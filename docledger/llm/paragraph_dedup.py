@@ -77,7 +77,8 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_PASSAGE) -> Data
     """Runs of neighbouring sentences, least_words words or more together, each of which stands in another document too.
 
     These are passages that lie anywhere inside paragraphs. Sentences end at . ! ? before white
-    space and at line ends. A sentence is removed unless it is its first occurrence.
+    space and at line ends. A sentence is removed unless it is its first occurrence in such runs;
+    runs are cut where this changes, so n_words of a part may be below least_words.
 
     Returns doc_id, doc_key, first_sentence, last_sentence, n_words, class_doc_id, removed.
     """
@@ -94,8 +95,11 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_PASSAGE) -> Data
     inside = stage(runs.join(long, ["doc_key", "run"]), "passages")
     place = F.struct("doc_id", "doc_key", "pos")
     first = stage(inside.groupBy("h").agg(F.min(place).alias("first")), "first-sentences")
-    out = join_small(inside, first, ["h"]).groupBy("doc_key", "run").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("first_sentence").alias("first_sentence"), F.first("last_sentence").alias("last_sentence"), F.min("first.doc_id").alias("class_doc_id"), F.bool_or(place != F.col("first")).alias("removed"))
-    return out.drop("run")
+    judged = join_small(inside, first, ["h"]).withColumn("removed", place != F.col("first"))
+    span = F.col("pos") - F.row_number().over(Window.partitionBy("doc_key", "removed").orderBy("pos"))
+    out = judged.withColumn("span", span).groupBy("doc_key", "run", "removed", "span")
+    out = out.agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_words"), F.min("pos").alias("first_sentence"), F.max("pos").alias("last_sentence"), F.min("first.doc_id").alias("class_doc_id"))
+    return out.select("doc_id", "doc_key", "first_sentence", "last_sentence", "n_words", "class_doc_id", "removed")
 
 
 def repeated_substrings(docs: DataFrame) -> DataFrame:
