@@ -1,20 +1,25 @@
-"""Substring dedup: near copies of paragraphs by MinHash banding, and passages of repeated sentences."""
+"""Substring dedup: near copies of paragraphs by MinHash banding, and repeated passages by runs of words."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, join_small, stage, table
-from .ngram_join import Levels, link_rows
-from .shingles import mix
+from .common import WORD, drop_staged, join_small, stage, table
+from .ngram_join import SLICE, Levels, link_rows
+from .shingles import PIECE, mix, shingle_hashes, word_hashes
 
-#: Words of a paragraph that is compared as a whole, and of a run of repeated sentences, at least.
+#: Words of a paragraph that is compared as a whole, and of a repeated passage, at least.
 LEAST_PARAGRAPH, LEAST_PASSAGE = 40, 30
 #: Similarity of near copies, words of a shingle, recall of banding at that similarity, most bands.
 NUM, DEN, SHINGLE, RECALL, MOST_BANDS = 80, 100, 5, 0.995, 12
-#: Most repeated sentence hashes (8 bytes each) that are broadcast.
+#: Words of a run that is compared, runs of which one at least is sampled, other words within a passage, places around a sampled run.
+GRAM, WINDOW, GAP, REACH = 12, 13, 3, 32
+#: Most repeated hashes of runs (8 bytes each) that are broadcast.
 BROADCAST_HASHES = 2_000_000
 
 
@@ -59,7 +64,7 @@ def repeated_paragraphs(docs: DataFrame, least_words: int = LEAST_PARAGRAPH) ->
     verified by exact Jaccard similarity of 5-word shingles, and linked ones form classes by
     components. The first of a class by doc_id, a hash of the document and place stays.
 
-    Returns doc_id, doc_key, line_no, n_words, class_doc_id, removed.
+    Returns doc_id, doc_key, line_no, last_line, n_words, class_doc_id, removed.
     """
     lines = _keyed(docs).select("doc_id", "doc_key", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
     lines = lines.withColumn("n_words", F.regexp_count("text", F.lit(WORD))).where(F.col("n_words") >= least_words).withColumn("row_key", F.xxhash64("doc_key", "line_no"))
@@ -70,48 +75,139 @@ def repeated_paragraphs(docs: DataFrame, least_words: int = LEAST_PARAGRAPH) ->
     place = F.struct("doc_id", "doc_key", "line_no")
     classes = rows.groupBy("root").agg(F.min("doc_key").alias("low"), F.max("doc_key").alias("high"), F.min(place).alias("first")).where("low <> high")
     out = rows.join(classes.select("root", "first"), "root")
-    return out.select("doc_id", "doc_key", "line_no", "n_words", F.col("first.doc_id").alias("class_doc_id"), (place != F.col("first")).alias("removed"))
-
-
-def repeated_passages(docs: DataFrame, least_words: int = LEAST_PASSAGE) -> DataFrame:
-    """Runs of neighbouring sentences, least_words words or more together, each of which stands in another document too.
-
-    These are passages that lie anywhere inside paragraphs. Sentences end at . ! ? before white
-    space and at line ends. A sentence is removed unless it is its first occurrence in such runs;
-    runs are cut where this changes, so n_words of a part may be below least_words.
-
-    Returns doc_id, doc_key, first_sentence, last_sentence, n_words, class_doc_id, removed.
+    return out.select("doc_id", "doc_key", "line_no", F.col("line_no").alias("last_line"), "n_words", F.col("first.doc_id").alias("class_doc_id"), (place != F.col("first")).alias("removed"))
+
+
+def _gram_words(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes of each text in turn and the line each word stands in; many texts are hashed at a time."""
+    group: list[bytes] = []
+    size = 0
+
+    def flush() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        data = b"\n".join(group)
+        ends = np.cumsum([len(t) + 1 for t in group])
+        h, s = word_hashes(data)
+        breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+        cuts, line = np.searchsorted(s, ends)[:-1], np.searchsorted(breaks, s)
+        tops = np.searchsorted(breaks, np.concatenate(([0], ends[:-1])))
+        for w, x, top in zip(np.split(h, cuts), np.split(line, cuts), tops, strict=True):
+            yield w, x - top
+
+    for t in texts:
+        raw = t.encode("utf-8", "surrogatepass")
+        if group and size + len(raw) > PIECE:
+            yield from flush()
+            group, size = [], 0
+        group.append(raw)
+        size += len(raw) + 1
+    if group:
+        yield from flush()
+
+
+def _sampled(g: np.ndarray) -> np.ndarray:
+    """Places of the least hash of every WINDOW neighbours: texts that share as many grams share one that is sampled."""
+    if len(g) <= WINDOW:
+        return np.array([g.argmin()])
+    at = np.lib.stride_tricks.sliding_window_view(g, WINDOW).argmin(1) + np.arange(len(g) - WINDOW + 1)
+    return at[np.concatenate(([True], at[1:] != at[:-1]))]
+
+
+def _around(hits: np.ndarray, n: int) -> np.ndarray:
+    """Places of n grams that lie within REACH of a hit."""
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, np.maximum(hits - REACH, 0), 1)
+    np.add.at(step, np.minimum(hits + REACH + 1, n), -1)
+    return np.flatnonzero(np.cumsum(step[:-1]) > 0)
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, doc_key, text, perhaps hits) -> (doc_id, doc_key, pos, line, last_line, h) of runs of GRAM words.
+
+    Without hits those that are sampled, else all that lie around hits.
+    """
+    for whole in batches:
+        for b in (whole.slice(i, SLICE) for i in range(0, whole.num_rows, SLICE)):
+            rows, parts = [], []
+            for i, (w, line) in enumerate(_gram_words(b.column(2).to_pylist())):
+                if len(w) < GRAM:
+                    continue
+                g = shingle_hashes(w, GRAM)
+                at = _sampled(g) if b.num_columns == 3 else _around(b.column(3)[i].values.to_numpy(), len(g))
+                rows.append(np.full(len(at), i))
+                parts.append((at, line[at], line[at + GRAM - 1], g[at].view(np.int64)))
+            if rows:
+                take = pa.array(np.concatenate(rows))
+                pos, line, last, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+                ints = [pa.array(x.astype(np.int32)) for x in (pos, line, last)]
+                yield pa.record_batch([b.column(0).take(take), b.column(1).take(take), *ints, pa.array(h)], names=["doc_id", "doc_key", "pos", "line", "last_line", "h"])
+
+
+def _surviving(grams: DataFrame, gone: DataFrame) -> DataFrame:
+    """grams without those that reach into lines that are removed as paragraphs (doc_key, gone)."""
+    inside = F.exists("gone", lambda x: (x["line_no"] <= F.col("last_line")) & (x["last_line"] >= F.col("line")))
+    return join_small(grams, gone, ["doc_key"], "left").where(~F.coalesce(inside, F.lit(False))).drop("gone", "line", "last_line")
+
+
+def repeated_passages(docs: DataFrame, paragraphs: DataFrame | None = None, least_words: int = LEAST_PASSAGE) -> DataFrame:
+    """Passages of least_words words or more that stand in other documents too, wherever they begin and end.
+
+    Words are compared with A-Z lower-cased, whatever the white space between them. A passage is a
+    chain of runs of GRAM words, each of which stands in another document, with at most GAP other
+    words between neighbours; those words are no part of it. What is removed with paragraphs
+    (rows of repeated_paragraphs) counts as gone, so the rest is compared with what stays.
+
+    Sampled runs find the documents and places; there all runs are compared, so ends are exact.
+    Equal words of GRAM + WINDOW - 1 in a row are always found. The first occurrence of a run by
+    doc_id, a hash of the document and place stays. Other words of a passage are removed.
+    Passages are cut where this changes, so n_words of a part may be below least_words.
+
+    Returns doc_id, doc_key, first_word, last_word, n_words, class_doc_id, removed.
     """
-    pieces = F.filter(F.split("text", r"(?<=[.!?])[\x20\x09-\x0D]+|\n"), lambda x: x.rlike(WORD))
-    sentences = _keyed(docs).select("doc_id", "doc_key", F.posexplode(pieces).alias("pos", "s"))
-    sentences = sentences.withColumn("h", F.xxhash64(F.trim("s")))
-    known = sentences.select("h", "doc_key").groupBy("h").agg(F.min("doc_key").alias("low"), F.max("doc_key").alias("high")).where("low <> high").select("h")
-    known = stage(known, "repeated-sentences")
-    hits = join_small(sentences, known, ["h"], rows=BROADCAST_HASHES).select("doc_id", "doc_key", "pos", "h", F.regexp_count("s", F.lit(WORD)).alias("n"))
-    hits = stage(hits.dropDuplicates(["doc_key", "pos"]), "sentence-hits")
-    run = F.col("pos") - F.row_number().over(Window.partitionBy("doc_key").orderBy("pos"))
-    runs = hits.withColumn("run", run)
-    long = runs.groupBy("doc_key", "run").agg(F.sum("n").alias("n_words"), F.min("pos").alias("first_sentence"), F.max("pos").alias("last_sentence")).where(F.col("n_words") >= least_words)
-    inside = stage(runs.join(long, ["doc_key", "run"]), "passages")
+    if paragraphs is None:
+        paragraphs = docs.sparkSession.createDataFrame([], "doc_key long, line_no int, last_line int, removed boolean")
+    gone = paragraphs.where("removed").groupBy("doc_key").agg(F.collect_set(F.struct("line_no", "last_line")).alias("gone"))
+    gone = stage(gone, "gone-lines")
+    texts = _keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "doc_key", "text")
+    schema = "doc_id long, doc_key long, pos int, line int, last_line int, h long"
+    sampled = stage(_surviving(texts.mapInArrow(_grams, schema), gone).select("doc_key", "pos", "h"), "sampled")
+    known = stage(sampled.groupBy("h").agg(F.min("doc_key").alias("low"), F.max("doc_key").alias("high")).where("low <> high").select("h"), "repeated-samples")
+    hits = stage(join_small(sampled, known, ["h"], rows=BROADCAST_HASHES).groupBy("doc_key").agg(F.collect_set("pos").alias("hits")), "hits")
+    drop_staged(sampled, known)
+    all_grams = stage(_surviving(join_small(texts, hits, ["doc_key"]).select("doc_id", "doc_key", "text", "hits").mapInArrow(_grams, schema), gone), "grams")
     place = F.struct("doc_id", "doc_key", "pos")
-    first = stage(inside.groupBy("h").agg(F.min(place).alias("first")), "first-sentences")
-    judged = join_small(inside, first, ["h"]).withColumn("removed", place != F.col("first"))
-    span = F.col("pos") - F.row_number().over(Window.partitionBy("doc_key", "removed").orderBy("pos"))
-    out = judged.withColumn("span", span).groupBy("doc_key", "run", "removed", "span")
-    out = out.agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_words"), F.min("pos").alias("first_sentence"), F.max("pos").alias("last_sentence"), F.min("first.doc_id").alias("class_doc_id"))
-    return out.select("doc_id", "doc_key", "first_sentence", "last_sentence", "n_words", "class_doc_id", "removed")
+    first = all_grams.groupBy("h").agg(F.min(place).alias("first"), F.min("doc_key").alias("low"), F.max("doc_key").alias("high")).where("low <> high")
+    first = stage(first.select("h", "first"), "first-grams")
+    rows = join_small(all_grams, first, ["h"], rows=BROADCAST_HASHES).select("doc_id", "doc_key", "pos", F.col("first.doc_id").alias("class_doc_id"), (place == F.col("first")).alias("stays"))
+    by_place = Window.partitionBy("doc_key").orderBy("pos")
+    before = F.lag("pos").over(by_place)
+    # rows that repeat doc_id and text are one document
+    rows = rows.withColumn("before", before).where("before is null or before < pos")
+    rows = rows.withColumn("chain", F.sum(F.when(F.col("pos") - F.col("before") <= GRAM + GAP, 0).otherwise(1)).over(by_place))
+    # a run's own words end where the next one begins; those of a run that stays are kept
+    to = F.least(F.col("pos") + GRAM, F.coalesce(F.lead("pos").over(by_place), F.lit(2**31 - 1)))
+    kept_to = F.coalesce(F.max(F.when(F.col("stays"), F.col("pos") + GRAM)).over(by_place), F.lit(0))
+    rows = rows.withColumn("to", to).withColumn("mid", F.greatest("pos", F.least("to", kept_to)))
+    parts = F.filter(F.array(F.struct(F.col("pos").alias("a"), F.col("mid").alias("b"), F.lit(False).alias("removed")), F.struct(F.col("mid").alias("a"), F.col("to").alias("b"), F.lit(True).alias("removed"))), lambda x: x["a"] < x["b"])
+    total = F.sum(F.col("to") - F.col("pos")).over(Window.partitionBy("doc_key", "chain"))
+    rows = rows.withColumn("total", total).where(F.col("total") >= least_words).select("doc_id", "doc_key", "chain", "class_doc_id", F.inline(parts))
+    by_part = Window.partitionBy("doc_key").orderBy("a")
+    new = (F.lag("b").over(by_part) != F.col("a")) | (F.lag("removed").over(by_part) != F.col("removed"))
+    rows = rows.withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(by_part))
+    out = rows.groupBy("doc_key", "span").agg(F.first("doc_id").alias("doc_id"), F.min("a").alias("first_word"), (F.max("b") - 1).alias("last_word"), F.sum(F.col("b") - F.col("a")).alias("n_words"), F.min("class_doc_id").alias("class_doc_id"), F.first("removed").alias("removed"))
+    return out.drop("span")
 
 
 def repeated_substrings(docs: DataFrame) -> DataFrame:
-    """Repeated paragraphs and passages of documents (doc_id, text), in one table.
+    """Repeated paragraphs of documents (doc_id, text), and repeated passages of what they leave, in one table.
 
     Null and empty texts have none. Rows that repeat doc_id and text count as one document, so they
     do not make each other repeat. A null doc_id goes first. An empty table gives an empty
-    result. Returns doc_id, kind (paragraph or passage), first, last (line or sentence
-    numbers), n_words, class_doc_id, removed.
+    result. Returns doc_id, kind (paragraph or passage), first, last (line numbers of a paragraph, word
+    numbers of a passage), n_words, class_doc_id, removed.
     """
-    a = repeated_paragraphs(docs).select("doc_id", F.lit("paragraph").alias("kind"), F.col("line_no").alias("first"), F.col("line_no").alias("last"), F.col("n_words").cast("long").alias("n_words"), "class_doc_id", "removed")
-    b = repeated_passages(docs).select("doc_id", F.lit("passage").alias("kind"), F.col("first_sentence").alias("first"), F.col("last_sentence").alias("last"), "n_words", "class_doc_id", "removed")
+    paragraphs = stage(repeated_paragraphs(docs), "repeated-paragraphs")
+    a = paragraphs.select("doc_id", F.lit("paragraph").alias("kind"), F.col("line_no").alias("first"), F.col("last_line").alias("last"), F.col("n_words").cast("long").alias("n_words"), "class_doc_id", "removed")
+    b = repeated_passages(docs, paragraphs).select("doc_id", F.lit("passage").alias("kind"), F.col("first_word").alias("first"), F.col("last_word").alias("last"), "n_words", "class_doc_id", "removed")
     return a.unionByName(b)
 
 

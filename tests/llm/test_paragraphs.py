@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 
 from docledger.llm import paragraph_dedup
@@ -14,15 +12,40 @@ def words(seed=3):
     return lambda n: " ".join(f"t{x}" for x in rng.integers(0, 10**6, n))
 
 
+def left_of(spark, rows):
+    """Words that stay in each document."""
+    got = paragraph_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("removed").collect()
+    gone = {(r["doc_id"], p) for r in got for p in range(r["first_word"], r["last_word"] + 1)}
+    return {i: [x for p, x in enumerate(t.lower().split()) if (i, p) not in gone] for i, t in rows}
+
+
 def test_every_repeated_sentence_keeps_one_copy(spark):
     w = words()
     a, b = [". ".join(w(9) for _ in range(6)).split(". ") for _ in range(2)]
     text = lambda *s: ". ".join(s) + "."
     # La stands first in document 1; the sentences of b stand first in document 2, in one run with La
     rows = [(1, text(w(20), *a[:3], "La", *a[3:], w(20))), (2, text(w(30), *b[:3], "La", *b[3:], w(10))), (3, text(w(25), *a[:3], "La", *a[3:], w(12))), (4, text(w(15), *b[:3], "La", *b[3:], w(22)))]
-    got = paragraph_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("removed").collect()
-    left = []
-    for i, t in rows:
-        gone = {p for r in got if r["doc_id"] == i for p in range(r["first_sentence"], r["last_sentence"] + 1)}
-        left += [s for p, s in enumerate(re.split(r"(?<=[.]) ", t)) if p not in gone]
-    assert {s: left.count(f"{s}.") for s in [*a, *b, "La"]} == dict.fromkeys([*a, *b, "La"], 1)
+    left = " ".join(" ".join(x) for x in left_of(spark, rows).values())
+    assert {s: left.count(f"{s}.") for s in [*a, *b]} == dict.fromkeys([*a, *b], 1)
+    assert left.count("la.") == 2  # one in each passage that stays
+
+
+def test_passages_in_mid_sentence(spark):
+    w = words(7)
+    p, q = w(51).split(), w(53).split()
+    edited = [*q[:26], "changed", *q[27:]]
+    wrapped = "  ".join(p[:20]).upper() + "\n" + " ".join(p[20:])
+    rows = [(1, f"{w(80)} {' '.join(p)} {w(40)}"), (2, f"{w(33)} {wrapped} {w(90)}"), (3, f"{w(60)} {' '.join(q)} {w(60)}"), (4, f"{w(50)} {' '.join(edited)} {w(70)}")]
+    left = left_of(spark, rows)
+    assert [len(left[i]) for i in (1, 2, 3, 4)] == [171, 123, 173, 121]
+    assert left[4][50] == "changed"
+    assert {i: "".join(left[i]).count("".join(x)) for i, x in ((1, p), (2, p), (3, q))} == {1: 1, 2: 0, 3: 1}
+
+
+def test_passages_survive_their_removed_paragraphs(spark):
+    w = words(9)
+    # document 2 is removed as a near copy of 1, so the passage that only it shares with 3 stays in 3
+    p, tail = w(32), w(400)
+    rows = [(1, f"{w(32)} {tail}"), (2, f"{p} {tail}"), (3, f"{w(300)} {p} {w(90)}")]
+    got = paragraph_dedup.repeated_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["kind"], r["removed"]) for r in got} == {(1, "paragraph", False), (2, "paragraph", True)}
