@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, drop_staged, join_small, stage, table
+from .common import drop_staged, join_small, stage, table
 from .ngram_join import SLICE, Levels, link_rows
 from .shingles import PIECE, mix, shingle_hashes, word_hashes
 
-#: Words of a paragraph that is compared as a whole, and of a repeated passage, at least.
-LEAST_PARAGRAPH, LEAST_PASSAGE = 40, 30
+#: Words of a repeated passage, at least.
+LEAST_PASSAGE = 30
 #: Similarity of near copies, words of a shingle, recall of banding at that similarity, most bands.
 NUM, DEN, SHINGLE, RECALL, MOST_BANDS = 80, 100, 5, 0.995, 12
 #: Words of a run that is compared, runs of which one at least is sampled, other words within a passage, places around a sampled run.
@@ -57,25 +57,74 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("doc_key"), "text")
 
 
-def repeated_paragraphs(docs: DataFrame, least_words: int = LEAST_PARAGRAPH) -> DataFrame:
-    """Paragraphs (lines) of least_words words or more that have a near copy in another document.
+def _units(text: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    """Paragraphs of a text as (first line, last line, words, text).
+
+    These are lines and blocks of several lines between blank ones that have SHINGLE words or
+    more; the whole text where it has none of those.
+    """
+    lines = text.split(b"\n")
+    counts = [len(x.split()) for x in lines]
+    found, block = False, []
+    for i, n in enumerate([*counts, 0]):
+        if n:
+            block.append(i)
+            if n >= SHINGLE:
+                found = True
+                yield i, i, n, lines[i]
+        elif block:
+            words = sum(counts[block[0] : i])
+            if len(block) > 1 and words >= SHINGLE:
+                found = True
+                yield block[0], i - 1, words, b"\n".join(lines[block[0] : i])
+            block = []
+    if not found and any(counts):
+        yield 0, len(lines) - 1, sum(counts), text
+
+
+def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, doc_key, text) -> (doc_id, doc_key, line_no, last_line, n_words, text) of its paragraphs."""
+    for whole in batches:
+        for b in (whole.slice(i, SLICE) for i in range(0, whole.num_rows, SLICE)):
+            rows = [(i, *u) for i, t in enumerate(b.column(2).cast(pa.binary()).to_pylist()) for u in _units(t)]
+            if rows:
+                take, low, high, n, text = zip(*rows, strict=True)
+                at = pa.array(take)
+                ints = [pa.array(x, pa.int32()) for x in (low, high, n)]
+                yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), *ints, pa.array(text, pa.binary()).cast(pa.string())], names=["doc_id", "doc_key", "line_no", "last_line", "n_words", "text"])
+
+
+def repeated_paragraphs(docs: DataFrame) -> DataFrame:
+    """Paragraphs (see _units) that have a near copy in another document.
 
     MinHash bands, tuned for RECALL at the threshold, bring paragraphs together; colliding ones are
     verified by exact Jaccard similarity of 5-word shingles, and linked ones form classes by
-    components. The first of a class by doc_id, a hash of the document and place stays.
+    components. Of a class the first by doc_id, a hash of the document and place stays, among its
+    blocks of several lines if it has any, else among its lines. Lines of a block that is removed
+    go with it: they have no rows, and the lines they equal are compared without them.
 
     Returns doc_id, doc_key, line_no, last_line, n_words, class_doc_id, removed.
     """
-    lines = _keyed(docs).select("doc_id", "doc_key", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
-    lines = lines.withColumn("n_words", F.regexp_count("text", F.lit(WORD))).where(F.col("n_words") >= least_words).withColumn("row_key", F.xxhash64("doc_key", "line_no"))
-    linked = link_rows(lines.select("doc_id", "row_key", "text"), k=SHINGLE, num=NUM, den=DEN, levels=Bands()).select("row_key", "root")
+    texts = _keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "doc_key", "text")
+    units = texts.mapInArrow(_paragraphs, "doc_id long, doc_key long, line_no int, last_line int, n_words int, text string")
+    units = units.withColumn("row_key", F.xxhash64("doc_key", "line_no", "last_line"))
+    linked = link_rows(units.select("doc_id", "row_key", "text"), k=SHINGLE, num=NUM, den=DEN, levels=Bands()).select("row_key", "root")
+    linked = stage(linked.where("root is not null"), "linked-paragraphs")
+    shared = stage(linked.groupBy("root").agg(F.min("row_key").alias("low"), F.max("row_key").alias("high")).where("low <> high").select("root"), "shared-roots")
+    linked = linked.join(shared, "root")
     # rows that repeat doc_id and text are one document
-    places = lines.select("row_key", "doc_id", "doc_key", "line_no", "n_words")
+    places = units.select("row_key", "doc_id", "doc_key", "line_no", "last_line", "n_words")
     rows = stage(linked.join(places, "row_key").dropDuplicates(["row_key"]), "paragraphs")
-    place = F.struct("doc_id", "doc_key", "line_no")
-    classes = rows.groupBy("root").agg(F.min("doc_key").alias("low"), F.max("doc_key").alias("high"), F.min(place).alias("first")).where("low <> high")
-    out = rows.join(classes.select("root", "first"), "root")
-    return out.select("doc_id", "doc_key", "line_no", F.col("line_no").alias("last_line"), "n_words", F.col("first.doc_id").alias("class_doc_id"), (place != F.col("first")).alias("removed"))
+    place = F.struct("doc_id", "doc_key", "line_no", "last_line")
+    block = F.col("last_line") > F.col("line_no")
+    firsts = lambda x, shared: x.groupBy("root").agg(shared.alias("shared"), F.coalesce(F.min(F.when(block, place)), F.min(place)).alias("first")).where("shared").select("root", "first")
+    judged = rows.join(firsts(rows, F.min("doc_key") != F.max("doc_key")), "root").where(block).withColumn("removed", place != F.col("first"))
+    gone = stage(judged.where("removed").groupBy("doc_key").agg(F.collect_set(F.struct("line_no", "last_line")).alias("gone")), "gone-blocks")
+    inside = F.exists("gone", lambda x: (x["line_no"] <= F.col("line_no")) & (x["last_line"] >= F.col("last_line")))
+    rows = rows.join(firsts(rows, F.min("doc_key") != F.max("doc_key")).select("root"), "root")
+    stay = stage(join_small(rows, gone, ["doc_key"], "left").where(block | ~F.coalesce(inside, F.lit(False))).drop("gone"), "paragraphs-left")
+    out = stay.join(firsts(stay, F.count("*") > 1), "root")
+    return out.select("doc_id", "doc_key", "line_no", "last_line", "n_words", F.col("first.doc_id").alias("class_doc_id"), (place != F.col("first")).alias("removed"))
 
 
 def _gram_words(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -49,3 +49,24 @@ def test_passages_survive_their_removed_paragraphs(spark):
     rows = [(1, f"{w(32)} {tail}"), (2, f"{p} {tail}"), (3, f"{w(300)} {p} {w(90)}")]
     got = paragraph_dedup.repeated_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["kind"], r["removed"]) for r in got} == {(1, "paragraph", False), (2, "paragraph", True)}
+
+
+def test_short_and_wrapped_paragraphs(spark):
+    w = words(11)
+    near = lambda t, i: " ".join([*t.split()[:i], "changed", *t.split()[i + 1 :]])
+    wrap = lambda t: "\n".join(" ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    short, line, wrapped, block = w(3), w(20), w(60), w(70)
+    rows = [(1, short), (2, f" {short}"), (3, f"{line}\n{w(9)}"), (4, f"{w(8)}\n\n{near(line, 19)}"), (5, wrapped), (6, f"{w(12)}\n\n{wrap(wrapped)}\n\n{w(7)}"), (7, wrap(block)), (8, wrap(near(block, 35))), (9, "ok"), (10, ""), (11, " ")]
+    got = paragraph_dedup.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {(1, 0, 0, False), (2, 0, 0, True), (3, 0, 0, False), (4, 2, 2, True), (5, 0, 0, True), (6, 2, 8, False), (7, 0, 7, False), (8, 0, 7, True)}
+    assert {(r["doc_id"], r["line_no"], r["last_line"], r["removed"]) for r in got} == want
+
+
+def test_lines_of_removed_blocks_keep_a_copy(spark):
+    w = words(13)
+    # the changed line of document 2 goes with its block, so its copy in 3 is the only one that stays
+    a = [w(10) for _ in range(20)]
+    b = [*a[:-1], w(10)]
+    rows = [(1, "\n".join(a)), (2, "\n".join(b)), (3, f"{w(50)}\n\n{b[-1]}")]
+    got = paragraph_dedup.repeated_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["first"], r["last"], r["removed"]) for r in got} == {(1, 0, 19, False), (2, 0, 19, True)}
