@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SYMBOL = "name string, kind string, signature string, lineno int, end_lineno int, docstring string, arg_names array<string>, body_hash string"
+#: Most characters of a variable's value in its signature.
+MOST_VALUE = 48
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -58,6 +60,15 @@ def _row(node, name: str, kind: str) -> dict:
     return {"name": name, "kind": kind, "signature": signature, "lineno": node.lineno, "end_lineno": node.end_lineno, "docstring": ast.get_docstring(node), "arg_names": args, "body_hash": hashlib.sha256(dump.encode()).hexdigest()[:16]}
 
 
+def _assigned(node: ast.Assign | ast.AnnAssign, name: str) -> str:
+    """Name, annotation and value of a variable; a value that is long or has several lines is elided."""
+    head = f"{name}: {ast.unparse(node.annotation)}" if isinstance(node, ast.AnnAssign) else name
+    if node.value is None:
+        return head
+    value = ast.unparse(node.value)
+    return f"{head} = {'...' if len(value) > MOST_VALUE or chr(10) in value else value}"
+
+
 def symbols_of(source: str) -> list[dict]:
     """Functions, classes with their methods, and module variables of a Python source."""
     rows = []
@@ -70,7 +81,7 @@ def symbols_of(source: str) -> list[dict]:
         elif isinstance(node, (ast.Assign, ast.AnnAssign)):
             for target in node.targets if isinstance(node, ast.Assign) else [node.target]:
                 if isinstance(target, ast.Name):
-                    rows.append({"name": target.id, "kind": "variable", "signature": ast.unparse(node)[:48], "lineno": node.lineno, "end_lineno": node.end_lineno, "docstring": None, "arg_names": [], "body_hash": hashlib.sha256(ast.dump(node.value, include_attributes=False).encode() if node.value else b"").hexdigest()[:16]})
+                    rows.append({"name": target.id, "kind": "variable", "signature": _assigned(node, target.id), "lineno": node.lineno, "end_lineno": node.end_lineno, "docstring": None, "arg_names": [], "body_hash": hashlib.sha256(ast.dump(node.value, include_attributes=False).encode() if node.value else b"").hexdigest()[:16]})
     return rows
 
 

@@ -245,6 +245,12 @@ def test_python_symbols():
         logs.symbols_of("def")
 
 
+def test_variable_signatures():
+    long = "a_name_of_many_words_that_goes_on_beyond_forty_eight_characters"
+    source = f"{long}: dict[str, int] = 1\nX: int\nY = Z = '{'v' * 46}'\nW = '{'v' * 47}'\n"
+    assert [r["signature"] for r in logs.symbols_of(source)] == [f"{long}: dict[str, int] = 1", "X: int", f"Y = '{'v' * 46}'", f"Z = '{'v' * 46}'", "W = ..."]
+
+
 @pytest.mark.parametrize(("name", "public"), [("f", True), ("_f", False), ("__init__", True), ("C._m", False), ("_C.m", True)])
 def test_visibility(spark, name, public):
     assert col(spark, name, X.is_public) is public
