@@ -60,6 +60,10 @@ class Levels:
         """Hashes of which linked sets share one."""
         return signatures(s, self)
 
+    def sign_all(self, sets: list[np.ndarray]) -> list[np.ndarray]:
+        """As sign, for filled sets."""
+        return [self.sign(s) for s in sets]
+
     def doubtful(self, s: np.ndarray) -> bool:
         """Whether sign may miss a link of a set, so that it needs the join by prefixes."""
         return self.lopsided(s)
@@ -140,7 +144,7 @@ def _sign_sets(batches: Iterator[pa.RecordBatch], k: int, levels: Levels) -> Ite
     for _, sets in _sets(batches, k):
         by_key = {set_key(s): s for s in sets if len(s)}
         if by_key:
-            sigs = [levels.sign(s) for s in by_key.values()]
+            sigs = levels.sign_all(list(by_key.values()))
             keys = np.repeat(np.array(list(by_key), np.int64), [len(s) for s in sigs])
             yield pa.record_batch([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(keys)], names=["sig", "key"])
 

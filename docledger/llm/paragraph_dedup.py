@@ -19,6 +19,8 @@ LEAST_PASSAGE = 30
 NUM, DEN, SHINGLE, RECALL, MOST_BANDS = 80, 100, 5, 0.995, 12
 #: Words of a run that is compared, runs of which one at least is sampled, other words within a passage, places around a sampled run.
 GRAM, WINDOW, GAP, REACH = 12, 13, 3, 32
+#: Shingles whose minima are taken at once.
+AT_ONCE = 20_000
 #: Most repeated hashes of runs (8 bytes each) that are broadcast.
 BROADCAST_HASHES = 2_000_000
 
@@ -49,6 +51,19 @@ class Bands(Levels):
         low = (s[:, None] * self.factors).min(0).reshape(self.bands, self.rows)
         return mix(self.tags + (low * self.weights).sum(1, dtype=np.uint64))
 
+    def sign_all(self, sets: list[np.ndarray]) -> list[np.ndarray]:
+        # many short sets at a time; a long one may be more than AT_ONCE alone
+        out, at = [], 0
+        ends = np.cumsum([len(s) for s in sets])
+        while at < len(sets):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+            s = np.concatenate(sets[at:to])
+            starts = np.concatenate(([0], np.cumsum([len(x) for x in sets[at : to - 1]], dtype=np.int64))).astype(np.int64)
+            low = np.stack([np.minimum.reduceat(s * f, starts) for f in self.factors], 1).reshape(-1, self.bands, self.rows)
+            out += list(mix(self.tags + (low * self.weights).sum(2, dtype=np.uint64)))
+            at = to
+        return out
+
     def doubtful(self, s: np.ndarray) -> bool:
         return False
 
@@ -226,7 +241,7 @@ def repeated_passages(docs: DataFrame, paragraphs: DataFrame | None = None, leas
     place = F.struct("doc_id", "doc_key", "pos")
     first = all_grams.groupBy("h").agg(F.min(place).alias("first"), F.min("doc_key").alias("low"), F.max("doc_key").alias("high")).where("low <> high")
     first = stage(first.select("h", "first"), "first-grams")
-    rows = join_small(all_grams, first, ["h"], rows=BROADCAST_HASHES).select("doc_id", "doc_key", "pos", F.col("first.doc_id").alias("class_doc_id"), (place == F.col("first")).alias("stays"))
+    rows = join_small(all_grams, first, ["h"]).select("doc_id", "doc_key", "pos", F.col("first.doc_id").alias("class_doc_id"), (place == F.col("first")).alias("stays"))
     by_place = Window.partitionBy("doc_key").orderBy("pos")
     before = F.lag("pos").over(by_place)
     # rows that repeat doc_id and text are one document
