@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -60,10 +60,6 @@ class Levels:
         """Hashes of which linked sets share one."""
         return signatures(s, self)
 
-    def sign_all(self, sets: list[np.ndarray]) -> list[np.ndarray]:
-        """As sign, for filled sets."""
-        return [self.sign(s) for s in sets]
-
     def doubtful(self, s: np.ndarray) -> bool:
         """Whether sign may miss a link of a set, so that it needs the join by prefixes."""
         return self.lopsided(s)
@@ -144,7 +140,7 @@ def _sign_sets(batches: Iterator[pa.RecordBatch], k: int, levels: Levels) -> Ite
     for _, sets in _sets(batches, k):
         by_key = {set_key(s): s for s in sets if len(s)}
         if by_key:
-            sigs = levels.sign_all(list(by_key.values()))
+            sigs = [levels.sign(s) for s in by_key.values()]
             keys = np.repeat(np.array(list(by_key), np.int64), [len(s) for s in sigs])
             yield pa.record_batch([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(keys)], names=["sig", "key"])
 
@@ -179,10 +175,19 @@ def _stars(batches: Iterator[pa.RecordBatch], negative: bool = False) -> Iterato
 
 
 def _texts_sets(batches: Iterator[pa.RecordBatch], k: int, levels: Levels) -> Iterator[pa.RecordBatch]:
-    """(key, text, large) -> (key, shingles, bad): bit r of bad is set where a large set is uneven when dealt with seed r."""
+    """(key, text, large) -> rows of SETS."""
     for b, sets in _sets(batches, k):
-        bad = [sum(levels.lopsided(dealt_anew(s, r)) << r for r in range(1, ROUNDS + 1)) if x else 0 for s, x in zip(sets, b.column(2).to_pylist(), strict=True)]
-        yield pa.record_batch([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(bad, pa.int32())], names=["key", "shingles", "bad"])
+        yield set_rows(b.column(0), sets, b.column(2).to_pylist(), levels)
+
+
+#: Sets of hashes. Bit r of bad is set where a large set is uneven when dealt with seed r.
+SETS = "key long, n long, shingles array<long>, bad int"
+
+
+def set_rows(keys: pa.Array, sets: list[np.ndarray], large: list[bool], levels: Levels) -> pa.RecordBatch:
+    bad = [sum(levels.lopsided(dealt_anew(s, r)) << r for r in range(1, ROUNDS + 1)) if x else 0 for s, x in zip(sets, large, strict=True)]
+    columns = [keys, pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(bad, pa.int32())]
+    return pa.record_batch(columns, names=["key", "n", "shingles", "bad"])
 
 
 def _sign_nodes(batches: Iterator[pa.RecordBatch], levels: Levels, seed: int) -> Iterator[pa.RecordBatch]:
@@ -325,12 +330,15 @@ def link_sets(keys: np.ndarray, sets: list[np.ndarray], num: int, den: int, prob
     return out
 
 
-def _link_block(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    """Rows (part, key, probe, shingles) of a block -> links; each part has a trie of its own."""
+def _link_block(pdf: pd.DataFrame, num: int, den: int, link: Callable) -> pd.DataFrame:
+    """Rows (part, key, probe, shingles) of a block -> links; each part has a trie of its own (see link_sets)."""
     links: list[tuple[int, int]] = []
-    for _, g in pdf.sort_values(["part", "key"]).groupby("part", sort=False):
-        g = g.groupby("key", as_index=False, sort=False).agg({"probe": "max", "shingles": "first"})
-        links += link_sets(g["key"].to_numpy(), [np.asarray(s, np.int64).view(np.uint64) for s in g["shingles"]], num, den, np.flatnonzero(g["probe"].to_numpy()))
+    # a set that is there twice is a probe if either is
+    rows = pdf.sort_values(["part", "key", "probe"], ascending=[True, True, False]).drop_duplicates(["part", "key"])
+    part, keys, probe, sets = (rows[c].to_numpy() for c in ("part", "key", "probe", "shingles"))
+    starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(rows) else []
+    for lo, hi in zip(starts, [*starts[1:], len(rows)], strict=True):
+        links += link(keys[lo:hi], [np.asarray(s, np.int64).view(np.uint64) for s in sets[lo:hi]], num, den, np.flatnonzero(probe[lo:hi]))
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
@@ -375,7 +383,13 @@ def link_rows(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, block_
     named = stage(rows.mapInArrow(partial(_name_sets, k=k, levels=levels), "doc_id long, row_key long, n_shingles long, key long, uneven boolean"), "sets")
     classes = named.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"))
     comps = connected_components(_candidates(docs, named, k, levels))
-    links = _links(rows, named, comps, k, levels, block_shingles)
+    one = named.join(comps.withColumnRenamed("node", "key"), "key").groupBy("key", "root").agg(F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n"))
+
+    def sets_of(one: DataFrame) -> DataFrame:
+        texts = join_small(rows.select("row_key", "text"), one.select("row_key", "key", "large"), ["row_key"]).select("key", "text", "large")
+        return texts.mapInArrow(partial(_texts_sets, k=k, levels=levels), SETS)
+
+    links = link_candidates(one, sets_of, levels, block_shingles)
     roots = connected_components(links)
     labelled = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     ids = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -440,14 +454,19 @@ def _refined(sets: DataFrame, large: DataFrame, levels: Levels, block_shingles:
     return nodes.select("key", "n", F.col("label").alias("root"), "probe")
 
 
-def _links(rows: DataFrame, named: DataFrame, comps: DataFrame, k: int, levels: Levels, block_shingles: int) -> DataFrame:
+def link_candidates(one: DataFrame, sets_of: Callable[[DataFrame], DataFrame], levels: Levels, block_shingles: int = BLOCK_SHINGLES, link: Callable = link_sets) -> DataFrame:
+    """Links (a, b) that connect all linked sets within candidate components; link finds those of a part in memory.
+
+    one: key, n (shingles, at least as many as there are) and root of each candidate set, and what sets_of needs to
+    give key, n (exactly), shingles and bad (see _texts_sets) of rows of one with a flag large.
+    """
     num, den = levels.num, levels.den
-    one = named.join(comps.withColumnRenamed("node", "key"), "key").groupBy("key", "root").agg(F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n"))
     one = stage(one, "candidate-sets")
     whole = one.groupBy("root").agg(F.sum("n").alias("whole"))
     one = stage(one.join(whole, "root").withColumn("large", F.col("whole") > block_shingles), "candidate-sizes")
-    texts = join_small(rows.select("row_key", "text"), one.select("row_key", "key", "large"), ["row_key"]).select("key", "text", "large")
-    sets = stage(texts.mapInArrow(partial(_texts_sets, k=k, levels=levels), "key long, shingles array<long>, bad int"), "candidate-shingles")
+    sets = stage(sets_of(one), "candidate-shingles")
+    # rows that repeat a text give its set as often
+    one = stage(one.select("key", "root", "large").join(sets.select("key", "n").distinct(), "key"), "candidate-counts")
     one = one.where("not large").select("key", "n", "root", F.lit(True).alias("probe")).union(_refined(sets, one.where("large"), levels, block_shingles))
     sizes = one.groupBy("root").agg(F.sum("n").alias("total"), F.min("key").alias("hub"))
     total = sizes.agg(F.sum("total")).first()[0] or 0
@@ -455,7 +474,7 @@ def _links(rows: DataFrame, named: DataFrame, comps: DataFrame, k: int, levels:
     place = stage(one.join(sizes, "root").select("key", "root", "probe", "hub", F.ceil(F.col("total") / block_shingles).cast("int").alias("parts")), "places")
     sets = join_small(sets.select("key", "shingles"), place, ["key"])
     schema = "a long, b long"
-    linker = lambda pdf: _link_block(pdf, num, den)
+    linker = lambda pdf: _link_block(pdf, num, den, link)
     small = sets.where("parts = 1").select(F.pmod(F.xxhash64("root"), F.lit(bins)).alias("block"), F.col("root").alias("part"), "key", "probe", "shingles")
     links = small.groupBy("block").applyInPandas(linker, schema)
     if place.where("parts > 1").isEmpty():
