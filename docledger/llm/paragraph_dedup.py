@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import drop_staged, join_small, stage, table
 from .components import connected_components
 from .ngram_join import BLOCK_SHINGLES, SETS, SLICE, Levels, link_candidates, link_sets, set_rows
-from .shingles import PIECE, mix, shingle_hashes, word_hashes
+from .shingles import mix, shingle_hashes, word_hashes
 
 #: Words of a paragraph and of a passage, at least. Shorter lines are line dedup's matter: boilerplate that clean texts share.
 LEAST_WORDS = 50
@@ -25,6 +25,8 @@ NUM, DEN, SHINGLE, RECALL, MOST_BANDS = 80, 100, 5, 0.995, 12
 GRAM, WINDOW, GAP = 10, 16, 3
 #: Words on either side of a sampled run in which the next one must follow if texts go on alike.
 CONTEXT = WINDOW - 1
+#: Bytes of texts that are handled together.
+GROUP = 1 << 18
 #: Shingles whose minima are taken at once, sampled runs of a row.
 AT_ONCE, RUNS = 20_000, 4096
 #: Sets of a component that are compared one by one; more share a prefix tree.
@@ -89,7 +91,7 @@ class Piece:
 
 
 def pieces(texts: list[bytes]) -> Iterator[Piece]:
-    """Texts in groups of about PIECE bytes; a longer one is alone. A blank line lies between two texts."""
+    """Texts in groups of about GROUP bytes; a longer one is alone. A blank line lies between two texts."""
 
     def flush(first: int, group: list[bytes]) -> Piece:
         data = b"\n\n".join(group)
@@ -101,7 +103,7 @@ def pieces(texts: list[bytes]) -> Iterator[Piece]:
 
     group, size, first = [], 0, 0
     for i, t in enumerate(texts):
-        if group and size + len(t) > PIECE:
+        if group and size + len(t) > GROUP:
             yield flush(first, group)
             group, size, first = [], 0, i
         group.append(t)
@@ -301,50 +303,50 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0).take(take), b.column(1).take(take), pa.array(pos), pa.array(shingle_hashes(x.words, GRAM)[at].view(np.int64)), *raw], names=["doc_id", "doc_key", "pos", "h", "before", "after"])
 
 
-def _alike(a: pa.Array, b: pa.Array, backwards: bool) -> np.ndarray:
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Words that contexts have in common, counted from the run outwards."""
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(-1, CONTEXT) for c in (a, b))
-    same = (x == y) & (x != 0)
-    return np.logical_and.accumulate(same[:, ::-1] if backwards else same, axis=1).sum(1)
+    return np.logical_and.accumulate((x == y) & (x != 0), axis=1).sum(1)
 
 
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, doc_key, pos, class_doc_id, stays, contexts of a run, contexts of another) -> the words around each run that both have."""
-    for b in batches:
-        pos = b.column(2).to_numpy()
-        low = pos - _alike(b.column(5), b.column(7), True)
-        high = pos + GRAM + _alike(b.column(6), b.column(8), False)
-        yield pa.record_batch([*b.columns[:5], pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], names=["doc_id", "doc_key", "pos", "class_doc_id", "stays", "low", "high"])
+def _contexts_of(runs: pa.StructArray, column: str) -> np.ndarray:
+    return np.frombuffer(b"".join(runs.field(column).to_pylist()), np.uint32).reshape(-1, CONTEXT)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, doc_key, runs of a document) -> (doc_id, doc_key, first_word, last_word, n_words, class_doc_id, removed) of its passages."""
+    """(doc_id, doc_key, runs of a document) -> (doc_id, doc_key, first_word, last_word, n_words, class_doc_id, removed) of its passages.
+
+    A run has its place, whether it stays, the document that has it first, and the contexts of it and of another one.
+    """
     names = ["doc_id", "doc_key", "first_word", "last_word", "n_words", "class_doc_id", "removed"]
-    for b in batches:
-        out = []
-        for doc_id, doc_key, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            runs.sort(key=lambda r: r["low"])
-            low, high = np.array([r["low"] for r in runs]), np.maximum.accumulate([r["high"] for r in runs])
-            heads = np.flatnonzero(np.concatenate(([True], low[1:] > high[:-1] + GAP)))
-            for lo, hi in zip(heads, [*heads[1:], len(runs)], strict=True):
-                own, start = runs[lo:hi], int(low[lo])
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+    for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
+        out, runs = [], b.column(2).flatten()
+        pos, stays = runs.field("pos").to_numpy(), runs.field("stays").to_numpy(zero_copy_only=False)
+        classes = runs.field("class_doc_id").to_pylist()
+        low = pos - _alike(_contexts_of(runs, "before")[:, ::-1], _contexts_of(runs, "other_before")[:, ::-1])
+        high = pos + GRAM + _alike(_contexts_of(runs, "after"), _contexts_of(runs, "other_after"))
+        ends = np.cumsum(pc.list_value_length(b.column(2)).to_numpy())
+        for doc_id, doc_key, lo, hi in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), [0, *ends[:-1]], ends, strict=True):
+            order = lo + np.argsort(low[lo:hi], kind="stable")
+            top = np.maximum.accumulate(high[order])
+            heads = np.flatnonzero(np.concatenate(([True], low[order[1:]] > top[:-1] + GAP)))
+            for x, y in zip(heads, [*heads[1:], len(order)], strict=True):
+                own, start = order[x:y], int(low[order[x]])
                 # 0: no part of the passage, 1: stays, 2: is removed
-                state = np.zeros(int(high[hi - 1]) - start, np.int8)
-                for r in own:
-                    part = state[r["low"] - start : r["high"] - start]
-                    np.maximum(part, 1 if r["stays"] else 2, out=part)
+                state = np.zeros(int(top[y - 1]) - start, np.int8)
                 for r in own:
-                    if r["stays"]:
-                        state[r["pos"] - start : r["pos"] - start + GRAM] = 1
+                    part = state[low[r] - start : high[r] - start]
+                    np.maximum(part, 1 if stays[r] else 2, out=part)
+                for r in own[stays[own]]:
+                    state[pos[r] - start : pos[r] - start + GRAM] = 1
                 if np.count_nonzero(state) < least:
                     continue
-                edges = np.concatenate(([0], np.flatnonzero(np.diff(state)) + 1, [len(state)]))
-                for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    if state[x]:
-                        ids = [r["class_doc_id"] for r in own if r["low"] - start < y and r["high"] - start > x]
-                        out.append((doc_id, doc_key, start + x, start + y - 1, y - x, None if None in ids else min(ids), bool(state[x] == 2)))
+                edges = np.concatenate(([0], np.flatnonzero(np.diff(state)) + 1, [len(state)])).tolist()
+                for i, j in zip(edges[:-1], edges[1:], strict=True):
+                    if state[i]:
+                        ids = [classes[r] for r in own[(low[own] - start < j) & (high[own] - start > i)]]
+                        out.append((doc_id, doc_key, start + i, start + j - 1, j - i, None if None in ids else min(ids), bool(state[i] == 2)))
         columns = list(zip(*out, strict=True)) or [[]] * 7
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
@@ -387,9 +389,8 @@ def repeated_passages(docs: DataFrame, gone: DataFrame | None = None, least: int
     place = F.struct("doc_id", "doc_key", "pos")
     stays = place == F.struct("first.doc_id", "first.doc_key", "first.pos")
     other = lambda c: F.when(stays, F.col(f"last.{c}")).otherwise(F.col(f"first.{c}")).alias(f"other_{c}")
-    rows = join_small(rows, ends, ["h"]).select("doc_id", "doc_key", "pos", F.col("first.doc_id").alias("class_doc_id"), stays.alias("stays"), "before", "after", other("before"), other("after"))
-    rows = rows.mapInArrow(_extend, "doc_id long, doc_key long, pos int, class_doc_id long, stays boolean, low int, high int")
-    by_doc = rows.groupBy("doc_key").agg(F.min("doc_id").alias("doc_id"), F.collect_list(F.struct("pos", "class_doc_id", "stays", "low", "high")).alias("runs"))
+    run = F.struct("pos", stays.alias("stays"), F.col("first.doc_id").alias("class_doc_id"), "before", "after", other("before"), other("after"))
+    by_doc = join_small(rows, ends, ["h"]).groupBy("doc_key").agg(F.min("doc_id").alias("doc_id"), F.collect_list(run).alias("runs"))
     return by_doc.select("doc_id", "doc_key", "runs").mapInArrow(partial(_cut, least=least), "doc_id long, doc_key long, first_word int, last_word int, n_words long, class_doc_id long, removed boolean")
 
 

@@ -185,7 +185,7 @@ def test_texts_beyond_a_piece(spark, monkeypatch):
     rows = [(1, f"{w(700)}\n{p} {w(500)}"), (2, f"{w(900)} {p}\n{w(400)}"), (3, w(5))]
     want = left_of(spark, rows)
     texts = [t.encode() for _, t in rows]
-    monkeypatch.setattr(paragraph_dedup, "PIECE", 300)
+    monkeypatch.setattr(paragraph_dedup, "GROUP", 300)
     monkeypatch.setattr(shingles, "PIECE", 300)
     monkeypatch.setattr(shingles, "_POWERS", [])
     small = list(paragraph_dedup.pieces(texts))
