@@ -35,7 +35,8 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
     Turns of a side go in the order of turn (null first), role and text. The longest common
     prefix of both sides' turns, by role and text, is rendered once as prompt; what follows
     on each side is its completion, as segments with a mask. Both sides of a pair are
-    gathered in one aggregation, so that a row holds one pair's texts and no more.
+    gathered in one aggregation, so that a row holds one pair's texts and no more; a very long
+    conversation is one row as well.
 
     Null texts count as empty, null roles as `unknown`. Repeated turns are turns each. A side that the
     other begins with has an empty completion; a pair that lacks a side is left out, as are rows
@@ -54,31 +55,62 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
     return sides.select("pair_id", "chosen_id", "rejected_id", "n_common", render(F.slice("a", F.lit(1), F.col("n_common"))).alias("prompt"), masked(rest("a")).alias("chosen"), masked(rest("b")).alias("rejected"))
 
 
+def spans(segments: Column) -> Column:
+    """Trained characters of segments put together, as start:end (end excluded) joined by commas."""
+    at = F.aggregate(
+        segments,
+        F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out")),
+        lambda s, x: F.struct(
+            (s["n"] + F.char_length(x["text"])).alias("n"),
+            F.when(x["train"], F.array_append(s["out"], F.concat(s["n"], F.lit(":"), s["n"] + F.char_length(x["text"])))).otherwise(s["out"]).alias("out"),
+        ),
+    )
+    return F.array_join(at["out"], ",")
+
+
+def against_own_answers(rows: DataFrame) -> DataFrame:
+    """Preference pairs of conversations (conv_id, turn, role, text): each as it is, and with another last answer.
+
+    The rejected side of a conversation has the same turns, but its last turn of the trained role says
+    what that of conversation conv_id xor 1 says, or nothing where there is none. So every conversation with a
+    conv_id is in one pair, and both sides share all turns before that one.
+    """
+    rows = rows.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit(UNKNOWN_ROLE)).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    last = rows.where(F.col("role") == TRAINED).groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
+    other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("last.text").alias("other"))
+    is_last = (F.col("role") == TRAINED) & F.struct("turn", "text").eqNullSafe(F.col("last"))
+    both = rows.join(last.join(other, "conv_id", "left"), "conv_id", "left").withColumn("chosen", F.explode(F.array(F.lit(True), F.lit(False))))
+    text = F.when(~F.col("chosen") & is_last, F.coalesce("other", F.lit(""))).otherwise(F.col("text"))
+    return both.select(F.col("conv_id").alias("pair_id"), "chosen", "conv_id", "turn", "role", text.alias("text"))
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k and 2k + 1 as chosen and rejected: whole completions and what of them is trained on."""
-    rows = table(spark, sf_dir, "conversations")
-    rows = rows.select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"), "conv_id", "turn", "role", "text")
-    out = preference_pairs(rows)
-    text = lambda c: F.array_join(F.transform(c, lambda s: s["text"]), "")
-    trained = lambda c: F.array_join(F.transform(F.filter(c, lambda s: s["train"]), lambda s: s["text"]), "")
-    return out.select("pair_id", "chosen_id", "rejected_id", "n_common", "prompt", *[f(F.col(c)).alias(n) for c in ("chosen", "rejected") for n, f in ((c, text), (f"{c}_trained", trained))])
+    """Each conversation against itself with another last answer: prompt, completions and which of their characters are trained."""
+    out = preference_pairs(against_own_answers(table(spark, sf_dir, "conversations")))
+    whole = lambda c: F.array_join(F.transform(c, lambda s: s["text"]), "")
+    sides = [f(F.col(c)).alias(n) for c in ("chosen", "rejected") for n, f in ((c, whole), (f"{c}_spans", spans))]
+    return out.select("pair_id", "n_common", "prompt", *sides)
 
 
 OP2_SQL = r"""
-WITH t AS (SELECT conv_id, conv_id // 2 AS pair_id, conv_id % 2 = 0 AS chosen, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn ASC NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
-p AS (SELECT pair_id, min(conv_id) FILTER (chosen) AS chosen_id, min(conv_id) FILTER (NOT chosen) AS rejected_id, max(i) FILTER (chosen) AS na, max(i) FILTER (NOT chosen) AS nb
-  FROM t GROUP BY pair_id HAVING count(*) FILTER (chosen) > 0 AND count(*) FILTER (NOT chosen) > 0),
-d AS (SELECT a.pair_id, min(a.i) AS first_other FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.i = b.i AND a.chosen AND NOT b.chosen WHERE a.role <> b.role OR a.text <> b.text GROUP BY 1),
-n AS (SELECT p.*, coalesce(d.first_other - 1, least(na, nb))::INT AS n_common FROM p LEFT JOIN d USING (pair_id)),
-r AS (SELECT t.*, n.n_common, '<|' || role || '|>' || chr(10) AS h, text || '<|end|>' || chr(10) AS x FROM t JOIN n USING (pair_id))
-SELECT n.pair_id, n.chosen_id, n.rejected_id, n.n_common,
-  coalesce(string_agg(h || x, '' ORDER BY i) FILTER (chosen AND i <= r.n_common), '') AS prompt,
-  coalesce(string_agg(h || x, '' ORDER BY i) FILTER (chosen AND i > r.n_common), '') AS chosen,
-  coalesce(string_agg(x, '' ORDER BY i) FILTER (chosen AND i > r.n_common AND role = 'assistant'), '') AS chosen_trained,
-  coalesce(string_agg(h || x, '' ORDER BY i) FILTER (NOT chosen AND i > r.n_common), '') AS rejected,
-  coalesce(string_agg(x, '' ORDER BY i) FILTER (NOT chosen AND i > r.n_common AND role = 'assistant'), '') AS rejected_trained
-FROM n JOIN r USING (pair_id) GROUP BY n.pair_id, n.chosen_id, n.rejected_id, n.n_common
+WITH r AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, max({'turn': turn, 'text': text}) AS m FROM r WHERE role = 'assistant' GROUP BY 1),
+o AS (SELECT xor(conv_id, 1) AS conv_id, m.text AS other FROM l),
+b AS (SELECT conv_id AS pair_id, true AS chosen, turn, role, text FROM r UNION ALL
+  SELECT r.conv_id, false, turn, role, CASE WHEN role = 'assistant' AND {'turn': turn, 'text': text} IS NOT DISTINCT FROM m THEN coalesce(other, '') ELSE text END
+  FROM r LEFT JOIN l USING (conv_id) LEFT JOIN o USING (conv_id)),
+t AS (SELECT *, row_number() OVER (PARTITION BY pair_id, chosen ORDER BY turn ASC NULLS FIRST, role, text) AS i FROM b),
+p AS (SELECT pair_id, max(i) FILTER (chosen) AS na, max(i) FILTER (NOT chosen) AS nb FROM t GROUP BY pair_id),
+d AS (SELECT x.pair_id, min(x.i) AS first_other FROM t x JOIN t y ON x.pair_id = y.pair_id AND x.i = y.i AND x.chosen AND NOT y.chosen WHERE x.role <> y.role OR x.text <> y.text GROUP BY 1),
+n AS (SELECT p.pair_id, coalesce(d.first_other - 1, least(na, nb))::INT AS n_common FROM p LEFT JOIN d USING (pair_id)),
+s AS (SELECT t.pair_id, t.chosen, t.role, t.i, n.n_common, '<|' || t.role || '|>' || chr(10) AS h, t.text || '<|end|>' || chr(10) AS x FROM t JOIN n USING (pair_id)),
+e AS (SELECT *, sum(length(h) + length(x)) OVER (PARTITION BY pair_id, chosen ORDER BY i) AS stop FROM s WHERE i > n_common)
+SELECT n.pair_id, n.n_common, coalesce((SELECT string_agg(h || x, '' ORDER BY i) FROM s WHERE s.pair_id = n.pair_id AND chosen AND i <= s.n_common), '') AS prompt,
+  coalesce(string_agg(h || x, '' ORDER BY i) FILTER (chosen), '') AS chosen,
+  coalesce(string_agg((stop - length(x))::BIGINT || ':' || stop::BIGINT, ',' ORDER BY i) FILTER (chosen AND role = 'assistant'), '') AS chosen_spans,
+  coalesce(string_agg(h || x, '' ORDER BY i) FILTER (NOT chosen), '') AS rejected,
+  coalesce(string_agg((stop - length(x))::BIGINT || ':' || stop::BIGINT, ',' ORDER BY i) FILTER (NOT chosen AND role = 'assistant'), '') AS rejected_spans
+FROM n LEFT JOIN e USING (pair_id) GROUP BY n.pair_id, n.n_common
 """
 
 QUERIES = {"op2_chat": op2_chat}
