@@ -148,7 +148,7 @@ def learn_weights(held_out: pd.DataFrame, rounds: int = 60) -> np.ndarray:
     return out
 
 
-_SCORE = "doc_id long, fold int, n_tokens long, n_known long, base_score double, score double"
+_SCORE = "doc_id long, no_id boolean, fold int, n_tokens long, n_known long, base_score double, score double"
 
 
 def _score(docs: pd.DataFrame, replies: pd.DataFrame, n_docs: int, tokens: int, types: int, weights: np.ndarray) -> pd.DataFrame:
@@ -160,7 +160,7 @@ def _score(docs: pd.DataFrame, replies: pd.DataFrame, n_docs: int, tokens: int,
     p = w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0
     first = np.cumsum(sizes) - sizes
     total = lambda x: np.add.reduceat(x, first)
-    return pd.DataFrame(dict(zip(names, (docs["doc_id"].to_numpy(), docs["fold"].to_numpy(), sizes, total((c1 > 0).astype(np.int64)), total(np.log10(p0)), total(np.log10(p))), strict=True)))
+    return pd.DataFrame(dict(zip(names, (docs["doc_id"].to_numpy(), docs["no_id"].to_numpy(), docs["fold"].to_numpy(), sizes, total((c1 > 0).astype(np.int64)), total(np.log10(p0)), total(np.log10(p))), strict=True)))
 
 
 def folds() -> Column:
@@ -183,12 +183,15 @@ def score(docs: DataFrame, fold: Column, block_bytes: int = BLOCK_BYTES, range_b
     occurrence, and nothing that grows with the corpus reaches the driver: that gets the numbers
     of types and tokens and a grid of held-out counts.
 
+    A very long text is in one block and makes that larger. Other columns of docs are not read.
     Null and blank texts consist of the end alone. Rows that repeat are scored each. With an
     empty training fold every estimate is the base's. An empty table gives an empty one.
     Returns doc_id, fold, n_tokens, n_known, train_tokens, base_score, score.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fold.cast("int").alias("fold"))
+    # pandas would turn a column of ids with a null into floats
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id")
+    rows = docs.select(doc_id, F.col("doc_id").isNull().alias("no_id"), "text", fold.cast("int").alias("fold"))
     sizes = {r["fold"]: r for r in rows.groupBy("fold").agg(F.count("*").alias("docs"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("bytes")).collect()}
     blocks = {f: max(1, -(-r["bytes"] // block_bytes)) for f, r in sizes.items()}
     ranges = max(1, -(-sum(r["bytes"] for r in sizes.values()) // range_bytes))
@@ -209,6 +212,7 @@ def score(docs: DataFrame, fold: Column, block_bytes: int = BLOCK_BYTES, range_b
     grid = with_answers(rows.where(tuned), answers.where("tuning is not null"), lambda key, a, b: _tune(a, b, *counted), "bucket long, two long, one long, n long")
     weights = learn_weights(grid.groupBy("bucket", "two", "one").agg(F.sum("n").alias("n")).orderBy("bucket", "two", "one").toPandas())
     out = with_answers(rows, answers.drop("tuning"), lambda key, a, b: _score(a, b, *trained, weights), _SCORE)
+    out = out.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
     return out.withColumn("train_tokens", F.lit(whole["tokens"]).cast("long"))
 
 
