@@ -231,33 +231,40 @@ def predict(m: Model, text: Column) -> Column:
 
 
 def _draw_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(doc_id, lang, text, per_doc) -> (doc_id, lang, window): windows at places drawn from the whole text."""
+    """(h, lang, text, per_doc) -> (h, lang, window): windows at places drawn from the whole text."""
     for pdf in frames:
         rows = []
-        for i, lang, text, per_doc in zip(pdf["doc_id"], pdf["lang"], pdf["text"], pdf["per_doc"], strict=True):
+        for h, lang, text, per_doc in zip(pdf["h"], pdf["lang"], pdf["text"], pdf["per_doc"], strict=True):
             raw = text.encode("utf-8", "surrogatepass")
-            rng = np.random.default_rng(int(i) & (2**63 - 1))
+            rng = np.random.default_rng(int(h) & (2**63 - 1))
             starts = range(0, len(raw), WINDOW) if len(raw) <= WINDOW * per_doc else sorted(rng.integers(0, len(raw) - WINDOW, per_doc))
-            rows += [(i, lang, raw[s : s + WINDOW].ljust(WINDOW, b"\0")) for s in starts]
-        yield pd.DataFrame(rows, columns=["doc_id", "lang", "window"])
+            rows += [(h, lang, raw[s : s + WINDOW].ljust(WINDOW, b"\0")) for s in starts]
+        yield pd.DataFrame(rows, columns=["h", "lang", "window"])
 
 
-def fit(docs: DataFrame, learn: Column, fit_docs: int = FIT_DOCS, fit_windows: int = FIT_WINDOWS, seed: int = 7) -> Model:
-    """Train on a bounded sample of rows where learn holds and lang is not null.
+def sample_windows(docs: DataFrame, learn: Column, fit_docs: int = FIT_DOCS, fit_windows: int = FIT_WINDOWS, seed: int = 7) -> DataFrame:
+    """Windows (h, lang, window) of a bounded sample of rows where learn holds, and lang, doc_id and text are not null.
 
-    fit_docs documents a language at most, the first by a hash of doc_id, share fit_windows windows,
-    so that languages weigh alike. What reaches the driver is bounded by the number of languages times these.
+    fit_docs documents a language at most, the first by a hash of doc_id and text, share fit_windows windows,
+    so that languages weigh alike. Rows that repeat doc_id, text and lang are one document. At most fit_docs - 1 windows
+    more are drawn, since a document gives a whole number of them.
     """
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id", F.lit(seed)).alias("h"))
-    counts = rows.groupBy("lang").count()
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("doc_id", "text", F.lit(seed)).alias("h"), "text")
+    distinct = rows.select("lang", "h").distinct()
+    counts = distinct.groupBy("lang").count()
+    # of many documents a share is ordered that has fit_docs of them for certain; of few all are
     share = (F.shiftrightunsigned("h", 11) / float(2**53)) * F.col("count") <= 3 * fit_docs + 20
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = join_small(rows, counts, ["lang"]).where(share).withColumn("at", F.row_number().over(order)).where(F.col("at") <= fit_docs)
+    chosen = join_small(distinct, counts, ["lang"]).where(share).withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("at") <= fit_docs)
     per_doc = F.ceil(fit_windows / F.count("*").over(Window.partitionBy("lang"))).cast("int")
-    chosen = chosen.select("doc_id", "lang", per_doc.alias("per_doc")).distinct()
-    texts = join_small(docs.where(learn).select("doc_id", "lang", "text").where("text is not null"), chosen, ["doc_id", "lang"])
-    drawn = texts.select("doc_id", "lang", "text", "per_doc").mapInPandas(_draw_windows, "doc_id long, lang string, window binary").collect()
-    drawn.sort(key=lambda r: (r["lang"], r["doc_id"], r["window"]))
+    chosen = chosen.select("h", "lang", per_doc.alias("per_doc"))
+    texts = join_small(rows, chosen, ["h", "lang"]).groupBy("h", "lang", "per_doc").agg(F.first("text").alias("text"))
+    return texts.mapInPandas(_draw_windows, "h long, lang string, window binary")
+
+
+def fit(docs: DataFrame, learn: Column, fit_docs: int = FIT_DOCS, fit_windows: int = FIT_WINDOWS, seed: int = 7) -> Model:
+    """Train on sample_windows. What reaches the driver is bounded by the number of languages times fit_windows + fit_docs."""
+    drawn = sample_windows(docs, learn, fit_docs, fit_windows, seed).collect()
+    drawn.sort(key=lambda r: (r["lang"], r["h"], r["window"]))
     langs = sorted({r["lang"] for r in drawn})
     windows = np.frombuffer(b"".join(bytes(r["window"]) for r in drawn), np.uint8).reshape(-1, WINDOW)
     return train(windows, np.array([langs.index(r["lang"]) for r in drawn], np.int64), langs or [UNKNOWN], seed=seed)
@@ -272,7 +279,8 @@ def identify(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, lang and more) with held_out and the struct language (lang_pred, score).
 
     Trained on rows that are not held out; only the text enters a prediction. Every byte of every
-    text is labelled. Repeated rows get equal results; null, empty and letterless texts `und`
+    text is labelled, LANES windows at a time, so a very long text needs no more memory than its bytes. Of languages
+    with equal probability the first by name is predicted. Repeated rows get equal results; null, empty and letterless texts `und`
     with score 0; no labelled rows give `und` everywhere; an empty table an empty one.
     """
     model = fit(docs, ~held_out())
