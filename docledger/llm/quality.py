@@ -13,8 +13,6 @@ from .common import BROADCAST_ROWS, WORD, stage, table, words
 
 #: Most labelled rows that a decision list is fitted on, the first in the order of a hash of doc_id.
 FIT_ROWS = 50_000
-#: Bits of a word position packed below its window's hash; longer texts keep hash and position apart.
-POSITION_BITS = 17
 #: Quantiles of each class from which thresholds are drawn.
 QUANTILES = 24
 
@@ -28,22 +26,17 @@ def _covered(starts: Column) -> Column:
 def _with_repeats(df: DataFrame) -> DataFrame:
     """Add n_words and n_repeat_words of a column w of words.
 
-    Windows are hashed, sorted with their positions, and those that equal a neighbour repeat.
+    Windows are hashed to 64 bits, sorted with their positions, and those that equal a neighbour repeat.
     Each step is a column of its own, so that no lambda computes another one anew.
     """
-    mask = 2**POSITION_BITS - 1
-    at = F.col("packed")
-    same = lambda x, j, i: F.coalesce(F.shiftright(F.get(at, j + i), POSITION_BITS) == F.shiftright(x, POSITION_BITS), F.lit(False))
     pairs = F.col("pairs")
     alike = lambda x, j, i: F.coalesce(F.get(pairs, j + i)["h"] == x["h"], F.lit(False))
-    short = F.col("n_words") <= mask
     window = lambda i: F.xxhash64(F.get("hashes", i), F.get("hashes", i + 1), F.get("hashes", i + 2))
     starts = F.when(F.col("n_words") >= 3, F.sequence(F.lit(0), F.col("n_words").cast("int") - 3))
     df = df.withColumn("hashes", F.transform("w", lambda x: F.xxhash64(x))).withColumn("n_words", F.size("hashes").cast("long")).drop("w")
-    df = df.withColumn("packed", F.sort_array(F.transform(F.when(short, starts), lambda i: window(i).bitwiseAND(F.lit(-1 - mask)).bitwiseOR(i.cast("long")))))
-    df = df.withColumn("pairs", F.array_sort(F.transform(F.when(~short, starts), lambda i: F.struct(window(i).alias("h"), i.alias("i"))))).drop("hashes")
-    df = df.withColumn("found", F.coalesce(F.transform(F.filter(at, lambda x, j: same(x, j, -1) | same(x, j, 1)), lambda x: x.bitwiseAND(F.lit(mask)).cast("int")), F.transform(F.filter(pairs, lambda x, j: alike(x, j, -1) | alike(x, j, 1)), lambda x: x["i"])))
-    df = df.drop("packed", "pairs").withColumn("repeats", F.sort_array("found")).drop("found")
+    df = df.withColumn("pairs", F.sort_array(F.transform(starts, lambda i: F.struct(window(i).alias("h"), i.alias("i"))))).drop("hashes")
+    df = df.withColumn("found", F.transform(F.filter(pairs, lambda x, j: alike(x, j, -1) | alike(x, j, 1)), lambda x: x["i"]))
+    df = df.drop("pairs").withColumn("repeats", F.sort_array("found")).drop("found")
     return df.withColumn("n_repeat_words", F.coalesce(_covered(F.col("repeats")), F.lit(0))).drop("repeats")
 
 
