@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, WORD, join_small, stage, table
 
-#: Fewest words of a line that an edit of one word leaves alike; shorter ones must be equal.
-LEAST_WORDS = 8
+#: Fewest words of a line of which an edit of one word leaves 0.8 alike; shorter ones must be equal.
+LEAST_WORDS = 5
 #: Most candidate hashes (8 bytes each) that are broadcast.
 BROADCAST_HASHES = 2_000_000
 
@@ -52,7 +52,9 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     deletion apart if a variant of one is the other. So the earliest line per key suffices, and a
     frequent key makes no pairs. The word edit distance to that line is verified on the words.
 
-    Null texts and lines without words are left out. An empty table gives an empty result.
+    Null texts and lines without words are left out. Rows that repeat doc_id and text are compared
+    line by line as any others. A very long text is split into lines; the variants of one line
+    with a likely partner take the square of its words. An empty table gives an empty result.
     Returns doc_id, doc_key, line_no, n_words, distance (0 or 1), first_doc_id, first_line_no.
     """
     lines = _lines(docs)
@@ -60,7 +62,7 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     keyed = hashed.withColumn("n_words", F.size("h")).select("doc_id", "doc_key", "line_no", "line_hash", "n_words", F.xxhash64("n_words", "h").alias("full"), F.when(F.size("h") >= least_words, _half_keys("h")).alias("keys"))
     keyed = stage(keyed, "lines")
     at = F.struct("doc_id", "doc_key", "line_no")
-    distinct = stage(keyed.groupBy("full").agg(F.min(at).alias("at"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.min_by("line_hash", at).alias("line_hash")), "distinct-lines")
+    distinct = stage(keyed.groupBy("full").agg(F.min(at).alias("at"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.min_by("line_hash", at).alias("line_hash"), F.count("*").alias("times")), "distinct-lines")
     halves = distinct.where("keys is not null").select("full", F.posexplode("keys").alias("i", "key"))
     shared = halves.groupBy("key").agg(F.min("full").alias("a"), F.max("full").alias("b")).where("a <> b").select("key")
     # keys 0 and 1 are first halves: the edit lies behind; keys 2 and 3 are last halves: it lies before
@@ -75,7 +77,7 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     low, high = F.when(F.col("before"), F.lit(1)).otherwise(mid), F.when(F.col("behind"), n).otherwise(mid)
     without = lambda i: F.concat(F.slice("h", F.lit(1), i - 1), F.slice("h", i + 1, F.greatest(n - i, F.lit(0))))
     variants = F.transform(F.sequence(low, high), lambda i: F.struct(i.alias("i"), F.xxhash64(n - 1, without(i)).alias("v")))
-    dels = texts.select("full", "at", F.explode(variants).alias("x")).select("full", "at", "x.i", "x.v")
+    dels = stage(texts.select("full", "at", F.explode(variants).alias("x")).select("full", "at", "x.i", "x.v"), "deletion-variants")
     first = F.min(F.struct("at", "full"))
     replaced = dels.groupBy("v", "i").agg(first.alias("e"), F.count("*").alias("c")).where("c > 1").select("v", "i", "e")
     by_replacement = dels.join(replaced, ["v", "i"]).where("e.at < at").select("full", "at", "e")
@@ -86,9 +88,10 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     words = texts.select("full", "h")
     checked = earliest.join(words, "full").join(words.select(F.col("full").alias("other"), F.col("h").alias("g")), F.col("e.full") == F.col("other"))
     checked = checked.where(_within_one("h", "g")).select("full", F.col("e.at").alias("near_at"))
-    out = keyed.drop("keys", "line_hash").join(distinct.select("full", "at"), "full").join(checked, "full", "left")
-    first_at = F.least("at", "near_at")
-    out = out.withColumn("to", first_at).where(F.struct("doc_id", "doc_key", "line_no") > F.col("to"))
+    # what stands once and has no partner is not joined again
+    firsts = distinct.select("full", "at", "times").join(checked, "full", "left").where("times > 1 or near_at is not null")
+    firsts = stage(firsts.select("full", "at", F.least("at", "near_at").alias("to")), "first-lines")
+    out = join_small(keyed.drop("keys", "line_hash"), firsts, ["full"]).where(F.struct("doc_id", "doc_key", "line_no") > F.col("to"))
     return out.select("doc_id", "doc_key", "line_no", "n_words", (F.col("to") < F.col("at")).cast("int").alias("distance"), F.col("to.doc_id").alias("first_doc_id"), F.col("to.line_no").alias("first_line_no"))
 
 
@@ -113,11 +116,11 @@ x AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l)))::INT AS line_no FR
 w AS (SELECT doc_id, line_no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM x WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 k AS (SELECT doc_id, line_no, len(w)::INT AS n, array_to_string(w, ' ') AS k, w FROM w),
 d AS (SELECT k, any_value(w) AS w, any_value(n) AS n, min({'d': doc_id, 'l': line_no}) AS fst FROM k GROUP BY k),
-v AS (SELECT k, fst, unnest(range(1, n + 1)) AS i, w, n FROM d WHERE n >= 8),
+v AS (SELECT k, fst, unnest(range(1, n + 1)) AS i, w, n FROM d WHERE n >= 5),
 u AS (SELECT k, fst, i, array_to_string(list_concat(w[1:i-1], w[i+1:n]), ' ') AS v, n FROM v),
 r AS (SELECT v, i, min(fst) AS e FROM u GROUP BY v, i HAVING count(*) > 1),
 near AS (SELECT u.k, r.e FROM u JOIN r USING (v, i) WHERE r.e < u.fst
-  UNION ALL SELECT CASE WHEN u.fst > d.fst THEN u.k ELSE d.k END, least(u.fst, d.fst) FROM u JOIN d ON d.k = u.v AND d.n = u.n - 1 WHERE d.n >= 8),
+  UNION ALL SELECT CASE WHEN u.fst > d.fst THEN u.k ELSE d.k END, least(u.fst, d.fst) FROM u JOIN d ON d.k = u.v AND d.n = u.n - 1 WHERE d.n >= 5),
 e AS (SELECT k, min(e) AS e FROM near GROUP BY k)
 SELECT k.doc_id, k.line_no, k.n AS n_words, (coalesce(e.e, d.fst) < d.fst)::INT AS distance,
   least(d.fst, coalesce(e.e, d.fst)).d AS first_doc_id, least(d.fst, coalesce(e.e, d.fst)).l AS first_line_no
