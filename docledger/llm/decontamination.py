@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, lower_ascii, packed, stage, table, unpacked, words
+from .common import lower_ascii, packed, stage, table, unpacked, words
 
 #: Words of a window that is compared, and how many of them must agree (0.8 of it, rounded up).
 WINDOW, AGREE = 13, 11
 #: Seeds by the least number of an item's words. 1 compares a word, 0 ignores it. The first finds every
 #: window of 13 words with 2 substitutions, the second every item of 5 to 12 words with one in five substituted
-#: (tests/llm/test_decontamination.py tries all placements).
-MASKS = {13: ("11001011",), 5: ("1101", "1011")}
+#: (a test tries all placements). Shorter items must stand there word by word.
+MASKS = {13: ("11001011",), 5: ("1101", "1011"), 4: ("1111",), 3: ("111",), 2: ("11",), 1: ("1",)}
+#: Most seeds that are broadcast, of 20 bytes each.
+BROADCAST_SEEDS = 1_000_000
 
 
 def _hashes(text: Column) -> Column:
@@ -39,15 +41,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Words are compared with A-Z lower-cased. An item of 13 words or more overlaps a document
     where, at some alignment, 11 of 13 consecutive words agree; one of 5 to 12 words where 0.8 of
-    its words do; shorter ones and null texts are left out. Every seed position of every
+    its words do, so all words of a shorter one; items without words and null texts are left out. Every seed position of every
     document is looked up among the items' seeds, so no overlap of that kind is missed, and each
     hit's alignment is verified over the whole item.
 
-    Items' seeds are broadcast if they are BROADCAST_ROWS at most. Else positions and seeds are
+    Items' seeds are broadcast if they are BROADCAST_SEEDS at most. Else positions and seeds are
     joined by shuffle, where a frequent seed's partition can be split, and hits come back to
     their documents by key.
 
-    Null and empty texts overlap nothing. Rows that repeat a doc_id are searched each for itself;
+    Null and empty texts overlap nothing. A very long text is searched as a whole, in one row. Rows that repeat a doc_id are searched each for itself;
     doc_key identifies row contents, and doc_id may be null. Empty tables give an empty result.
     Returns doc_key, doc_id, item_id, doc_start (of the item's first word, negative if cut off),
     n_words (of the item), n_agree (in the best window), window (its words), one row per alignment.
@@ -68,7 +70,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("doc_key"), "doc_id", _hashes(F.col("text")).alias("words"))
     found = F.explode(F.concat(*[_seeds(m, k, "words") for k, m, _, _ in masks])).alias("x")
     start = (F.col("pos") - F.col("item_pos")).alias("doc_start")
-    if seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
         hits = rows.select("doc_key", "doc_id", "words", found).select("doc_key", "doc_id", "words", "x.pos", "x.seed").join(F.broadcast(seeds), "seed")
         hits = hits.select("doc_key", "doc_id", "words", "item_id", start).join(F.broadcast(items), "item_id")
     else:
@@ -99,7 +101,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark WHERE text IS NOT NULL),
-bw AS (SELECT item_id, len(w)::INT AS n, unnest(w) AS word, unnest(range(len(w))) AS ip FROM b WHERE len(w) >= 5),
+bw AS (SELECT item_id, len(w)::INT AS n, unnest(w) AS word, unnest(range(len(w))) AS ip FROM b WHERE len(w) >= 1),
 d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
 dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS dp FROM d),
 m AS (SELECT DISTINCT doc_id, item_id, n, dp - ip AS doc_start, ip FROM dw JOIN bw USING (word)),
