@@ -41,6 +41,8 @@ def lower_ascii(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one is set only where the session names none."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="docledger-")
         spark.sparkContext.setCheckpointDir(at)
@@ -84,6 +86,20 @@ def unpacked(rows: DataFrame) -> DataFrame:
     return rows.select("row.*")
 
 
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of numbers as a table of SQL literals, which takes no Python on the executors; many as any local data."""
+    if not rows or len(rows) > 1000:
+        return spark.createDataFrame(rows, schema)
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    text = ", ".join("(" + ", ".join(f"CAST('{v}' AS {t})" for v, t in zip(r, types, strict=True)) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {text} AS t({', '.join(names)})")
+
+
+def few(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, whose number of rows is known, marked for broadcast if they are most at most."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a side that is expected to be small: broadcast only where a count proves it small.
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_staged, stage, table
+from .common import drop_staged, few, stage, table, values
 
 #: Bins into which an interval of positions is cut at each refinement of a median.
 BINS = 4096
@@ -17,6 +17,8 @@ SORT_ROWS = 50_000
 SNAP = 0.001
 #: Bits of a position: a dimension's code above, the text's hash below.
 CODE_BITS, HASH_BITS = 19, 43
+#: Bits of a tie: a hash of doc_id above, one of the row below.
+DOC_BITS, ROW_BITS = 38, 24
 #: Hash ranges of a shard in which slots are numbered independently.
 SLOT_BUCKETS = 512
 
@@ -38,6 +40,11 @@ def text_dimensions(text: Column) -> dict[str, Column]:
     }
 
 
+def _state(spark: SparkSession, open_: dict[int, dict]) -> DataFrame:
+    rows = [(n, s["col"] == "tie", s["lo"], s["hi"], s["base"], s["goal"], s["atom"]) for n, s in open_.items()]
+    return values(spark, rows, "node long, on_tie boolean, lo long, hi long, base long, goal double, atom long")
+
+
 def _medians(rows: DataFrame, nodes: dict[int, dict]) -> dict[int, tuple[int, int]]:
     """For each node (id -> goal: bytes of its left part) the cut (pos, tie).
 
@@ -49,8 +56,8 @@ def _medians(rows: DataFrame, nodes: dict[int, dict]) -> dict[int, tuple[int, in
     cuts: dict[int, tuple[int, int]] = {}
     open_ = {n: {"goal": x["goal"], "tol": SNAP * x["total"], "col": "pos", "lo": 0, "hi": 2 ** (CODE_BITS + HASH_BITS) - 1, "base": 0, "atom": 0, "abase": 0} for n, x in nodes.items()}
     while open_:
-        state = spark.createDataFrame([(n, s["col"] == "tie", s["lo"], s["hi"], s["base"], s["goal"], s["atom"]) for n, s in open_.items()], "node long, on_tie boolean, lo long, hi long, base long, goal double, atom long")
-        inside = rows.join(F.broadcast(state), "node").withColumn("key", F.when(F.col("on_tie"), F.col("tie")).otherwise(F.col("pos")))
+        state = _state(spark, open_)
+        inside = rows.join(few(state, len(open_)), "node").withColumn("key", F.when(F.col("on_tie"), F.col("tie")).otherwise(F.col("pos")))
         inside = inside.where(~F.col("on_tie") | (F.col("pos") == F.col("atom"))).where(F.col("key").between(F.col("lo"), F.col("hi")))
         width = F.expr(f"(hi - lo) div {BINS} + 1")
         bins = inside.withColumn("bin", F.expr(f"(key - lo) div ((hi - lo) div {BINS} + 1)")).groupBy("node", "bin").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.first("base").alias("base"), F.first("goal").alias("goal"))
@@ -79,8 +86,8 @@ def _medians(rows: DataFrame, nodes: dict[int, dict]) -> dict[int, tuple[int, in
             elif h["n"] <= SORT_ROWS or s["lo"] == s["hi"]:
                 sort.append(n)
         if sort:
-            state = spark.createDataFrame([(n, s["col"] == "tie", s["lo"], s["hi"], s["base"], s["goal"], s["atom"]) for n, s in open_.items() if n in sort], "node long, on_tie boolean, lo long, hi long, base long, goal double, atom long")
-            inside = rows.join(F.broadcast(state), "node").where(F.when(F.col("on_tie"), (F.col("pos") == F.col("atom")) & F.col("tie").between(F.col("lo"), F.col("hi"))).otherwise(F.col("pos").between(F.col("lo"), F.col("hi"))))
+            state = _state(spark, {n: open_[n] for n in sort})
+            inside = rows.join(few(state, len(sort)), "node").where(F.when(F.col("on_tie"), (F.col("pos") == F.col("atom")) & F.col("tie").between(F.col("lo"), F.col("hi"))).otherwise(F.col("pos").between(F.col("lo"), F.col("hi"))))
             order = Window.partitionBy("node").orderBy("pos", "tie")
             group = Window.partitionBy("node", "pos")
             runs = inside.withColumn("upto", F.col("base") + F.sum("size").over(order.rangeBetween(Window.unboundedPreceding, 0))).withColumn("below", F.col("upto") - F.sum("size").over(Window.partitionBy("node", "pos", "tie")))
@@ -110,12 +117,16 @@ def kd_shards(docs: DataFrame, dims: Mapping[str, Column], n_shards: int | None
     Per level the table is read for spreads and for the narrowing histograms; one row per node
     reaches the driver. The number of nodes is that of the shards.
 
-    Null doc_id hashes as any value; repeated rows share all keys and may move together. An
-    empty table gives an empty one. Returns the columns of docs and shard, int from 0.
+    Null doc_id hashes as any value; rows that repeat doc_id and text differ by their number only,
+    so a cut may go between them. Texts are not read here, however long. An
+    empty table gives an empty one. Returns the columns of docs (none of them tie, node, shard
+    or a name of dims) and shard, int from 0.
     """
     spark = docs.sparkSession
     names = list(dims)
-    tie = F.shiftrightunsigned(F.xxhash64("doc_id"), 2)
+    # a hash of doc_id above, of the row's number below: repeated rows can be cut apart, and whichever goes is the same
+    row = F.xxhash64(F.monotonically_increasing_id())
+    tie = F.shiftleft(F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - DOC_BITS), ROW_BITS).bitwiseOR(F.shiftrightunsigned(row, 64 - ROW_BITS))
     rows = stage(docs.withColumns({**dims, "tie": tie, "node": F.lit(1).cast("long")}), "kd-0")
     total = rows.agg(F.sum("size").alias("bytes"), *[F.stddev_pop(n).alias(n) for n in names]).first()
     if not total["bytes"]:
@@ -125,7 +136,8 @@ def kd_shards(docs: DataFrame, dims: Mapping[str, Column], n_shards: int | None
     level = 0
     while any(k > 1 for _, k in first.values()):
         w = F.col("size").cast("double")
-        stats = rows.where(F.col("node").isin([n for n, (_, k) in first.items() if k > 1])) if any(k == 1 for _, k in first.values()) else rows
+        inner = [(n,) for n, (_, k) in first.items() if k > 1]
+        stats = rows if len(inner) == len(first) else rows.join(few(values(spark, inner, "node long"), len(inner)), "node", "left_semi")
         stats = stats.groupBy("node").agg(F.sum("size").alias("bytes"), *[F.sum(w * F.col(n)).alias(f"{n}_1") for n in names], *[F.sum(w * F.col(n) * F.col(n)).alias(f"{n}_2") for n in names]).collect()
         plan, goals = {}, {}
         for r in stats:
@@ -133,15 +145,15 @@ def kd_shards(docs: DataFrame, dims: Mapping[str, Column], n_shards: int | None
             plan[r["node"]] = max(names, key=lambda n: (round(spread[n], 9), -names.index(n)))
             k = first[r["node"]][1]
             goals[r["node"]] = {"goal": r["bytes"] * (k // 2) / k, "total": r["bytes"]}
-        dim = spark.createDataFrame([(n, names.index(d)) for n, d in plan.items()], "node long, dim int")
+        dim = few(values(spark, [(n, names.index(d)) for n, d in plan.items()], "node long, dim int"), len(plan))
         code = F.array(*[F.col(n) for n in names])[F.col("dim")]
-        placed = rows.join(F.broadcast(dim), "node", "left").withColumn("pos", F.shiftleft(code, HASH_BITS).bitwiseOR(F.shiftrightunsigned(F.col("text_hash"), 64 - HASH_BITS)))
+        placed = rows.join(dim, "node", "left").withColumn("pos", F.shiftleft(code, HASH_BITS).bitwiseOR(F.shiftrightunsigned(F.col("text_hash"), 64 - HASH_BITS)))
         cuts = _medians(placed.where("dim is not null").select("node", "pos", "tie", "size"), goals)
-        cut = spark.createDataFrame([(n, p, t) for n, (p, t) in cuts.items()], "node long, cut_pos long, cut_tie long")
+        cut = few(values(spark, [(n, p, t) for n, (p, t) in cuts.items()], "node long, cut_pos long, cut_tie long"), len(cuts))
         left = (F.col("pos") < F.col("cut_pos")) | ((F.col("pos") == F.col("cut_pos")) & (F.col("tie") < F.col("cut_tie")))
         node = F.when(F.col("cut_pos").isNull(), F.col("node")).otherwise(2 * F.col("node") + F.when(left, 0).otherwise(1))
         level += 1
-        old, rows = rows, stage(placed.join(F.broadcast(cut), "node", "left").withColumn("node", node).drop("dim", "pos", "cut_pos", "cut_tie"), f"kd-{level}")
+        old, rows = rows, stage(placed.join(cut, "node", "left").withColumn("node", node).drop("dim", "pos", "cut_pos", "cut_tie"), f"kd-{level}")
         drop_staged(old)
         nodes = {}
         for n, (at, k) in first.items():
@@ -150,18 +162,18 @@ def kd_shards(docs: DataFrame, dims: Mapping[str, Column], n_shards: int | None
             else:
                 nodes[n] = (at, 1)
         first = nodes
-    shard = spark.createDataFrame([(n, at) for n, (at, _) in first.items()], "node long, shard int")
-    return rows.join(F.broadcast(shard), "node").drop(*names, "tie", "node")
+    shard = few(values(spark, [(n, at) for n, (at, _) in first.items()], "node long, shard int"), len(first))
+    return rows.join(shard, "node").drop(*names, "tie", "node")
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
     """Number the rows of each shard from 0 without gaps.
 
     Rows fall into SLOT_BUCKETS hash ranges a shard; each range is numbered alone and starts
-    where the counts of those before it end, so no task sorts a whole shard. The staged input
-    keeps both passes alike.
+    where the counts of those before it end, so no task sorts a whole shard, nor all rows that
+    repeat one. The staged input keeps both passes alike.
     """
-    rows = stage(rows.withColumn("slot_bucket", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(SLOT_BUCKETS)).cast("int")), "shards")
+    rows = stage(rows.withColumn("slot_bucket", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(SLOT_BUCKETS)).cast("int")), "shards")
     counts = rows.groupBy("shard", "slot_bucket").count()
     run = Window.partitionBy("shard").orderBy("slot_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "slot_bucket", F.coalesce(F.sum("count").over(run), F.lit(0)).alias("start"))
