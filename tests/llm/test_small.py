@@ -100,6 +100,19 @@ def test_preference_pairs(spark):
     assert r["prompt"] + "".join(s["text"] for s in r["rejected"]) == "<|user|>\nhi<|end|>\n<|assistant|>\nbad<|end|>\n<|unknown|>\n<|end|>\n"
 
 
+def test_pairs_share_all_but_the_last_answer(spark):
+    rows = [(4, 0, "user", "hi"), (4, 1, "assistant", "good"), (4, 2, "user", "more"), (4, 3, "assistant", "yes"), (4, 4, "user", "bye"), (5, 0, "user", "x"), (5, 1, "assistant", "no"), (6, 0, None, "alone"), (7, 0, "assistant", "a"), (7, 0, "assistant", "a"), (None, 0, "user", "lost")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["pair_id"]: r for r in chat.preference_pairs(chat.against_own_answers(df)).select("pair_id", "n_common", "chosen", "rejected", chat.spans(F.col("rejected")).alias("spans")).collect()}
+    assert {i: r["n_common"] for i, r in got.items()} == {4: 3, 5: 1, 6: 1, 7: 0}
+    text = lambda s: "".join(x["text"] for x in s)
+    assert text(got[4]["rejected"]) == text(got[4]["chosen"]).replace("yes", "no") and got[6]["chosen"] == []
+    for r in got.values():
+        parts = [text(r["rejected"])[int(a) : int(b)] for a, b in (x.split(":") for x in r["spans"].split(",") if x)]
+        assert parts == [x["text"] for x in r["rejected"] if x["train"]]
+    assert chat.preference_pairs(chat.against_own_answers(df.where("false"))).count() == 0
+
+
 # LM scoring.
 
 
@@ -126,6 +139,14 @@ def test_score_of_nothing(none):
     assert lm_scoring.score(none.select("doc_id", "text"), lm_scoring.folds()).count() == 0
 
 
+def test_large_ids_beside_a_null(spark):
+    ids = [2**53 + 2 * i + 1 for i in range(50)]
+    rows = [*((i, f"a b {i}") for i in ids), (None, "a b"), (ids[0], f"a b {ids[0]}")]
+    out = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(lm_scoring.COUNTED)).collect()
+    assert Counter(r["doc_id"] for r in out) == Counter(i for i, _ in rows)
+    assert len({r["score"] for r in out if r["doc_id"] == ids[0]}) == 1
+
+
 # Language.
 
 
@@ -165,6 +186,14 @@ def test_language_of_small_tables(spark, none):
     assert language.identify(none).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", range(1, 6))
+def test_sample_of_repeated_rows_is_bounded_and_has_every_language(spark, doc_id):
+    rows = [(doc_id, "one text that repeats " * 9, "l1")] * 3000 + [(i + 10, f"other words {i} " * 9, "l2") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = Counter(r["lang"] for r in language.sample_windows(df, F.lit(True), fit_docs=20, fit_windows=60).select("lang").collect())
+    assert set(drawn) == {"l1", "l2"} and max(drawn.values()) <= 80
+
+
 # Quality.
 
 
@@ -177,15 +206,13 @@ def brute_statistics(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
 
 
-def test_statistics(spark, monkeypatch):
-    texts = [*(r[1] for r in sample(20)), "a b c a b c", "x x x x", "é#é\n\n|\n|", "a b c d a b c"]
+def test_statistics(spark):
+    texts = [*(r[1] for r in sample(20)), " ".join(f"w{x}" for x in np.random.default_rng(1).integers(0, 60, 140_000)), "a b c a b c", "x x x x", "é#é\n\n|\n|", "a b c d a b c"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = [brute_statistics(t) for t in texts]
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    for bits in (quality.POSITION_BITS, 3):
-        monkeypatch.setattr(quality, "POSITION_BITS", bits)
-        got = by_id(quality.statistics(df))
-        assert [tuple(got[i][c] for c in columns) for i in range(len(texts))] == want
+    got = by_id(quality.statistics(df))
+    assert [tuple(got[i][c] for c in columns) for i in range(len(texts))] == want
 
 
 def test_rules_are_learned_and_ordered(spark):
@@ -250,6 +277,8 @@ def test_shards(docs, none, spark):
         assert all(sorted(r["slot"] for r in v) == list(range(len(v))) for v in per.values())
         sizes = [sum(r["size"] for r in v) for v in per.values()]
         assert max(sizes) - min(sizes) <= 3 * max(r["size"] for r in got)
+    clash = docs.withColumns({c: F.lit(1) for c in ("tie", "node", "shard", "slot", "dim_size")})
+    assert sharding.shard_documents(clash).count() == docs.count()
     assert sharding.shard_documents(none).count() == 0
     text = {r[0]: r[1] for r in sample()}
     assert all(r["text_crc32"] == zlib.crc32((text[r["doc_id"]] or "").encode()) and r["size"] == len((text[r["doc_id"]] or "").encode()) + 1 for r in got)
@@ -257,6 +286,15 @@ def test_shards(docs, none, spark):
     assert sharding.shard_documents(same).count() == 41
 
 
+def test_repeated_rows_are_cut_apart(spark):
+    rows = [(7, "x" * 1000)] * 400 + [(i, f"{i} " * 200) for i in range(400)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+    assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 4 * max(r["size"] for r in got)
+
+
 def test_shards_by_narrowing(docs, monkeypatch):
     want = sorted(map(tuple, sharding.shard_documents(docs).select("doc_id", "shard").collect()))
     monkeypatch.setattr(sharding, "SORT_ROWS", 1)
@@ -409,7 +447,7 @@ def brute_overlaps(docs, items):
     out = {}
     for (d, t), (i, b) in itertools.product(docs, items):
         x, y = words(t), words(b)
-        if t is None or b is None or len(y) < 5:
+        if t is None or b is None or not y:
             continue
         for start in range(-len(y), len(x)):
             agree = [0 <= start + k < len(x) and x[start + k] == y[k] for k in range(len(y))]
@@ -431,10 +469,10 @@ def test_masks_find_every_placement_of_substitutions():
 
 @pytest.mark.parametrize("limit", [200_000, 0])
 def test_overlaps(spark, none, monkeypatch, limit):
-    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", limit)
     rng = np.random.default_rng(4)
     w = lambda n: [f"v{x}" for x in rng.integers(0, 60, n)]
-    items = [(k, " ".join(w(n))) for k, n in enumerate((13, 30, 6, 5, 4, 12))] + [(90, None)]
+    items = [(k, " ".join(w(n))) for k, n in enumerate((13, 30, 6, 5, 4, 12))] + [(91, "v7 rare v9"), (92, "v8 rare"), (93, "rare"), (94, " "), (90, None)]
     rows = []
     for d in range(40):
         text = w(int(rng.integers(0, 40)))
@@ -442,7 +480,7 @@ def test_overlaps(spark, none, monkeypatch, limit):
         for at in rng.integers(0, len(b), d % 4):
             b[at] = "sub"
         rows.append((d, " ".join(text + b[: len(b) - d % 3] + w(5)).upper() if d % 2 else " ".join(b)))
-    rows += [(None, items[1][1]), (77, None), (78, "")]
+    rows += [(None, items[1][1]), (77, None), (78, ""), (79, "x v7 Rare v9"), (80, "v8 x rare")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = decontamination.overlaps(df, bench).groupBy("doc_id", "item_id").agg(F.max("n_agree").alias("n")).collect()
