@@ -59,11 +59,12 @@ def proposed_doc_id(path: Column) -> Column:
 
 def cell(c: Column) -> Column:
     """Text of a Markdown table cell."""
-    return F.replace(F.replace(c, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+    return F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
 
 
 def slug(heading: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(heading), r"[^a-z0-9]+", "-"), F.lit("-"))
+    """Anchor of a heading; `section` where nothing is left of it."""
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(F.lower(heading), r"[^a-z0-9]+", "-"), F.lit("-")), F.lit("")), F.lit("section"))
 
 
 def path_class(path: Column) -> Column:

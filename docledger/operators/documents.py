@@ -90,11 +90,3 @@ def edit_owners(docs: DataFrame, edits: DataFrame) -> DataFrame:
     last = edits.groupBy("doc_id").agg(F.max_by(F.struct("owner", "add_refs"), "seq").alias("e"))
     refs = F.array_sort(F.array_union("refs", F.coalesce("e.add_refs", F.array().cast("array<string>"))))
     return docs.join(last, "doc_id", "left").select("doc_id", F.coalesce("e.owner", docs["owner"]).alias("owner"), refs.alias("refs"))
-
-
-def normalized_path(base: Column, link: Column) -> Column:
-    """A link relative to the directory of base, with . and .. resolved; one that leaves the root keeps its .."""
-    parts = F.filter(F.split(F.concat(F.regexp_replace(base, "[^/]*$", ""), link), "/"), lambda x: (x != "") & (x != "."))
-    last = lambda acc: F.element_at(acc, -1)
-    step = lambda acc, x: F.when((x == "..") & (F.size(acc) > 0) & (last(F.concat(F.array(F.lit("..")), acc)) != ".."), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, x))
-    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")

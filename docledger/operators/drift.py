@@ -39,21 +39,6 @@ def compare(stored: DataFrame, current: DataFrame) -> DataFrame:
     return rows.select("doc_id", kind.alias("kind"), "added", "removed", "changed", "tiers", severity(F.col("tiers"), F.col("added"), F.col("removed"), F.col("changed")).alias("severity"))
 
 
-LINT = ("no_title", "no_front_matter", "empty_body", "long_line", "trailing_space", "tab", "no_final_newline", "crlf")
-
-
-def layout_lint(docs: DataFrame, longest: int = 400) -> DataFrame:
-    """(doc_id, code) of each layout rule that a body (doc_id, text) breaks."""
-    t = F.col("text")
-    found = {
-        "no_title": ~t.rlike(r"(?m)^# \S"), "no_front_matter": ~t.startswith("---\n"), "empty_body": F.trim(t) == "",
-        "long_line": F.exists(F.split(t, "\n"), lambda x: F.char_length(x) > longest), "trailing_space": t.rlike(r"(?m)[ \t]$"),
-        "tab": t.contains("\t"), "no_final_newline": ~t.endswith("\n"), "crlf": t.contains("\r\n"),
-    }
-    codes = F.array_compact(F.array(*[F.when(found[c], F.lit(c)) for c in LINT]))
-    return docs.where("text is not null").select("doc_id", F.explode(codes).alias("code"))
-
-
 def unlinked(index: DataFrame, docs: DataFrame) -> DataFrame:
     """Documents (doc_id, audience, path) whose path no index (audience, text) of their audience links."""
     linked = index.select("audience", F.explode(F.regexp_extract_all("text", F.lit(r"\]\(([^)#\s]+)"), F.lit(1))).alias("path")).distinct()

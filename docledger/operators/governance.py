@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docledger.operators.graph import cut
+
 DEFAULT_SLA = 90
 
 
@@ -48,7 +50,12 @@ def ownership(owners: DataFrame, roster: DataFrame, include_ok: bool = False) ->
     return out if include_ok else out.where("status <> 'ok'")
 
 
-SEVERITY = {"orphan_owner_departed": "high", "unowned": "high", "orphan_dri_vacant": "medium", "never_reviewed": "medium", "stale": "medium", "missing_upstream": "high", "suspect": "medium", "unstamped": "low", "suspect_transitive": "low"}
+#: Severity by status (fixed values); other statuses are medium.
+SEVERITY = {
+    "orphan_owner_departed": "high", "orphan_dri_vacant": "medium", "unowned": "medium",
+    "never_reviewed": "high", "stale": "medium",
+    "suspect": "high", "missing_upstream": "high", "unstamped": "low", "suspect_transitive": "low",
+}
 SEVERITY_RANK = {"high": 0, "medium": 1, "low": 2}
 REASON_RANK = {"orphan": 0, "stale": 1, "suspect": 2}
 
@@ -61,7 +68,7 @@ def _lookup(c: Column, values: dict, default) -> Column:
 
 
 def worklist_items(owners: DataFrame, orphans: DataFrame, stale: DataFrame, suspects: DataFrame | None = None, owner: str | None = None) -> DataFrame:
-    """One row per reason that a document needs attention, with its live assignee and rank there.
+    """One row per reason that a document needs attention, with its live assignee.
 
     Work goes to the accountable identity. All work of an orphan goes to its durable owner if
     only the responsible person left, to nobody if no active owner remains: a null that overrides.
@@ -75,15 +82,25 @@ def worklist_items(owners: DataFrame, orphans: DataFrame, stale: DataFrame, susp
     items = items.withColumn("assignee", F.when(F.coalesce("moved", F.lit(False)), F.col("to")).otherwise(F.col("accountable")))
     if owner is not None:
         items = items.where(F.col("assignee") == owner)
-    items = items.withColumn("severity", _lookup(F.col("status"), SEVERITY, "medium"))
-    # unowned work is one bucket that may hold most rows, so it is ranked within (severity, reason) slices
-    order = Window.partitionBy("assignee", "severity", "reason").orderBy("doc_id", F.coalesce("upstream_id", F.lit(-1)))
-    slices = items.groupBy("assignee", "severity", "reason").agg(F.count("*").alias("in_slice"))
-    run = Window.partitionBy("assignee").orderBy(_lookup(F.col("severity"), SEVERITY_RANK, 1), _lookup(F.col("reason"), REASON_RANK, 9)).rowsBetween(Window.unboundedPreceding, -1)
-    starts = slices.withColumn("start", F.coalesce(F.sum("in_slice").over(run), F.lit(0))).drop("in_slice").withColumnRenamed("assignee", "to_assignee")
-    same = items["assignee"].eqNullSafe(starts["to_assignee"]) & (items["severity"] == starts["severity"]) & (items["reason"] == starts["reason"])
-    ranked = items.withColumn("place", F.row_number().over(order)).join(starts, same, "left").drop(starts["severity"]).drop(starts["reason"])
-    return ranked.select("assignee", (F.col("start") + F.col("place")).alias("rank"), "doc_id", "reason", "status", "severity", "upstream_id")
+    return items.select("assignee", "doc_id", "reason", "status", _lookup(F.col("status"), SEVERITY, "medium").alias("severity"), "upstream_id")
+
+
+def ranked(items: DataFrame) -> DataFrame:
+    """worklist_items with the rank of each in its assignee's queue: by severity, reason, document and upstream.
+
+    One queue, such as the unowned one, may hold most rows. So rows are dealt by ranges of doc_id,
+    each range numbers its own rows of a queue, severity and reason, and starts where those
+    before it end. The ranges are checkpointed, since both passes must see the same.
+    """
+    rows = cut(items.repartitionByRange("doc_id").withColumn("range", F.spark_partition_id()))
+    slice_ = ["assignee", "severity", "reason", "range"]
+    run = Window.partitionBy("assignee").orderBy(_lookup(F.col("severity"), SEVERITY_RANK, 1), _lookup(F.col("reason"), REASON_RANK, 9), "range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*slice_).agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(run), F.lit(0)))
+    starts = starts.select(F.struct(*slice_).alias("slice"), "start")
+    own = F.struct(*slice_)
+    order = Window.partitionBy(own).orderBy("doc_id", F.col("upstream_id").asc_nulls_first())
+    placed = rows.withColumn("slice", own).withColumn("place", F.row_number().over(order))
+    return placed.join(starts, "slice").select("assignee", (F.col("start") + F.col("place")).alias("rank"), "doc_id", "reason", "status", "severity", "upstream_id")
 
 
 def worklist_queues(items: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docledger.operators.graph import cut
+
 VERDICTS = ("FIX", "INVALIDATE", "ESCALATE")
 #: Weights of equal features when records are compared.
 SIMILARITY = {"surface_hash": 5, "doc_id": 3, "drift_kind": 2, "audience": 1}
@@ -154,8 +156,9 @@ def similar(targets: DataFrame, records: DataFrame, resolutions: DataFrame, top:
     if top <= 0:
         return targets.select(F.col("record_id").alias("target_id"), F.lit("").alias("record_id"), F.lit(0).alias("score"), F.lit(0).alias("rank")).where("false")
     last = last_resolution(resolutions).select("record_id", "resolved_at")
-    pool = records.join(last, "record_id").select("record_id", "resolved_at", *SIMILARITY)
-    wanted = targets.select(F.col("record_id").alias("target_id"), *[F.col(f).alias(f"t_{f}") for f in SIMILARITY])
+    # every subset of features reads both, so they are written once
+    pool = cut(records.join(last, "record_id").select("record_id", "resolved_at", *SIMILARITY))
+    wanted = cut(targets.select(F.col("record_id").alias("target_id"), *[F.col(f).alias(f"t_{f}") for f in SIMILARITY]))
     parts = []
     for size in range(len(SIMILARITY) + 1):
         for subset in combinations(SIMILARITY, size):

@@ -32,7 +32,7 @@ ENTITIES = {
     "edge_status": """SELECT e.doc_id, e.upstream_id, CASE WHEN u.body_hash IS NULL THEN 'missing_upstream' WHEN s.stamp IS NULL THEN 'unstamped' WHEN s.stamp <> u.body_hash THEN 'suspect' ELSE 'ok' END AS status
   FROM edges e JOIN hashes d ON d.doc_id = e.doc_id LEFT JOIN hashes u ON u.doc_id = e.upstream_id LEFT JOIN stamps s ON s.doc_id = e.doc_id AND s.upstream_id = e.upstream_id""",
     "items": """SELECT i.*, CASE WHEN m.status = 'orphan_dri_vacant' THEN m.durable WHEN m.status = 'orphan_owner_departed' THEN NULL ELSE o.accountable END AS assignee,
-  CASE WHEN i.status IN ('orphan_owner_departed','unowned','missing_upstream') THEN 'high' WHEN i.status = 'unstamped' THEN 'low' ELSE 'medium' END AS severity FROM (
+  CASE WHEN i.status IN ('orphan_owner_departed','never_reviewed','suspect','missing_upstream') THEN 'high' WHEN i.status = 'unstamped' THEN 'low' ELSE 'medium' END AS severity FROM (
   SELECT doc_id, 'orphan' AS reason, status, NULL::BIGINT AS upstream_id FROM ownership WHERE status <> 'ok'
   UNION ALL SELECT doc_id, 'stale', status, NULL FROM stale WHERE status <> 'fresh'
   UNION ALL SELECT doc_id, 'suspect', status, upstream_id FROM edge_status WHERE status <> 'ok') i

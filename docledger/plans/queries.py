@@ -7,24 +7,10 @@ from pyspark.sql import functions as F
 
 from docledger.functions import text as X
 from docledger.operators import coverage, documents, drift, governance, graph, records, store, trace
-from docledger.plans.oracle import sql
+from docledger.plans.registry import query
 from docledger.sources import adapters as A
 from docledger.sources import logs
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(oracle: str | None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if oracle is not None:
-            ORACLE[f.__name__] = sql(oracle)
-        return f
-
-    return register
-
-
 # Work to be done per owner: the flagship. Ownership, staleness and suspect links meet here.
 
 
@@ -42,7 +28,7 @@ def worklist_queues(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT assignee, row_number() OVER (PARTITION BY assignee ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END,
   CASE reason WHEN 'orphan' THEN 0 WHEN 'stale' THEN 1 ELSE 2 END, doc_id, coalesce(upstream_id, -1)) AS rank, doc_id, reason, status, severity, upstream_id FROM items""")
 def worklist_items(spark: SparkSession, d: str) -> DataFrame:
-    return _items(spark, d)
+    return governance.ranked(_items(spark, d))
 
 
 @query("SELECT doc_id, status, age_days, sla_days FROM stale WHERE status <> 'fresh'")
@@ -199,12 +185,16 @@ def edge_restamp(spark: SparkSession, d: str) -> DataFrame:
   l AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link, unnest(range(len(regexp_extract_all(html, 'href="([^"]*)"', 1)))) AS pos FROM pages),
   t AS (SELECT *, trim(trim(split_part(link, '#', 1)), '/') AS path FROM l WHERE NOT contains(split_part(link, '#', 1), '://') AND NOT starts_with(split_part(link, '#', 1), 'mailto:')),
   f AS (SELECT doc_id, upstream_id, link, pos FROM t JOIN m USING (path) WHERE path <> '' AND doc_id <> upstream_id AND upstream_id <> doc_id // 2)
-  SELECT doc_id, upstream_id, arg_min(link, pos) AS via FROM f GROUP BY 1, 2""")
+  SELECT DISTINCT doc_id, upstream_id FROM f""")
 def inferred_edges(spark: SparkSession, d: str) -> DataFrame:
     own = A.raw(spark, d, "pages").select("page_id", F.regexp_extract("html", 'href="/([^"#]+)"', 1).alias("path"))
     docs = A.paths(spark, d).unionByName(own).withColumnRenamed("page_id", "doc_id")
     declared = A.raw(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.floor(F.col("page_id") / 2).cast("long").alias("upstream_id"))
-    return graph.inferred_edges(A.links(spark, d).withColumnRenamed("page_id", "doc_id"), docs, declared)
+    # every other link is turned into one relative to its page's folder
+    up = F.array_join(F.array_repeat(F.lit(".."), F.size(F.split("path", "/")) - 1), "/")
+    relative = F.when((F.col("pos") % 2 == 1) & F.col("link").startswith("/"), F.concat(up, "link")).otherwise(F.col("link"))
+    links = A.links(spark, d).join(A.paths(spark, d), "page_id").select(F.col("page_id").alias("doc_id"), "path", "pos", relative.alias("link"))
+    return graph.inferred_edges(links, docs, declared).drop("via")
 
 
 @query("SELECT DISTINCT doc_id FROM edges WHERE upstream_id = 10 AND doc_id <> 10")
@@ -217,10 +207,10 @@ def impact_transitive(spark: SparkSession, d: str) -> DataFrame:
     return graph.dependents(A.doc_edges(spark, d), spark.createDataFrame([(10,)], "doc_id long"))
 
 
-@query("""WITH s AS (SELECT * FROM edge_status WHERE doc_id >= 700), r(doc_id) AS (SELECT doc_id FROM s WHERE status IN ('suspect', 'missing_upstream') UNION SELECT e.doc_id FROM edges e JOIN r ON e.upstream_id = r.doc_id)
+@query("""WITH s AS (SELECT * FROM edge_status), r(doc_id) AS (SELECT doc_id FROM s WHERE status IN ('suspect', 'missing_upstream') UNION SELECT e.doc_id FROM edges e JOIN r ON e.upstream_id = r.doc_id)
   SELECT DISTINCT doc_id, upstream_id FROM edges WHERE doc_id IN (SELECT doc_id FROM r) AND upstream_id IN (SELECT doc_id FROM r) AND (doc_id, upstream_id) NOT IN (SELECT (doc_id, upstream_id) FROM s WHERE status <> 'ok')""")
 def transitive_suspects(spark: SparkSession, d: str) -> DataFrame:
-    return graph.transitive_suspects(A.doc_edges(spark, d), _status(spark, d, True).where("doc_id >= 700"))
+    return graph.transitive_suspects(A.doc_edges(spark, d), _status(spark, d, True))
 
 
 # Coverage.
@@ -357,13 +347,6 @@ def drift_severity(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "kind", F.size("added").alias("n_added"), F.size("removed").alias("n_removed"), F.size("changed").alias("n_changed"), "severity")
 
 
-@query(r"""WITH c AS (SELECT doc_id, unnest([CASE WHEN NOT regexp_matches(text, '(?m)^# \S') THEN 'no_title' END, CASE WHEN NOT starts_with(text, '---' || chr(10)) THEN 'no_front_matter' END, CASE WHEN trim(text) = '' THEN 'empty_body' END,
-    CASE WHEN list_max([length(x) for x in string_split(text, chr(10))]) > 400 THEN 'long_line' END, CASE WHEN regexp_matches(text, '(?m)[ \t]$') THEN 'trailing_space' END, CASE WHEN contains(text, chr(9)) THEN 'tab' END,
-    CASE WHEN NOT ends_with(text, chr(10)) THEN 'no_final_newline' END, CASE WHEN contains(text, chr(13) || chr(10)) THEN 'crlf' END]) AS code FROM documents WHERE text IS NOT NULL) SELECT * FROM c WHERE code IS NOT NULL""")
-def layout_lint(spark: SparkSession, d: str) -> DataFrame:
-    return drift.layout_lint(A.bodies(spark, d))
-
-
 @query("""SELECT page_id AS doc_id, path FROM paths WHERE page_id % 3 <> 0""")
 def index_completeness(spark: SparkSession, d: str) -> DataFrame:
     docs = A.paths(spark, d).select(F.col("page_id").alias("doc_id"), F.lit("eng-guide").alias("audience"), F.concat("path", F.lit("-"), "page_id").alias("path"), F.col("path").alias("plain"))
@@ -476,7 +459,7 @@ def front_matter(spark: SparkSession, d: str) -> DataFrame:
     return documents.front_matter(A.bodies(spark, d).select("doc_id", F.concat(head, "text").alias("text"))).select("doc_id", "header", "hash")
 
 
-@query("""WITH s AS (SELECT doc_id, pos, trim(regexp_replace(lower(split_part(line, ' ', 1)), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM body_lines),
+@query("""WITH s AS (SELECT doc_id, pos, coalesce(nullif(trim(regexp_replace(lower(split_part(line, ' ', 1)), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'section') AS base FROM body_lines),
   n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY pos) - 1 AS k FROM s) SELECT doc_id, pos, CASE WHEN k = 0 THEN base ELSE base || '-' || k END AS slug FROM n""")
 def heading_slugs(spark: SparkSession, d: str) -> DataFrame:
     lines = A.bodies(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))

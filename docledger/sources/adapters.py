@@ -1,6 +1,6 @@
 """Entity tables of documentation governance, derived from the raw tables of a folder.
 
-Each function takes (spark, sf_dir) and returns one entity of docledger.schemas. Timestamps
+Each function takes (spark, sf_dir) and returns one entity table. Timestamps
 are zone-less; sessions run in UTC.
 """
 

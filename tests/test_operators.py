@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docledger.functions import text as X
-from docledger.operators import coverage, documents, drift, governance, graph, records, store, trace
+from docledger.operators import coverage, documents, drift, governance, graph, layout, records, reports, store, trace
 from docledger.sources import logs
 
 
@@ -127,7 +127,7 @@ def test_ownership_and_routing(spark):
     assert sorted(((r["assignee"], r["doc_id"], r["reason"]) for r in items.collect()), key=str) == [("team", "vacant", "orphan"), ("x", "fine", "stale"), (None, "lost", "orphan"), (None, "lost", "stale"), (None, "none", "orphan")]
     queues = {r["assignee"]: (r["item_count"], r["doc_count"]) for r in governance.worklist_queues(items).collect()}
     assert queues == {"team": (1, 1), "x": (1, 1), None: (3, 2)}
-    assert [r["doc_id"] for r in items.where("assignee is null").orderBy("rank").collect()] == ["lost", "none", "lost"]
+    assert [(r["doc_id"], r["reason"]) for r in governance.ranked(items).where("assignee is null").orderBy("rank").collect()] == [("lost", "orphan"), ("lost", "stale"), ("none", "orphan")]
 
 
 REC = "seq long, repo_id string, record_id string, doc_id string, audience string, drift_kind string, verdict string, surface_hash string, detected_at string"
@@ -258,4 +258,38 @@ def test_visibility(spark, name, public):
 
 @pytest.mark.parametrize(("link", "want"), [("b.md", "docs/x/b.md"), ("./b.md", "docs/x/b.md"), ("../b.md", "docs/b.md"), ("../../../b.md", "../b.md"), ("a/../b.md", "docs/x/b.md")])
 def test_normalized_path(spark, link, want):
-    assert col(spark, link, lambda c: documents.normalized_path(F.lit("docs/x/a.md"), c)) == want
+    assert col(spark, link, lambda c: graph.normalized_path(F.lit("docs/x/a.md"), c)) == want
+
+
+def test_worklist_severities_and_order(spark):
+    """One document with every reason: a suspect and what was never reviewed come before medium work, orphans before stale ones."""
+    want = {"orphan_owner_departed": "high", "orphan_dri_vacant": "medium", "unowned": "medium", "never_reviewed": "high", "stale": "medium", "suspect": "high", "missing_upstream": "high", "unstamped": "low", "suspect_transitive": "low"}
+    owners = spark.createDataFrame([(i, "alice", "alice") for i in range(9)], "doc_id long, accountable string, durable string")
+    reason = lambda s: [(i, x) for i, x in enumerate(want) if x in s]
+    orphans = spark.createDataFrame([(i, s, "alice") for i, s in reason(("orphan_dri_vacant", "unowned", "orphan_owner_departed"))], "doc_id long, status string, durable string")
+    stale = spark.createDataFrame(reason(("never_reviewed", "stale")), "doc_id long, status string")
+    suspects = spark.createDataFrame([(i, s, 7) for i, s in reason(("suspect", "missing_upstream", "unstamped", "suspect_transitive"))], "doc_id long, status string, upstream_id long")
+    items = governance.worklist_items(owners, orphans, stale, suspects)
+    assert {r["status"]: r["severity"] for r in items.collect()} == want
+    one = governance.worklist_items(owners.where("doc_id = 5").withColumn("doc_id", F.lit(1)), orphans.where("doc_id = 1"), stale.where("doc_id = 4").withColumn("doc_id", F.lit(1)), suspects.where("doc_id = 5").withColumn("doc_id", F.lit(1)))
+    got = sorted(governance.ranked(one).collect(), key=lambda r: r["rank"])
+    assert [(r["rank"], r["severity"], r["reason"]) for r in got] == [(1, "high", "suspect"), (2, "medium", "orphan"), (3, "medium", "stale")]
+
+
+def test_lint_of_a_conformant_document(spark):
+    text = "---\ncdm:\n  schema_version: 1.0.0\n  audience: eng-guide\n  fingerprint: ab\n---\n# T\n\n> why\n\n<!-- BEGIN a -->\nx\n<!-- END a -->\n"
+    schema = "doc_id long, audience string, text string, region_keys array<string>, html boolean, html_text string"
+    assert layout.lint(spark.createDataFrame([(1, "eng-guide", text, ["a"], False, None), (2, "eng-guide", None, [], True, None)], schema)).count() == 0
+    bare = {(r["code"], r["subject"]) for r in layout.lint(spark.createDataFrame([(1, "eng-guide", "", ["a"], False, None)], schema)).collect()}
+    assert bare == {("MISSING_FRONT_MATTER", None), ("MISSING_TITLE", None), ("MISSING_REGION", "a")}
+
+
+@pytest.mark.parametrize(("target", "folder", "want"), [("a/b.md", "", "a/b.md"), ("a/b.md", "a", "b.md"), ("b.md", "a/c", "../../b.md"), ("a/x/b.md", "a/c", "../x/b.md")])
+def test_relative_path(spark, target, folder, want):
+    assert col(spark, target, lambda c: reports.relative_path(c, F.lit(folder))) == want
+
+
+def test_impact_of_unknown_and_deep_origins(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(12)] + [(3, 9)], "doc_id long, upstream_id long")
+    of = lambda i, **k: {r["doc_id"] for r in graph.dependents(edges, spark.createDataFrame([(i,)], "doc_id long"), **k).collect()}
+    assert of(77) == set() and of(0) == set(range(1, 13)) and of(9) == {10, 11, 12, 3, 4, 5, 6, 7, 8} and of(9, transitive=False) == {3, 10}

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from docledger.plans import queries as plans
+from docledger import plans
 
 SMALL = Path("/root/testdata/sf0.001")
 
