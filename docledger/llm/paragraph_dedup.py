@@ -374,14 +374,15 @@ def repeated_passages(docs: DataFrame, gone: DataFrame | None = None, least: int
     runs = (scan(docs, least) if scanned is None else scanned).where("pos is not null")
     runs = runs.select("doc_key", F.explode(F.arrays_zip("pos", "runs")).alias("x")).select("doc_key", "x.pos", F.col("x.runs").alias("h"))
     known = stage(_repeated(runs), "repeated-runs")
-    runs = join_small(runs, known, ["h"], rows=BROADCAST_HASHES)
+    # these tables grow with the corpus, so the joins are shuffled at every size; adaptive execution splits a frequent run
+    runs = runs.join(known.hint("merge"), "h")
     if gone is not None:
         spans = gone.where("removed").groupBy("doc_key").agg(F.collect_set(F.struct(F.col("first_word").alias("a"), (F.col("first_word") + F.col("n_words")).alias("b"))).alias("gone"))
         inside = F.exists("gone", lambda x: (x["a"] < F.col("pos") + GRAM) & (x["b"] > F.col("pos")))
         runs = join_small(runs, stage(spans, "gone-words"), ["doc_key"], "left").where(~F.coalesce(inside, F.lit(False))).drop("gone")
     runs = stage(runs, "runs")
     known = stage(_repeated(runs), "repeated-runs-left")
-    places = stage(join_small(runs, known, ["h"], rows=BROADCAST_HASHES).groupBy("doc_key").agg(F.collect_set("pos").alias("places")), "places")
+    places = stage(runs.join(known.hint("merge"), "h").groupBy("doc_key").agg(F.collect_set("pos").alias("places")), "places")
     drop_staged(runs)
     rows = stage(join_small(_keyed(docs), places, ["doc_key"]).select("doc_id", "doc_key", "text", "places").mapInArrow(_contexts, _RUNS), "run-contexts")
     whole = F.struct("doc_id", "doc_key", "pos", "before", "after")
@@ -390,7 +391,7 @@ def repeated_passages(docs: DataFrame, gone: DataFrame | None = None, least: int
     stays = place == F.struct("first.doc_id", "first.doc_key", "first.pos")
     other = lambda c: F.when(stays, F.col(f"last.{c}")).otherwise(F.col(f"first.{c}")).alias(f"other_{c}")
     run = F.struct("pos", stays.alias("stays"), F.col("first.doc_id").alias("class_doc_id"), "before", "after", other("before"), other("after"))
-    by_doc = join_small(rows, ends, ["h"]).groupBy("doc_key").agg(F.min("doc_id").alias("doc_id"), F.collect_list(run).alias("runs"))
+    by_doc = rows.join(ends.hint("merge"), "h").groupBy("doc_key").agg(F.min("doc_id").alias("doc_id"), F.collect_list(run).alias("runs"))
     return by_doc.select("doc_id", "doc_key", "runs").mapInArrow(partial(_cut, least=least), "doc_id long, doc_key long, first_word int, last_word int, n_words long, class_doc_id long, removed boolean")
 
 
