@@ -488,16 +488,31 @@ def report_payload(spark: SparkSession, d: str) -> DataFrame:
     return records.log_summary(rows).unionByName(resolved)
 
 
-# What SQL does not express: rows-only here, exact values in tests.
+# Python sources and canonical JSON.
 
 
-@query(None)
+@query(r"""SELECT event_id, substr(sha256('{"k":' || regexp_extract(props, '[0-9]+') || ',"z":[1,{"a":"\u00e9","b":true},null]}'), 1, 16) AS digest FROM events""")
 def canonical_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return A.raw(spark, d, "events").select("event_id", logs.canonical_hash("props").alias("digest"))
+    """Hashes of JSON whose keys are out of order, with spaces, nesting, a null and a letter beyond ASCII."""
+    text = F.concat(F.lit('{"z": [1, {"b": true, "a": "é"}, null], '), F.substring("props", 2, 1 << 30))
+    return A.raw(spark, d, "events").select("event_id", logs.canonical_hash(text).alias("digest"))
 
 
-@query(None)
+def _modules(spark: SparkSession, d: str) -> DataFrame:
+    """A module per part: a class with a documented method and a constant; every fourth is no Python file."""
+    n, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    source = F.concat(F.lit("class P"), n, F.lit("(Base, metaclass=M):\n    def price(self, qty: int=3, *, tax=None) -> int:\n        'Price.'\n        return qty * "), size, F.lit("  # each\nSIZE: int = "), size)
+    return A.raw(spark, d, "part").select(F.concat(F.lit("p"), n, F.when(n.cast("long") % 4 == 0, ".txt").otherwise(".py")).alias("path"), source.alias("text"))
+
+
+@query(r"""WITH p AS (SELECT 'p' || p_partkey || '.py' AS path, p_partkey AS n, p_size AS k FROM part WHERE p_partkey % 4 <> 0)
+  SELECT path, 'P' || n AS name, 'class' AS kind, 'class P' || n || '(Base, metaclass=M)' AS signature, 1 AS lineno, 4 AS end_lineno, NULL AS docstring, '' AS arg_names, NULL AS body_hash FROM p
+  UNION ALL SELECT path, 'P' || n || '.price', 'method', 'def price(self, qty: int = 3, *, tax=None) -> int', 2, 4, 'Price.', 'self,qty', substr(sha256('Return(value=BinOp(left=Name(id=''qty'', ctx=Load()), op=Mult(), right=Constant(value=' || k || ')))'), 1, 16) FROM p
+  UNION ALL SELECT path, 'SIZE', 'variable', 'SIZE: int = ' || k, 5, 5, NULL, '', NULL FROM p""")
 def python_symbols(spark: SparkSession, d: str) -> DataFrame:
-    """Symbols of a module written per part: a class with a method, and a constant."""
-    source = F.concat(F.lit("class P"), "p_partkey", F.lit(":\n    def price(self, qty):\n        return qty * "), F.col("p_retailprice").cast("string"), F.lit("\nSIZE = "), F.col("p_size").cast("string"))
-    return logs.python_symbols(A.raw(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey", F.lit(".py")).alias("path"), source.alias("text")))
+    return logs.python_symbols(_modules(spark, d).where("path like '%.py'")).withColumn("arg_names", F.array_join("arg_names", ","))
+
+
+@query("""SELECT 'p' || p_partkey || CASE WHEN p_partkey % 4 = 0 THEN '.txt' ELSE '.py' END AS path, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'P' || p_partkey || ',P' || p_partkey || '.price,SIZE' END AS symbols FROM part""")
+def symbol_inventory(spark: SparkSession, d: str) -> DataFrame:
+    return logs.symbol_inventory(_modules(spark, d)).withColumn("symbols", F.array_join("symbols", ","))

@@ -40,24 +40,37 @@ def read_sources(spark: SparkSession, root: str, include: list[str], exclude: li
     return effective_scope(rows.select(path.alias("path"), F.decode("content", "UTF-8").alias("text")), include, exclude)
 
 
-def _without_docstring(node: ast.AST) -> list[ast.stmt]:
-    body = list(node.body)
-    if body and isinstance(body[0], ast.Expr) and isinstance(getattr(body[0], "value", None), ast.Constant) and isinstance(body[0].value.value, str):
-        body = body[1:]
-    return body
-
-
-def _row(node, name: str, kind: str) -> dict:
-    args = []
-    if kind != "class":
-        a = node.args
-        args = [x.arg for x in (*a.posonlyargs, *a.args)]
-        returns = f" -> {ast.unparse(node.returns)}" if node.returns else ""
-        signature = f"{'async ' if isinstance(node, ast.AsyncFunctionDef) else ''}def {name}({ast.unparse(a)}){returns}"
-    else:
-        signature = f"class {name}({', '.join(ast.unparse(b) for b in node.bases)})" if node.bases else f"class {name}"
-    dump = "\n".join(ast.dump(s, include_attributes=False) for s in _without_docstring(node))
-    return {"name": name, "kind": kind, "signature": signature, "lineno": node.lineno, "end_lineno": node.end_lineno, "docstring": ast.get_docstring(node), "arg_names": args, "body_hash": hashlib.sha256(dump.encode()).hexdigest()[:16]}
+def _parameters(a: ast.arguments) -> str:
+    """Parameters as they are written, with spaces around the default of an annotated one."""
+
+    def show(x: ast.arg, default: ast.expr | None = None, star: str = "") -> str:
+        note = f": {ast.unparse(x.annotation)}" if x.annotation else ""
+        return f"{star}{x.arg}{note}" + ("" if default is None else f"{' = ' if note else '='}{ast.unparse(default)}")
+
+    plain = [*a.posonlyargs, *a.args]
+    out = [show(x, d) for x, d in zip(plain, [None] * (len(plain) - len(a.defaults)) + a.defaults, strict=True)]
+    if a.posonlyargs:
+        out.insert(len(a.posonlyargs), "/")
+    if a.vararg or a.kwonlyargs:
+        out.append(show(a.vararg, star="*") if a.vararg else "*")
+    out += [show(x, d) for x, d in zip(a.kwonlyargs, a.kw_defaults, strict=True)]
+    return ", ".join([*out, show(a.kwarg, star="**")] if a.kwarg else out)
+
+
+def _symbol(node: ast.stmt, name: str, kind: str, signature: str, **more) -> dict:
+    own = {"docstring": None, "arg_names": [], "body_hash": None} | more
+    return {"name": name, "kind": kind, "signature": signature, "lineno": node.lineno, "end_lineno": node.end_lineno, **own}
+
+
+def _function(node: ast.FunctionDef | ast.AsyncFunctionDef, owner: str = "") -> dict:
+    """A function or method; its body's hash leaves out the docstring, comments and layout."""
+    doc = ast.get_docstring(node, clean=False)
+    body = "\0".join(ast.dump(s) for s in node.body[doc is not None :])
+    how = "async def" if isinstance(node, ast.AsyncFunctionDef) else "def"
+    signature = f"{how} {node.name}({_parameters(node.args)})" + (f" -> {ast.unparse(node.returns)}" if node.returns else "")
+    names = [x.arg for x in (*node.args.posonlyargs, *node.args.args)]
+    digest = hashlib.sha256(body.encode()).hexdigest()[:16]
+    return _symbol(node, f"{owner}{node.name}", "method" if owner else "function", signature, docstring=ast.get_docstring(node), arg_names=names, body_hash=digest)
 
 
 def _assigned(node: ast.Assign | ast.AnnAssign, name: str) -> str:
@@ -69,20 +82,22 @@ def _assigned(node: ast.Assign | ast.AnnAssign, name: str) -> str:
     return f"{head} = {'...' if len(value) > MOST_VALUE or chr(10) in value else value}"
 
 
+def _of(node: ast.stmt) -> Iterator[dict]:
+    functions = (ast.FunctionDef, ast.AsyncFunctionDef)
+    if isinstance(node, functions):
+        yield _function(node)
+    elif isinstance(node, ast.ClassDef):
+        bases = [*map(ast.unparse, node.bases), *(f"{k.arg}={ast.unparse(k.value)}" for k in node.keywords if k.arg)]
+        yield _symbol(node, node.name, "class", f"class {node.name}" + (f"({', '.join(bases)})" if bases else ""), docstring=ast.get_docstring(node))
+        yield from (_function(m, f"{node.name}.") for m in node.body if isinstance(m, functions))
+    elif isinstance(node, (ast.Assign, ast.AnnAssign)):
+        targets = node.targets if isinstance(node, ast.Assign) else [node.target]
+        yield from (_symbol(node, t.id, "variable", _assigned(node, t.id)) for t in targets if isinstance(t, ast.Name))
+
+
 def symbols_of(source: str) -> list[dict]:
-    """Functions, classes with their methods, and module variables of a Python source."""
-    rows = []
-    for node in ast.parse(source).body:
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            rows.append(_row(node, node.name, "function"))
-        elif isinstance(node, ast.ClassDef):
-            rows.append(_row(node, node.name, "class"))
-            rows += [_row(m, f"{node.name}.{m.name}", "method") for m in node.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef))]
-        elif isinstance(node, (ast.Assign, ast.AnnAssign)):
-            for target in node.targets if isinstance(node, ast.Assign) else [node.target]:
-                if isinstance(target, ast.Name):
-                    rows.append({"name": target.id, "kind": "variable", "signature": _assigned(node, target.id), "lineno": node.lineno, "end_lineno": node.end_lineno, "docstring": None, "arg_names": [], "body_hash": hashlib.sha256(ast.dump(node.value, include_attributes=False).encode() if node.value else b"").hexdigest()[:16]})
-    return rows
+    """Functions, classes with their methods, and module variables of a Python source; only functions and methods have a body hash."""
+    return [row for node in ast.parse(source).body for row in _of(node)]
 
 
 def python_symbols(files: DataFrame) -> DataFrame:
@@ -96,6 +111,13 @@ def python_symbols(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, f"path string, {SYMBOL}")
 
 
+def symbol_inventory(files: DataFrame) -> DataFrame:
+    """Files (path, text) with the names of their Python symbols in order of line; none for files without any and of other kinds."""
+    names = python_symbols(files.where(F.col("path").endswith(".py"))).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("lineno", "name"))).alias("s"))
+    found = F.transform("s", lambda x: x["name"])
+    return files.select("path").join(names, "path", "left").select("path", F.coalesce(found, F.array().cast("array<string>")).alias("symbols"))
+
+
 def canonical(value: object) -> str:
     """JSON with sorted keys, no spaces, nulls kept and ASCII escapes."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
