@@ -115,3 +115,15 @@ def effective_scope(rows: DataFrame, include: list[str], exclude: list[str]) ->
     p = F.col("path")
     hit = lambda globs: reduce(lambda a, b: a | b, [p.rlike(glob_regex(g)) for g in globs], F.lit(False))
     return rows.where(hit(include) & ~hit(exclude))
+
+
+def scoped_files(files: DataFrame, units: DataFrame) -> DataFrame:
+    """Files (path) in scope: the unit whose directory is the deepest above a file takes its extension.
+
+    units: (dir, unit, formats). A parent's formats do not reach into a child's directory. Directories
+    above a path join units by equality.
+    """
+    above = files.select("path", F.explode(directories(F.col("path"))).alias("dir"))
+    owner = above.join(units, "dir").groupBy("path").agg(F.max_by(F.struct("unit", "formats"), F.char_length("dir")).alias("u"))
+    inside = F.exists("u.formats", lambda f: F.col("path").endswith(f))
+    return owner.where(inside).select("path", F.col("u.unit").alias("unit"))

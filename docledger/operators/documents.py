@@ -90,3 +90,63 @@ def edit_owners(docs: DataFrame, edits: DataFrame) -> DataFrame:
     last = edits.groupBy("doc_id").agg(F.max_by(F.struct("owner", "add_refs"), "seq").alias("e"))
     refs = F.array_sort(F.array_union("refs", F.coalesce("e.add_refs", F.array().cast("array<string>"))))
     return docs.join(last, "doc_id", "left").select("doc_id", F.coalesce("e.owner", docs["owner"]).alias("owner"), refs.alias("refs"))
+
+
+def gate(drifts: DataFrame, edges_gate: bool = False) -> DataFrame:
+    """Per repo whether a check fails: any drift counts, suspect links only if they are asked to."""
+    gating = F.lit(edges_gate) | (F.col("kind") != "SUSPECT_LINK")
+    return drifts.groupBy("repo_id").agg(F.count_if(gating).alias("gating"), F.bool_or(gating).alias("failed"))
+
+
+def json_object(reply: Column) -> Column:
+    """The first balanced {...} in a text, braces in strings not counted; null without one or when it never closes.
+
+    Everything but braces, quotes and backslashes is skipped by splitting at those, so the fold has a step per mark.
+    """
+    tail = F.regexp_extract(reply, r"(?s)\{.*", 0)
+    # pieces: text up to and with a mark
+    pieces = F.regexp_extract_all(tail, F.lit(r'(?s)[^{}"\\]*(?:\\.|[{}"]|\z)'), F.lit(0))
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("at"), F.lit(0).alias("stop"))
+
+    def step(s: Column, x: Column) -> Column:
+        mark = F.substring(x, -1, 1)
+        escaped = x.rlike(r"(?s)\\.\z")
+        free = ~s["quoted"] & ~escaped
+        depth = s["depth"] + F.when(free & (mark == "{"), 1).when(free & (mark == "}"), -1).otherwise(0)
+        at = s["at"] + F.char_length(x)
+        closed = free & (mark == "}") & (depth == 0) & (s["stop"] == 0)
+        return F.struct(depth.alias("depth"), (s["quoted"] != ((mark == '"') & ~escaped)).alias("quoted"), at.alias("at"), F.when(closed, at).otherwise(s["stop"]).alias("stop"))
+
+    stop = F.aggregate(pieces, zero, step)["stop"]
+    return F.when(stop > 0, F.substring(tail, F.lit(1), stop))
+
+
+STYLE = ("document_type", "tone", "writing_style", "vocabulary")
+
+
+def styles(docs: DataFrame, mappings: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """Style of each document (doc_id): its own mapping (doc_id and STYLE), else the defaults."""
+    return docs.join(mappings.select("doc_id", *[F.col(c).alias(f"own_{c}") for c in STYLE], F.lit(True).alias("own")), "doc_id", "left").select(*docs.columns, *[F.when(F.col("own"), F.col(f"own_{c}")).otherwise(F.lit(defaults[c])).alias(c) for c in STYLE])
+
+
+def missing_styles(styled: DataFrame, templates: DataFrame) -> DataFrame:
+    """(doc_id, category, name) of styles without a template (category, name)."""
+    named = styled.select("doc_id", F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("name")) for c in STYLE])).alias("s")).select("doc_id", "s.*")
+    return named.join(templates, ["category", "name"], "left_anti").select("doc_id", "category", "name")
+
+
+def orphaned(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """Rows that a write must refuse: their key names no parent. A null key is refused too."""
+    return rows.join(parents.select(key).distinct(), key, "left_anti")
+
+
+def folded_identity(registrations: DataFrame) -> DataFrame:
+    """Registrations with one path: the identity's own, else that of the payload."""
+    return registrations.withColumn("local_path", F.coalesce("identity_path", "local_path")).drop("identity_path")
+
+
+def worklist_lines(items: DataFrame) -> DataFrame:
+    """Ranked worklist items as lines of a report, in order within each assignee: (assignee, rank, line)."""
+    target = F.concat(F.col("doc_id").cast("string"), F.coalesce(F.concat(F.lit(" → "), F.col("upstream_id").cast("string")), F.lit("")))
+    line = F.concat(F.lit("    ["), "severity", F.lit("] "), "reason", F.lit(" "), target, F.lit(" — "), "status")
+    return items.select(F.coalesce("assignee", F.lit("(unowned)")).alias("assignee"), "rank", line.alias("line"))

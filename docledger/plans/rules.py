@@ -249,3 +249,58 @@ def record_ids_and_signals(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT path, CASE WHEN suffix(path, '.py') THEN 'python' ELSE 'unknown' END AS language, 'main' AS class FROM files""")
 def file_classes(spark: SparkSession, d: str) -> DataFrame:
     return A.files(spark, d).select("path", X.language(F.col("path")).alias("language"), X.path_class(F.col("path")).alias("class"))
+
+
+# Scope, gates, replies, styles, keys.
+
+
+@query("""SELECT path, CASE WHEN starts_with(path, 'small/plated/') THEN 'deep' ELSE split_part(path, '/', 1) END AS unit FROM files
+  WHERE CASE WHEN starts_with(path, 'small/plated/') THEN suffix(path, '.txt') WHEN starts_with(path, 'small/') THEN suffix(path, '.py') WHEN starts_with(path, 'promo/') THEN true ELSE false END""")
+def scoped_files(spark: SparkSession, d: str) -> DataFrame:
+    units = spark.sql("SELECT * FROM VALUES ('small', 'small', array('.py')), ('small/plated', 'deep', array('.txt')), ('promo', 'promo', array('.py', '.txt')) AS t(dir, unit, formats)")
+    return coverage.scoped_files(A.files(spark, d).select("path"), units)
+
+
+@query("SELECT repo_id, count(*) FILTER (drift_kind <> 'SUSPECT_LINK') AS gating, bool_or(drift_kind <> 'SUSPECT_LINK') AS failed FROM records WHERE seq % 7 = 0 OR drift_kind = 'SUSPECT_LINK' GROUP BY 1")
+def check_gate(spark: SparkSession, d: str) -> DataFrame:
+    return documents.gate(A.records(spark, d).where("seq % 7 = 0 or drift_kind = 'SUSPECT_LINK'").withColumnRenamed("drift_kind", "kind"))
+
+
+@query(r"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '{"a": {"b": "}"}, "n": ' || doc_id || '}' WHEN 1 THEN '{"q": "\"{\\"}' WHEN 2 THEN '{}' END AS object FROM documents""")
+def reply_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Replies of prose around an object with nested braces, quotes and backslashes, an empty one, none, and one that never closes."""
+    n = F.col("doc_id")
+    first = F.coalesce(F.regexp_replace(F.substring("text", 1, 40), r"[{}\"\\]", ""), F.lit(""))
+    found = F.when(n % 5 == 0, F.concat(F.lit('{"a": {"b": "}"}, "n": '), n, F.lit('} and {"c": 1}'))).when(n % 5 == 1, '{"q": "\\"{\\\\"} }"').when(n % 5 == 2, "{}}").when(n % 5 == 3, "no object").otherwise('{"open": "}"')
+    return A.bodies(spark, d).select("doc_id", documents.json_object(F.concat(first, F.lit("\n```json\n"), found)).alias("object"))
+
+
+_STYLES = {"document_type": "guide", "tone": "plain", "writing_style": "short", "vocabulary": "basic"}
+
+
+@query("SELECT c_custkey AS doc_id, 'tone' AS category, 'loud' AS name FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'vocabulary', 'basic' FROM customer WHERE c_custkey % 3 <> 0")
+def missing_styles(spark: SparkSession, d: str) -> DataFrame:
+    docs = A.raw(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"))
+    own = docs.where("doc_id % 3 = 0").select("doc_id", F.lit("guide").alias("document_type"), F.lit("loud").alias("tone"), F.lit("short").alias("writing_style"), F.lit("rich").alias("vocabulary"))
+    templates = spark.sql("SELECT * FROM VALUES ('document_type', 'guide'), ('tone', 'plain'), ('writing_style', 'short'), ('vocabulary', 'rich') AS t(category, name)")
+    return documents.missing_styles(documents.styles(docs, own, _STYLES), templates)
+
+
+@query("SELECT event_id, 'repo-' || (user_id % 8) AS repo_id, CASE WHEN event_id % 3 = 0 THEN 'own' WHEN event_id % 3 = 1 THEN 'sent' END AS local_path FROM events WHERE user_id % 8 >= 6")
+def refused_registrations(spark: SparkSession, d: str) -> DataFrame:
+    """Registrations of unknown repositories, with the one path that each has."""
+    n = F.col("event_id")
+    rows = A.raw(spark, d, "events").select("event_id", F.concat(F.lit("repo-"), F.col("user_id") % 8).alias("repo_id"), F.when(n % 3 == 0, "own").alias("identity_path"), F.when(n % 3 < 2, "sent").alias("local_path"))
+    known = spark.range(6).select(F.concat(F.lit("repo-"), "id").alias("repo_id"))
+    return documents.folded_identity(documents.orphaned(rows, known, "repo_id")).select("event_id", "repo_id", "local_path")
+
+
+@query("""WITH i AS (SELECT *, row_number() OVER (PARTITION BY assignee ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, CASE reason WHEN 'orphan' THEN 0 ELSE 1 END, doc_id) AS rank FROM items WHERE reason <> 'suspect')
+  SELECT coalesce(assignee, '(unowned)') AS assignee, rank, '    [' || severity || '] ' || reason || ' ' || doc_id || ' — ' || status AS line FROM i""")
+def hub_worklist(spark: SparkSession, d: str) -> DataFrame:
+    """The worklist of a hub, which has no bodies to hash and so no suspect links, as lines."""
+    from docledger.operators import governance
+
+    owners = governance.effective_owners(A.doc_owners(spark, d))
+    items = governance.worklist_items(owners, governance.ownership(owners, A.roster(spark, d)), governance.staleness(A.reviewed_docs(spark, d), A.NOW))
+    return documents.worklist_lines(governance.ranked(items))
