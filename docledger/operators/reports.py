@@ -177,3 +177,24 @@ def json_records(texts: DataFrame, records_key: str = "*", name_field: str = "na
     found = rows.select("path", "problem", F.explode_outer(items).alias("item")).where("problem is not null or item is not null")
     fields = F.array_sort(F.transform(F.map_entries(F.map_filter("item", lambda k, v: k != name_field)), lambda e: F.concat_ws("=", e["key"], e["value"])))
     return found.select("path", "problem", F.when(F.col("item").isNotNull(), F.coalesce(F.try_element_at("item", F.lit(name_field)), F.lit("?"))).alias("name"), F.when(F.col("item").isNotNull(), F.array_join(fields, ",")).alias("fields"))
+
+
+def coverage_lines(units: DataFrame, gaps: DataFrame) -> DataFrame:
+    """A coverage report as lines in order: (part, key, pos, line); units before what is undocumented.
+
+    units: (unit, scanned, documented, percent, uncovered: array of paths); gaps: (path, suggested_unit). Keys sort the lines of a
+    part, so the report is written by ranges and no task holds all of it. Percentages have two decimals, n/a where there is none.
+    """
+    number = F.coalesce(F.format_string("%.2f", "percent"), F.lit("n/a"))
+    head = F.array(F.concat(F.lit("  - unit: "), "unit"), F.concat(F.lit("    scanned: "), "scanned"), F.concat(F.lit("    documented: "), "documented"), F.concat(F.lit("    percent: "), F.when(F.col("percent").isNull(), "n/a").otherwise(number)))
+    listed = F.when(F.size("uncovered") == 0, F.array(F.lit("    uncovered: []"))).otherwise(F.concat(F.array(F.lit("    uncovered:")), F.transform(F.array_sort("uncovered"), lambda p: F.concat(F.lit("      - "), p))))
+    a = units.select(F.lit("units").alias("part"), F.col("unit").alias("key"), F.posexplode(F.concat(head, listed)).alias("pos", "line"))
+    rows = F.array(F.concat(F.lit("  - path: "), "path"), F.concat(F.lit("    suggested_unit: "), F.coalesce("suggested_unit", F.lit("null"))))
+    return a.unionByName(gaps.select(F.lit("undocumented").alias("part"), F.col("path").alias("key"), F.posexplode(rows).alias("pos", "line")))
+
+
+def parsed_units(lines: DataFrame) -> DataFrame:
+    """Units of coverage_lines, read back: unit, scanned, documented, percent."""
+    own = lines.where("part = 'units' and pos < 4").withColumn("field", F.regexp_extract("line", r"^\s*(?:- )?(\w+): ", 1)).withColumn("value", F.regexp_extract("line", r"^\s*(?:- )?\w+: (.*)$", 1))
+    at = lambda f: F.max(F.when(F.col("field") == f, F.col("value")))
+    return own.groupBy("key").agg(at("unit").alias("unit"), at("scanned").cast("long").alias("scanned"), at("documented").cast("long").alias("documented"), F.nullif(at("percent"), F.lit("n/a")).cast("double").alias("percent")).drop("key")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docledger.functions import text as X
-from docledger.operators import coverage, documents, layout, reports
+from docledger.operators import coverage, documents, layout, reports, scripts
 from docledger.plans.queries import WAIVERS
 from docledger.plans.registry import query
 from docledger.sources import adapters as A
@@ -304,3 +304,51 @@ def hub_worklist(spark: SparkSession, d: str) -> DataFrame:
     owners = governance.effective_owners(A.doc_owners(spark, d))
     items = governance.worklist_items(owners, governance.ownership(owners, A.roster(spark, d)), governance.staleness(A.reviewed_docs(spark, d), A.NOW))
     return documents.worklist_lines(governance.ranked(items))
+
+
+# Scripts, and reports as text.
+
+
+def _scripts(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_partkey").cast("string")
+    head = F.concat(F.lit("#!/bin/sh\n# Sizes.\n#   of "), n, F.lit("\nsize_"), n, F.lit("() {\n  if [ $1 ]; then { echo "), n, F.lit("; }; fi\n}\n\nfunction _hidden { :; }\n# above\nopen() {\n  echo\n"))
+    tail = F.when(F.col("p_partkey") % 2 == 0, 'while getopts ":ab:" o; do :; done\ncase $x in --long) ;; esac\n').otherwise("case $1 in -h|--help) ;; -x) ;; esac\n")
+    return A.raw(spark, d, "part").select(F.concat(F.lit("s"), n, F.lit(".sh")).alias("path"), F.concat(head, tail).alias("text"))
+
+
+@query("""WITH p AS (SELECT 's' || p_partkey || '.sh' AS path, p_partkey AS n FROM part)
+  SELECT path, 'size_' || n AS name, 4 AS lineno, 6 AS end_lineno, 'Sizes.' || chr(10) || '  of ' || n AS docstring FROM p
+  UNION ALL SELECT path, '_hidden', 8, 8, NULL FROM p UNION ALL SELECT path, 'open', 10, 10, 'above' FROM p""")
+def shell_functions(spark: SparkSession, d: str) -> DataFrame:
+    return scripts.shell_functions(_scripts(spark, d)).drop("signature")
+
+
+@query("SELECT 's' || p_partkey || '.sh' AS path, unnest(CASE WHEN p_partkey % 2 = 0 THEN ['-a', '-b'] ELSE ['-h', '--help', '-x'] END) AS switch FROM part")
+def shell_switches(spark: SparkSession, d: str) -> DataFrame:
+    return scripts.shell_switches(_scripts(spark, d))
+
+
+def _report(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    cov = _coverage(spark, d).withColumn("unit", F.split("path", "/")[0])
+    n = lambda s: F.count_if(F.col("status") == s)
+    units = cov.groupBy("unit").agg(F.count("*").alias("scanned"), n("documented").alias("documented"), n("waived").alias("waived"), F.collect_list(F.when(F.col("status") == "undocumented", F.col("path"))).alias("uncovered"))
+    base = F.col("scanned") - F.col("waived")
+    units = units.withColumn("percent", F.when(base > 0, F.round(100.0 * F.col("documented") / base, 2)))
+    return units, cov.where("status = 'undocumented'").select("path", F.lit(None).cast("string").alias("suggested_unit"))
+
+
+_SLICES = """u AS (SELECT split_part(path, '/', 1) AS unit, count(*) AS scanned, count(*) FILTER (status = 'documented') AS documented, count(*) FILTER (status = 'waived') AS waived, list(path ORDER BY path) FILTER (status = 'undocumented') AS gaps FROM file_cov GROUP BY 1),
+  v AS (SELECT *, CASE WHEN scanned > waived THEN floor((documented * 20000 + scanned - waived) / (2.0 * (scanned - waived))) / 100 END AS percent FROM u)"""
+
+
+@query(f"""WITH {_SLICES}, l AS (SELECT unit AS key, unnest(list_concat(['  - unit: ' || unit, '    scanned: ' || scanned, '    documented: ' || documented, '    percent: ' || coalesce(printf('%.2f', percent), 'n/a')],
+    CASE WHEN gaps IS NULL THEN ['    uncovered: []'] ELSE list_concat(['    uncovered:'], list_transform(gaps, lambda p: '      - ' || p)) END)) AS line, unnest(range(5 + coalesce(len(gaps), 0)))::INT AS pos FROM v)
+  SELECT 'units' AS part, key, pos, line FROM l UNION ALL SELECT 'undocumented', path, 0, '  - path: ' || path FROM file_cov WHERE status = 'undocumented'
+  UNION ALL SELECT 'undocumented', path, 1, '    suggested_unit: null' FROM file_cov WHERE status = 'undocumented'""")
+def coverage_report_lines(spark: SparkSession, d: str) -> DataFrame:
+    return reports.coverage_lines(*_report(spark, d))
+
+
+@query(f"WITH {_SLICES} SELECT unit, scanned, documented, percent::DOUBLE AS percent FROM v")
+def coverage_report_read_back(spark: SparkSession, d: str) -> DataFrame:
+    return reports.parsed_units(reports.coverage_lines(*_report(spark, d)))
