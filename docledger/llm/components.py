@@ -18,12 +18,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Null ends are left out.
     """
     live = stage(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct(), "cc-edges")
-    whole = None
+    whole, old_names = None, []
     while not live.isEmpty():
         ends = live.select(F.col("a").alias("node"), F.col("b").alias("next")).union(live.select("b", "a"))
         low = stage(ends.groupBy("node").agg(F.min("next").alias("next")).select("node", F.least("node", "next").alias("up")), "cc-low")
         up = low.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-        low = stage(low.join(up, "up").select("node", F.col("upper").alias("up")), "cc-up")
+        near, low = low, stage(low.join(up, "up").select("node", F.col("upper").alias("up")), "cc-up")
+        drop_staged(near)
+        old_names.append(low)
         pa, pb = low.select(F.col("node").alias("a"), F.col("up").alias("pa")), low.select(F.col("node").alias("b"), F.col("up").alias("pb"))
         named = live.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
         old, live = live, stage(named.distinct(), "cc-edges")
@@ -35,4 +37,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             whole = whole.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     if whole is None:
         return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return stage(whole, "cc-roots")
+    out = stage(whole, "cc-roots")
+    drop_staged(live, *old_names)
+    return out

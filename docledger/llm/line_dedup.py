@@ -9,8 +9,8 @@ from .common import SPACE, WORD, join_small, stage, table
 
 #: Fewest words of a line of which an edit of one word leaves 0.8 alike; shorter ones must be equal.
 LEAST_WORDS = 5
-#: Most candidate hashes (8 bytes each) that are broadcast.
-BROADCAST_HASHES = 2_000_000
+#: Most lines with a likely partner that are broadcast, of about 60 bytes each.
+BROADCAST_LINES = 500_000
 
 
 def _word_hashes(line: Column) -> Column:
@@ -70,7 +70,7 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     near = stage(distinct.join(sides, "full").select("full", "at", "n_words", "line_hash", "behind", "before"), "near-lines")
     wanted = near.select("line_hash", "full", "at", "behind", "before")
     texts = lines.select("doc_id", "doc_key", "line_no", "line_hash", "line")
-    small = wanted.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES
+    small = wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
     texts = texts.join(F.broadcast(wanted) if small else wanted, "line_hash").where((F.col("line_no") == F.col("at.line_no")) & (F.col("doc_key") == F.col("at.doc_key"))).dropDuplicates(["full"])
     texts = stage(texts.select("full", "at", "behind", "before", _word_hashes(F.col("line")).alias("h")), "near-words")
     n, mid = F.size("h"), F.floor((F.size("h") - 1) / 2).cast("int") + 1

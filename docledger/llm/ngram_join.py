@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_small, packed, stage, table, unpacked
+from .common import drop_staged, join_small, packed, stage, table, unpacked
 from .components import connected_components
 from .shingles import mix, shingle_set, texts_words
 
@@ -460,13 +460,20 @@ def link_candidates(one: DataFrame, sets_of: Callable[[DataFrame], DataFrame], l
     one: key, n (shingles, at least as many as there are) and root of each candidate set, and what sets_of needs to
     give key, n (exactly), shingles and bad (see _texts_sets) of rows of one with a flag large.
     """
-    num, den = levels.num, levels.den
-    one = stage(one, "candidate-sets")
+    first = one = stage(one, "candidate-sets")
     whole = one.groupBy("root").agg(F.sum("n").alias("whole"))
     one = stage(one.join(whole, "root").withColumn("large", F.col("whole") > block_shingles), "candidate-sizes")
     sets = stage(sets_of(one), "candidate-shingles")
     # rows that repeat a text give its set as often
     one = stage(one.select("key", "root", "large").join(sets.select("key", "n").distinct(), "key"), "candidate-counts")
+    out = _linked(one, sets, levels, block_shingles, link)
+    drop_staged(first, one, sets)
+    return out
+
+
+def _linked(one: DataFrame, sets: DataFrame, levels: Levels, block_shingles: int, link: Callable) -> DataFrame:
+    """Links of sets (key, n, shingles, bad) within the components of one (key, n, root, large), staged."""
+    num, den = levels.num, levels.den
     one = one.where("not large").select("key", "n", "root", F.lit(True).alias("probe")).union(_refined(sets, one.where("large"), levels, block_shingles))
     sizes = one.groupBy("root").agg(F.sum("n").alias("total"), F.min("key").alias("hub"))
     total = sizes.agg(F.sum("total")).first()[0] or 0
