@@ -26,6 +26,8 @@ SLICE = 500
 #: Windows that run through the network together.
 LANES = 1024
 UNKNOWN = "und"
+#: Least score of a kept document, from 0 for chance to 1 for certainty.
+LEAST_LIFT = 0.2
 
 
 @dataclass
@@ -287,9 +289,16 @@ def identify(docs: DataFrame) -> DataFrame:
     return docs.withColumn("held_out", held_out()).withColumn("language", predict(model, F.col("text")))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """docs without those that have no language or whose score is below least."""
-    out = identify(packed(docs, "doc_id", "text", "lang"))
+def keep_identified(docs: DataFrame, least_lift: float = LEAST_LIFT) -> DataFrame:
+    """docs without those that have no language, or one that is hardly likelier than chance.
+
+    The score must lie least_lift of the way from 1 / languages to 1, so the bound means the same for any number of languages.
+    """
+    rows = packed(docs, "doc_id", "text", "lang")
+    model = fit(rows, ~held_out())
+    chance = 1 / len(model.langs)
+    least = min(chance + least_lift * (1 - chance), 0.99)
+    out = rows.withColumn("language", predict(model, F.col("text")))
     return unpacked(out.where((F.col("language.lang_pred") != UNKNOWN) & (F.col("language.score") >= least)))
 
 
