@@ -233,7 +233,8 @@ class Trie:
         bins = 1 << min(10, max(6, int(np.median(sizes) * 4).bit_length()))
         self.by_size = np.argsort(sizes, kind="stable")
         self.sizes = sizes[self.by_size]
-        self.counts = np.zeros((len(sizes), bins), np.uint16)
+        # a bin holds a whole set at most
+        self.counts = np.zeros((len(sizes), bins), np.uint16 if sizes.max() < 2**16 else np.uint32)
         for row, i in enumerate(self.by_size):
             np.add.at(self.counts[row], self.sets[i] % bins, 1)
         self.row = np.empty(len(sizes), np.int64)

@@ -194,6 +194,13 @@ def test_sample_of_repeated_rows_is_bounded_and_has_every_language(spark, doc_id
     assert set(drawn) == {"l1", "l2"} and max(drawn.values()) <= 80
 
 
+def test_keeping_what_is_likelier_than_chance(spark):
+    for n in (1, 2):
+        rows = [(i, ("aba " if i % 2 else "xyx ") * 30, f"l{i % n}", None, 0) for i in range(60)] + [(100, "12", "l0", None, 0), (101, None, None, None, 0)]
+        kept = {r["doc_id"] for r in language.keep_identified(spark.createDataFrame(rows, DOCS)).collect()}
+        assert kept == set(range(60))
+
+
 # Quality.
 
 
@@ -384,6 +391,14 @@ def test_uneven_sets_are_joined_by_prefixes(docs):
     assert got == {i: c for i, (_, c) in brute_components(sample()).items()}
 
 
+def test_huge_sets_are_linked():
+    rng = np.random.default_rng(6)
+    a = np.unique(rng.integers(0, 2**63, 80_000, dtype=np.uint64))
+    b = np.unique(np.concatenate((a[: int(len(a) * 0.95)], rng.integers(0, 2**63, 900, dtype=np.uint64))))
+    trie = ngram_join.Trie([a, b])
+    assert trie.counts.dtype == np.uint32 and ngram_join.link_sets(np.array([1, 2]), [a, b], 85, 100) == [(1, 2)]
+
+
 def test_signatures_miss_no_link():
     levels, rng = ngram_join.Levels(85, 100, 2**31), np.random.default_rng(1)
     for _ in range(3000):
