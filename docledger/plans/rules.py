@@ -332,8 +332,7 @@ def _report(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     cov = _coverage(spark, d).withColumn("unit", F.split("path", "/")[0])
     n = lambda s: F.count_if(F.col("status") == s)
     units = cov.groupBy("unit").agg(F.count("*").alias("scanned"), n("documented").alias("documented"), n("waived").alias("waived"), F.collect_list(F.when(F.col("status") == "undocumented", F.col("path"))).alias("uncovered"))
-    base = F.col("scanned") - F.col("waived")
-    units = units.withColumn("percent", F.when(base > 0, F.round(100.0 * F.col("documented") / base, 2)))
+    units = units.withColumn("percent", coverage.report_percent(F.col("documented"), F.col("scanned"), F.col("waived")))
     return units, cov.where("status = 'undocumented'").select("path", F.lit(None).cast("string").alias("suggested_unit"))
 
 
