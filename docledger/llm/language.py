@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_small, packed, table, unpacked
+from .common import join_small, packed, stage, table, unpacked
 
 #: Bytes that the network reads as one sequence; texts are cut into such windows and every byte is labelled.
 WINDOW = 64
@@ -252,13 +252,14 @@ def sample_windows(docs: DataFrame, learn: Column, fit_docs: int = FIT_DOCS, fit
     more are drawn, since a document gives a whole number of them.
     """
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("doc_id", "text", F.lit(seed)).alias("h"), "text")
-    distinct = rows.select("lang", "h").distinct()
+    # the hash reads whole texts, so it is taken once
+    distinct = stage(rows.select("lang", "h").distinct(), "sample-keys")
     counts = distinct.groupBy("lang").count()
     # of many documents a share is ordered that has fit_docs of them for certain; of few all are
     share = (F.shiftrightunsigned("h", 11) / float(2**53)) * F.col("count") <= 3 * fit_docs + 20
     chosen = join_small(distinct, counts, ["lang"]).where(share).withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("at") <= fit_docs)
     per_doc = F.ceil(fit_windows / F.count("*").over(Window.partitionBy("lang"))).cast("int")
-    chosen = chosen.select("h", "lang", per_doc.alias("per_doc"))
+    chosen = stage(chosen.select("h", "lang", per_doc.alias("per_doc")), "sample")
     texts = join_small(rows, chosen, ["h", "lang"]).groupBy("h", "lang", "per_doc").agg(F.first("text").alias("text"))
     return texts.mapInPandas(_draw_windows, "h long, lang string, window binary")
 
