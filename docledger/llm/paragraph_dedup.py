@@ -183,7 +183,10 @@ def _lists(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 def _scan(batches: Iterator[pa.RecordBatch], least: int, bands: Bands) -> Iterator[pa.RecordBatch]:
     """(doc_id, doc_key, text) -> a row for each paragraph with its signatures, and rows with a text's sampled runs."""
-    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "doc_key")), *((c, pa.int32()) for c in ("first_line", "last_line", "first_word", "n_words")), ("n", pa.int64()), ("key", pa.int64()), ("sigs", pa.list_(pa.int64())), ("pos", pa.list_(pa.int32())), ("runs", pa.list_(pa.int64()))])
+    longs, ints = ("doc_id", "doc_key"), ("first_line", "last_line", "first_word", "n_words")
+    lists = [("sigs", pa.list_(pa.int64())), ("pos", pa.list_(pa.int32())), ("runs", pa.list_(pa.int64()))]
+    kinds = [*((c, pa.int64()) for c in longs), *((c, pa.int32()) for c in ints), ("n", pa.int64()), ("key", pa.int64()), *lists]
+    schema = pa.schema(kinds)
 
     def rows(b: pa.RecordBatch, take: np.ndarray, columns: dict[str, pa.Array]) -> pa.RecordBatch:
         at = pa.array(take)
