@@ -17,7 +17,10 @@ def fingerprints(symbols: DataFrame) -> DataFrame:
     last = symbols.groupBy("doc_id", "name").agg(F.max_by(F.struct("signature", "docstring", "body_hash"), "lineno").alias("s"))
     part = lambda c: F.array_sort(F.collect_list(F.concat_ws("\0", F.col("name"), F.coalesce(c, F.lit("\1")))))
     tier = lambda c: short_hash(F.array_join(part(F.col(f"s.{c}")), "\n"))
-    return last.groupBy("doc_id").agg(F.array_sort(F.collect_list("name")).alias("anchors"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", short_hash(F.col("s.signature")).alias("sig"))))).alias("sigs"), tier("signature").alias("signature"), tier("docstring").alias("docstring"), tier("body_hash").alias("body"))
+    anchors = F.array_sort(F.collect_list("name"))
+    sigs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", short_hash(F.col("s.signature")).alias("sig")))))
+    tiers = [tier("signature").alias("signature"), tier("docstring").alias("docstring"), tier("body_hash").alias("body")]
+    return last.groupBy("doc_id").agg(anchors.alias("anchors"), sigs.alias("sigs"), *tiers)
 
 
 def compare(stored: DataFrame, current: DataFrame) -> DataFrame:

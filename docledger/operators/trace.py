@@ -42,7 +42,9 @@ def trace_matrix(features: DataFrame, refs: DataFrame) -> DataFrame:
     """Features (feature_id) by evidence (feature_id, kind, path): has_test, has_demo; ids without a feature are `unknown`."""
     found = refs.groupBy("feature_id").agg(F.bool_or(F.col("kind") == "test").alias("has_test"), F.bool_or(F.col("kind") == "demo").alias("has_demo"), F.count_distinct("path").alias("n_paths"))
     rows = features.select("feature_id", F.lit(True).alias("known")).join(found, "feature_id", "full")
-    return rows.select("feature_id", F.coalesce("has_test", F.lit(False)).alias("has_test"), F.coalesce("has_demo", F.lit(False)).alias("has_demo"), F.coalesce("n_paths", F.lit(0)).alias("n_paths"), F.when(F.col("known").isNull(), "unknown").when(~F.coalesce("has_test", F.lit(False)), "no_test").when(~F.coalesce("has_demo", F.lit(False)), "no_demo").otherwise("complete").alias("status"))
+    tested, shown = F.coalesce("has_test", F.lit(False)), F.coalesce("has_demo", F.lit(False))
+    status = F.when(F.col("known").isNull(), "unknown").when(~tested, "no_test").when(~shown, "no_demo").otherwise("complete")
+    return rows.select("feature_id", tested.alias("has_test"), shown.alias("has_demo"), F.coalesce("n_paths", F.lit(0)).alias("n_paths"), status.alias("status"))
 
 
 def source_index(symbols: DataFrame, features: DataFrame) -> DataFrame:
