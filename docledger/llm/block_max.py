@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,10 +20,10 @@ BLOCK_BYTES = 2_000_000
 ROUNDS = (8, 64)
 #: Results per item.
 TOP = 50
-#: Most (pair, term) entries of 16 bytes that a round broadcasts; beyond it blocks and requests are joined by shuffle.
-BROADCAST_ENTRIES = 2_000_000
-#: Items asked of a block in one row.
-SLICE = 500
+#: Most (item, term) pairs of 16 bytes that are broadcast; more items are searched in as many slices as it takes.
+SLICE_TERMS = 500_000
+#: Most (item, block) pairs of 8 bytes that are broadcast to the blocks; beyond it they are joined by shuffle.
+BROADCAST_PAIRS = 2_000_000
 #: Bytes of terms: ASCII letters (lower-cased), digits and all of UTF-8's longer sequences; the others part terms.
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -39,8 +40,8 @@ def _hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes.view(np.int64), np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), starts, side="right")
 
 
-def _block(block: int, doc_ids: pa.Array, texts: list[str | None]) -> list[pa.Array]:
-    hashes, doc = _hashes(texts)
+def _block(block: int, doc_ids: pa.Array, texts: pa.Array) -> list[pa.Array]:
+    hashes, doc = _hashes(texts.to_pylist())
     terms, at = np.unique(hashes, return_inverse=True)
     lengths = np.bincount(doc, minlength=len(texts))
     grams, tf = np.unique(doc * max(len(terms), 1) + at, return_counts=True)
@@ -58,11 +59,10 @@ def _block(block: int, doc_ids: pa.Array, texts: list[str | None]) -> list[pa.Ar
 def _index(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
     names, made = [c.split()[0] for c in _INDEX.split(", ")], TaskContext.get().partitionId() << 32
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        ends = np.cumsum([len(t or "") for t in texts])
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
         cuts = np.flatnonzero(np.diff(ends // block_bytes)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(texts)], strict=True):
-            yield pa.RecordBatch.from_arrays(_block(made, batch.column(0).slice(a, b - a), texts[a:b]), names=names)
+        for a, b in zip([0, *cuts], [*cuts, len(ends)], strict=True):
+            yield pa.RecordBatch.from_arrays(_block(made, *(batch.column(i).slice(a, b - a) for i in (0, 1))), names=names)
             made += 1
 
 
@@ -97,8 +97,8 @@ def _impact(tf: Column, n: Column, n_docs: int, n_terms: int) -> Column:
     return F.call_function("div", tf.cast("long") * 1_000_000_000, tf.cast("long") * 1000 + (F.call_function("div", n.cast("long") * (50 * n_docs), F.lit(n_terms)) + 50) * 20)
 
 
-def _score(batches: Iterator[pa.RecordBatch], k: int, n_docs: int, n_terms: int) -> Iterator[pa.RecordBatch]:
-    """The k best documents of each block for each item that asks for it."""
+def _score(batches: Iterator[pa.RecordBatch], items: dict[int, tuple[np.ndarray, np.ndarray]], k: int, n_docs: int, n_terms: int) -> Iterator[pa.RecordBatch]:
+    """The k best documents of each block for each item (terms and weights) that asks for it."""
     for batch in batches:
         for r in range(batch.num_rows):
             value = lambda name: batch.column(name)[r].values  # noqa: E731, B023
@@ -110,8 +110,8 @@ def _score(batches: Iterator[pa.RecordBatch], k: int, n_docs: int, n_terms: int)
             ids = value("doc_ids")
             order = np.where(ids.is_null().to_numpy(zero_copy_only=False), np.iinfo(np.int64).min, ids.fill_null(0).to_numpy())
             out: list[tuple[np.ndarray, ...]] = []
-            for asked in batch.column("asked")[r].as_py():
-                wanted, weight = np.array(asked["terms"], np.int64), np.array(asked["weights"], np.int64)
+            for item in value("asked").to_pylist():
+                wanted, weight = items[item]
                 place = np.minimum(np.searchsorted(terms, wanted), max(len(terms) - 1, 0))
                 place, weight = (x[terms[place] == wanted] for x in (place, weight)) if len(terms) else (place[:0], weight[:0])
                 many = df[place]
@@ -122,9 +122,9 @@ def _score(batches: Iterator[pa.RecordBatch], k: int, n_docs: int, n_terms: int)
                 if len(found) > k:
                     found = found[score[found] >= np.partition(score[found], -k)[-k]]
                 found = found[np.lexsort((order[found], -score[found]))][:k]
-                out.append((np.full(len(found), asked["item_id"]), found, score[found]))
-            items, found, scores = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), ids.take(pa.array(found)), pa.array(scores, pa.int64())], names=["item_id", "doc_id", "score"])
+                out.append((np.full(len(found), item), found, score[found]))
+            own, found, scores = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), ids.take(pa.array(found)), pa.array(scores, pa.int64())], names=["item_id", "doc_id", "score"])
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
@@ -155,26 +155,36 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, rounds: Sequence[i
     hits = stage(join_small(maxima, stage(wanted.select("term").distinct(), "distinct-terms"), ["term"]), "block-hits")
     weight = F.floor(1000 * F.log(F.lit(2.0 * n_docs + 2) / (2 * F.sum("df") + 1))).cast("long").alias("weight")
     weighted = stage(join_small(wanted, stage(hits.groupBy("term").agg(weight), "term-weights"), ["term"]), "weighted-terms")
+    slices = max(1, -(-weighted.count() // SLICE_TERMS))
+    out = None
+    for i in range(slices):
+        own = weighted if slices == 1 else weighted.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == i)
+        found = _search(index, hits, own, k, rounds, n_docs, n_terms)
+        out = found if out is None else out.unionByName(found)
+    return out.select("item_id", "rank", "doc_id", "score")
+
+
+def _search(index: DataFrame, hits: DataFrame, weighted: DataFrame, k: int, rounds: Sequence[int], n_docs: int, n_terms: int) -> DataFrame:
+    """The k best of each item of weighted (item_id, term, weight), which has SLICE_TERMS rows, about."""
+    items: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for item, g in weighted.toPandas().groupby("item_id"):
+        items[item] = (g["term"].to_numpy(np.int64), g["weight"].to_numpy(np.int64))
+    shared = index.sparkSession.sparkContext.broadcast(items)
     most = F.sum(F.col("weight") * _impact(F.col("max_tf"), F.col("min_n"), n_docs, n_terms)).alias("bound")
     left = stage(join_small(hits, weighted, ["term"]).groupBy("item_id", "block").agg(most).where("bound > 0"), "block-bounds")
-    pairs = F.sort_array(F.collect_list(F.struct("term", "weight")))
-    items = stage(weighted.groupBy("item_id").agg(pairs.alias("p")).select("item_id", F.col("p.term").alias("terms"), F.col("p.weight").alias("weights")), "query-items")
-    slices = max(1, -(-items.count() // SLICE))
     by_bound = Window.partitionBy("item_id").orderBy(F.col("bound").desc(), "block")
     found = None
     for most_blocks in (*rounds, None):
         asking = left if most_blocks is None else left.withColumn("place", F.row_number().over(by_bound)).where(F.col("place") <= most_blocks)
         asking = stage(asking.select("item_id", "block"), "block-pairs")
-        full = asking.join(items, "item_id")
-        entries = full.agg(F.coalesce(F.sum(F.size("terms") + 2), F.lit(0))).first()[0]
-        asked = full.groupBy("block", F.pmod(F.xxhash64("item_id"), F.lit(slices)).alias("slice")).agg(F.collect_list(F.struct("item_id", "terms", "weights")).alias("asked"))
-        asked = F.broadcast(asked) if entries <= BROADCAST_ENTRIES else asked
+        asked = asking.groupBy("block").agg(F.collect_list("item_id").alias("asked"))
+        asked = F.broadcast(asked) if asking.count() <= BROADCAST_PAIRS else asked
         forward = index.select("block", "doc_ids", "lengths", "docs", "at", "tf", "terms", "df")
-        scored = forward.join(asked, "block").drop("block", "slice").mapInArrow(lambda batches: _score(batches, k, n_docs, n_terms), "item_id long, doc_id long, score long")
+        scored = forward.join(asked, "block").drop("block").mapInArrow(lambda batches: _score(batches, shared.value, k, n_docs, n_terms), "item_id long, doc_id long, score long")
         found = stage(_best(scored if found is None else found.drop("rank").unionByName(scored), k), "block-found")
         least = found.where(F.col("rank") == k).select("item_id", F.col("score").alias("least"))
         left = left.join(asking, ["item_id", "block"], "left_anti").join(least, "item_id", "left").where(F.col("bound") >= F.coalesce("least", F.lit(1))).drop("least")
-    return found.select("item_id", "rank", "doc_id", "score")
+    return found
 
 
 def op11_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:

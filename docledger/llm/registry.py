@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "chat", "lm_scoring", "language", "paragraph_dedup", "quality", "line_dedup", "sharding", "ngram_join", "decontamination", "block_max")
+MODULES = ("mixing", "chat", "lm_scoring", "language", "paragraph_dedup", "quality", "line_dedup", "sharding", "ngram_join", "decontamination", "block_max", "token_files", "phrases")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
