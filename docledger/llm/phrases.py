@@ -20,7 +20,7 @@ LONGEST, LEAST, COVERED, SCALE, TOP = 4, 30, 80, 2_000_000, 2000
 #: Binary logarithm of the number of buckets: 8 MB of bits each for frequent buckets and frequent phrases of a length.
 BITS = 26
 #: Buckets counted in one row, and rows that one task adds up.
-BLOCK_BITS, FAN_IN = 18, 64
+BLOCK_BITS, FAN_IN = 19, 32
 #: Bytes whose phrases are hashed at once.
 SLICE_BYTES = 12_000_000
 #: Ranges of a language's phrases that are ranked first on their own.
@@ -202,7 +202,7 @@ def _bits(rows: DataFrame, bits: int, least: int, name: str) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(held, bitorder="little").tobytes()])], names=["block", "held"])
 
     out = np.zeros((1 << (bits - per), max((1 << per) // 8, 1)), np.uint8)
-    for row in rows.mapInArrow(frequent, "block int, held binary").toLocalIterator():
+    for row in rows.mapInArrow(frequent, "block int, held binary").collect():
         out[row["block"]] = np.frombuffer(row["held"], np.uint8)
     return out.ravel()
 
@@ -283,9 +283,9 @@ WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(tr
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
 g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
   FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS s(k) WHERE len(w) >= k)),
-f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM g GROUP BY lang, k, phrase),
-t AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
-c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND a >= 30),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
 x AS (SELECT lang, phrase, a, w, k, unnest(range(1, k)) AS cut FROM c),
 y AS (SELECT x.lang, x.phrase, x.a, x.cut, l.a AS l, r.a AS r, (2000000 * x.a) // (l.a + r.a) AS score
   FROM x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:x.cut], ' ') AND l.k = x.cut
