@@ -85,13 +85,6 @@ def heading_slugs(headings: DataFrame) -> DataFrame:
     return rows.withColumn("slug", F.when(nth == 0, F.col("base")).otherwise(F.concat("base", F.lit("-"), nth))).drop("base")
 
 
-def edit_owners(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """Owner fields after edits, the last edit of a document by seq: null keeps; added references are a union, so doing it twice changes nothing."""
-    last = edits.groupBy("doc_id").agg(F.max_by(F.struct("owner", "add_refs"), "seq").alias("e"))
-    refs = F.array_sort(F.array_union("refs", F.coalesce("e.add_refs", F.array().cast("array<string>"))))
-    return docs.join(last, "doc_id", "left").select("doc_id", F.coalesce("e.owner", docs["owner"]).alias("owner"), refs.alias("refs"))
-
-
 def gate(drifts: DataFrame, edges_gate: bool = False) -> DataFrame:
     """Per repo whether a check fails: any drift counts, suspect links only if they are asked to."""
     gating = F.lit(edges_gate) | (F.col("kind") != "SUSPECT_LINK")
@@ -125,8 +118,10 @@ STYLE = ("document_type", "tone", "writing_style", "vocabulary")
 
 
 def styles(docs: DataFrame, mappings: DataFrame, defaults: dict[str, str]) -> DataFrame:
-    """Style of each document (doc_id): its own mapping (doc_id and STYLE), else the defaults."""
-    return docs.join(mappings.select("doc_id", *[F.col(c).alias(f"own_{c}") for c in STYLE], F.lit(True).alias("own")), "doc_id", "left").select(*docs.columns, *[F.when(F.col("own"), F.col(f"own_{c}")).otherwise(F.lit(defaults[c])).alias(c) for c in STYLE])
+    """Style of each document (doc_id): its first mapping (ord, doc_id and STYLE), else the defaults."""
+    first = mappings.groupBy("doc_id").agg(F.min_by(F.struct(*STYLE), "ord").alias("own"))
+    rows = docs.join(first, "doc_id", "left")
+    return rows.select(*docs.columns, *[F.when(F.col("own").isNotNull(), F.col(f"own.{c}")).otherwise(F.lit(defaults[c])).alias(c) for c in STYLE])
 
 
 def missing_styles(styled: DataFrame, templates: DataFrame) -> DataFrame:

@@ -16,9 +16,6 @@ CHECKLIST = {
     "FIX": (("Proposed text matches the current code surface", True), ("No human-owned region is modified", True), ("Document still passes the layout lint", False)),
 }
 
-#: Added to a change's number, where it adds a name to a roster: more than any order there is.
-BEHIND = 10**12
-
 
 def coverage_snapshot(cov: DataFrame, key: str = "repo_id") -> DataFrame:
     """Per key the counts and percentage of files (path, owners, status), and the files themselves by path.
@@ -139,24 +136,6 @@ def token_hash(token: Column) -> Column:
     return F.sha2(token, 256)
 
 
-def roster_changes(roster: DataFrame, changes: DataFrame) -> DataFrame:
-    """Roster (ord, name, kind, active, departed_at) after changes (seq, name, kind, departed_at), the last change of a name wins.
-
-    A departure (departed_at is set) of an unknown name changes nothing; other changes add the name behind all others or
-    update it in place.
-    """
-    last = changes.groupBy("name").agg(F.max_by(F.struct(F.col("kind").alias("new_kind"), F.col("departed_at").alias("gone")), "seq").alias("c"), F.max("seq").alias("seq"))
-    kept = roster.join(last, "name", "full").where(F.col("ord").isNotNull() | F.col("c.gone").isNull())
-    changed = F.col("c").isNotNull()
-    gone = F.col("c.gone").isNotNull()
-    return kept.select(
-        F.coalesce("ord", F.lit(BEHIND) + F.col("seq")).alias("ord"), "name",
-        F.when(changed & ~gone, F.col("c.new_kind")).otherwise(F.col("kind")).alias("kind"),
-        F.when(changed, ~gone).otherwise(F.col("active")).alias("active"),
-        F.when(changed, F.col("c.gone")).otherwise(F.col("departed_at")).alias("departed_at"),
-    )
-
-
 def unit_owners(docs: DataFrame, units: DataFrame) -> DataFrame:
     """Documents (doc_id, unit, ...) with the owner of their unit as inherited."""
     return docs.join(units.select("unit", F.col("owner").alias("inherited")), "unit", "left")

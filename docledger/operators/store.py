@@ -7,18 +7,29 @@ from pyspark.sql import functions as F
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str, keep_if_null: tuple[str, ...] = ()) -> DataFrame:
-    """Rows by key replace those of table and keep their seq; of several, the last by seq counts.
+    """Table after rows by key, one after the other by seq: each replaces the one before, and a row keeps its first seq.
 
-    Columns in keep_if_null keep the old value where the new one is null.
+    Columns in keep_if_null take the last value that is set, so one that is set and then left out stays. Both are
+    aggregates, so a key with many rows is combined before the shuffle.
     """
     rest = [c for c in table.columns if c not in (key, "seq")]
-    new = rows.groupBy(key).agg(F.max_by(F.struct(*rest), "seq").alias("n"), F.min("seq").alias("new_seq"))
+    set_last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"set_{c}") for c in keep_if_null]
+    new = rows.groupBy(key).agg(F.max_by(F.struct(*rest), "seq").alias("n"), F.min("seq").alias("new_seq"), *set_last)
     old = table.select(key, "seq", F.struct(*rest).alias("o"))
     both = old.join(new, key, "full")
-    pick = [F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) if c in keep_if_null else F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in rest]
+    pick = [F.coalesce(f"set_{c}", f"o.{c}").alias(c) if c in keep_if_null else F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in rest]
     return both.select(F.coalesce("seq", "new_seq").alias("seq"), key, *pick)
 
 
+def register(table: DataFrame, registrations: DataFrame, key: str = "repo_id") -> DataFrame:
+    """Table (seq, key, token_hash and more) after registrations (the same with auth_token), one after the other.
+
+    Of a token only its hash is kept. A registration with a token rotates the hash, one without leaves it.
+    """
+    hashed = registrations.withColumn("token_hash", F.sha2("auth_token", 256)).drop("auth_token")
+    return upsert(table, hashed, key, keep_if_null=("token_hash",))
+
+
 def replace_scope(table: DataFrame, rows: DataFrame, scope: tuple[str, ...]) -> DataFrame:
     """The rows of every scope that rows has take the place of those in table; other scopes stay."""
     return table.join(rows.select(*scope).distinct(), list(scope), "left_anti").select(*table.columns).unionByName(rows)

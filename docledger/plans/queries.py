@@ -357,15 +357,6 @@ def index_completeness(spark: SparkSession, d: str) -> DataFrame:
 # Mutations.
 
 
-@query("""SELECT c_custkey AS seq, c_custkey::VARCHAR AS key, c_name || CASE WHEN c_custkey % 4 = 1 THEN ' b' ELSE '' END AS name, c_mktsegment AS token FROM customer WHERE c_custkey % 2 = 1
-  UNION ALL SELECT c_custkey + 1000000, c_custkey::VARCHAR, c_name || ' b', NULL FROM customer WHERE c_custkey % 4 = 0""")
-def repo_upsert(spark: SparkSession, d: str) -> DataFrame:
-    c = A.raw(spark, d, "customer").select(F.col("c_custkey").alias("seq"), F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("token"))
-    new = c.where("seq % 4 in (0, 1)").select((F.col("seq") + 1_000_000).alias("seq"), "key", F.lit("x").alias("name"), F.lit(None).cast("string").alias("token"))
-    last = c.where("seq % 4 in (0, 1)").select((F.col("seq") + 2_000_000).alias("seq"), "key", F.concat("name", F.lit(" b")).alias("name"), F.lit(None).cast("string").alias("token"))
-    return store.upsert(c.where("seq % 2 = 1"), new.unionByName(last), "key", keep_if_null=("token",))
-
-
 @query("""SELECT o_custkey AS repo_id, o_orderstatus AS sync_kind, o_orderkey AS doc_id FROM orders WHERE NOT (o_orderstatus = 'F' AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 3 = 0))
   UNION ALL SELECT o_custkey, 'F', o_orderkey + 1000000 FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 3 = 0""")
 def scope_replace(spark: SparkSession, d: str) -> DataFrame:
@@ -466,14 +457,6 @@ def heading_slugs(spark: SparkSession, d: str) -> DataFrame:
     return documents.heading_slugs(lines.select("doc_id", "pos", F.split("line", " ")[0].alias("heading"))).select("doc_id", "pos", "slug")
 
 
-@query("""SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 5 = 0 THEN 'new' ELSE c_name END AS owner, CASE WHEN c_custkey % 5 <= 1 AND c_mktsegment < 'x' THEN least(c_mktsegment, 'x') || ',x' WHEN c_custkey % 5 <= 1 THEN 'x,' || c_mktsegment ELSE c_mktsegment END AS refs FROM customer""")
-def owner_edits(spark: SparkSession, d: str) -> DataFrame:
-    docs = A.raw(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("owner"), F.array("c_mktsegment").alias("refs"))
-    edit = lambda k, owner, seq: docs.where(f"doc_id % 5 = {k}").select("doc_id", F.lit(owner).cast("string").alias("owner"), F.array(F.lit("x")).alias("add_refs"), F.lit(seq).alias("seq"))
-    edits = edit(0, "old", 1).unionByName(edit(0, "new", 2)).unionByName(edit(1, None, 1))
-    return documents.edit_owners(docs, edits).select("doc_id", "owner", F.array_join("refs", ",").alias("refs"))
-
-
 @query("SELECT path FROM files WHERE starts_with(path, 'economy/') ORDER BY path LIMIT 200")
 def ignored_files(spark: SparkSession, d: str) -> DataFrame:
     """The first 200 ignored files by path: the cap is the feature."""

@@ -214,21 +214,6 @@ def unit_owners_and_ids(spark: SparkSession, d: str) -> DataFrame:
     return reports.edit_ids(rows).select("doc_id", "inherited", "edit_id", reports.token_hash(F.col("body")).alias("token"))
 
 
-@query("""WITH k AS (SELECT c_custkey AS n, c_name AS name FROM customer)
-  SELECT name, CASE WHEN n % 4 = 1 THEN 'team' ELSE 'person' END AS kind, CASE WHEN n % 4 = 0 THEN false WHEN n % 4 = 1 THEN true ELSE n % 3 = 0 END AS active, CASE WHEN n % 4 = 0 THEN 'day-' || n END AS departed_at FROM k WHERE n % 2 = 0 OR n % 4 = 1 OR n % 5 <> 0
-  UNION ALL SELECT 'new-' || n, 'team', true, NULL FROM k WHERE n % 4 = 1""")
-def roster_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Departures of every fourth name and of unknown ones, updates of the names after those, and new names."""
-    n = F.col("c_custkey")
-    c = A.raw(spark, d, "customer")
-    roster = c.where((n % 2 == 0) | (n % 4 == 1) | (n % 5 != 0)).select(n.alias("ord"), F.col("c_name").alias("name"), F.lit("person").alias("kind"), (n % 3 == 0).alias("active"), F.lit(None).cast("string").alias("departed_at"))
-    change = lambda where, name, kind, gone, seq: c.where(where).select((2 * n + seq).alias("seq"), name.alias("name"), F.lit(kind).cast("string").alias("kind"), gone.cast("string").alias("departed_at"))
-    gone = F.concat(F.lit("day-"), n)
-    changes = change(n % 4 == 0, F.col("c_name"), None, gone, 1).unionByName(change(n % 4 == 0, F.col("c_name"), "team", F.lit(None), 0)).unionByName(change(n % 4 == 0, F.concat(F.lit("who-"), n), None, gone, 0))
-    changes = changes.unionByName(change(n % 4 == 1, F.col("c_name"), "team", F.lit(None), 0)).unionByName(change(n % 4 == 1, F.concat(F.lit("new-"), n), "team", F.lit(None), 1))
-    return reports.roster_changes(roster, changes).select("name", "kind", "active", "departed_at")
-
-
 @query("""WITH p AS (SELECT p_partkey AS n, p_name, p_size FROM part)
   SELECT 'f' || n AS path, CASE n % 5 WHEN 0 THEN 'no_object' WHEN 1 THEN 'no_list' END AS problem, CASE WHEN n % 5 > 1 THEN CASE WHEN n % 2 = 0 THEN p_name ELSE '?' END END AS name, CASE WHEN n % 5 > 1 THEN 'a=' || p_size || ',b=x' END AS fields FROM p
   UNION ALL SELECT 'f' || n, NULL, 'second', '' FROM p WHERE n % 5 > 1""")
@@ -280,10 +265,11 @@ _STYLES = {"document_type": "guide", "tone": "plain", "writing_style": "short",
 
 @query("SELECT c_custkey AS doc_id, 'tone' AS category, 'loud' AS name FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'vocabulary', 'basic' FROM customer WHERE c_custkey % 3 <> 0")
 def missing_styles(spark: SparkSession, d: str) -> DataFrame:
+    """Every third document has a mapping of its own, and every sixth a second one that must not count."""
     docs = A.raw(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"))
-    own = docs.where("doc_id % 3 = 0").select("doc_id", F.lit("guide").alias("document_type"), F.lit("loud").alias("tone"), F.lit("short").alias("writing_style"), F.lit("rich").alias("vocabulary"))
+    own = lambda every, at, tone: docs.where(f"doc_id % {every} = 0").select(F.lit(at).alias("ord"), "doc_id", F.lit("guide").alias("document_type"), F.lit(tone).alias("tone"), F.lit("short").alias("writing_style"), F.lit("rich").alias("vocabulary"))
     templates = spark.sql("SELECT * FROM VALUES ('document_type', 'guide'), ('tone', 'plain'), ('writing_style', 'short'), ('vocabulary', 'rich') AS t(category, name)")
-    return documents.missing_styles(documents.styles(docs, own, _STYLES), templates)
+    return documents.missing_styles(documents.styles(docs, own(6, 2, "shrill").unionByName(own(3, 1, "loud")), _STYLES), templates)
 
 
 @query("SELECT event_id, 'repo-' || (user_id % 8) AS repo_id, CASE WHEN event_id % 3 = 0 THEN 'own' WHEN event_id % 3 = 1 THEN 'sent' END AS local_path FROM events WHERE user_id % 8 >= 6")
