@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import join_small, stage, table
 
 #: Ids of a shard, about: what one grammar covers and a task holds at once. A longer document is a shard of its own.
-SHARD_IDS = 4_000_000
+SHARD_IDS = 2_000_000
 #: Rounds of replacement, pairs replaced in one, least occurrences of a pair.
 ROUNDS, PAIRS, LEAST = 6, 4000, 32
 #: Symbols of a shard at most, so that two bytes hold one where the vocabulary allows it.
@@ -23,7 +25,7 @@ SYMBOLS = 1 << 16
 #: Binary logarithm of the slots in which a round looks pairs up.
 SLOT_BITS = 17
 #: Ids that end documents, and pieces of text whose ids a task remembers.
-END, REMEMBERED = 0, 400_000
+END, REMEMBERED = 0, 250_000
 #: Bytes of text given to the tokenizer in one call.
 CALL_BYTES = 20_000
 #: Characters around a space at which a byte-level tokenizer surely parts, whatever else stands there. The others stay together.
@@ -32,6 +34,16 @@ _PLAIN = re.compile(f"[{_SURE}](?:.*[{_SURE}])?", re.DOTALL)
 _PLAIN_END = re.compile(f"[{_SURE}]$(?!\n)")
 _PARTS = re.compile(f"(?<=[{_SURE}]) (?=[{_SURE}])")
 
+
+class _Remembered(dict):
+    """Ids by word, and behind them those of the texts at hand, which are forgotten afterwards."""
+
+    passing: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.passing[word]
+
+
 SHARDS = (
     "part int, seq int, n_ids long, doc_ids array<long>, ends array<long>, symbol_ends array<long>, width int, first_rule int, "
     "left binary, right binary, lengths array<int>, symbols binary"
@@ -56,7 +68,7 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.size <= SYMBOLS else "<u4")
         self.bytes_of = np.zeros(self.size, np.int64)
         self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]  # one character stands for one byte
-        self.known: dict[str, bytes] = {}
+        self.known = _Remembered()
         self.end = np.array([END], self.kind).tobytes()
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
@@ -86,10 +98,10 @@ class Encoder:
                 parted[i] = _PARTS.split(texts[i] or "")
                 plain[i] = parted[i][1:]
                 new.update(w for w in plain[i] if w not in self.known)
-        learnt = self._learn(list(new)) if new else {}
-        known = self.known | learnt if len(self.known) >= REMEMBERED else self.known
-        if known is self.known:
-            known.update(learnt)
+        known = self.known
+        known.passing = self._learn(list(new)) if new else {}
+        if (room := REMEMBERED - len(known)) > 0:
+            known.update(itertools.islice(known.passing.items(), room))
         heads = self._encoded([p[0] for p in parted])
         return [b"".join((h.tobytes(), *map(known.__getitem__, p), self.end)) for h, p in zip(heads, plain, strict=True)]
 
@@ -206,11 +218,11 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, shard_ids: int) -> Ite
     raw: list[bytes] = []
     held = 0
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        size = np.cumsum([len(t or "") for t in texts])
-        cuts = [0, *(np.flatnonzero(np.diff(size // (2 * shard_ids))) + 1), len(texts)]
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+        cuts = [0, *(np.flatnonzero(np.diff(size // (2 * shard_ids))) + 1), len(size)]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            for doc_id, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), encoder.encode(texts[a:b]), strict=True):
+            own, texts = (batch.column(i).slice(a, b - a).to_pylist() for i in (0, 1))
+            for doc_id, ids in zip(own, encoder.encode(texts), strict=True):
                 doc_ids.append(doc_id)
                 raw.append(ids)
                 held += len(ids) // encoder.kind.itemsize
