@@ -22,7 +22,7 @@ BITS = 26
 #: Buckets counted in one row, and rows that one task adds up.
 BLOCK_BITS, FAN_IN = 19, 32
 #: Bytes whose phrases are hashed at once.
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 6_000_000
 #: Ranges of a language's phrases that are ranked first on their own.
 SALTS = 32
 #: A-Z lower-cased; sentence marks and line ends part pieces, tabs part words.
@@ -91,29 +91,15 @@ def _candidates(words: _Words, k: int, frequent: np.ndarray | None, buckets: np.
     return at if buckets is None else at[_held(buckets, words.of(k)[at])]
 
 
-class _Buckets:
-    """Occurrences by bucket, at most 255 each, which decides any threshold up to it."""
-
-    def __init__(self, bits: int) -> None:
-        self.bits, self.at, self.n = bits, np.empty(0, np.uint32), np.empty(0, np.uint8)
-
-    def add(self, hashes: np.ndarray) -> None:
-        at, n = np.unique((hashes >> np.uint64(64 - self.bits)).astype(np.uint32), return_counts=True)
-        both = np.concatenate((self.at, at))
-        total = np.concatenate((self.n.astype(np.int64), n))
-        order = np.argsort(both, kind="stable")
-        both, total = both[order], total[order]
-        first = np.flatnonzero(np.diff(both, prepend=np.uint32(0)) != 0) if len(both) else both
-        first = np.union1d([0], first) if len(both) else first
-        self.at = both[first]
-        self.n = np.minimum(np.add.reduceat(total, first), 255).astype(np.uint8) if len(both) else self.n
-
-    def rows(self, part: int) -> Iterator[tuple]:
-        per = min(BLOCK_BITS, self.bits)
-        block = self.at >> np.uint32(per)
-        for s in np.split(np.arange(len(block)), np.flatnonzero(np.diff(block)) + 1) if len(block) else ():
-            inside = self.at[s] & np.uint32((1 << per) - 1)
-            yield (part, int(block[s[0]]), len(s), _planes(inside), self.n[s].tobytes())
+def _bucket_rows(hashes: np.ndarray, bits: int, part: int) -> Iterator[pa.RecordBatch]:
+    """Occurrences by bucket, at most 255 each, which decides any threshold up to it; a row per block of buckets."""
+    at, n = np.unique((hashes >> np.uint64(64 - bits)).astype(np.uint32), return_counts=True)
+    per = min(BLOCK_BITS, bits)
+    block = at >> np.uint32(per)
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), len(at)] if len(at) else [0]
+    rows = [(part, int(block[a]), b - a, _planes(at[a:b] & np.uint32((1 << per) - 1)), np.minimum(n[a:b], 255).astype(np.uint8).tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
+    if rows:
+        yield _batch(dict(zip(("part", "block", "size", "buckets", "counts"), zip(*rows, strict=True), strict=True)))
 
 
 def _planes(ascending: np.ndarray) -> bytes:
@@ -130,44 +116,49 @@ def _batch(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _SCHEMA], schema=_SCHEMA)
 
 
-def _bucket_batches(counted: _Buckets) -> Iterator[pa.RecordBatch]:
-    rows = list(counted.rows(TaskContext.get().partitionId()))
-    if rows:
-        yield _batch(dict(zip(("part", "block", "size", "buckets", "counts"), zip(*rows, strict=True), strict=True)))
-
-
 def _seed(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
 
 
+def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """Texts of a language in slices of about SLICE_BYTES."""
+    held: dict[str, list[bytes]] = {}
+    size: dict[str, int] = {}
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            for lang, text in zip(*(batch.column(i).slice(a, 256).to_pylist() for i in (0, 1)), strict=True):
+                if text:
+                    raw = text.encode("utf-8", "surrogatepass")
+                    held.setdefault(lang, []).append(raw)
+                    size[lang] = size.get(lang, 0) + len(raw)
+                    if size[lang] >= SLICE_BYTES:
+                        yield from ((lang, data) for data in _slices(b"\n".join(held.pop(lang)).translate(_PIECES)))
+                        size[lang] = 0
+    for lang, texts in held.items():
+        yield from ((lang, data) for data in _slices(b"\n".join(texts).translate(_PIECES)))
+
+
 def _pass(batches: Iterator[pa.RecordBatch], k: int, longest: int, bits: int, frequent: np.ndarray | None, buckets: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Counts of phrases of k words that may be frequent, and bucket counts of those of k + 1 words whose parts may be."""
-    counted = _Buckets(bits)
-    for batch in batches:
-        by_lang: dict[str, list[bytes]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if text:
-                by_lang.setdefault(lang, []).append(text.encode("utf-8", "surrogatepass"))
-        for lang, texts in by_lang.items():
-            for data in _slices(b"\n".join(texts).translate(_PIECES)):
-                words = _Words(data, _seed(lang))
-                at = _candidates(words, k, frequent, buckets)
-                hashes, first, n = np.unique(words.of(k)[at], return_index=True, return_counts=True)
-                if len(hashes):
-                    yield _batch({"lang": [lang] * len(hashes), "phrase": [words.phrase(a, k) for a in at[first].tolist()], "hash": hashes.view(np.int64), "n": n})
-                if k < longest:
-                    may = np.zeros(len(words.hashes), bool)
-                    may[at] = True
-                    longer = np.flatnonzero(words.within(k + 1))
-                    counted.add(words.of(k + 1)[longer[may[longer] & may[longer + 1]]])
-    yield from _bucket_batches(counted)
+    part = TaskContext.get().partitionId() << 20
+    for lang, data in _by_lang(batches):
+        words = _Words(data, _seed(lang))
+        at = _candidates(words, k, frequent, buckets)
+        hashes, first, n = np.unique(words.of(k)[at], return_index=True, return_counts=True)
+        if len(hashes):
+            yield _batch({"lang": [lang] * len(hashes), "phrase": [words.phrase(a, k) for a in at[first].tolist()], "hash": hashes.view(np.int64), "n": n})
+        if k < longest:
+            may = np.zeros(len(words.hashes), bool)
+            may[at] = True
+            longer = np.flatnonzero(words.within(k + 1))
+            yield from _bucket_rows(words.of(k + 1)[longer[may[longer] & may[longer + 1]]], bits, part)
+            part += 1
 
 
 def _of_phrases(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    counted = _Buckets(bits)
-    for batch in batches:
-        counted.add(batch.column(0).to_numpy().view(np.uint64))
-    yield from _bucket_batches(counted)
+    part = TaskContext.get().partitionId() << 20
+    for i, batch in enumerate(batches):
+        yield from _bucket_rows(batch.column(0).to_numpy().view(np.uint64), bits, part + i)
 
 
 def _add_up(pdf: pd.DataFrame, per: int) -> pd.DataFrame:
@@ -176,21 +167,21 @@ def _add_up(pdf: pd.DataFrame, per: int) -> pd.DataFrame:
     for n, at, c in zip(pdf["size"], pdf["buckets"], pdf["counts"], strict=True):
         total[_numbers(at, n)] += np.frombuffer(c, np.uint8)
     at = np.flatnonzero(total)
-    return pd.DataFrame({"part": [pdf["part"].iloc[0] // FAN_IN], "block": [pdf["block"].iloc[0]], "size": [len(at)], "buckets": [_planes(at)], "counts": [np.minimum(total[at], 255).astype(np.uint8).tobytes()]})
+    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "block": [pdf["block"].iloc[0]], "size": [len(at)], "buckets": [_planes(at)], "counts": [np.minimum(total[at], 255).astype(np.uint8).tobytes()]})
 
 
 def _bits(rows: DataFrame, bits: int, least: int, name: str) -> np.ndarray:
     """Bits of the buckets with least occurrences; 2 ** (bits - 3) bytes reach the driver, whatever the corpus.
 
-    rows (part, block, size, buckets, counts) are added up in a tree of FAN_IN, so no task holds a block's rows of all parts.
+    rows (part, block, size, buckets, counts) are added up in a tree of FAN_IN, so no task holds a block's rows of all parts (a slice of a task's texts each).
     """
     per = min(BLOCK_BITS, bits)
     schema = "part long, block int, size int, buckets binary, counts binary"
     rows = rows.select("part", "block", "size", "buckets", "counts")
     while True:
-        parts = rows.agg(F.max("part")).first()[0]
-        rows = rows.groupBy("block", F.floor(F.col("part") / FAN_IN)).applyInPandas(lambda pdf: _add_up(pdf, per), schema)
-        if (parts or 0) < FAN_IN:
+        groups = -(-rows.select("part").distinct().count() // FAN_IN)
+        rows = rows.groupBy("block", F.pmod(F.xxhash64("part"), F.lit(max(groups, 1)))).applyInPandas(lambda pdf: _add_up(pdf, per), schema)
+        if groups <= 1:
             break
         rows = stage(rows, name)
 
