@@ -27,9 +27,10 @@ BROADCAST_PAIRS = 2_000_000
 #: Bytes of terms: ASCII letters (lower-cased), digits and all of UTF-8's longer sequences; the others part terms.
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
+_INT, _LONG = np.dtype("<i4"), np.dtype("<i8")
 _INDEX = (
-    "block long, n_docs long, n_terms long, doc_ids array<long>, lengths array<int>, docs array<int>, at array<int>, tf array<int>, "
-    "terms array<long>, df array<int>, max_tf array<int>, min_n array<int>"
+    "block long, n_docs long, n_terms long, doc_ids array<long>, lengths binary, docs binary, at binary, tf binary, "
+    "terms binary, df binary, max_tf binary, min_n binary"
 )
 
 
@@ -50,10 +51,10 @@ def _block(block: int, doc_ids: pa.Array, texts: pa.Array) -> list[pa.Array]:
     first = np.searchsorted(at[by_term], np.arange(len(terms)))
     most = np.maximum.reduceat(tf[by_term], first) if len(terms) else tf
     least = np.minimum.reduceat(lengths[doc[by_term]], first) if len(terms) else tf
-    row = [doc_ids, lengths, doc, at, tf, terms, np.diff(first, append=len(at)), most, least]
-    kinds = [pa.int64(), *[pa.int32()] * 4, pa.int64(), *[pa.int32()] * 3]
     numbers = [pa.array([v], pa.int64()) for v in (block, int((lengths > 0).sum()), int(lengths.sum()))]
-    return numbers + [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v).cast(k)) for v, k in zip(row, kinds, strict=True)]
+    ids = pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)
+    row = [(lengths, _INT), (doc, _INT), (at, _INT), (tf, _INT), (terms, _LONG), (np.diff(first, append=len(at)), _INT), (most, _INT), (least, _INT)]
+    return [*numbers, ids, *(pa.array([v.astype(kind).tobytes()]) for v, kind in row)]
 
 
 def _index(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -69,7 +70,7 @@ def _index(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.R
 def build_index(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Forward index of documents (doc_id, text) in blocks of consecutive rows, one row per block.
 
-    docs, at and tf are the block's entries in document order: position of the document, of the
+    docs, at and tf are the block's entries in document order, packed: position of the document, of the
     term in terms, and occurrences. For each term df, max_tf and min_n hold the documents with it,
     its most occurrences in one and the least length of one, from which a bound follows under any
     corpus statistics: blocks can be added without touching others. A term is a 64-bit hash.
@@ -97,20 +98,33 @@ def _impact(tf: Column, n: Column, n_docs: int, n_terms: int) -> Column:
     return F.call_function("div", tf.cast("long") * 1_000_000_000, tf.cast("long") * 1000 + (F.call_function("div", n.cast("long") * (50 * n_docs), F.lit(n_terms)) + 50) * 20)
 
 
+def _packed(batch: pa.RecordBatch, name: str, r: int) -> np.ndarray:
+    return np.frombuffer(batch.column(name)[r].as_buffer(), _LONG if name == "terms" else _INT).astype(np.int64)
+
+
+def _hits(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What blocks hold of the wanted terms, in ascending order: block, term, df, max_tf, min_n."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            terms = _packed(batch, "terms", r)
+            at = np.flatnonzero(np.isin(terms, wanted, assume_unique=True))
+            columns = [pa.array(_packed(batch, c, r)[at], pa.int64()) for c in ("terms", "df", "max_tf", "min_n")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), batch.column("block")[r].as_py()), pa.int64()), *columns], names=["block", "term", "df", "max_tf", "min_n"])
+
+
 def _score(batches: Iterator[pa.RecordBatch], items: dict[int, tuple[np.ndarray, np.ndarray]], k: int, n_docs: int, n_terms: int) -> Iterator[pa.RecordBatch]:
     """The k best documents of each block for each item (terms and weights) that asks for it."""
     for batch in batches:
         for r in range(batch.num_rows):
-            value = lambda name: batch.column(name)[r].values  # noqa: E731, B023
-            lengths, doc, at, tf, terms, df = (value(c).to_numpy().astype(np.int64) for c in ("lengths", "docs", "at", "tf", "terms", "df"))
+            lengths, doc, at, tf, terms, df = (_packed(batch, c, r) for c in ("lengths", "docs", "at", "tf", "terms", "df"))
             by_term = np.argsort(at, kind="stable")
             doc, tf = doc[by_term], tf[by_term]
             impact = (1_000_000_000 * tf) // (1000 * tf + 20 * (50 + (50 * n_docs * lengths) // n_terms)[doc])
             ends = np.cumsum(df)
-            ids = value("doc_ids")
+            ids = batch.column("doc_ids")[r].values
             order = np.where(ids.is_null().to_numpy(zero_copy_only=False), np.iinfo(np.int64).min, ids.fill_null(0).to_numpy())
             out: list[tuple[np.ndarray, ...]] = []
-            for item in value("asked").to_pylist():
+            for item in batch.column("asked")[r].as_py():
                 wanted, weight = items[item]
                 place = np.minimum(np.searchsorted(terms, wanted), max(len(terms) - 1, 0))
                 place, weight = (x[terms[place] == wanted] for x in (place, weight)) if len(terms) else (place[:0], weight[:0])
@@ -151,25 +165,27 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, rounds: Sequence[i
     wanted = stage(query_terms(queries), "query-terms")
     whole = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("n_terms")).first()
     n_docs, n_terms = whole["n_docs"], max(whole["n_terms"], 1)
-    maxima = index.select("block", F.inline(F.arrays_zip("terms", "df", "max_tf", "min_n"))).withColumnRenamed("terms", "term")
-    hits = stage(join_small(maxima, stage(wanted.select("term").distinct(), "distinct-terms"), ["term"]), "block-hits")
-    weight = F.floor(1000 * F.log(F.lit(2.0 * n_docs + 2) / (2 * F.sum("df") + 1))).cast("long").alias("weight")
-    weighted = stage(join_small(wanted, stage(hits.groupBy("term").agg(weight), "term-weights"), ["term"]), "weighted-terms")
-    slices = max(1, -(-weighted.count() // SLICE_TERMS))
+    slices = max(1, -(-wanted.count() // SLICE_TERMS))
     out = None
     for i in range(slices):
-        own = weighted if slices == 1 else weighted.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == i)
-        found = _search(index, hits, own, k, rounds, n_docs, n_terms)
+        own = wanted if slices == 1 else wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == i)
+        found = _search(index, own, k, rounds, n_docs, n_terms)
         out = found if out is None else out.unionByName(found)
     return out.select("item_id", "rank", "doc_id", "score")
 
 
-def _search(index: DataFrame, hits: DataFrame, weighted: DataFrame, k: int, rounds: Sequence[int], n_docs: int, n_terms: int) -> DataFrame:
-    """The k best of each item of weighted (item_id, term, weight), which has SLICE_TERMS rows, about."""
+def _search(index: DataFrame, wanted: DataFrame, k: int, rounds: Sequence[int], n_docs: int, n_terms: int) -> DataFrame:
+    """The k best of each item of wanted (item_id, term), which has SLICE_TERMS rows, about."""
+    context = index.sparkSession.sparkContext
+    terms = context.broadcast(np.sort(wanted.select("term").distinct().toPandas()["term"].to_numpy(np.int64)))
+    held = index.select("block", "terms", "df", "max_tf", "min_n")
+    hits = stage(held.mapInArrow(lambda batches: _hits(batches, terms.value), "block long, term long, df long, max_tf long, min_n long"), "block-hits")
+    weight = F.floor(1000 * F.log(F.lit(2.0 * n_docs + 2) / (2 * F.sum("df") + 1))).cast("long").alias("weight")
+    weighted = stage(wanted.join(hits.groupBy("term").agg(weight), "term"), "weighted-terms")
     items: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for item, g in weighted.toPandas().groupby("item_id"):
         items[item] = (g["term"].to_numpy(np.int64), g["weight"].to_numpy(np.int64))
-    shared = index.sparkSession.sparkContext.broadcast(items)
+    shared = context.broadcast(items)
     most = F.sum(F.col("weight") * _impact(F.col("max_tf"), F.col("min_n"), n_docs, n_terms)).alias("bound")
     left = stage(join_small(hits, weighted, ["term"]).groupBy("item_id", "block").agg(most).where("bound > 0"), "block-bounds")
     by_bound = Window.partitionBy("item_id").orderBy(F.col("bound").desc(), "block")
