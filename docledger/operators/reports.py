@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docledger.functions.text import cell, directories, path_class
 from docledger.operators import layout
 from docledger.operators.documents import ticket
+from docledger.operators.trace import FEATURE_ID
 
 #: What a reviewer ticks off before a ticket closes, by verdict: text and whether the engine can tell by itself (fixed values).
 CHECKLIST = {
@@ -84,9 +85,9 @@ def gap_sections(suggestions: DataFrame) -> DataFrame:
 def catalog_problems(features: DataFrame, modules: DataFrame) -> DataFrame:
     """Rules of a feature catalog (feature_id, modules) that are broken, as (feature_id, problem).
 
-    Ids are capital letters, a dash and digits; each occurs once; a feature names one module at least, and known ones only.
+    Ids are FEAT, a subsystem and three digits; each occurs once; a feature names one module at least, and known ones only.
     """
-    bad_id = features.where(~F.col("feature_id").rlike(r"^[A-Z]+-[0-9]+\z")).select("feature_id", F.lit("bad_id").alias("problem"))
+    bad_id = features.where(~F.col("feature_id").rlike(FEATURE_ID)).select("feature_id", F.lit("bad_id").alias("problem"))
     twice = features.groupBy("feature_id").count().where("count > 1").select("feature_id", F.lit("duplicate_id").alias("problem"))
     empty = features.where(F.coalesce(F.size("modules"), F.lit(0)) <= 0).select("feature_id", F.lit("no_modules").alias("problem"))
     named = features.select("feature_id", F.explode("modules").alias("module"))
@@ -141,23 +142,6 @@ def unit_owners(docs: DataFrame, units: DataFrame) -> DataFrame:
     return docs.join(units.select("unit", F.col("owner").alias("inherited")), "unit", "left")
 
 
-def json_records(texts: DataFrame, records_key: str = "*", name_field: str = "name") -> DataFrame:
-    """Rows of a list in JSON objects (path, text), as (path, name, fields): fields by key, without the name.
-
-    records_key names the list; * takes the only key that holds one. Values are as text. A text that is no object, or has no such
-    list or several, gives one row with an error in problem.
-    """
-    whole = F.when(F.ltrim("text").startswith("{"), F.from_json("text", "map<string,string>"))
-    rows = texts.withColumn("whole", whole).withColumn("lists", F.map_filter("whole", lambda k, v: v.startswith("[")))
-    one = F.size("lists") == 1 if records_key == "*" else F.map_contains_key("lists", records_key)
-    rows = rows.withColumn("problem", F.when(F.col("whole").isNull(), "no_object").when(~one, "no_list"))
-    rows = rows.withColumn("key", F.get(F.map_keys("lists"), 0) if records_key == "*" else F.lit(records_key))
-    items = F.when(F.col("problem").isNull(), F.from_json(F.element_at("lists", F.col("key")), "array<map<string,string>>"))
-    found = rows.select("path", "problem", F.explode_outer(items).alias("item")).where("problem is not null or item is not null")
-    fields = F.array_sort(F.transform(F.map_entries(F.map_filter("item", lambda k, v: k != name_field)), lambda e: F.concat_ws("=", e["key"], e["value"])))
-    return found.select("path", "problem", F.when(F.col("item").isNotNull(), F.coalesce(F.try_element_at("item", F.lit(name_field)), F.lit("?"))).alias("name"), F.when(F.col("item").isNotNull(), F.array_join(fields, ",")).alias("fields"))
-
-
 def coverage_lines(units: DataFrame, gaps: DataFrame) -> DataFrame:
     """A coverage report as lines in order: (part, key, pos, line); units before what is undocumented.
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docledger.sources.extractors import SHELL_GETOPTS, SHELL_LABEL
+
 #: A function's header: name() { or function name {, up to the brace.
-_HEADER = r"^\s*(?:function\s+([A-Za-z_][\w.-]*)\s*(?:\(\s*\))?|([A-Za-z_][\w.-]*)\s*\(\s*\))\s*\{"
-_GETOPTS = r"""getopts\s+"?:?([A-Za-z:]+)"?\s+\w+"""
-_CASE = r"(--?[A-Za-z][\w-]*)(?=[)|])"
+_HEADER = r"^\s*(?:function\s+([A-Za-z_]\w*)\s*(?:\(\s*\))?|([A-Za-z_]\w*)\s*\(\s*\))\s*\{"
+_GETOPTS, _CASE = SHELL_GETOPTS, SHELL_LABEL
 
 
 def _lines_to_close(rest: Column) -> Column:

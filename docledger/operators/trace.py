@@ -31,11 +31,22 @@ def regions(docs: DataFrame, begin: str = r"^\s*<!--\s*BEGIN\s+(\S+)\s*-->\s*$",
     return found.join(inside.drop("region"), ["doc_id", "start"], "left").withColumn("body", F.coalesce("body", F.lit("")))
 
 
-def tags(docs: DataFrame, marker: str = r"(?i:features?)\s*:\s*([A-Z0-9][A-Z0-9 ,-]*)", id_pattern: str = r"[A-Z]+-[0-9]+") -> DataFrame:
-    """Ids after a marker, by line from 1; ids in plain prose do not count."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+#: A feature's id, alone and within a text, and the marker with the run of ids behind it.
+FEATURE_ID = r"^FEAT-[A-Z][A-Z0-9]*-\d{3}$"
+FEATURE_IN_TEXT = r"\bFEAT-[A-Z][A-Z0-9]*-\d{3}\b"
+FEATURE_TAG = r"(?i)\bFeatures?:\s*(FEAT-[A-Z0-9 ,\-]+)"
+#: What ends a line.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def tags(docs: DataFrame, marker: str = FEATURE_TAG, id_pattern: str = FEATURE_IN_TEXT) -> DataFrame:
+    """Ids after a marker in bodies (doc_id, text), by line from 1, one row each; ids in plain prose do not count.
+
+    Lines without the marker are dropped before anything is extracted.
+    """
+    lines = docs.select("doc_id", F.posexplode(F.split("text", LINE_END)).alias("pos", "line")).where(F.col("line").rlike(marker))
     runs = lines.select("doc_id", (F.col("pos") + 1).alias("line"), F.explode(F.regexp_extract_all("line", F.lit(marker), F.lit(1))).alias("run"))
-    return runs.select("doc_id", "line", F.explode(F.regexp_extract_all("run", F.lit(id_pattern), F.lit(0))).alias("feature_id")).distinct()
+    return runs.select("doc_id", "line", F.explode(F.regexp_extract_all("run", F.lit(id_pattern), F.lit(0))).alias("feature_id"))
 
 
 def trace_matrix(features: DataFrame, refs: DataFrame) -> DataFrame:

@@ -298,22 +298,29 @@ def region_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
-    tag = F.concat(F.lit("Features: F-"), F.col("doc_id") % 30, F.lit(", G-"), F.col("doc_id") % 7, F.lit(" done; see H-1"))
-    return A.bodies(spark, d).select("doc_id", F.concat("text", F.lit("\n"), tag).alias("text"))
+    """Bodies with a line of tags behind them, of another case in every third, and none that is well-formed in every fifth."""
+    n = F.col("doc_id")
+    marker = F.when(n % 3 == 0, "FEATURES: ").otherwise("see Feature:  ")
+    first = F.when(n % 5 == 0, F.lit("FEAT-EXTRACT-12")).otherwise(F.format_string("FEAT-EXTRACT-%03d", n % 30))
+    tag = F.concat(marker, first, F.lit(", "), F.format_string("FEAT-CONFIGV2-%03d", n % 7), F.lit(" done; as in FEAT-PROSE-001\nFEAT-PROSE-002"))
+    return A.bodies(spark, d).select("doc_id", F.concat(F.translate("text", "\r\v\f", "   "), F.lit("\n"), tag).alias("text"))
 
 
-@query("""SELECT doc_id, len(string_split(text, chr(10))) + 1 AS line, unnest(['F-' || (doc_id % 30), 'G-' || (doc_id % 7)]) AS feature_id FROM documents""")
+_TAGS = "SELECT doc_id, len(string_split(text, chr(10))) + 1 AS line, unnest(list_concat(CASE WHEN doc_id % 5 = 0 THEN [] ELSE [printf('FEAT-EXTRACT-%03d', doc_id % 30)] END, [printf('FEAT-CONFIGV2-%03d', doc_id % 7)])) AS feature_id FROM documents WHERE text IS NOT NULL"
+
+
+@query(_TAGS)
 def tag_scan(spark: SparkSession, d: str) -> DataFrame:
     return trace.tags(_tagged(spark, d)).select("doc_id", F.col("line").cast("long").alias("line"), "feature_id")
 
 
-@query("""WITH e AS (SELECT doc_id, unnest(['F-' || (doc_id % 30), 'G-' || (doc_id % 7)]) AS feature_id, CASE WHEN doc_id % 2 = 0 THEN 'test' ELSE 'demo' END AS kind FROM documents),
-  g AS (SELECT feature_id, bool_or(kind = 'test') AS t, bool_or(kind = 'demo') AS m, count(DISTINCT doc_id) AS n FROM e GROUP BY 1), f AS (SELECT 'F-' || i AS feature_id FROM range(40) r(i))
+@query(f"""WITH e AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'test' ELSE 'demo' END AS kind FROM ({_TAGS})),
+  g AS (SELECT feature_id, bool_or(kind = 'test') AS t, bool_or(kind = 'demo') AS m, count(DISTINCT doc_id) AS n FROM e GROUP BY 1), f AS (SELECT printf('FEAT-EXTRACT-%03d', i) AS feature_id FROM range(40) r(i))
   SELECT coalesce(f.feature_id, g.feature_id) AS feature_id, coalesce(t, false) AS has_test, coalesce(m, false) AS has_demo, coalesce(n, 0) AS n_paths,
   CASE WHEN f.feature_id IS NULL THEN 'unknown' WHEN NOT coalesce(t, false) THEN 'no_test' WHEN NOT coalesce(m, false) THEN 'no_demo' ELSE 'complete' END AS status FROM f FULL JOIN g ON f.feature_id = g.feature_id""")
 def trace_matrix(spark: SparkSession, d: str) -> DataFrame:
     refs = trace.tags(_tagged(spark, d)).select("feature_id", F.when(F.col("doc_id") % 2 == 0, "test").otherwise("demo").alias("kind"), F.col("doc_id").alias("path"))
-    features = spark.range(40).select(F.concat(F.lit("F-"), F.col("id")).alias("feature_id"))
+    features = spark.range(40).select(F.format_string("FEAT-EXTRACT-%03d", "id").alias("feature_id"))
     return trace.trace_matrix(features, refs)
 
 

@@ -173,17 +173,17 @@ def acceptance_checklist(spark: SparkSession, d: str) -> DataFrame:
 def _features(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("p_partkey")
     modules = F.when(n % 10 == 0, F.array().cast("array<string>")).when(n % 10 == 1, F.array("p_brand", F.lit("nowhere"))).otherwise(F.array("p_brand"))
-    return A.raw(spark, d, "part").select(F.concat(F.when(n % 7 == 0, "f-").otherwise("F-"), n - F.when(n % 5 == 0, 1).otherwise(0)).alias("feature_id"), F.col("p_type").alias("subsystem"), modules.alias("modules"))
+    return A.raw(spark, d, "part").select(F.format_string("%s-%03d", F.when(n % 7 == 0, "FEAT-extract").otherwise("FEAT-EXTRACT"), n - F.when(n % 5 == 0, 1).otherwise(0)).alias("feature_id"), F.col("p_type").alias("subsystem"), modules.alias("modules"))
 
 
-@query("""WITH f AS (SELECT p_partkey AS n, CASE WHEN p_partkey % 7 = 0 THEN 'f-' ELSE 'F-' END || (p_partkey - (p_partkey % 5 = 0)::INT) AS id FROM part)
-  SELECT id AS feature_id, 'bad_id' AS problem FROM f WHERE n % 7 = 0 UNION ALL SELECT id, 'duplicate_id' FROM f GROUP BY id HAVING count(*) > 1
+@query("""WITH f AS (SELECT p_partkey AS n, printf('%s-%03d', CASE WHEN p_partkey % 7 = 0 THEN 'FEAT-extract' ELSE 'FEAT-EXTRACT' END, p_partkey - (p_partkey % 5 = 0)::INT) AS id FROM part)
+  SELECT id AS feature_id, 'bad_id' AS problem FROM f WHERE n % 7 = 0 OR len(id) <> 16 UNION ALL SELECT id, 'duplicate_id' FROM f GROUP BY id HAVING count(*) > 1
   UNION ALL SELECT id, 'no_modules' FROM f WHERE n % 10 = 0 UNION ALL SELECT DISTINCT id, 'unknown_module' FROM f WHERE n % 10 = 1""")
 def feature_catalog_problems(spark: SparkSession, d: str) -> DataFrame:
     return reports.catalog_problems(_features(spark, d), A.raw(spark, d, "part").select(F.col("p_brand").alias("module")).distinct())
 
 
-@query("""SELECT p_type AS subsystem, count(*) AS n, string_agg(CASE WHEN p_partkey % 7 = 0 THEN 'f-' ELSE 'F-' END || (p_partkey - (p_partkey % 5 = 0)::INT), ',' ORDER BY CASE WHEN p_partkey % 7 = 0 THEN 'f-' ELSE 'F-' END || (p_partkey - (p_partkey % 5 = 0)::INT)) AS features FROM part GROUP BY 1""")
+@query("""SELECT p_type AS subsystem, count(*) AS n, string_agg(printf('%s-%03d', CASE WHEN p_partkey % 7 = 0 THEN 'FEAT-extract' ELSE 'FEAT-EXTRACT' END, p_partkey - (p_partkey % 5 = 0)::INT), ',' ORDER BY printf('%s-%03d', CASE WHEN p_partkey % 7 = 0 THEN 'FEAT-extract' ELSE 'FEAT-EXTRACT' END, p_partkey - (p_partkey % 5 = 0)::INT)) AS features FROM part GROUP BY 1""")
 def features_by_subsystem(spark: SparkSession, d: str) -> DataFrame:
     return reports.by_subsystem(_features(spark, d)).select("subsystem", F.size("features").cast("long").alias("n"), F.array_join("features", ",").alias("features"))
 
@@ -214,16 +214,6 @@ def unit_owners_and_ids(spark: SparkSession, d: str) -> DataFrame:
     return reports.edit_ids(rows).select("doc_id", "inherited", "edit_id", reports.token_hash(F.col("body")).alias("token"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS n, p_name, p_size FROM part)
-  SELECT 'f' || n AS path, CASE n % 5 WHEN 0 THEN 'no_object' WHEN 1 THEN 'no_list' END AS problem, CASE WHEN n % 5 > 1 THEN CASE WHEN n % 2 = 0 THEN p_name ELSE '?' END END AS name, CASE WHEN n % 5 > 1 THEN 'a=' || p_size || ',b=x' END AS fields FROM p
-  UNION ALL SELECT 'f' || n, NULL, 'second', '' FROM p WHERE n % 5 > 1""")
-def json_records(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("p_partkey")
-    row = F.to_json(F.struct(F.lit("x").alias("b"), F.col("p_size").alias("a"), F.when(n % 2 == 0, F.col("p_name")).alias("name")))
-    text = F.when(n % 5 == 0, "[1]").when(n % 5 == 1, '{"rows": 1}').otherwise(F.concat(F.lit('{"title": "t", "rows": ['), row, F.lit(', {"name": "second"}]}')))
-    return reports.json_records(A.raw(spark, d, "part").select(F.concat(F.lit("f"), n).alias("path"), text.alias("text")))
-
-
 @query("""SELECT event_id, substr(sha256('doc-' || user_id || chr(0) || substr(sha256(props), 1, 16) || chr(0) || event_type), 1, 12) AS record_id, CASE WHEN value IS NULL THEN 'review' WHEN value % 1 >= 0.9 THEN 'sync' WHEN value % 1 >= 0.6 THEN 'review' ELSE 'drift' END AS signal FROM events""")
 def record_ids_and_signals(spark: SparkSession, d: str) -> DataFrame:
     """The id that follows from a record's document, surface and time, and the signal of a coverage ratio."""
@@ -297,7 +287,7 @@ def hub_worklist(spark: SparkSession, d: str) -> DataFrame:
 
 def _scripts(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("p_partkey").cast("string")
-    head = F.concat(F.lit("#!/bin/sh\n# Sizes.\n#   of "), n, F.lit("\nsize_"), n, F.lit("() {\n  if [ $1 ]; then { echo "), n, F.lit("; }; fi\n}\n\nfunction _hidden { :; }\n# above\nopen() {\n  echo\n"))
+    head = F.concat(F.lit("#!/bin/sh\n# Sizes.\n#   of "), n, F.lit("\nsize_"), n, F.lit("() {\n  if [ $1 ]; then { echo "), n, F.lit("; }; fi\n}\n\nfunction _hidden { :; }\n# above\nopen() {\n  echo\n}\nno-name() {\n}\nno.name() {\n"))
     tail = F.when(F.col("p_partkey") % 2 == 0, 'while getopts ":ab:" o; do :; done\ncase $x in --long) ;; esac\n').otherwise("case $1 in -h|--help) ;; -x) ;; esac\n")
     return A.raw(spark, d, "part").select(F.concat(F.lit("s"), n, F.lit(".sh")).alias("path"), F.concat(head, tail).alias("text"))
 

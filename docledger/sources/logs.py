@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docledger.functions.text import language
+
 SYMBOL = "name string, kind string, signature string, lineno int, end_lineno int, docstring string, arg_names array<string>, body_hash string"
 #: Most characters of a variable's value in its signature.
 MOST_VALUE = 48
@@ -113,7 +115,7 @@ def python_symbols(files: DataFrame) -> DataFrame:
 
 def symbol_inventory(files: DataFrame) -> DataFrame:
     """Files (path, text) with the names of their Python symbols in order of line; none for files without any and of other kinds."""
-    names = python_symbols(files.where(F.col("path").endswith(".py"))).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("lineno", "name"))).alias("s"))
+    names = python_symbols(files.where(language(F.col("path")) == "python")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("lineno", "name"))).alias("s"))
     found = F.transform("s", lambda x: x["name"])
     return files.select("path").join(names, "path", "left").select("path", F.coalesce(found, F.array().cast("array<string>")).alias("symbols"))
 

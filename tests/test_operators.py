@@ -197,8 +197,8 @@ def test_regions(spark):
 
 
 def test_tags_need_a_marker(spark):
-    got = trace.tags(spark.createDataFrame([("d", "see F-1\nfeature: F-2, G-3 and H-4\nFEATURES: f-5")], "doc_id string, text string"))
-    assert rows(got, "line", "feature_id") == [(2, "F-2"), (2, "G-3")]
+    got = trace.tags(spark.createDataFrame([("d", "see FEAT-A-001\nfeature: FEAT-A-002, FEAT-B-003; FEAT-C-004\nFEATURES: feat-a-005")], "doc_id string, text string"))
+    assert rows(got, "line", "feature_id") == [(2, "FEAT-A-002"), (2, "FEAT-B-003")]
 
 
 def test_scope_replace_leaves_the_sibling(spark, tmp_path):
