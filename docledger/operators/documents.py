@@ -103,7 +103,7 @@ def json_object(reply: Column) -> Column:
 
     def step(s: Column, x: Column) -> Column:
         mark = F.substring(x, -1, 1)
-        escaped = x.rlike(r"(?s)\\.\z")
+        escaped = s["quoted"] & x.rlike(r"(?s)\\.\z")  # outside strings a backslash is a character like others
         free = ~s["quoted"] & ~escaped
         depth = s["depth"] + F.when(free & (mark == "{"), 1).when(free & (mark == "}"), -1).otherwise(0)
         at = s["at"] + F.char_length(x)

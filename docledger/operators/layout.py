@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docledger.functions.text import body_hash
+from docledger.functions.text import body_hash, normalized
 from docledger.operators import trace
+from docledger.sources.headers import parsed_header
 
 #: Version of the layout that a document declares, and the name under which a derived page carries its source's hash.
 LAYOUT_VERSION = "1.0.0"
-HASH_META = "code-doc-md-sha256"
-_FENCED = r"\A---\n((?:.*\n)*?)---(?:\n|\z)"
+BLOCK = "cdm"
+HASH_META = "[a-z]+-docs?-md-sha256"
+_FENCED = r"\A---\n((?:.*\n)*?)---\n"
 
 
 def header(text: Column) -> Column:
@@ -23,12 +25,6 @@ def body(text: Column) -> Column:
     return F.regexp_replace(text, _FENCED, "")
 
 
-def setting(head: Column, key: str, block: str = "cdm") -> Column:
-    """Value of block.key in a header with one level of nesting, without quotes; null where it is absent or empty."""
-    value = F.trim(F.regexp_extract(head, rf"(?m)^{block}:[ \t]*\n(?:[ \t]+.*\n)*?[ \t]+{key}:[ \t]*(.*)$", 1))
-    return F.nullif(F.regexp_replace(value, r"""^(["'])(.*)\1$""", "$2"), F.lit(""))
-
-
 def embedded_hash(html: Column) -> Column:
     """Hash of the source that a derived page carries in a meta tag."""
     return F.nullif(F.regexp_extract(html, HASH_META + r"""["'][^>]*?content=["']([0-9a-f]+)""", 1), F.lit(""))
@@ -58,18 +54,18 @@ def _codes(*found: tuple[str, Column]) -> Column:
 
 
 def lint(docs: DataFrame) -> DataFrame:
-    """Layout rules that documents break, as (doc_id, code, subject).
+    """Layout rules that documents break, as (doc_id, code, subject); codes are fixed values.
 
     docs: doc_id, audience, text, region_keys (array), html (whether a derived page is declared) and html_text (null where
-    it does not exist). A header that opens and never closes is malformed, and nothing else is told of it. Regions
-    with a wrong marker, or one id twice, are malformed, and their ids are not compared.
+    it does not exist). Line ends count as one whatever they are. A header that is no mapping, or that is not read, is malformed, and
+    nothing else is told of its document; one that never closes is none. Regions with a wrong marker, or one id
+    twice, are malformed, and their ids are not compared.
     """
-    opened = F.col("text").startswith("---\n") & ~F.col("text").rlike(_FENCED)
-    docs = docs.where("text is not null").withColumn("broken", opened)
-    head = header(F.col("text"))
-    filled = F.coalesce(head.rlike(r"\S"), F.lit(False))
+    docs = docs.where("text is not null").withColumn("text", normalized(F.col("text"))).withColumn("h", parsed_header(header(F.col("text")))).withColumn("broken", F.col("h.problem").isNotNull())
+    own = lambda key: F.try_element_at("h.fields", F.lit(f"{BLOCK}.{key}"))
+    filled = F.coalesce(F.size("h.fields") > 0, F.lit(False))
     lines = F.filter(F.split(body(F.col("text")), "\n"), lambda x: x.rlike(r"\S"))
-    rows = docs.withColumns({"version": setting(head, "schema_version"), "declared": setting(head, "audience"), "fingerprint": setting(head, "fingerprint"), "filled": filled, "lines": lines, "hash": body_hash(body(F.col("text"))), "embedded": embedded_hash(F.col("html_text"))})
+    rows = docs.withColumns({"version": own("schema_version"), "declared": own("audience"), "fingerprint": own("fingerprint"), "filled": filled, "lines": lines, "hash": body_hash(body(F.col("text"))), "embedded": embedded_hash(F.col("html_text"))})
     titled = F.coalesce(F.get("lines", 0).rlike(r"^#\s+\S"), F.lit(False))
     codes = _codes(
         ("MISSING_FRONT_MATTER", ~F.col("filled")),
@@ -140,7 +136,38 @@ def undeclared_and_missing(docs: DataFrame) -> DataFrame:
     return lint(docs).where("code in ('UNDECLARED_REGION', 'MISSING_REGION')")
 
 
-def replaced_regions(docs: DataFrame, bodies: DataFrame, begin: str = r"^\s*<!--\s*BEGIN\s+(\S+)\s*-->\s*$", end: str = r"^\s*<!--\s*END\s+(\S+)\s*-->\s*$") -> DataFrame:
+def index_gaps(docs: DataFrame) -> DataFrame:
+    """Documents that an index of their repository does not link, as (repo_id, doc_id: the index, missing_id, link).
+
+    docs: repo_id, doc_id, path, audience, html (whether a derived page exists), index, kinds (audiences that the index lists, null
+    for all) and text, which only indexes need; an index without a text is left out. A link counts wherever the relative path to
+    the source, or to its derived page, stands in the body after the header, even as a part of a longer word; link is the first of both
+    that would do. Words of the bodies are joined with the paths first, and only what they do not find is searched for in
+    the body, so that a body meets the documents that it may lack, and not all of its repository.
+    """
+    bodies = docs.where("index and text is not null").select("repo_id", F.col("doc_id").alias("index_id"), F.col("path").alias("index_path"), "kinds", body(normalized(F.col("text"))).alias("body"))
+    folder = F.when(F.col("index_path").contains("/"), F.regexp_replace("index_path", r"/[^/]*\z", "")).otherwise(F.lit(""))
+    target = docs.select("repo_id", F.col("doc_id").alias("missing_id"), "path", "audience", "html")
+    pairs = bodies.drop("body").join(target, "repo_id").where((F.col("missing_id") != F.col("index_id")) & (F.col("kinds").isNull() | F.array_contains("kinds", F.col("audience"))))
+    both = F.when(F.col("html"), F.array(relative_path(F.col("path"), folder), relative_path(html_twin(F.col("path")), folder))).otherwise(F.array(relative_path(F.col("path"), folder)))
+    pairs = pairs.select("repo_id", "index_id", "missing_id", F.array_sort(both).alias("links"))
+    words = bodies.select("repo_id", "index_id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"[^\s()<>\[\]\"'`#|]+"), F.lit(0)))).alias("link"))
+    found = pairs.select("repo_id", "index_id", "missing_id", F.explode("links").alias("link")).join(words, ["repo_id", "index_id", "link"], "left_semi").select("repo_id", "index_id", "missing_id").distinct()
+    left = pairs.join(found, ["repo_id", "index_id", "missing_id"], "left_anti").join(bodies.select("repo_id", "index_id", "body"), ["repo_id", "index_id"])
+    return left.where(~F.exists("links", lambda x: F.contains("body", x))).select("repo_id", F.col("index_id").alias("doc_id"), "missing_id", F.get("links", 0).alias("link"))
+
+
+def relative_path(target: Column, folder: Column) -> Column:
+    """A path as seen from a folder: one .. for each part that is left, then the parts that follow the common ones."""
+    parts = lambda c: F.filter(F.split(c, "/"), lambda x: x != "")
+    a, b = parts(folder), parts(target)
+    most = F.least(F.size(a), F.size(b))
+    differ = F.array_position(F.transform(F.sequence(F.lit(0), F.greatest(most - 1, F.lit(0))), lambda i: F.coalesce(F.get(a, i) == F.get(b, i), F.lit(False))), F.lit(False))
+    common = F.when(most == 0, 0).when(differ == 0, most).otherwise(differ - 1).cast("int")
+    return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(a) - common), F.slice(b, common + 1, F.greatest(F.size(b) - common, F.lit(0)))), "/")
+
+
+def replaced_regions(docs: DataFrame, bodies: DataFrame, begin: str = trace.BEGIN, end: str = trace.END) -> DataFrame:
     """Documents (doc_id, text) with the bodies of some regions (doc_id, region_id, body) replaced; all else stays byte for byte.
 
     Documents without such a region keep their text. changed tells whether it is another one.

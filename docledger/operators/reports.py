@@ -105,23 +105,13 @@ def tested_by(cases: DataFrame) -> DataFrame:
     return cases.select("nodeid", F.explode("features").alias("feature_id")).groupBy("feature_id").agg(F.array_sort(F.collect_set("nodeid")).alias("nodeids"))
 
 
-def relative_path(target: Column, folder: Column) -> Column:
-    """A path as seen from a folder: one .. for each part that is left, then the parts that follow the common ones."""
-    parts = lambda c: F.filter(F.split(c, "/"), lambda x: x != "")
-    a, b = parts(folder), parts(target)
-    most = F.least(F.size(a), F.size(b))
-    differ = F.array_position(F.transform(F.sequence(F.lit(0), F.greatest(most - 1, F.lit(0))), lambda i: F.coalesce(F.get(a, i) == F.get(b, i), F.lit(False))), F.lit(False))
-    common = F.when(most == 0, 0).when(differ == 0, most).otherwise(differ - 1).cast("int")
-    return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(a) - common), F.slice(b, common + 1, F.greatest(F.size(b) - common, F.lit(0)))), "/")
-
-
 def index_rows(docs: DataFrame, index_path: str) -> DataFrame:
     """Table rows of an index over documents (doc_id, path, audience, text, html): linked title and purpose.
 
     A link leads to the derived page where there is one. Every other document of the table has a row.
     """
     title, purpose = layout.title_and_purpose(F.coalesce("text", F.lit("")))
-    link = relative_path(F.when(F.col("html"), layout.html_twin(F.col("path"))).otherwise(F.col("path")), F.lit(index_path.rpartition("/")[0]))
+    link = layout.relative_path(F.when(F.col("html"), layout.html_twin(F.col("path"))).otherwise(F.col("path")), F.lit(index_path.rpartition("/")[0]))
     named = F.coalesce(F.nullif(title, F.lit("")), F.col("doc_id").cast("string"))
     rows = docs.where(F.col("path") != index_path).select("doc_id", "audience", path_class(F.col("path")).alias("class"), F.concat(F.lit("["), named, F.lit("]("), link, F.lit(")")).alias("title"), purpose.alias("summary"))
     return rows.select("doc_id", "audience", "class", F.concat(F.lit("| "), cell(F.col("title")), F.lit(" | "), cell(F.col("summary")), F.lit(" |")).alias("row"))

@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def regions(docs: DataFrame, begin: str = r"^\s*<!--\s*BEGIN\s+(\S+)\s*-->\s*$", end: str = r"^\s*<!--\s*END\s+(\S+)\s*-->\s*$") -> DataFrame:
+#: Marker lines of regions, with or without a prefix; an indented one is text.
+BEGIN, END = r"^<!-- (?:[A-Z]+:)?BEGIN (\S+) -->\s*$", r"^<!-- (?:[A-Z]+:)?END (\S+) -->\s*$"
+
+
+def regions(docs: DataFrame, begin: str = BEGIN, end: str = END) -> DataFrame:
     """Managed regions of bodies (doc_id, text): id, first and last line, body; problem tells what is wrong with a marker.
 
-    Lines of one document are looked at in order; the window is one document, as long as its body.
+    Lines of one document are looked at in order; the window is one document, as long as its body. Bodies without a marker
+    are left out before they are split.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = docs.where(F.col("text").contains("<!-- ")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.withColumn("begin_id", F.nullif(F.regexp_extract("line", begin, 1), F.lit(""))).withColumn("end_id", F.nullif(F.regexp_extract("line", end, 1), F.lit("")))
     past = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     marker = F.when(F.col("begin_id").isNotNull() | F.col("end_id").isNotNull(), F.struct("begin_id", "end_id", "pos"))

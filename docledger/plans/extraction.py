@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docledger.operators import replies
 from docledger.plans.registry import query
 from docledger.sources import adapters as A
 from docledger.sources import cases, extractors
@@ -115,3 +116,22 @@ def test_index_lines(spark: SparkSession, d: str) -> DataFrame:
 def tests_by_module(spark: SparkSession, d: str) -> DataFrame:
     features = A.raw(spark, d, "part").groupBy(F.format_string("FEAT-MOD-%03d", F.col("p_partkey") % 20).alias("feature_id")).agg(F.collect_set("p_brand").alias("modules"))
     return cases.by_module(features, _cases(spark, d))
+
+
+_REPLIES = (
+    '{"verdict": "FIX", "cause": "c {n}", "fix": {"rationale": "r", "new_doc_text": "a\\"}b", "region_id": null}}', '{"verdict": "INVALIDATE", "cause": "docs", "fix": null, "more": [1]}', "no object {n}", '{"verdict": "FIX"',
+    '{"verdict": "FIX", }', '{"verdict": "FIX", "cause": "c", "fix": "[text]"}', '{"verdict": "FIX", "cause": "c", "fix": {"region_id": "r"}}', '{"verdict": "FIX", "cause": "c", "fix": {"rationale": "r", "what": 1}}',
+    '{"verdict": "FIX", "cause": "c", "fix": {"rationale": "r", "region_id": ["r"]}}', '{"cause": "c"}', '{"verdict": "MAYBE", "cause": "c"}', '{"verdict": "ESCALATE", "cause": 3}', '\\{"verdict": "ESCALATE", "cause": "[no list]"} {',
+)
+
+
+@query("""WITH d AS (SELECT doc_id AS reply_id, doc_id % 13 AS k FROM documents)
+  SELECT reply_id, CASE k WHEN 2 THEN 'no_object' WHEN 3 THEN 'unbalanced' WHEN 4 THEN 'invalid_json' WHEN 5 THEN 'fix_no_object' WHEN 9 THEN 'missing_key' WHEN 10 THEN 'invalid' WHEN 11 THEN 'invalid' ELSE CASE WHEN k IN (6, 7, 8) THEN 'fix_malformed' END END AS problem,
+    CASE k WHEN 0 THEN 'FIX' WHEN 1 THEN 'INVALIDATE' WHEN 12 THEN 'ESCALATE' END AS verdict, CASE k WHEN 0 THEN 'c ' || reply_id WHEN 1 THEN 'docs' WHEN 12 THEN '[no list]' END AS cause, CASE WHEN k IN (0, 1, 12) THEN k = 0 END AS has_fix,
+    NULL::VARCHAR AS region_id, NULL::VARCHAR AS new_region_body, CASE WHEN k = 0 THEN 'a"}b' END AS new_doc_text, CASE WHEN k = 0 THEN 'r' END AS rationale FROM d""")
+def typed_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Replies of whole texts around objects that are sound, broken or of a wrong kind in every way."""
+    n = F.col("doc_id")
+    found = F.get(F.array(*[_filled(r, n=n) for r in _REPLIES]), (n % len(_REPLIES)).cast("int"))
+    prose = F.coalesce(F.regexp_replace("text", r'[{}"\\]', ""), F.lit(""))
+    return replies.results(A.bodies(spark, d).select(n.alias("reply_id"), F.concat(prose, F.lit("\n```json\n"), found, F.lit("\n```")).alias("reply")))

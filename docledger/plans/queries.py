@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docledger.functions import text as X
-from docledger.operators import coverage, documents, drift, governance, graph, records, store, trace
+from docledger.operators import coverage, documents, drift, governance, graph, layout, records, store, trace
 from docledger.plans.registry import query
 from docledger.sources import adapters as A
 from docledger.sources import logs
@@ -224,61 +224,18 @@ def glob_scan(spark: SparkSession, d: str) -> DataFrame:
     return hits.where(X.matches_any(F.col("path"), [f"**/*{i}*" for i in range(1, 7)]))
 
 
-_IGNORE = ["# build", "build", "*.log", "/dist/", "docs/build", "docs/**/*.html", "!keep.txt", "__pycache__/", "/only", "", "out/tmp/", "/"]
-
-
-@query(f"""WITH l AS (SELECT unnest({_IGNORE!r}) AS line), b AS (SELECT line, trim(line, '/') AS b, starts_with(line, '/') AS a, suffix(line, '/') AS dir, contains(trim(line, '/'), '/') AS s, regexp_matches(line, '[*?]') AS w
+@query(r"""WITH l AS (SELECT DISTINCT coalesce(['#', '!', '/', '', '', '*.'][k], '') || regexp_replace(word, '[^a-z/.*?]', '', 'g') || CASE WHEN k % 2 = 0 THEN '/' ELSE '' END AS line
+    FROM (SELECT word, row_number() OVER (PARTITION BY doc_id ORDER BY pos) % 7 AS k FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS pos FROM documents))),
+  b AS (SELECT line, trim(line, '/') AS b, starts_with(line, '/') AS a, suffix(line, '/') AS dir, contains(trim(line, '/'), '/') AS s, regexp_matches(line, '[*?]') AS w
     FROM l WHERE trim(line) <> '' AND NOT starts_with(line, '#') AND NOT starts_with(line, '!') AND trim(line, '/') <> '')
   SELECT line, unnest(CASE WHEN dir AND (a OR s) THEN [b || '/**'] WHEN dir THEN ['**/' || b || '/**'] WHEN a OR (s AND NOT w) THEN [b, b || '/**'] WHEN s THEN [b] WHEN w THEN ['**/' || b] ELSE ['**/' || b, '**/' || b || '/**'] END) AS glob FROM b""")
 def gitignore_globs(spark: SparkSession, d: str) -> DataFrame:
-    lines = spark.createDataFrame([(x,) for x in _IGNORE], "line string")
-    return lines.select("line", F.explode(X.ignore_globs(F.col("line"))).alias("glob"))
-
-
-@query("SELECT path, coalesce(owners, '') AS owners, status FROM file_cov")
-def coverage_files(spark: SparkSession, d: str) -> DataFrame:
-    out = coverage.file_coverage(A.files(spark, d), A.code_refs(spark, d), WAIVERS)
-    return out.select("path", F.array_join("owners", ",").alias("owners"), "status")
-
-
-@query("""SELECT 'files' AS what, count(*) AS universe, count(*) FILTER (status = 'documented') AS documented, count(*) FILTER (status = 'undocumented') AS undocumented, count(*) FILTER (status = 'waived') AS waived,
-  count(*) FILTER (status = 'documented')::DOUBLE / (count(*) - count(*) FILTER (status = 'waived')) * 100 AS percent FROM file_cov
-  UNION ALL SELECT 'symbols', count(*), count(*) FILTER (status = 'documented'), count(*) FILTER (status = 'undocumented'), count(*) FILTER (status = 'waived'),
-  count(*) FILTER (status = 'documented')::DOUBLE / (count(*) - count(*) FILTER (status = 'waived')) * 100 FROM sym_cov WHERE split_part(name, '.', -1) NOT LIKE '\\_%' ESCAPE '\\'""")
-def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
-    f = coverage.file_coverage(A.files(spark, d), A.code_refs(spark, d), WAIVERS).select("status").withColumn("what", F.lit("files"))
-    s = coverage.symbol_coverage(A.symbols(spark, d), A.selections(spark, d), WAIVERS).where("public").select("status").withColumn("what", F.lit("symbols"))
-    out = coverage.summary(f.unionByName(s), "what")
-    return out.withColumn("percent", coverage.percent(F.col("documented"), F.col("universe"), F.col("waived")))
-
-
-@query("""WITH u AS (SELECT unnest(['economy', 'promo', 'small', 'nothing']) AS unit), c AS (SELECT split_part(path, '/', 1) AS unit, count(*) AS universe, count(*) FILTER (status = 'documented') AS documented,
-    count(*) FILTER (status = 'undocumented') AS undocumented, count(*) FILTER (status = 'waived') AS waived FROM file_cov GROUP BY 1)
-  SELECT u.unit, coalesce(universe, 0) AS universe, coalesce(documented, 0) AS documented, coalesce(undocumented, 0) AS undocumented, coalesce(waived, 0) AS waived,
-  CASE WHEN universe - waived > 0 THEN floor((documented * 20000 + universe - waived) / (2.0 * (universe - waived))) / 100 END AS percent FROM u LEFT JOIN c USING (unit)""")
-def coverage_by_unit(spark: SparkSession, d: str) -> DataFrame:
-    names = ["economy", "promo", "small", "nothing"]
-    dirs = spark.createDataFrame([(i, n, n) for i, n in enumerate(names)], "ord int, unit string, dir string")
-    cov = coverage.file_coverage(A.files(spark, d).drop("unit"), A.code_refs(spark, d), WAIVERS)
-    return coverage.by_unit(dirs.select("unit"), coverage.owning_unit(cov, dirs).select("owning_unit", "status", F.lit(1)))
-
-
-@query("""SELECT s.path, s.name, s.lineno, coalesce(o.owner, replace(regexp_replace(s.path, '\\.py$', ''), '/', '-')) AS suggested_doc_id, o.owner IS NULL AS is_new_doc
-  FROM sym_cov s LEFT JOIN (SELECT path, min(owner) AS owner FROM sym_cov WHERE owner IS NOT NULL GROUP BY path) o ON o.path = s.path WHERE s.status = 'undocumented'""")
-def owner_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    return coverage.suggest_owners(coverage.symbol_coverage(A.symbols(spark, d), A.selections(spark, d), WAIVERS))
-
-
-@query("""SELECT DISTINCT doc_id, path, name, kind, lineno FROM chosen WHERE (n % 2 <> 0 OR split_part(name, '.', -1) NOT LIKE '\\_%' ESCAPE '\\') AND (n % 8 <> 4 OR (kind = 'method' AND args = 'rf'))""")
-def symbol_selection(spark: SparkSession, d: str) -> DataFrame:
-    return coverage.selected_symbols(A.symbols(spark, d), A.selections(spark, d), surface=True).select("doc_id", "path", "name", "kind", "lineno").distinct()
-
-
-@query("""WITH p AS (SELECT string_split(path, '/') AS x, status FROM file_cov), a AS (SELECT array_to_string(x[1:k], '/') AS dir, k AS depth, status FROM (SELECT x, status, unnest(range(1, len(x))) AS k FROM p))
-  SELECT dir, depth::INT AS depth, count(*) FILTER (status = 'documented') AS documented, count(*) FILTER (status = 'undocumented') AS undocumented, count(*) FILTER (status = 'waived') AS waived FROM a GROUP BY 1, 2""")
-def directory_rollup(spark: SparkSession, d: str) -> DataFrame:
-    cov = coverage.file_coverage(A.files(spark, d), A.code_refs(spark, d), WAIVERS)
-    return coverage.directory_rollup(cov, ("documented", "undocumented", "waived"))
+    """Globs of ignore lines made of all words of all texts: plain ones, comments, negations, anchored ones, folders and wildcards."""
+    words = A.bodies(spark, d).select(F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    k = (F.col("pos") + 1) % 7
+    mark = F.coalesce(F.get(F.array(*[F.lit(x) for x in ("#", "!", "/", "", "", "*.")]), F.when(k > 0, k - 1)), F.lit(""))
+    line = F.concat(mark, F.regexp_replace("word", "[^a-z/.*?]", ""), F.when(k % 2 == 0, "/").otherwise(""))
+    return words.select(line.alias("line")).distinct().select("line", F.explode(X.ignore_globs(F.col("line"))).alias("glob"))
 
 
 # Texts.
@@ -354,6 +311,20 @@ def drift_severity(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "kind", F.size("added").alias("n_added"), F.size("removed").alias("n_removed"), F.size("changed").alias("n_changed"), "severity")
 
 
+@query("""WITH d AS (SELECT page_id AS n, page_id % 40 AS repo_id, CASE WHEN page_id < 40 THEN 'docs/index.md' WHEN page_id % 3 = 0 THEN 'docs/p' || page_id || '.md' ELSE 'x/p' || page_id || '.md' END AS path, CASE WHEN page_id % 4 < 2 THEN 'a' ELSE 'b' END AS audience FROM pages)
+  SELECT d.repo_id, i.n AS doc_id, d.n AS missing_id, CASE WHEN d.n % 3 <> 0 THEN '../x/p' ELSE 'p' END || d.n || CASE WHEN d.n % 2 = 0 THEN '.html' ELSE '.md' END AS link FROM d JOIN d i ON i.repo_id = d.repo_id AND i.n < 40
+  WHERE d.n >= 40 AND (i.n % 2 = 0 OR d.audience = 'a') AND NOT (d.n % 7 = 0 OR d.n % 7 = 1 AND d.n % 2 = 0 OR d.n % 7 = 2)""")
+def index_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that their repository's index lacks: by sources, derived pages and words around a link; half of the indexes list one audience."""
+    n = F.col("page_id")
+    plain = F.when(n % 3 == 0, F.concat(F.lit("p"), n)).otherwise(F.concat(F.lit("../x/p"), n))
+    path = F.when(n < 40, "docs/index.md").when(n % 3 == 0, F.concat(F.lit("docs/p"), n, F.lit(".md"))).otherwise(F.concat(F.lit("x/p"), n, F.lit(".md")))
+    docs = A.raw(spark, d, "pages").select((n % 40).alias("repo_id"), n.alias("doc_id"), path.alias("path"), F.when(n % 4 < 2, "a").otherwise("b").alias("audience"), (n % 2 == 0).alias("html"), (n < 40).alias("index"), F.when(n % 2 == 1, F.array(F.lit("a"))).alias("kinds"), plain.alias("plain"))
+    mark = F.when(n % 7 == 0, F.concat(F.lit("["), n, F.lit("]("), "plain", F.lit(".md)"))).when((n % 7 == 1) & (n % 2 == 0), F.concat(F.lit("see "), "plain", F.lit(".html."))).when(n % 7 == 2, F.concat(F.lit("x=/"), "plain", F.lit(".md-")))
+    text = docs.withColumn("page_id", F.col("doc_id")).groupBy("repo_id").agg(F.concat(F.lit("---\na: p40.md\n---\n"), F.array_join(F.collect_list(mark), " ")).alias("text"))
+    return layout.index_gaps(docs.join(text, "repo_id").drop("plain"))
+
+
 @query("""SELECT page_id AS doc_id, path FROM paths WHERE page_id % 3 <> 0""")
 def index_completeness(spark: SparkSession, d: str) -> DataFrame:
     docs = A.paths(spark, d).select(F.col("page_id").alias("doc_id"), F.lit("eng-guide").alias("audience"), F.concat("path", F.lit("-"), "page_id").alias("path"), F.col("path").alias("plain"))
@@ -429,11 +400,11 @@ def sync_summary(spark: SparkSession, d: str) -> DataFrame:
     return documents.sync_summary(drifts, repos, ("HASH", "REGION"))
 
 
-@query("""SELECT 'duplicate_doc' AS problem, l_orderkey::VARCHAR AS subject FROM lineitem WHERE l_linenumber <= 2 GROUP BY 2 HAVING count(*) > 1
-  UNION ALL SELECT DISTINCT 'dangling_upstream', (o_orderkey + 3)::VARCHAR FROM orders WHERE o_orderkey + 3 NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber <= 2)
+@query("""SELECT 'duplicate_doc' AS problem, l_orderkey::VARCHAR AS subject FROM lineitem GROUP BY 2 HAVING count(*) > 1
+  UNION ALL SELECT DISTINCT 'dangling_upstream', (o_orderkey + 3)::VARCHAR FROM orders WHERE o_orderkey + 3 NOT IN (SELECT l_orderkey FROM lineitem)
   UNION ALL SELECT 'unindexed_unit', r_name FROM region WHERE r_regionkey > 2 UNION ALL SELECT 'missing_unit', 'nowhere'""")
 def config_problems(spark: SparkSession, d: str) -> DataFrame:
-    docs = A.raw(spark, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("doc_id"))
+    docs = A.raw(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"))
     edges = A.raw(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") + 3).alias("upstream_id"))
     regions = A.raw(spark, d, "region")
     listed = regions.where("r_regionkey <= 2").select(F.col("r_name").alias("unit")).union(spark.createDataFrame([("nowhere",)], "unit string"))
@@ -457,11 +428,11 @@ def front_matter(spark: SparkSession, d: str) -> DataFrame:
     return documents.front_matter(A.bodies(spark, d).select("doc_id", F.concat(head, "text").alias("text"))).select("doc_id", "header", "hash")
 
 
-@query("""WITH s AS (SELECT doc_id, pos, coalesce(nullif(trim(regexp_replace(lower(split_part(line, ' ', 1)), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'section') AS base FROM body_lines),
+@query("""WITH s AS (SELECT doc_id, pos, coalesce(nullif(trim(regexp_replace(lower(line), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'section') AS base FROM body_lines),
   n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY pos) - 1 AS k FROM s) SELECT doc_id, pos, CASE WHEN k = 0 THEN base ELSE base || '-' || k END AS slug FROM n""")
 def heading_slugs(spark: SparkSession, d: str) -> DataFrame:
     lines = A.bodies(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return documents.heading_slugs(lines.select("doc_id", "pos", F.split("line", " ")[0].alias("heading"))).select("doc_id", "pos", "slug")
+    return documents.heading_slugs(lines.select("doc_id", "pos", F.col("line").alias("heading"))).select("doc_id", "pos", "slug")
 
 
 @query("SELECT path FROM files WHERE starts_with(path, 'economy/') ORDER BY path LIMIT 200")

@@ -27,6 +27,8 @@ _HEADS = (
     "", "---\ncdm:\n  schema_version: 1.0.0\n  audience: eng-guide\n  fingerprint: ab12\n---\n",
     "---\ntitle: x\ncdm:\n  schema_version: '0.9'\n  audience: user-guide\n  fingerprint: ab12\n---\n", "---\ncdm:\n  other: 1\n---\n",
     '---\ncdm:\n  fingerprint: ab12\n  audience: "eng-guide"\n  schema_version: "1.0.0"\n---\n', "---\ncdm:\n  schema_version: 1.0.0\n",
+    "---\ncdm: {schema_version: 1.0.0, audience: eng-guide, fingerprint: [ab, 12]}\n---\n", "---\n{}\n---\n", "---\ncdm:\n    a: 1\n  b: 2\n---\n",
+    "---\r\ncdm:\r\n  schema_version: 1.0.0 # now\r\n  fingerprint: ab12\r\n  audience: eng-guide\r\n---\r\n",
 )
 _TITLES = ("plain\n", "# T\n", "# T\n\n> why\n", "\n#  T\n> why\n> more\n\n> no part\n")
 _REGIONS = (
@@ -37,19 +39,20 @@ _REGIONS = (
 
 def _laid_out(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("doc_id")
-    first = F.regexp_replace(F.split("text", "\n")[0], r"[#>\-]", "")
-    body = F.concat(_pick(n, *_TITLES), first, F.lit("\n"), _pick(n, *_REGIONS))
+    whole = F.regexp_replace("text", r"[#>\-]", "")
+    body = F.concat(_pick(n, *_TITLES), whole, F.lit("\n"), _pick(n, *_REGIONS))
     digest = X.body_hash(body)
-    page = F.when(n % 9 == 2, "<p>").when(n % 9 == 4, F.concat(F.lit('<meta name="code-doc-md-sha256" content="'), digest, F.lit('">'))).when(n % 9 != 1, '<meta name="code-doc-md-sha256" content="0ff">')
+    name = F.when(n % 2 == 0, "code-doc").otherwise("other-docs")
+    page = F.when(n % 9 == 2, "<p>").when(n % 9 == 4, F.concat(F.lit('<meta name="'), name, F.lit('-md-sha256" content="'), digest, F.lit('">'))).when(n % 9 != 1, '<meta name="code-doc-md-sha256" content="0ff">')
     keys = F.when(n % 2 == 0, F.array(F.lit("a"), F.lit("c"))).otherwise(F.array().cast("array<string>"))
     return A.bodies(spark, d).where("text is not null").select("doc_id", F.lit("eng-guide").alias("audience"), F.concat(_pick(n, *_HEADS), body).alias("text"), keys.alias("region_keys"), (n % 3 != 0).alias("html"), page.alias("html_text"))
 
 
-@query("""WITH n AS (SELECT doc_id, doc_id % 6 AS h, doc_id % 4 AS t, doc_id % 5 AS r, doc_id % 2 = 0 AS even, doc_id % 3 <> 0 AS html, doc_id % 9 AS p FROM documents WHERE text IS NOT NULL),
-  c AS (SELECT doc_id, unnest(CASE WHEN h = 5 THEN [{'code': 'MALFORMED_STRUCTURE', 'subject': NULL::VARCHAR}] ELSE [{'code': CASE WHEN h = 0 THEN 'MISSING_FRONT_MATTER' END, 'subject': NULL::VARCHAR},
+@query("""WITH n AS (SELECT doc_id, doc_id % 10 AS h, doc_id % 4 AS t, doc_id % 5 AS r, doc_id % 2 = 0 AS even, doc_id % 3 <> 0 AS html, doc_id % 9 AS p FROM documents WHERE text IS NOT NULL),
+  c AS (SELECT doc_id, unnest(CASE WHEN h = 8 THEN [{'code': 'MALFORMED_STRUCTURE', 'subject': NULL::VARCHAR}] ELSE [{'code': CASE WHEN h IN (0, 5, 7) THEN 'MISSING_FRONT_MATTER' END, 'subject': NULL::VARCHAR},
     {'code': CASE h WHEN 3 THEN 'MISSING_SCHEMA_VERSION' WHEN 2 THEN 'SCHEMA_VERSION_MISMATCH' END, 'subject': NULL}, {'code': CASE h WHEN 3 THEN 'MISSING_AUDIENCE' WHEN 2 THEN 'AUDIENCE_MISMATCH' END, 'subject': NULL},
-    {'code': CASE WHEN h = 3 THEN 'MISSING_FINGERPRINT' END, 'subject': NULL}, {'code': CASE t WHEN 0 THEN 'MISSING_TITLE' WHEN 1 THEN 'MISSING_PURPOSE' END, 'subject': NULL},
-    {'code': CASE WHEN html THEN CASE p WHEN 1 THEN 'HTML_MISSING' WHEN 2 THEN 'HTML_NOT_DERIVED' WHEN 4 THEN NULL ELSE 'HTML_STALE' END END, 'subject': NULL},
+    {'code': CASE WHEN h = 3 THEN 'MISSING_FINGERPRINT' END, 'subject': NULL}, {'code': CASE WHEN h = 5 OR t = 0 THEN 'MISSING_TITLE' WHEN t = 1 THEN 'MISSING_PURPOSE' END, 'subject': NULL},
+    {'code': CASE WHEN html THEN CASE p WHEN 1 THEN 'HTML_MISSING' WHEN 2 THEN 'HTML_NOT_DERIVED' WHEN 4 THEN CASE WHEN h = 5 THEN 'HTML_STALE' END ELSE 'HTML_STALE' END END, 'subject': NULL},
     {'code': CASE WHEN r IN (3, 4) THEN 'MALFORMED_STRUCTURE' END, 'subject': NULL}, {'code': CASE WHEN r IN (0, 1) AND NOT even THEN 'UNDECLARED_REGION' END, 'subject': 'a'},
     {'code': CASE WHEN r = 1 THEN 'UNDECLARED_REGION' END, 'subject': 'b'}, {'code': CASE WHEN r < 3 AND even THEN 'MISSING_REGION' END, 'subject': 'c'}, {'code': CASE WHEN r = 2 AND even THEN 'MISSING_REGION' END, 'subject': 'a'}] END, recursive := true) FROM n)
   SELECT doc_id, code, subject FROM c WHERE code IS NOT NULL""")
@@ -59,7 +62,7 @@ def layout_lint(spark: SparkSession, d: str) -> DataFrame:
 
 def _region_rows(spark: SparkSession, d: str) -> DataFrame:
     n, k = F.col("doc_id"), F.col("k")
-    rows = A.bodies(spark, d).where("text is not null").select("doc_id", F.col("text").substr(1, 20).alias("body"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    rows = A.bodies(spark, d).where("text is not null").select("doc_id", F.col("text").alias("body"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
     mode = _pick(n + k, "generated", "llm", "llm-seeded", "human", "generated", "human")
     stored = F.when((n + k) % 7 == 1, X.body_hash(F.col("body"))).when((n + k) % 7 > 3, "old")
     expected = F.when((n + k) % 8 != 7, F.when((n + k) % 4 == 0, F.col("body")).otherwise(F.concat("body", F.lit("x"))))
@@ -90,11 +93,11 @@ def drift_findings(spark: SparkSession, d: str) -> DataFrame:
     return layout.drift_findings(docs, _region_rows(spark, d), suspects)
 
 
-@query("""WITH n AS (SELECT doc_id, string_split(text, chr(10))[1] AS f, doc_id % 3 AS k FROM documents WHERE text IS NOT NULL),
+@query("""WITH n AS (SELECT doc_id, text AS f, doc_id % 3 AS k FROM documents WHERE text IS NOT NULL),
   t AS (SELECT doc_id, f || chr(10) || '<!-- BEGIN a -->' || chr(10) AS a, chr(10) || '<!-- END a -->' || chr(10) || f AS b, f, k FROM n)
   SELECT doc_id, a || CASE k WHEN 0 THEN 'x' || chr(10) || 'y' WHEN 1 THEN f ELSE 'old' || chr(10) || 'two' END || b AS text, k <> 2 AS changed FROM t WHERE f NOT IN ('old' || chr(10) || 'two')""")
 def region_replace(spark: SparkSession, d: str) -> DataFrame:
-    first = F.split("text", "\n")[0]
+    first = F.col("text")
     docs = A.bodies(spark, d).where("text is not null").select("doc_id", F.concat(first, F.lit("\n<!-- BEGIN a -->\nold\ntwo\n<!-- END a -->\n"), first).alias("text"), first.alias("first"))
     new = docs.where("doc_id % 3 < 2").select("doc_id", F.lit("a").alias("region_id"), F.when(F.col("doc_id") % 3 == 0, "x\ny").otherwise(F.col("first")).alias("body"))
     return layout.replaced_regions(docs.select("doc_id", "text"), new.unionByName(new.select("doc_id", F.lit("b").alias("region_id"), F.lit("no such region").alias("body"))))
@@ -236,16 +239,16 @@ def scoped_files(spark: SparkSession, d: str) -> DataFrame:
     return coverage.scoped_files(A.files(spark, d).select("path"), units)
 
 
-@query("SELECT repo_id, count(*) FILTER (drift_kind <> 'SUSPECT_LINK') AS gating, bool_or(drift_kind <> 'SUSPECT_LINK') AS failed FROM records WHERE seq % 7 = 0 OR drift_kind = 'SUSPECT_LINK' GROUP BY 1")
+@query("SELECT repo_id, count(*) FILTER (drift_kind <> 'SUSPECT_LINK') AS gating, bool_or(drift_kind <> 'SUSPECT_LINK') AS failed FROM records GROUP BY 1")
 def check_gate(spark: SparkSession, d: str) -> DataFrame:
-    return documents.gate(A.records(spark, d).where("seq % 7 = 0 or drift_kind = 'SUSPECT_LINK'").withColumnRenamed("drift_kind", "kind"))
+    return documents.gate(A.records(spark, d).withColumnRenamed("drift_kind", "kind"))
 
 
 @query(r"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '{"a": {"b": "}"}, "n": ' || doc_id || '}' WHEN 1 THEN '{"q": "\"{\\"}' WHEN 2 THEN '{}' END AS object FROM documents""")
 def reply_objects(spark: SparkSession, d: str) -> DataFrame:
     """Replies of prose around an object with nested braces, quotes and backslashes, an empty one, none, and one that never closes."""
     n = F.col("doc_id")
-    first = F.coalesce(F.regexp_replace(F.substring("text", 1, 40), r"[{}\"\\]", ""), F.lit(""))
+    first = F.coalesce(F.regexp_replace("text", r"[{}\"\\]", ""), F.lit(""))
     found = F.when(n % 5 == 0, F.concat(F.lit('{"a": {"b": "}"}, "n": '), n, F.lit('} and {"c": 1}'))).when(n % 5 == 1, '{"q": "\\"{\\\\"} }"').when(n % 5 == 2, "{}}").when(n % 5 == 3, "no object").otherwise('{"open": "}"')
     return A.bodies(spark, d).select("doc_id", documents.json_object(F.concat(first, F.lit("\n```json\n"), found)).alias("object"))
 
