@@ -180,7 +180,8 @@ def _bits(rows: DataFrame, bits: int, least: int, name: str) -> np.ndarray:
     rows = rows.select("part", "block", "size", "buckets", "counts")
     while True:
         groups = -(-rows.select("part").distinct().count() // FAN_IN)
-        rows = rows.groupBy("block", F.pmod(F.xxhash64("part"), F.lit(max(groups, 1)))).applyInPandas(lambda pdf: _add_up(pdf, per), schema)
+        dealt = rows.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(max(groups, 1))))
+        rows = dealt.groupBy("block", "part").applyInPandas(lambda pdf: _add_up(pdf, per), schema)
         if groups <= 1:
             break
         rows = stage(rows, name)
