@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.operators import edits, store
+from docledger.operators import edits, patches, store
 from docledger.plans.registry import query
 from docledger.sources import adapters as A
 
@@ -111,3 +111,54 @@ def roster_changes(spark: SparkSession, d: str) -> DataFrame:
     name = F.when(F.col("c_custkey") % 10 == 9, F.concat(F.lit("who-"), "c_custkey")).otherwise(F.col("c_name"))
     changes = A.raw(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select(k.alias("seq"), name.alias("name"), F.when(k % 3 != 0, _group()).alias("kind"), F.when(k % 3 == 0, _clerk()).alias("departed_at"))
     return edits.roster_after(roster, changes)
+
+
+_LINES = r"""l AS (SELECT doc_id AS n, string_split(translate(text, chr(13) || chr(11) || chr(12) || chr(133) || chr(8232) || chr(8233) || chr(28) || chr(29) || chr(30), '         '), chr(10)) AS x FROM documents WHERE text IS NOT NULL),
+  t AS (SELECT n, x, len(x) AS c, len(x) // 2 AS p, n % 4 AS k FROM l),
+  h AS (SELECT *, greatest(p - 3, 0) AS a, least(p + CASE k WHEN 1 THEN 4 ELSE 3 END, c) AS z, list_transform(x, lambda s: ' ' || s || chr(10)) AS same FROM t),
+  r AS (SELECT *, CASE WHEN z - a = 1 THEN (a + 1)::VARCHAR WHEN z = a THEN a || ',0' ELSE (a + 1) || ',' || (z - a) END AS ra, CASE WHEN z - a + (k = 2)::INT = 1 THEN (a + 1)::VARCHAR ELSE (a + 1) || ',' || (z - a + (k = 2)::INT) END AS rb FROM h)"""
+
+
+def _edited(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts before and after: as they were, with the middle line replaced, with one inserted, and new documents."""
+    n = F.col("doc_id")
+    lines = F.split(F.translate("text", "\r\x0b\x0c\x85  \x1c\x1d\x1e", " " * 9), "\n")
+    text = A.bodies(spark, d).where("text is not null").select("doc_id", lines.alias("x")).withColumn("p", F.floor(F.size("x") / 2).cast("int"))
+    own = F.concat(F.lit("#"), n, F.lit("#"))
+    whole = lambda c: F.concat(F.array_join(c, "\n"), F.lit("\n"))
+    head = F.concat(F.slice("x", F.lit(1), F.col("p")), F.array(own))
+    rest = lambda skipped: F.slice("x", F.col("p") + 1 + skipped, F.size("x"))
+    after = F.when(n % 4 == 1, whole(F.concat(head, rest(1)))).when(n % 4 == 2, whole(F.concat(head, rest(0)))).otherwise(whole(F.col("x")))
+    return text.select("doc_id", F.concat(F.lit("d"), n, F.lit(".md")).alias("path"), F.when(n % 4 != 3, whole(F.col("x"))).alias("before"), after.alias("after"))
+
+
+@query(f"""WITH {_LINES} SELECT 'd' || n || '.md' AS path, '--- a/d' || n || '.md' || chr(10) || '+++ b/d' || n || '.md' || chr(10) || CASE k
+    WHEN 3 THEN '@@ -0,0 +1' || CASE WHEN c > 1 THEN ',' || c ELSE '' END || ' @@' || chr(10) || array_to_string(list_transform(x, lambda s: '+' || s || chr(10)), '')
+    ELSE '@@ -' || ra || ' +' || rb || ' @@' || chr(10) || array_to_string(same[a + 1:p], '') || CASE k WHEN 1 THEN '-' || x[p + 1] || chr(10) ELSE '' END || '+#' || n || '#' || chr(10) || array_to_string(same[p + 1 + (k = 1)::INT:z], '') END AS patch,
+  CASE WHEN k = 3 THEN c ELSE 1 END::INT AS added, (k = 1)::INT AS removed FROM r WHERE k > 0""")
+def document_patches(spark: SparkSession, d: str) -> DataFrame:
+    return patches.patches(_edited(spark, d).drop("doc_id"))
+
+
+_FIXED = "---\nx: 1\n---\n# T\n<!-- BEGIN a -->\nold {n}\n<!-- END a -->\n<!-- BEGIN b -->\nkept\n<!-- END b -->\n"
+
+
+@query(r"""WITH e AS (SELECT event_id AS n, event_id % 9 AS k FROM events), p AS (SELECT n, k, 'd' || n || '.md' AS path FROM e),
+  o AS (SELECT *, '--- a/' || path || chr(10) || '+++ b/' || path || chr(10) || '@@ ' AS head FROM p)
+  SELECT n AS record_id, CASE k WHEN 0 THEN 'no_applicable_fix' WHEN 1 THEN 'no_applicable_fix' WHEN 2 THEN 'unknown_document' WHEN 3 THEN 'missing_file' END AS problem, k IN (4, 7) AS applied, CASE WHEN k <> 2 THEN path END AS path,
+    CASE k WHEN 4 THEN head || '-3,7 +3,8 @@' || chr(10) || ' ---' || chr(10) || ' # T' || chr(10) || ' <!-- BEGIN a -->' || chr(10) || '-old ' || n || chr(10) || '+new' || chr(10) || '+two' || chr(10) || ' <!-- END a -->' || chr(10) || ' <!-- BEGIN b -->' || chr(10) || ' kept' || chr(10)
+      WHEN 7 THEN head || '-1,10 +1 @@' || chr(10) || array_to_string(list_transform(['---', 'x: 1', '---', '# T', '<!-- BEGIN a -->', 'old ' || n, '<!-- END a -->', '<!-- BEGIN b -->', 'kept', '<!-- END b -->'], lambda s: '-' || s || chr(10)), '') || '+whole ' || n || chr(10) END AS patch FROM o""")
+def record_fixes(spark: SparkSession, d: str) -> DataFrame:
+    """Fixes of all records, each on its own document: of regions that the engine may author or not, of whole documents, and none."""
+    e = A.raw(spark, d, "events").select(F.col("event_id").alias("n"), (F.col("event_id") % 9).alias("k"))
+    n, k = F.col("n"), F.col("k")
+    text = F.replace(F.lit(_FIXED), F.lit("{n}"), n.cast("string"))
+    docs = e.where(k != 2).select(n.alias("doc_id"), F.concat(F.lit("d"), n, F.lit(".md")).alias("path"), F.when(k != 3, text).alias("text"))
+    region = F.when(k.isin(4, 8), "a").when(k == 5, "b").when(k == 6, "none")
+    body = F.when(k == 8, F.concat(F.lit("old "), n)).when(k == 4, "new\ntwo").otherwise("changed")
+    records = e.select(
+        n.alias("record_id"), n.alias("doc_id"), F.when(k == 0, "ESCALATE").otherwise("FIX").alias("verdict"), F.when(k != 1, "why").alias("rationale"), region.alias("region_id"),
+        F.when(region.isNotNull(), body).alias("new_region_body"), F.when(k == 7, F.concat(F.lit("whole "), n, F.lit("\n"))).alias("new_doc_text"),
+    )
+    regions = e.where(k == 5).select(n.alias("doc_id"), F.lit("b").alias("region_id"), F.lit(True).alias("kept"))
+    return patches.applied_fixes(records, docs, regions)
