@@ -16,33 +16,22 @@ from pyspark.sql import functions as F
 
 from .common import join_small, stage, table
 
-#: Ids of a shard, about: what one grammar covers and a task holds at once. A longer document is a shard of its own.
-SHARD_IDS = 2_000_000
+#: Bytes of text of a shard, about: what one grammar covers and a task holds at once. A longer document is a shard of its own.
+SHARD_BYTES = 6_000_000
 #: Rounds of replacement, pairs replaced in one, least occurrences of a pair.
-ROUNDS, PAIRS, LEAST = 6, 4000, 32
+ROUNDS, PAIRS, LEAST = 4, 4000, 32
 #: Symbols of a shard at most, so that two bytes hold one where the vocabulary allows it.
 SYMBOLS = 1 << 16
 #: Binary logarithm of the slots in which a round looks pairs up.
 SLOT_BITS = 17
 #: Ids that end documents, and pieces of text whose ids a task remembers.
-END, REMEMBERED = 0, 250_000
+END, REMEMBERED = 0, 800_000
 #: Bytes of text given to the tokenizer in one call.
 CALL_BYTES = 20_000
 #: Characters around a space at which a byte-level tokenizer surely parts, whatever else stands there. The others stay together.
 _SURE = "!-~À-ɏ"
 _PLAIN = re.compile(f"[{_SURE}](?:.*[{_SURE}])?", re.DOTALL)
 _PLAIN_END = re.compile(f"[{_SURE}]$(?!\n)")
-_PARTS = re.compile(f"(?<=[{_SURE}]) (?=[{_SURE}])")
-
-
-class _Remembered(dict):
-    """Ids by word, and behind them those of the texts at hand, which are forgotten afterwards."""
-
-    passing: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        return self.passing[word]
-
 
 SHARDS = (
     "part int, seq int, n_ids long, doc_ids array<long>, ends array<long>, symbol_ends array<long>, width int, first_rule int, "
@@ -55,7 +44,7 @@ class Encoder:
 
     A tokenizer on bytes parts a text before a space between two plain characters, so what stands between
     such places is encoded once and remembered. Distinct words are encoded in a row, and the numbers of bytes
-    of their ids part them again.
+    of their ids part them again. A text with other places around a space is encoded as it is.
     """
 
     def __init__(self, path: str) -> None:
@@ -68,8 +57,7 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.size <= SYMBOLS else "<u4")
         self.bytes_of = np.zeros(self.size, np.int64)
         self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]  # one character stands for one byte
-        self.known = _Remembered()
-        self.end = np.array([END], self.kind).tobytes()
+        self.known: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -86,24 +74,45 @@ class Encoder:
             out.update(zip(words[a:b], (raw[s:e] for s, e in zip([0, *at], at, strict=False)), strict=True))
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Bytes of the ids of each text and its end; null and empty texts have the end alone."""
-        parted = [(t or "").split(" ") for t in texts]
-        plain = [p[1:] for p in parted]
-        new = set().union(*plain).difference(self.known)
-        odd = {w for w in new if not _PLAIN.fullmatch(w)} | {p[0] for p in parted if len(p) > 1 and not _PLAIN_END.search(p[0])}
-        if odd:  # these texts part only where it is sure; what stays together keeps its spaces and is not remembered
-            new -= odd
-            for i in [i for i, p in enumerate(parted) if not odd.isdisjoint(p)]:
-                parted[i] = _PARTS.split(texts[i] or "")
-                plain[i] = parted[i][1:]
-                new.update(w for w in plain[i] if w not in self.known)
-        known = self.known
-        known.passing = self._learn(list(new)) if new else {}
-        if (room := REMEMBERED - len(known)) > 0:
-            known.update(itertools.islice(known.passing.items(), room))
-        heads = self._encoded([p[0] for p in parted])
-        return [b"".join((h.tobytes(), *map(known.__getitem__, p), self.end)) for h, p in zip(heads, plain, strict=True)]
+    def _of_words(self, words: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """Ids of words with a space before each, and which of them are odd, so that what stands around them must stay with them."""
+        new = [w for w in words if w not in self.known]
+        plain = [w for w in new if _PLAIN.fullmatch(w)]
+        learnt = self._learn(plain) if plain else {}
+        found = [self.known.get(w) or learnt.get(w) or b"" for w in words]
+        if (room := REMEMBERED - len(self.known)) > 0:
+            self.known.update(itertools.islice(learnt.items(), room))
+        return found, np.array([not f for f in found], bool)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn, each closed by END, and the end of each; null and empty texts have the end alone.
+
+        Words are split and numbered by Arrow, so Python sees each distinct one once, and ids are put together by their numbers.
+        """
+        rows = pc.split_pattern(pc.fill_null(texts, "").cast(pa.large_string()), " ")
+        numbered = rows.values.dictionary_encode()
+        offsets, code = rows.offsets.to_numpy(), numbered.indices.to_numpy().astype(np.int64)
+        first, size = offsets[:-1], np.diff(offsets)
+        words = numbered.dictionary.to_pylist()
+        table, odd = self._of_words(words)
+        heads, head = np.unique(code[first], return_inverse=True)
+        loose = np.array([not _PLAIN_END.search(words[h]) for h in heads.tolist()], bool)
+        is_odd = odd[code]
+        is_odd[first] = loose[head] & (size > 1)
+        whole = np.flatnonzero(np.logical_or.reduceat(is_odd, first)) if len(first) else first
+        code[first] = len(words) + head
+        table = table + [ids.tobytes() for ids in self._encoded([words[h] for h in heads.tolist()])]
+        if len(whole):  # these texts are encoded as they are, in place of their first word
+            code[np.repeat(np.isin(np.arange(len(size)), whole), size)] = len(table)
+            code[first[whole]] = len(table) + 1 + np.arange(len(whole))
+            table += [b"", *(ids.tobytes() for ids in self._encoded(texts.take(pa.array(whole)).to_pylist()))]
+        code = np.insert(code, offsets[1:], len(table))
+        table.append(np.array([END], self.kind).tobytes())
+        lengths = np.array([len(t) for t in table], np.int64) // self.kind.itemsize
+        flat, start = np.frombuffer(b"".join(table), self.kind), np.cumsum(lengths) - lengths
+        own = lengths[code]
+        ends = np.cumsum(own)
+        return flat[np.repeat(start[code] - (ends - own), own) + np.arange(own.sum())], ends[offsets[1:] + np.arange(len(size))]
 
 
 def _pairs(x: np.ndarray) -> np.ndarray:
@@ -196,13 +205,11 @@ def _symbol_lengths(symbols: np.ndarray, lengths: np.ndarray, first_rule: int) -
     return out
 
 
-def _shard(part: int, seq: int, doc_ids: list[int | None], raw: list[bytes], encoder: Encoder) -> pa.RecordBatch:
-    ids = np.frombuffer(b"".join(raw), encoder.kind)
-    ends = np.cumsum([len(r) // encoder.kind.itemsize for r in raw])
+def _shard(part: int, seq: int, doc_ids: pa.Array, ids: np.ndarray, ends: np.ndarray, encoder: Encoder) -> pa.RecordBatch:
     symbols, left, right = repair(ids, encoder.size)
     lengths = rule_lengths(left, right, encoder.size)
     symbol_ends = np.searchsorted(np.cumsum(_symbol_lengths(symbols, lengths, encoder.size)), ends) + 1
-    row = (part, seq, len(ids), doc_ids, ends, symbol_ends, encoder.kind.itemsize, encoder.size, left.tobytes(), right.tobytes(), lengths, symbols.tobytes())
+    row = (part, seq, len(ids), doc_ids.to_pylist(), ends, symbol_ends, encoder.kind.itemsize, encoder.size, left.tobytes(), right.tobytes(), lengths, symbols.tobytes())
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES, strict=True)], names=_COLUMNS)
 
 
@@ -212,32 +219,22 @@ _TYPES = [
 ]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, shard_ids: int) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], path: str, shard_bytes: int) -> Iterator[pa.RecordBatch]:
     encoder, part, seq = _encoder(path), TaskContext.get().partitionId(), 0
-    doc_ids: list[int | None] = []
-    raw: list[bytes] = []
-    held = 0
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
-        cuts = [0, *(np.flatnonzero(np.diff(size // (2 * shard_ids))) + 1), len(size)]
+        cuts = [0, *(np.flatnonzero(np.diff(size // shard_bytes)) + 1), len(size)]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            own, texts = (batch.column(i).slice(a, b - a).to_pylist() for i in (0, 1))
-            for doc_id, ids in zip(own, encoder.encode(texts), strict=True):
-                doc_ids.append(doc_id)
-                raw.append(ids)
-                held += len(ids) // encoder.kind.itemsize
-                if held >= shard_ids:
-                    yield _shard(part, seq, doc_ids, raw, encoder)
-                    doc_ids, raw, held, seq = [], [], 0, seq + 1
-    if raw:
-        yield _shard(part, seq, doc_ids, raw, encoder)
-
-
-def encode_shards(docs: DataFrame, tokenizer: str, shard_ids: int = SHARD_IDS) -> DataFrame:
+            own, texts = (batch.column(i).slice(a, b - a) for i in (0, 1))
+            yield _shard(part, seq, own, *encoder.encode(texts), encoder)
+            seq += 1
+
+
+def encode_shards(docs: DataFrame, tokenizer: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Shards of the ids of documents (doc_id, text) in ascending doc_id order, one row per shard.
 
     tokenizer is the path of a byte-level tokenizer's file, on every executor. Documents are dealt into ranges of
-    doc_id and sorted within them; a task cuts its range into shards of shard_ids ids, so it holds one shard at
+    doc_id and sorted within them; a task cuts its range into shards of shard_bytes of text, so it holds one shard at
     a time. (part, seq) orders shards. A shard has the grammar's rules with their expansion lengths, its
     symbols in width bytes each, and for each document its last id and symbol, counted from the shard's first.
 
@@ -246,7 +243,7 @@ def encode_shards(docs: DataFrame, tokenizer: str, shard_ids: int = SHARD_IDS) -
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return rows.mapInArrow(lambda batches: _encode(batches, tokenizer, shard_ids), SHARDS)
+    return rows.mapInArrow(lambda batches: _encode(batches, tokenizer, shard_bytes), SHARDS)
 
 
 def _grammar(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, ...]:
