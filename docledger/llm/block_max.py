@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from .common import join_small, stage, table
 from .shingles import word_hashes
 
-#: Bytes of text of a block, about; a longer text is a block of its own.
-BLOCK_BYTES = 2_000_000
+#: Bytes of text of a block, about; a longer text is a block of its own. Its packed arrays are then small enough for the JVM to move.
+BLOCK_BYTES = 500_000
 #: Blocks that an item scores in the first rounds, by descending bound; the last round takes all whose bound still counts.
-ROUNDS = (8, 64)
+ROUNDS = (16, 128)
 #: Results per item.
 TOP = 50
 #: Most (item, term) pairs of 16 bytes that are broadcast; more items are searched in as many slices as it takes.
