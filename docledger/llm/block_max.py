@@ -18,6 +18,8 @@ from .shingles import word_hashes
 BLOCK_BYTES = 500_000
 #: Blocks that an item scores in the first rounds, by descending bound; the last round takes all whose bound still counts.
 ROUNDS = (16, 128)
+#: Documents that a task reads at once.
+BATCH = 2000
 #: Results per item.
 TOP = 50
 #: Most (item, term) pairs of 16 bytes that are broadcast; more items are searched in as many slices as it takes.
@@ -161,7 +163,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, rounds: Sequence[i
     before others of equal score. Other columns are not read. Empty tables give no rows.
     Returns item_id, rank (from 1), doc_id, score.
     """
-    index = stage(build_index(docs, block_bytes), "block-index")
+    index = stage(build_index(docs, block_bytes), "block-index", BATCH)
     wanted = stage(query_terms(queries), "query-terms")
     whole = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("n_terms")).first()
     n_docs, n_terms = whole["n_docs"], max(whole["n_terms"], 1)

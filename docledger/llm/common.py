@@ -15,6 +15,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Spark's own setting that removes shuffle files of a query as soon as it has ended.
 RELEASE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Spark's own setting for the most rows of an Arrow batch.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: Most rows that a side may have to be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -49,21 +52,26 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back.
 
+    batch_rows bounds the rows that reach Python at once while it is written: of texts, a few megabytes.
+
     A written table survives the loss of any executor and is read with column pruning and
     filter pushdown, which an RDD checkpoint is not. Once it is written, nothing needs the
     shuffle files behind it, so their disk is given back at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(RELEASE_SHUFFLES, None)
-    spark.conf.set(RELEASE_SHUFFLES, "true")
+    own = {RELEASE_SHUFFLES: "true"} | ({BATCH_ROWS: str(batch_rows)} if batch_rows else {})
+    before = {key: spark.conf.get(key, None) for key in own}
+    for key, value in own.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(RELEASE_SHUFFLES) if before is None else spark.conf.set(RELEASE_SHUFFLES, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

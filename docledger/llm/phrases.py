@@ -21,8 +21,8 @@ LONGEST, LEAST, COVERED, SCALE, TOP = 4, 30, 80, 2_000_000, 2000
 BITS = 26
 #: Buckets counted in one row, and rows that one task adds up.
 BLOCK_BITS, FAN_IN = 19, 32
-#: Bytes whose phrases are hashed at once.
-SLICE_BYTES = 6_000_000
+#: Bytes whose phrases are hashed at once, documents that a task reads at once.
+SLICE_BYTES, BATCH = 4_000_000, 2000
 #: Ranges of a language's phrases that are ranked first on their own.
 SALTS = 32
 #: A-Z lower-cased; sentence marks and line ends part pieces, tabs part words.
@@ -220,7 +220,8 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     for k in range(1, longest + 1):
         shared = spark.sparkContext.broadcast((frequent, buckets))
         run: Callable = lambda batches, k=k, shared=shared: _pass(batches, k, longest, bits, *shared.value)
-        made = stage(rows.mapInArrow(run, _ROWS), f"phrases-{k}")
+        made = stage(rows.mapInArrow(run, _ROWS), f"phrases-{k}", BATCH)
+        shared.unpersist()
         counted = made.where("block is null").groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.min("hash").alias("hash"))
         if k == 1:
             totals = stage(made.where("block is null").groupBy("lang").agg(F.sum("n").alias("total")), "phrase-totals")
