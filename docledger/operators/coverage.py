@@ -99,7 +99,8 @@ def suggest_owners(symbols: DataFrame) -> DataFrame:
     """For each undocumented public symbol the smallest document of its file, else a new one named after the path."""
     sibling = symbols.where("owner is not null").groupBy("path").agg(F.min("owner").alias("sibling"))
     gaps = symbols.where("status = 'undocumented'").join(sibling, "path", "left")
-    return gaps.select("path", "name", "lineno", F.coalesce("sibling", proposed_doc_id(F.col("path"))).alias("suggested_doc_id"), F.col("sibling").isNull().alias("is_new_doc"))
+    reason = F.coalesce(F.concat(F.lit("sibling symbols already in "), "sibling"), F.concat(F.lit("no doc references "), "path"))
+    return gaps.select("path", "name", "lineno", F.coalesce("sibling", proposed_doc_id(F.col("path"))).alias("suggested_doc_id"), F.col("sibling").isNull().alias("is_new_doc"), reason.alias("reason"))
 
 
 def directory_rollup(rows: DataFrame, statuses: tuple[str, ...]) -> DataFrame:

@@ -145,3 +145,23 @@ def worklist_lines(items: DataFrame) -> DataFrame:
     target = F.concat(F.col("doc_id").cast("string"), F.coalesce(F.concat(F.lit(" → "), F.col("upstream_id").cast("string")), F.lit("")))
     line = F.concat(F.lit("    ["), "severity", F.lit("] "), "reason", F.lit(" "), target, F.lit(" — "), "status")
     return items.select(F.coalesce("assignee", F.lit("(unowned)")).alias("assignee"), "rank", line.alias("line"))
+
+
+def worklist_report(items: DataFrame, with_suspects: bool = True) -> DataFrame:
+    """A worklist as a report, in lines sorted by (part, assignee_order, assignee, rank): head, owners and their items.
+
+    items are ranked. The head counts items, documents and owners, a note says where suspect links are left out, and an empty
+    worklist says so. Assignees are in order of name, the unowned last. Only counts meet in one row.
+    """
+    none = F.array().cast("array<string>")
+    n = items.agg(F.count("*").alias("items"), F.count_distinct("doc_id").alias("docs"), F.count_distinct(F.coalesce("assignee", F.lit("\0"))).alias("owners"))
+    head = F.concat(F.lit("# Worklist — "), "items", F.lit(" item(s) across "), "docs", F.lit(" document(s), "), "owners", F.lit(" owner(s)"))
+    note = none if with_suspects else F.array(F.lit("  (suspect-link items omitted — this is the central mirror)"))
+    clear = F.when(F.col("items") == 0, F.array(F.lit(""), F.lit("  nothing needs review — all clear"))).otherwise(none)
+    top = n.select(F.lit(0).alias("part"), F.lit(None).cast("string").alias("assignee"), F.lit(0).alias("assignee_order"), F.posexplode(F.concat(F.array(head), note, clear)).alias("rank", "line"))
+    order = F.col("assignee").isNull().cast("int").alias("assignee_order")
+    counted = items.groupBy("assignee").agg(F.count("*").alias("items"), F.count_distinct("doc_id").alias("docs"))
+    title = F.concat(F.lit("  "), F.coalesce("assignee", F.lit("(unowned)")), F.lit(": "), "items", F.lit(" item(s) across "), "docs", F.lit(" doc(s)"))
+    owners = counted.select(F.lit(1).alias("part"), "assignee", order, F.posexplode(F.array(F.lit(""), title)).alias("rank", "line")).withColumn("rank", F.col("rank") - 1)
+    rows = worklist_lines(items).select(F.lit(1).alias("part"), F.when(F.col("assignee") != "(unowned)", F.col("assignee")).alias("assignee"), F.col("rank").cast("int").alias("rank"), "line")
+    return top.unionByName(owners).unionByName(rows.select("part", "assignee", order, "rank", "line"))

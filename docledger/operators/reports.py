@@ -54,15 +54,32 @@ def suggested_units(gaps: DataFrame, units: DataFrame) -> DataFrame:
     return out.withColumn("reason", F.when(F.col("suggested_unit").isNull(), "no unit covers its directory").otherwise("in the unit's directory"))
 
 
+#: Next action by verdict, status by resolution, and the texts around a cause without a fix (fixed values).
+ACTIONS = {"INVALIDATE": "Dismiss as not-applicable", "ESCALATE": "Escalate to a human author", "FIX": "Apply the proposed fix"}
+STATUSES = {"accepted": "validated", "overridden": "changes-requested", "rejected": "rejected", "invalidated": "rejected"}
+NO_CHANGE, NEEDS_AUTHOR = "No documentation change needed — ", "Needs a human author — "
+
+
+def _by(c: Column, values: dict[str, str], other: str) -> Column:
+    return F.coalesce(*[F.when(c == k, v) for k, v in values.items()], F.lit(other))
+
+
 def tickets(drifts: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Tickets of handled drifts (record_id, doc_id, kind, region_id, verdict, cause, detail, healable, resolution).
+    """Tickets of handled drifts (record_id, doc_id, kind, region_id, verdict, cause, detail, healable, resolution) and their fix.
 
-    symbols: (doc_id, name, public). The status follows the resolution: none is open, an override or acceptance done.
+    The fix: fix_region_id, fix_region_body, fix_doc_text, rationale, which is null where there is none. symbols: (doc_id, name, public).
+    The proposed change is the fix's rationale, or what the verdict says of the cause; the status follows the resolution, none is proposed.
     """
     severity, action = ticket(F.col("verdict"), F.col("kind"), F.col("healable"))
     affected = symbols.where("public").groupBy("doc_id").agg(F.array_sort(F.collect_set("name")).alias("affected_symbols"))
-    title = F.concat(F.lit("["), F.upper(severity), F.lit("] "), "kind", F.lit(" in "), "doc_id", F.coalesce(F.concat(F.lit(" · region "), "region_id"), F.lit("")))
-    rows = drifts.withColumns({"severity": severity, "action": action, "title": title, "summary": F.concat_ws(" ", "detail", F.concat(F.lit("The remediation agent's read: "), "cause"))})
+    title = F.concat(F.lit("["), F.upper(severity), F.lit("] "), "kind", F.lit(" in "), "doc_id", F.coalesce(F.concat(F.lit(" · region "), F.nullif("region_id", F.lit(""))), F.lit("")))
+    fixed = F.col("rationale").isNotNull()
+    change = F.when(fixed & (F.col("fix_region_id").isNotNull() | F.col("fix_region_body").isNotNull()), "region").when(fixed & F.col("fix_doc_text").isNotNull(), "whole-doc").otherwise("none")
+    proposed = F.when(fixed, F.col("rationale")).otherwise(F.concat(F.when(F.col("verdict") == "INVALIDATE", NO_CHANGE).otherwise(NEEDS_AUTHOR), "cause"))
+    rows = drifts.withColumns({
+        "severity": severity, "action": action, "title": title, "summary": F.concat("detail", F.lit(" The remediation agent's read: "), "cause"),
+        "change_kind": change, "proposed_change": proposed, "recommended_action": _by(F.col("verdict"), ACTIONS, ACTIONS["FIX"]), "status": F.when(F.col("resolution").isNull(), "proposed").otherwise(_by(F.col("resolution"), STATUSES, "rejected")),
+    })
     return rows.join(affected, "doc_id", "left").withColumn("affected_symbols", F.coalesce("affected_symbols", F.array().cast("array<string>")))
 
 
@@ -73,13 +90,27 @@ def checklist(drifts: DataFrame) -> DataFrame:
     return drifts.select("record_id", F.posexplode(found).alias("pos", "item")).select("record_id", "pos", "item.*")
 
 
-def gap_sections(suggestions: DataFrame) -> DataFrame:
-    """One section per suggested owner (suggested_doc_id, path, name, is_new_doc): its gaps as a list in order of path and name."""
-    gaps = F.array_sort(F.collect_list(F.struct("path", "name")))
-    lines = F.transform(gaps, lambda g: F.concat(F.lit("- `"), g["path"], F.lit("::"), g["name"], F.lit("`")))
-    new = F.when(F.bool_or("is_new_doc"), " (new doc)").otherwise("")
-    head = F.concat(F.lit("### `"), F.col("suggested_doc_id"), F.lit("`"), new)
-    return suggestions.groupBy("suggested_doc_id").agg(F.count("*").alias("gaps"), F.concat(head, F.lit("\n"), F.array_join(lines, "\n")).alias("section"))
+#: Head of a gap issue (fixed values but for the tool's name).
+ISSUE_HEAD = ("Automated coverage report (bot-generated).", "", "The following PUBLIC symbols have no owning document. Each is grouped under the suggested owner (an existing doc, or a proposed new one):", "")
+
+
+def gap_sections(suggestions: DataFrame, *keys: str) -> DataFrame:
+    """One section per keys and suggested owner (suggested_doc_id, path, name, is_new_doc, reason): its gaps in order of path and name.
+
+    Reason and novelty are those of the first gap. A null name is written as null.
+    """
+    gaps = F.array_sort(F.collect_list(F.struct("path", F.coalesce("name", F.lit("null")).alias("name"), "is_new_doc", "reason")))
+    rows = suggestions.groupBy(*keys, "suggested_doc_id").agg(gaps.alias("g"))
+    head = F.concat(F.lit("### `"), "suggested_doc_id", F.lit("`"), F.when(F.get("g", 0)["is_new_doc"], " (new doc)").otherwise(""), F.lit(" — "), F.coalesce(F.get("g", 0)["reason"], F.lit("")))
+    lines = F.transform("g", lambda g: F.concat(F.lit("- `"), g["path"], F.lit("::"), g["name"], F.lit("`")))
+    return rows.select(*keys, "suggested_doc_id", F.size("g").cast("long").alias("gaps"), F.concat(head, F.lit("\n"), F.array_join(lines, "\n")).alias("section"))
+
+
+def gap_issues(suggestions: DataFrame, key: str) -> DataFrame:
+    """The issue of each key (repository) that has gaps: (key, title, body). Without gaps there is no row, so nothing is opened."""
+    own = gap_sections(suggestions, key).groupBy(key).agg(F.sum("gaps").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("suggested_doc_id", "section"))), lambda s: F.concat(s["section"], F.lit("\n"))).alias("s"))
+    title = F.concat(F.lit("docs: "), "n", F.lit(" undocumented public symbol"), F.when(F.col("n") != 1, "s").otherwise(""))
+    return own.select(key, title.alias("title"), F.array_join(F.concat(F.array(*[F.lit(x) for x in ISSUE_HEAD]), "s"), "\n").alias("body"))
 
 
 def catalog_problems(features: DataFrame, modules: DataFrame) -> DataFrame:

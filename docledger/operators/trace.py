@@ -75,3 +75,27 @@ def source_index(symbols: DataFrame, features: DataFrame) -> DataFrame:
     index = top.groupBy("module").agg(F.min("path").alias("first_path"), F.count_distinct("name").alias("n_symbols"))
     named = features.select("feature_id", F.explode("modules").alias("module")).groupBy("module").agg(F.count_distinct("feature_id").alias("n_features"))
     return index.join(named, "module", "full").select("module", "first_path", F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"), F.coalesce("n_features", F.lit(0)).alias("n_features"))
+
+
+def module_index(files: DataFrame, symbols: DataFrame, features: DataFrame) -> DataFrame:
+    """Modules of a package with their first path, public top-level names and the features that name them, each sorted.
+
+    A file (path) belongs to the directory below the root that it is in, at the root to its own stem; the root's __init__ only
+    re-exports and has no module. symbols: (path, name); features: (feature_id, modules). A module without public names is listed.
+    """
+    from docledger.functions.text import is_public
+
+    parts = F.split("path", "/")
+    stem = F.regexp_replace(F.get(parts, 0), r"(?<=.)\.[^.]*\z", "")
+    module = F.when(F.size(parts) > 1, F.get(parts, 0)).when(stem != "__init__", stem)
+    own = files.select("path", module.alias("module")).where("module is not null")
+    public = symbols.where(is_public(F.col("name")) & ~F.col("name").contains(".")).select("path", "name")
+    index = own.join(public, "path", "left").groupBy("module").agg(F.min("path").alias("path"), F.array_sort(F.collect_set("name")).alias("symbols"))
+    named = features.select("feature_id", F.explode("modules").alias("module")).groupBy("module").agg(F.array_sort(F.collect_list("feature_id")).alias("features"))
+    return index.join(named, "module", "left").withColumn("features", F.coalesce("features", F.array().cast("array<string>")))
+
+
+def features_without_module(features: DataFrame, index: DataFrame) -> DataFrame:
+    """Features (feature_id, modules) none of whose modules the index has."""
+    there = features.select("feature_id", F.explode("modules").alias("module")).join(index.select("module"), "module", "left_semi").select("feature_id")
+    return features.select("feature_id").distinct().join(there, "feature_id", "left_anti")

@@ -144,9 +144,9 @@ def ignored_counts(spark: SparkSession, d: str) -> DataFrame:
     return reports.ignored_counts(rows, match("**/*.py"), match("**/brushed/**"), match("**/*_1*"))
 
 
-@query("""WITH s AS (SELECT s.path, s.name, coalesce(o.owner, replace(regexp_replace(s.path, '\\.py$', ''), '/', '-')) AS doc, o.owner IS NULL AS new
+@query("""WITH s AS (SELECT s.path, s.name, coalesce(o.owner, replace(regexp_replace(s.path, '\\.py$', ''), '/', '-')) AS doc, o.owner IS NULL AS new, coalesce('sibling symbols already in ' || o.owner, 'no doc references ' || s.path) AS reason
     FROM sym_cov s LEFT JOIN (SELECT path, min(owner) AS owner FROM sym_cov WHERE owner IS NOT NULL GROUP BY path) o ON o.path = s.path WHERE s.status = 'undocumented')
-  SELECT doc AS suggested_doc_id, count(*) AS gaps, '### `' || doc || '`' || CASE WHEN bool_or(new) THEN ' (new doc)' ELSE '' END || chr(10) || string_agg('- `' || path || '::' || name || '`', chr(10) ORDER BY path, name) AS section FROM s GROUP BY doc""")
+  SELECT doc AS suggested_doc_id, count(*) AS gaps, '### `' || doc || '`' || CASE WHEN bool_or(new) THEN ' (new doc)' ELSE '' END || ' — ' || arg_min(reason, path || chr(0) || name) || chr(10) || string_agg('- `' || path || '::' || name || '`', chr(10) ORDER BY path, name) AS section FROM s GROUP BY doc""")
 def gap_sections(spark: SparkSession, d: str) -> DataFrame:
     return reports.gap_sections(coverage.suggest_owners(coverage.symbol_coverage(A.symbols(spark, d), A.selections(spark, d), WAIVERS)))
 
@@ -155,17 +155,7 @@ def gap_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _handled(spark: SparkSession, d: str) -> DataFrame:
-    rows = A.records(spark, d)
-    return rows.select("record_id", "doc_id", F.col("drift_kind").alias("kind"), F.when(F.col("drift_kind") == "REGION", F.concat(F.lit("r"), F.col("seq") % 4)).alias("region_id"), "verdict", F.lit("the code moved").alias("cause"), F.concat(F.lit("hash "), "surface_hash").alias("detail"), (F.col("seq") % 6 != 0).alias("healable"))
-
-
-@query("""WITH r AS (SELECT *, CASE WHEN verdict = 'ESCALATE' OR drift_kind = 'UNHEALABLE' OR seq % 6 = 0 THEN 'high' WHEN verdict = 'INVALIDATE' THEN 'low' ELSE 'medium' END AS severity FROM records),
-  a AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS affected FROM chosen WHERE split_part(name, '.', -1) NOT LIKE '\\_%' ESCAPE '\\' GROUP BY doc_id)
-  SELECT record_id, severity, CASE verdict WHEN 'INVALIDATE' THEN 'dismiss' WHEN 'ESCALATE' THEN 'escalate' ELSE 'apply' END AS action,
-  '[' || upper(severity) || '] ' || drift_kind || ' in ' || r.doc_id || CASE WHEN drift_kind = 'REGION' THEN ' · region r' || (seq % 4) ELSE '' END AS title, coalesce(affected, '') AS affected FROM r LEFT JOIN a USING (doc_id)""")
-def ticket_rows(spark: SparkSession, d: str) -> DataFrame:
-    chosen = coverage.selected_symbols(A.symbols(spark, d), A.selections(spark, d)).select("doc_id", "name", X.is_public(F.col("name")).alias("public"))
-    return reports.tickets(_handled(spark, d), chosen).select("record_id", "severity", "action", "title", F.array_join("affected_symbols", ",").alias("affected"))
+    return A.records(spark, d).select("record_id", "verdict")
 
 
 @query("""SELECT record_id, pos::INT AS pos, CASE verdict WHEN 'FIX' THEN pos < 2 WHEN 'INVALIDATE' THEN pos = 0 ELSE false END AS auto_satisfied FROM records, range(3) t(pos) WHERE pos < CASE verdict WHEN 'FIX' THEN 3 ELSE 2 END""")
