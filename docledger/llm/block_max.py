@@ -18,8 +18,8 @@ from .shingles import word_hashes
 BLOCK_BYTES = 500_000
 #: Blocks that an item scores in the first rounds, by descending bound; the last round takes all whose bound still counts.
 ROUNDS = (16, 128)
-#: Documents that a task reads at once.
-BATCH = 2000
+#: Documents, and blocks, that a task reads at once.
+BATCH, BLOCKS = 2000, 16
 #: Results per item.
 TOP = 50
 #: Most (item, term) pairs of 16 bytes that are broadcast; more items are searched in as many slices as it takes.
@@ -181,7 +181,7 @@ def _search(index: DataFrame, wanted: DataFrame, k: int, rounds: Sequence[int],
     context = index.sparkSession.sparkContext
     terms = context.broadcast(np.sort(wanted.select("term").distinct().toPandas()["term"].to_numpy(np.int64)))
     held = index.select("block", "terms", "df", "max_tf", "min_n")
-    hits = stage(held.mapInArrow(lambda batches: _hits(batches, terms.value), "block long, term long, df long, max_tf long, min_n long"), "block-hits")
+    hits = stage(held.mapInArrow(lambda batches: _hits(batches, terms.value), "block long, term long, df long, max_tf long, min_n long"), "block-hits", BLOCKS)
     weight = F.floor(1000 * F.log(F.lit(2.0 * n_docs + 2) / (2 * F.sum("df") + 1))).cast("long").alias("weight")
     weighted = stage(wanted.join(hits.groupBy("term").agg(weight), "term"), "weighted-terms")
     items: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -199,7 +199,7 @@ def _search(index: DataFrame, wanted: DataFrame, k: int, rounds: Sequence[int],
         asked = F.broadcast(asked) if asking.count() <= BROADCAST_PAIRS else asked
         forward = index.select("block", "doc_ids", "lengths", "docs", "at", "tf", "terms", "df")
         scored = forward.join(asked, "block").drop("block").mapInArrow(lambda batches: _score(batches, shared.value, k, n_docs, n_terms), "item_id long, doc_id long, score long")
-        found = stage(_best(scored if found is None else found.drop("rank").unionByName(scored), k), "block-found")
+        found = stage(_best(scored if found is None else found.drop("rank").unionByName(scored), k), "block-found", BLOCKS)
         least = found.where(F.col("rank") == k).select("item_id", F.col("score").alias("least"))
         left = left.join(asking, ["item_id", "block"], "left_anti").join(least, "item_id", "left").where(F.col("bound") >= F.coalesce("least", F.lit(1))).drop("least")
     return found

@@ -15,8 +15,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Spark's own setting that removes shuffle files of a query as soon as it has ended.
 RELEASE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-#: Spark's own setting for the most rows of an Arrow batch.
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Spark's own settings for the most rows of an Arrow batch and of a batch that the Parquet reader decodes.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
 
 #: Most rows that a side may have to be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -55,7 +55,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back.
 
-    batch_rows bounds the rows that reach Python at once while it is written: of texts, a few megabytes.
+    batch_rows bounds the rows that are decoded and that reach Python at once while it is written, for long texts and large arrays.
 
     A written table survives the loss of any executor and is read with column pruning and
     filter pushdown, which an RDD checkpoint is not. Once it is written, nothing needs the
@@ -63,7 +63,7 @@ def stage(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
-    own = {RELEASE_SHUFFLES: "true"} | ({BATCH_ROWS: str(batch_rows)} if batch_rows else {})
+    own = {RELEASE_SHUFFLES: "true"} | (dict.fromkeys(BATCH_ROWS, str(batch_rows)) if batch_rows else {})
     before = {key: spark.conf.get(key, None) for key in own}
     for key, value in own.items():
         spark.conf.set(key, value)
