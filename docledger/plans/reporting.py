@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docledger.functions import text as X
-from docledger.operators import coverage, documents, governance, records, reports, rpt, surface, trace
+from docledger.operators import coverage, documents, governance, monitor, records, reports, rpt, surface, trace
 from docledger.plans.queries import WAIVERS, _items
 from docledger.plans.registry import query
 from docledger.sources import adapters as A
@@ -128,3 +128,28 @@ def surface_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     )
     audiences = lines.select(F.col("l_orderkey").alias("doc_id"), audience.alias("audience")).distinct()
     return surface.surface_fingerprints(symbols, audiences, include_body=True).withColumn("anchors", F.size("sigs").cast("long")).drop("sigs")
+
+
+def _watched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents of whole texts with one region, whose surface has moved for every third; rules dismiss the move of every seventh."""
+    n = F.col("doc_id")
+    body = F.when(n % 2 == 0, "old").otherwise("new")
+    text = F.concat(F.regexp_replace("text", "<!--", ""), F.lit("\n<!-- BEGIN a -->\n"), body, F.lit("\n<!-- END a -->\n"))
+    docs = A.bodies(spark, d).where("text is not null").select("doc_id", text.alias("text"), F.when(n % 3 == 0, "was").otherwise("now").alias("stored"), F.lit("now").alias("current"), F.lit("eng-guide").alias("audience"), F.lit("signature").alias("detail"))
+    mode = F.get(F.array(*[F.lit(m) for m in ("generated", "human", "llm-seeded")]), (F.floor(n / 6) % 3).cast("int"))
+    stored = F.when(mode == "llm-seeded", F.when(F.floor(n / 18) % 2 == 0, "edited").otherwise(X.body_hash(body)))
+    regions = docs.select("doc_id", F.lit("a").alias("region_id"), mode.alias("mode"), stored.alias("stored_hash"), F.lit("new").alias("expected"), F.lit(True).alias("known"), F.lit(True).alias("declared"))
+    suspects = spark.createDataFrame([], "doc_id long, upstream_id long")
+    rules = docs.where(n % 7 == 0).select("doc_id", F.lit("HASH").alias("kind"), "audience", F.lit("INVALIDATE").alias("verdict"))
+    return docs, regions, suspects, rules
+
+
+@query("""WITH m AS (SELECT doc_id, replace(text, '<!--', '') AS t, doc_id % 3 = 0 AS moved, doc_id % 2 = 0 AS differs, doc_id % 7 = 0 AS ruled, (doc_id // 6) % 3 AS mode, (doc_id // 18) % 2 = 0 AS edited FROM documents WHERE text IS NOT NULL),
+  a AS (SELECT *, mode = 1 OR mode = 2 AND edited AS advisory FROM m)
+  SELECT doc_id, t || chr(10) || '<!-- BEGIN a -->' || chr(10) || CASE WHEN differs AND advisory THEN 'old' ELSE 'new' END || chr(10) || '<!-- END a -->' || chr(10) AS text, CASE WHEN moved AND ruled THEN 'was' ELSE 'now' END AS stored,
+    moved::BIGINT + (differs AND (moved OR NOT advisory))::BIGINT AS records, (moved AND NOT ruled)::BIGINT + (differs AND NOT advisory)::BIGINT AS applied, (moved AND ruled)::BIGINT + (differs AND advisory AND moved AND (ruled OR mode = 1))::BIGINT AS remaining FROM a""")
+def monitor_run(spark: SparkSession, d: str) -> DataFrame:
+    docs, _, found, left = monitor.run(*_watched(spark, d))
+    told = found.groupBy("doc_id").agg(F.count("*").alias("records"), F.count_if("applied").alias("applied"))
+    remaining = left.groupBy("doc_id").agg(F.count("*").alias("remaining"))
+    return docs.select("doc_id", "text", "stored").join(told, "doc_id", "left").join(remaining, "doc_id", "left").fillna(0, ["records", "applied", "remaining"])
