@@ -99,3 +99,21 @@ def severity(tiers: Column, added: Column, removed: Column, changed: Column) ->
         F.when((F.size(removed) > 0) | (F.size(changed) > 0), "breaking").when(F.size(added) > 0, "additive")
         .when(F.array_contains(tiers, "signature"), "breaking").when(F.size(tiers) > 0, "cosmetic").otherwise("unknown")
     )
+
+
+def normal_path(path: Column) -> Column:
+    """A directory without empty and . parts and with / between them, so that spellings of one directory are equal."""
+    return F.array_join(F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: (p != "") & (p != ".")), "/")
+
+
+def record_cell(field: str, name: Column, kind: Column, fields: Column) -> Column:
+    """Cell of a table row of records: their name or kind, else the value of a field; empty where there is none."""
+    own = {"name": name, "kind": kind}
+    return cell(F.coalesce(own[field] if field in own else F.try_element_at(fields, F.lit(field)), F.lit("")))
+
+
+def authored_prose(audience: Column, names: Column) -> Column:
+    """What stands in for prose that a model would write: a sentence over the public names (an array) of a surface, always the same for it."""
+    listed = F.array_join(F.transform(F.array_sort(names), lambda n: F.concat(F.lit("`"), n, F.lit("`"))), ", ")
+    covered = F.when(F.size(names) > 0, listed).otherwise("no public symbols")
+    return F.concat(F.lit("This "), audience, F.lit(" section is authored from the code surface (the single source of truth) and is re-authored whenever that surface changes. It covers the public API: "), covered, F.lit("."))

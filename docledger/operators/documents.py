@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docledger.functions.text import body_hash, slug
+from docledger.functions.text import body_hash, normal_path, slug
 
 
 def tree(docs: DataFrame, refs: DataFrame) -> DataFrame:
@@ -165,3 +165,9 @@ def worklist_report(items: DataFrame, with_suspects: bool = True) -> DataFrame:
     owners = counted.select(F.lit(1).alias("part"), "assignee", order, F.posexplode(F.array(F.lit(""), title)).alias("rank", "line")).withColumn("rank", F.col("rank") - 1)
     rows = worklist_lines(items).select(F.lit(1).alias("part"), F.when(F.col("assignee") != "(unowned)", F.col("assignee")).alias("assignee"), F.col("rank").cast("int").alias("rank"), "line")
     return top.unionByName(owners).unionByName(rows.select("part", "assignee", order, "rank", "line"))
+
+
+def identical_directories(units: DataFrame) -> DataFrame:
+    """Directories (unit, dir) that several units cover under whatever spelling, with those units: (dir, units)."""
+    same = units.select("unit", normal_path(F.col("dir")).alias("dir")).distinct()
+    return same.groupBy("dir").agg(F.array_sort(F.collect_set("unit")).alias("units")).where(F.size("units") > 1)

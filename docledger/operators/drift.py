@@ -46,3 +46,17 @@ def unlinked(index: DataFrame, docs: DataFrame) -> DataFrame:
     """Documents (doc_id, audience, path) whose path no index (audience, text) of their audience links."""
     linked = index.select("audience", F.explode(F.regexp_extract_all("text", F.lit(r"\]\(([^)#\s]+)"), F.lit(1))).alias("path")).distinct()
     return docs.join(linked, ["audience", "path"], "left_anti")
+
+
+def anchor_changes(stamped: DataFrame, current: DataFrame) -> DataFrame:
+    """Per document with stamped regions (doc_id, region_id, anchors): anchors added and removed against the union of all its stamps.
+
+    current: (doc_id, anchor). A region whose anchors are null is not stamped; a document without any has no row.
+    """
+    known = stamped.where("anchors is not null").select("doc_id", F.explode_outer("anchors").alias("anchor")).distinct()
+    docs = known.select("doc_id").distinct()
+    both = known.where("anchor is not null").withColumn("was", F.lit(True)).join(current.join(docs, "doc_id", "left_semi").distinct().withColumn("now", F.lit(True)), ["doc_id", "anchor"], "full")
+    listed = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("anchor"))))
+    found = both.groupBy("doc_id").agg(listed(F.col("was").isNull()).alias("added"), listed(F.col("now").isNull()).alias("removed"))
+    empty = F.array().cast("array<string>")
+    return docs.join(found, "doc_id", "left").select("doc_id", F.coalesce("added", empty).alias("added"), F.coalesce("removed", empty).alias("removed"))

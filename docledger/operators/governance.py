@@ -107,3 +107,9 @@ def worklist_queues(items: DataFrame) -> DataFrame:
     """Items and distinct documents of each assignee; null is the unowned queue."""
     by_doc = items.groupBy("assignee", "doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "high").alias("high"))
     return by_doc.groupBy("assignee").agg(F.sum("n").alias("item_count"), F.count("*").alias("doc_count"), F.sum("high").alias("high_count"))
+
+
+def repo_worklist(owners: DataFrame, reviewed: DataFrame, now: str, roster: DataFrame | None = None, suspects: DataFrame | None = None) -> DataFrame:
+    """Worklist items of a repository: without a roster nobody has left, so there are no orphans; a hub has no suspect links."""
+    found = ownership(owners, roster) if roster is not None else ownership(owners, owners.select(F.lit(0).cast("long").alias("ord"), F.lit("").alias("name"), F.lit(True).alias("active")).limit(0)).where("false")
+    return worklist_items(owners, found, staleness(reviewed, now), suspects)

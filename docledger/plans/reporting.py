@@ -153,3 +153,51 @@ def monitor_run(spark: SparkSession, d: str) -> DataFrame:
     told = found.groupBy("doc_id").agg(F.count("*").alias("records"), F.count_if("applied").alias("applied"))
     remaining = left.groupBy("doc_id").agg(F.count("*").alias("remaining"))
     return docs.select("doc_id", "text", "stored").join(told, "doc_id", "left").join(remaining, "doc_id", "left").fillna(0, ["records", "applied", "remaining"])
+
+
+@query("""WITH i AS (SELECT * FROM items WHERE reason = 'stale') SELECT i.doc_id, reason, i.status, i.severity, o.accountable AS assignee FROM i JOIN owners o ON o.doc_id = i.doc_id""")
+def worklist_without_roster(spark: SparkSession, d: str) -> DataFrame:
+    """Items of a repository that has no roster, and of a hub."""
+    owners = governance.effective_owners(A.doc_owners(spark, d))
+    return governance.repo_worklist(owners, A.reviewed_docs(spark, d), A.NOW).select("doc_id", "reason", "status", "severity", "assignee")
+
+
+@query("""WITH u AS (SELECT p_partkey % 50 AS unit, lower(replace(p_type, ' ', '/')) AS dir FROM part) SELECT dir, string_agg(DISTINCT 'u' || unit, ',' ORDER BY 'u' || unit) AS units FROM u GROUP BY 1 HAVING count(DISTINCT unit) > 1""")
+def identical_directories(spark: SparkSession, d: str) -> DataFrame:
+    """Directories of all parts' types in four spellings."""
+    n, plain = F.col("p_partkey"), F.lower(F.replace("p_type", F.lit(" "), F.lit("/")))
+    dirs = F.when(n % 4 == 0, plain).when(n % 4 == 1, F.concat(F.lit("./"), plain, F.lit("/"))).when(n % 4 == 2, F.replace(plain, F.lit("/"), F.lit("//"))).otherwise(F.replace(plain, F.lit("/"), F.lit("\\")))
+    units = A.raw(spark, d, "part").select(F.concat(F.lit("u"), n % 50).alias("unit"), dirs.alias("dir"))
+    return documents.identical_directories(units).withColumn("units", F.array_join("units", ","))
+
+
+@query(r"""WITH c AS (SELECT doc_id, list_sort(list(DISTINCT name) FILTER (split_part(name, '.', -1) NOT LIKE '\_%' ESCAPE '\')) AS names FROM chosen GROUP BY 1)
+  SELECT doc_id, 'This eng-guide section is authored from the code surface (the single source of truth) and is re-authored whenever that surface changes. It covers the public API: '
+    || CASE WHEN coalesce(len(names), 0) = 0 THEN 'no public symbols' ELSE '`' || array_to_string(names, '`, `') || '`' END || '.' AS prose FROM c""")
+def authored_prose(spark: SparkSession, d: str) -> DataFrame:
+    chosen = coverage.selected_symbols(A.symbols(spark, d), A.selections(spark, d))
+    names = chosen.groupBy("doc_id").agg(F.collect_set(F.when(X.is_public(F.col("name")), F.col("name"))).alias("names"))
+    return names.select("doc_id", X.authored_prose(F.lit("eng-guide"), F.col("names")).alias("prose"))
+
+
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS k, l_partkey % 9 AS a FROM lineitem), s AS (SELECT DISTINCT doc_id, 'a' || a AS anchor FROM l WHERE k % 3 = 0), d AS (SELECT DISTINCT doc_id FROM s), c AS (SELECT DISTINCT doc_id, 'a' || a AS anchor FROM l WHERE k % 3 = 1 OR a % 2 = 0)
+  SELECT d.doc_id, coalesce((SELECT string_agg(anchor, ',' ORDER BY anchor) FROM c WHERE c.doc_id = d.doc_id AND anchor NOT IN (SELECT anchor FROM s WHERE s.doc_id = d.doc_id)), '') AS added,
+    coalesce((SELECT string_agg(anchor, ',' ORDER BY anchor) FROM s WHERE s.doc_id = d.doc_id AND anchor NOT IN (SELECT anchor FROM c WHERE c.doc_id = d.doc_id)), '') AS removed FROM d""")
+def anchor_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Anchors of regions, stamped in every third and not stamped in others, against the current ones."""
+    from docledger.operators import drift
+
+    lines, k, a = A.raw(spark, d, "lineitem"), F.col("l_linenumber"), F.col("l_partkey") % 9
+    anchor = F.concat(F.lit("a"), a)
+    stamped = lines.groupBy(F.col("l_orderkey").alias("doc_id"), k.cast("string").alias("region_id")).agg(F.collect_set(F.when(k % 3 == 0, anchor)).alias("x")).select("doc_id", "region_id", F.when(F.size("x") > 0, F.col("x")).alias("anchors"))
+    current = lines.where((k % 3 == 1) | (a % 2 == 0)).select(F.col("l_orderkey").alias("doc_id"), anchor.alias("anchor"))
+    out = drift.anchor_changes(stamped, current)
+    return out.select("doc_id", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"))
+
+
+@query("""SELECT p_partkey AS n, p_name AS name, 'record' AS kind, p_size::VARCHAR AS size, 'a \\| ' || p_brand AS brand, '' AS none FROM part""")
+def record_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of table rows of records: attributes, fields with a bar, and a field that there is none of."""
+    fields = F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), F.concat(F.lit("a | "), "p_brand"))
+    at = lambda field: X.record_cell(field, F.col("p_name"), F.lit("record"), fields).alias(field)
+    return A.raw(spark, d, "part").select(F.col("p_partkey").alias("n"), at("name"), at("kind"), at("size"), at("brand"), at("none"))
