@@ -286,7 +286,7 @@ def test_lint_of_a_conformant_document(spark):
 
 @pytest.mark.parametrize(("target", "folder", "want"), [("a/b.md", "", "a/b.md"), ("a/b.md", "a", "b.md"), ("b.md", "a/c", "../../b.md"), ("a/x/b.md", "a/c", "../x/b.md")])
 def test_relative_path(spark, target, folder, want):
-    assert col(spark, target, lambda c: reports.relative_path(c, F.lit(folder))) == want
+    assert col(spark, target, lambda c: layout.relative_path(c, F.lit(folder))) == want
 
 
 def test_impact_of_unknown_and_deep_origins(spark):
