@@ -19,7 +19,7 @@ from .common import join_small, stage, table
 #: Bytes of text of a shard, about: what one grammar covers and a task holds at once. A longer document is a shard of its own.
 SHARD_BYTES = 6_000_000
 #: Rounds of replacement, pairs replaced in one, least occurrences of a pair.
-ROUNDS, PAIRS, LEAST = 4, 4000, 32
+ROUNDS, PAIRS, LEAST = 3, 5200, 32
 #: Symbols of a shard at most, so that two bytes hold one where the vocabulary allows it.
 SYMBOLS = 1 << 16
 #: Binary logarithm of the slots in which a round looks pairs up.
@@ -31,6 +31,8 @@ CALL_BYTES = 20_000
 #: Characters around a space at which a byte-level tokenizer surely parts, whatever else stands there. The others stay together.
 _SURE = "!-~À-ɏ"
 _PLAIN = re.compile(f"[{_SURE}](?:.*[{_SURE}])?", re.DOTALL)
+_MARKS = ".,;:!?"
+_MARKED = re.compile(f"[A-Za-zÀ-ÖØ-öø-ɏ][{_MARKS}]$(?!\n)")
 _PLAIN_END = re.compile(f"[{_SURE}]$(?!\n)")
 
 SHARDS = (
@@ -58,6 +60,7 @@ class Encoder:
         self.bytes_of = np.zeros(self.size, np.int64)
         self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]  # one character stands for one byte
         self.known: dict[str, bytes] = {}
+        self.marks = {m: ids.tobytes() for m, ids in zip(_MARKS, self._encoded(list(_MARKS)), strict=True)}
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -77,8 +80,17 @@ class Encoder:
     def _of_words(self, words: list[str]) -> tuple[list[bytes], np.ndarray]:
         """Ids of words with a space before each, and which of them are odd, so that what stands around them must stay with them."""
         new = [w for w in words if w not in self.known]
-        plain = [w for w in new if _PLAIN.fullmatch(w)]
-        learnt = self._learn(plain) if plain else {}
+        marked, plain = [], []
+        for w in new:
+            if _MARKED.search(w):  # a tokenizer on bytes always parts between a letter and a mark
+                marked.append(w)
+            elif _PLAIN.fullmatch(w):
+                plain.append(w)
+        wanted = list({*plain, *(w[:-1] for w in marked if w[:-1] not in self.known and _PLAIN.fullmatch(w[:-1]))})
+        learnt = self._learn(wanted) if wanted else {}
+        for w in marked:
+            if (own := self.known.get(w[:-1]) or learnt.get(w[:-1])) is not None:
+                learnt[w] = own + self.marks[w[-1]]
         found = [self.known.get(w) or learnt.get(w) or b"" for w in words]
         if (room := REMEMBERED - len(self.known)) > 0:
             self.known.update(itertools.islice(learnt.items(), room))
