@@ -79,7 +79,8 @@ class Encoder:
 
     def _of_words(self, words: list[str]) -> tuple[list[bytes], np.ndarray]:
         """Ids of words with a space before each, and which of them are odd, so that what stands around them must stay with them."""
-        new = [w for w in words if w not in self.known]
+        found = list(map(self.known.get, words))
+        new = [w for w, ids in zip(words, found, strict=True) if ids is None]
         marked, plain = [], []
         for w in new:
             if _MARKED.search(w):  # a tokenizer on bytes always parts between a letter and a mark
@@ -91,7 +92,7 @@ class Encoder:
         for w in marked:
             if (own := self.known.get(w[:-1]) or learnt.get(w[:-1])) is not None:
                 learnt[w] = own + self.marks[w[-1]]
-        found = [self.known.get(w) or learnt.get(w) or b"" for w in words]
+        found = [learnt.get(w, b"") if ids is None else ids for w, ids in zip(words, found, strict=True)]
         if (room := REMEMBERED - len(self.known)) > 0:
             self.known.update(itertools.islice(learnt.items(), room))
         return found, np.array([not f for f in found], bool)
@@ -191,9 +192,9 @@ def rule_lengths(left: np.ndarray, right: np.ndarray, first_rule: int) -> np.nda
 def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, first_rule: int) -> np.ndarray:
     """The ids behind symbols, level by level of the grammar."""
     x = symbols
-    while len(rules := np.flatnonzero(x >= first_rule)):
+    while len(rules := np.flatnonzero(pairs := x >= first_rule)):
         which = x[rules].astype(np.int64) - first_rule
-        out = np.repeat(x, 1 + (x >= first_rule))
+        out = np.repeat(x, pairs.view(np.int8) + np.int8(1))
         at = rules + np.arange(len(rules))
         out[at], out[at + 1] = left[which], right[which]
         x = out
