@@ -287,7 +287,7 @@ def _scripts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT 's' || p_partkey || '.sh' AS path, p_partkey AS n FROM part)
   SELECT path, 'size_' || n AS name, 4 AS lineno, 6 AS end_lineno, 'Sizes.' || chr(10) || '  of ' || n AS docstring FROM p
-  UNION ALL SELECT path, '_hidden', 8, 8, NULL FROM p UNION ALL SELECT path, 'open', 10, 10, 'above' FROM p""")
+  UNION ALL SELECT path, '_hidden', 8, 8, NULL FROM p UNION ALL SELECT path, 'open', 10, 12, 'above' FROM p""")
 def shell_functions(spark: SparkSession, d: str) -> DataFrame:
     return scripts.shell_functions(_scripts(spark, d)).drop("signature")
 
