@@ -91,7 +91,7 @@ def test_words_are_encoded_as_in_their_text(monkeypatch):
 def test_grammar_round_trip(kind):
     rng = np.random.default_rng(1)
     ids = np.concatenate([np.tile(rng.integers(1, 50, 40), 30), np.zeros(3, int), np.full(99, 7), rng.integers(0, 60, 500)]).astype(kind)
-    symbols, left, right = token_files.repair(ids, 100, least=2)
+    symbols, left, right = token_files.repair(ids, 100, rounds=6, least=2)
     assert len(symbols) < len(ids) / 2 and np.array_equal(token_files.expand(symbols, left, right, 100), ids)
     lengths = token_files.rule_lengths(left, right, 100)
     assert token_files._symbol_lengths(symbols, lengths, 100).sum() == len(ids)
