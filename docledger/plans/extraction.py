@@ -47,6 +47,18 @@ def extracted_facts(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("fields", F.array_join(pairs, ","))
 
 
+@query(r"""WITH p AS (SELECT p_partkey AS n, p_size AS k, p_name FROM part)
+  SELECT 'f' || n || '.json' AS path, NULL AS problem, p_name AS name, 'a=' || k || ',b=[x,t=True,z=None' AS fields FROM p WHERE n % 3 > 0 UNION ALL SELECT 'f' || n || '.json', NULL, '?', 'c=[1, {''k'': ''v''}]' FROM p WHERE n % 3 > 0
+  UNION ALL SELECT 'f' || n || '.json', 'no object at top level', NULL, NULL FROM p WHERE n % 3 = 0""")
+def json_records(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the list in each JSON file, and files that hold no object."""
+    n = F.col("p_partkey")
+    text = F.when(n % 3 == 0, "[1]").otherwise(_filled(_JSON, name=F.col("p_name"), size=F.col("p_size")))
+    out = extractors.extracted(_parts(spark, d, F.concat(F.lit("f"), n, F.lit(".json")), text), extractors.SYMBOLS, problems=True)
+    pairs = F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return out.select("path", "problem", "name", F.array_join(pairs, ",").alias("fields"))
+
+
 _OPTIONS = """import argparse, sys
 p = argparse.ArgumentParser()
 p.add_argument("-s{n}", "--size-{n}", action="store_true", help="how   large,\\n at most {size}")

@@ -266,7 +266,7 @@ def coverage_by_unit(spark: SparkSession, d: str) -> DataFrame:
     return coverage.by_unit(dirs.select("unit"), coverage.owning_unit(cov, dirs).select("owning_unit", "status", F.lit(1)))
 
 
-@query("""SELECT s.path, s.name, s.lineno, coalesce(o.owner, replace(regexp_replace(s.path, '\\.py$', ''), '/', '-')) AS suggested_doc_id, o.owner IS NULL AS is_new_doc
+@query("""SELECT s.path, s.name, s.lineno, coalesce(o.owner, replace(regexp_replace(s.path, '\\.py$', ''), '/', '-')) AS suggested_doc_id, o.owner IS NULL AS is_new_doc, coalesce('sibling symbols already in ' || o.owner, 'no doc references ' || s.path) AS reason
   FROM sym_cov s LEFT JOIN (SELECT path, min(owner) AS owner FROM sym_cov WHERE owner IS NOT NULL GROUP BY path) o ON o.path = s.path WHERE s.status = 'undocumented'""")
 def owner_suggestions(spark: SparkSession, d: str) -> DataFrame:
     return coverage.suggest_owners(coverage.symbol_coverage(A.symbols(spark, d), A.selections(spark, d), WAIVERS))
