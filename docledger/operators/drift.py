@@ -11,10 +11,10 @@ from docledger.functions.text import severity, short_hash
 def fingerprints(symbols: DataFrame) -> DataFrame:
     """Per document (doc_id, name, signature, docstring, body_hash): sorted anchors, signature by anchor and a digest per tier.
 
-    The last definition of a name counts (by lineno). Digests are order-free: of the sorted,
+    The last definition of a name counts (by lineno, then by signature, docstring and body). Digests are order-free: of the sorted,
     escaped rows. A surface is one document's symbols and no larger.
     """
-    last = symbols.groupBy("doc_id", "name").agg(F.max_by(F.struct("signature", "docstring", "body_hash"), "lineno").alias("s"))
+    last = symbols.groupBy("doc_id", "name").agg(F.max(F.struct("lineno", "signature", "docstring", "body_hash")).alias("s"))
     part = lambda c: F.array_sort(F.collect_list(F.concat_ws("\0", F.col("name"), F.coalesce(c, F.lit("\1")))))
     tier = lambda c: short_hash(F.array_join(part(F.col(f"s.{c}")), "\n"))
     anchors = F.array_sort(F.collect_list("name"))

@@ -293,3 +293,9 @@ def test_impact_of_unknown_and_deep_origins(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(12)] + [(3, 9)], "doc_id long, upstream_id long")
     of = lambda i, **k: {r["doc_id"] for r in graph.dependents(edges, spark.createDataFrame([(i,)], "doc_id long"), **k).collect()}
     assert of(77) == set() and of(0) == set(range(1, 13)) and of(9) == {10, 11, 12, 3, 4, 5, 6, 7, 8} and of(9, transitive=False) == {3, 10}
+
+
+def test_of_definitions_on_one_line_the_same_counts_in_every_order(spark):
+    rows = [(1, "f", f"def f({x})", "doc", "body", 1) for x in "abcdefgh"]
+    prints = [drift.fingerprints(spark.createDataFrame(r, "doc_id long, name string, signature string, docstring string, body_hash string, lineno int").coalesce(1)) for r in (rows, rows[::-1])]
+    assert drift.compare(*prints).count() == 0
