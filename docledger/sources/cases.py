@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docledger.operators.trace import FEATURE_IN_TEXT, FEATURE_TAG
+from docledger.sources.logs import spread
 
 #: Directories that name a boundary, in the order of a report (fixed values).
 BOUNDARIES = ("unit", "integration", "system", "smoke", "regression")
@@ -64,7 +65,7 @@ def collected(files: DataFrame) -> DataFrame:
     pos is the place in the file. A file that does not parse fails the query; one without cases has no rows. Nothing is imported or run.
     """
     own = files.where(F.element_at(F.split("path", "/"), -1).rlike(r"^test_.*\.py\z")).select("path", "text")
-    rows = own.lateralJoin(F.udtf(_Collect, returnType=CASE)(F.col("path").outer(), F.col("text").outer())).drop("text")
+    rows = spread(own).lateralJoin(F.udtf(_Collect, returnType=CASE)(F.col("path").outer(), F.col("text").outer())).drop("text")
     return rows.withColumn("boundary", boundary(F.col("path")))
 
 
@@ -78,7 +79,12 @@ def case_lines(cases: DataFrame) -> DataFrame:
 
 
 def by_module(features: DataFrame, cases: DataFrame) -> DataFrame:
-    """Modules (of features: feature_id, modules) with the cases that test one of their features, per boundary: (module, boundary, cases)."""
+    """Modules (of features: feature_id, modules) with the cases that test one of their features, per boundary: (module, boundary, cases).
+
+    Cases with the same features are counted before modules meet them, so that no case is repeated for each of its modules.
+    """
     named = features.select("feature_id", F.explode("modules").alias("module")).distinct()
-    tested = cases.select("nodeid", "boundary", F.explode("features").alias("feature_id"))
-    return named.join(tested, "feature_id").groupBy("module", "boundary").agg(F.count_distinct("nodeid").alias("cases"))
+    own = cases.where("nodeid is not null").groupBy("nodeid", "boundary").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("features")))).alias("features"))
+    alike = own.groupBy("boundary", "features").agg(F.count("*").alias("cases"))
+    tested = alike.select("boundary", "features", "cases", F.explode("features").alias("feature_id"))
+    return named.join(tested, "feature_id").groupBy("module", "boundary", "features").agg(F.first("cases").alias("cases")).groupBy("module", "boundary").agg(F.sum("cases").alias("cases"))

@@ -1,8 +1,9 @@
 """Facts of source files, switches, options and test cases, with exact values."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from docledger.operators import reports, trace
+from docledger.operators import reports, scripts, trace
 from docledger.sources import cases, extractors, logs
 
 
@@ -76,3 +77,19 @@ def test_catalog_ids(spark):
 def test_inventory_of_stubs_and_capitals(spark):
     got = logs.symbol_inventory(spark.createDataFrame([("a.pyi", "x = 1"), ("B.PY", "def f(): pass"), ("c.txt", "y")], "path string, text string"))
     assert sorted((r["path"], r["symbols"]) for r in got.collect()) == [("B.PY", ["f"]), ("a.pyi", ["x"]), ("c.txt", [])]
+
+
+@pytest.mark.parametrize("read", [lambda f: extractors.extracted(f, extractors.OPTIONS), lambda f: extractors.extracted(f, extractors.SWITCHES), cases.collected, scripts.shell_functions, logs.python_symbols])
+def test_files_of_one_partition_are_read_by_many_tasks(spark, read):
+    files = spark.range(64).select(F.format_string("test_%d.py", "id").alias("path"), F.lit("x = 1\nf() {\n").alias("text")).coalesce(1)
+    if read is not scripts.shell_functions:
+        files = files.withColumn("text", F.lit("x = 1\n"))
+    assert read(files).rdd.getNumPartitions() >= 8
+
+
+def test_cases_count_once_for_a_module_however_many_features_lead_there(spark):
+    features = spark.createDataFrame([("F-1", ["m", "n"]), ("F-2", ["m"]), ("F-2", ["m", "o"])], "feature_id string, modules array<string>")
+    rows = [("a", "unit", ["F-1", "F-2"]), ("a", "unit", ["F-2"]), ("b", "unit", ["F-2", "F-1", "F-2"]), ("c", "unit", ["F-3"]), ("c", "smoke", ["F-1"]), ("d", "unit", [])]
+    out = cases.by_module(features, spark.createDataFrame(rows, "nodeid string, boundary string, features array<string>"))
+    assert sorted(map(tuple, out.collect())) == [("m", "smoke", 1), ("m", "unit", 2), ("n", "smoke", 1), ("n", "unit", 2), ("o", "unit", 2)]
+    assert "count(distinct" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
