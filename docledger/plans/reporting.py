@@ -10,6 +10,7 @@ from docledger.operators import coverage, documents, governance, monitor, record
 from docledger.plans.queries import WAIVERS, _items
 from docledger.plans.registry import query
 from docledger.sources import adapters as A
+from docledger.sources import logs
 
 
 def _handled(spark: SparkSession, d: str) -> DataFrame:
@@ -120,7 +121,8 @@ def module_index(spark: SparkSession, d: str) -> DataFrame:
     CASE WHEN audience = 'eng-guide' THEN substr(sha256('{"docstrings":[' || docs || ']}'), 1, 16) END AS docstring, CASE WHEN audience = 'eng-guide' AND bodies IS NOT NULL THEN substr(sha256('{"bodies":[' || bodies || ']}'), 1, 16) END AS body, anchors FROM a""")
 def surface_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprints of the surfaces of all orders: whole, by tier and by symbol."""
-    lines = A.raw(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(x).alias(x) for x in ("l_returnflag", "l_linestatus", "l_partkey")])
+    # dealt by document, so that all that follows happens where its lines are, in tasks of a bounded size
+    lines = logs.spread(A.raw(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_partkey"), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(x).alias(x) for x in ("l_returnflag", "l_linestatus", "l_partkey")])
     audience = F.when(F.col("l_orderkey") % 2 == 0, "eng-guide").otherwise("user-guide")
     symbols = lines.select(
         F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord"), F.concat(F.lit("f"), "l_linenumber").alias("name"), F.lit("function").alias("kind"), F.concat(F.lit('def f(a="'), "l_returnflag", F.lit('")')).alias("signature"),

@@ -319,3 +319,10 @@ def test_similar_records_are_listed_once_for_equal_features(spark):
         want |= {(t[0], n): (r, s) for n, (s, _, r) in enumerate(pool[:3], 1)}
     assert {(r["target_id"], r["rank"]): (r["record_id"], r["score"]) for r in out.collect()} == want
     assert "windowspecdefinition(target_id" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_surfaces_stay_with_their_lines_in_many_tasks(spark):
+    from docledger.plans import reporting
+
+    out = reporting.surface_fingerprints(spark, "/root/testdata/sf0.001")
+    assert out.rdd.getNumPartitions() >= 8
