@@ -59,14 +59,22 @@ def decided(drifts: DataFrame, docs: DataFrame, regions: DataFrame, rules: DataF
 def run(docs: DataFrame, regions: DataFrame, suspects: DataFrame, rules: DataFrame, bound: int = 5) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Documents, regions, records (RECORD and round) and what remains, after at most bound rounds.
 
-    docs: doc_id, text, stored, current, audience, detail. In a round all drift is detected; what has no record yet is decided and recorded;
+    docs: doc_id, text, stored, current, audience, detail. The first round detects all drift, a later one that of the documents which the
+    round before has touched, since all else has drifted as before; what has no record yet is decided and recorded;
     fixes are applied, of a moved surface to the whole document, of a region to that one. It ends with the first round that applies
     nothing. Each round writes its documents, regions and records to the shared folder, so a lost executor repeats one round at most,
     and a run that is started again on its own result records only what is left.
     """
-    records = None
+    records = standing = touched = None
+
+    def seen(standing: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Drift of what was touched last, and with it all drift that stands."""
+        own = [docs, regions, suspects] if standing is None else [x.join(touched, "doc_id", "left_semi") for x in (docs, regions, suspects)]
+        found = cut(detected(*own))
+        return found, found if standing is None else standing.join(touched, "doc_id", "left_anti").unionByName(found)
+
     for n in range(bound):
-        found = detected(docs, regions, suspects)
+        found, standing = seen(standing)
         same = lambda a, b: F.col(f"a.{a}").eqNullSafe(F.col(f"b.{b}"))
         new = found if records is None else found.alias("a").join(records.alias("b"), same("doc_id", "doc_id") & same("kind", "kind") & same("subject", "subject"), "left_anti")
         told = cut(decided(new, docs, regions, rules).withColumn("round", F.lit(n)))
@@ -84,4 +92,6 @@ def run(docs: DataFrame, regions: DataFrame, suspects: DataFrame, rules: DataFra
         others = regions.join(whole, "doc_id", "left_anti").join(parts, ["doc_id", "region_id"], "left_anti").select(regions.columns)
         regions = cut(others.unionByName(a_regions).unionByName(b_regions))
         docs = docs_after
-    return docs, regions, records, detected(docs, regions, suspects)
+    else:
+        _, standing = seen(standing)
+    return docs, regions, records, standing

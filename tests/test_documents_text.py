@@ -138,3 +138,16 @@ def test_a_run_ends_and_runs_again_on_its_result(spark):
     assert sorted((r["doc_id"], r["kind"]) for r in left.collect()) == [(2, "SUSPECT_LINK"), (3, "MISSING_DOC")]
     assert {r["doc_id"]: r["text"] for r in after.collect()} == {1: page("new"), 2: page("new"), 3: None}
     assert monitor.run(after, stamps, suspects, rules)[2].where("applied").count() == 0
+
+
+def test_later_rounds_detect_only_what_was_touched(spark, monkeypatch):
+    page = lambda body: f"<!-- BEGIN a -->\n{body}\n<!-- END a -->"
+    rows = [(i, page("old" if i == 1 else "new"), "now", "now", "eng-guide", "sig") for i in range(6)] + [(6, None, "x", "now", "eng-guide", "sig")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, stored string, current string, audience string, detail string")
+    regions = spark.createDataFrame([(i, "a", "generated", None, "new", True, True) for i in range(6)], REGION)
+    suspects, rules = spark.createDataFrame([(2, 9)], "doc_id int, upstream_id int"), spark.createDataFrame([], "doc_id int, kind string, audience string, verdict string")
+    looked, detect = [], monitor.detected
+    monkeypatch.setattr(monitor, "detected", lambda d, r, s: (looked.append(d.count()), detect(d, r, s))[1])
+    left = monitor.run(docs, regions, suspects, rules)[3]
+    assert looked == [7, 1] and sorted((r["doc_id"], r["kind"]) for r in left.collect()) == [(2, "SUSPECT_LINK"), (6, "MISSING_DOC")]
+    assert sorted((r["doc_id"], r["kind"]) for r in monitor.run(docs, regions, suspects, rules, bound=1)[3].collect()) == [(2, "SUSPECT_LINK"), (6, "MISSING_DOC")]
