@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: signatures find candidates, prefix trees link them, contraction groups them."""
+"""N-gram Jaccard join: signatures, counted, find candidates, prefix trees link them, contraction groups them."""
 
 from __future__ import annotations
 
@@ -26,6 +26,8 @@ MOST_SUBSETS = 100
 #: Times at most that large candidate components are signed again with other ranges, and the part of
 #: their shingles that must leave them for another time.
 ROUNDS, LEAST_GAIN = 6, 0.1
+#: Sets that share a signature are paired up if they are at most so many.
+SMALL_BUCKET = 8
 
 
 class Levels:
@@ -56,6 +58,30 @@ class Levels:
     def of(self, n: int) -> int:
         return int(np.searchsorted(self.his, n))
 
+    def filled(self, s: np.ndarray, level: int) -> int:
+        """Ranges of a set that its signatures at a level are made of: all, or the filled ones where each is a signature."""
+        return self.parts[level] if self.subsets[level] is not None else len(_parts(s, self.parts[level])[0])
+
+    def common(self, level: np.ndarray, filled: np.ndarray, differ: np.ndarray) -> np.ndarray:
+        """Signatures that two linked sets have in common at a level at least, 1 or more.
+
+        A shingle that only one of them has spoils one range. So as many as differ are lost at most of
+        the ranges that the one with more of them has filled, and each choice of those left is a signature.
+        """
+        left, m = np.maximum(filled - differ, 0), np.asarray(self.together)[level]
+        count = left.copy()
+        for i in (2, 3, 4):
+            count = np.where(m >= i, count * np.maximum(left - i + 1, 0) // i, count)
+        return np.maximum(count, 1)
+
+    def demands(self, s: np.ndarray) -> tuple[int, int, int, int, int]:
+        """Level of a set; its filled ranges and the signatures it shares with any set linked with it at least, there and at the next level."""
+        own, n, out = self.of(len(s)), len(s), []
+        for level in (own, own + 1):
+            filled = self.filled(s, level)
+            out += [filled, int(self.common(level, filled, self.differ(n, min(self.his[level], n * self.den // self.num))))]
+        return own, *out
+
     def sign(self, s: np.ndarray) -> np.ndarray:
         """Hashes of which linked sets share one."""
         return signatures(s, self)
@@ -83,9 +109,9 @@ def _parts(s: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(s: np.ndarray, levels: Levels) -> np.ndarray:
-    """Signatures of a sorted set at its own level and the next."""
+    """Signatures of a sorted set at its own level and the next; the lowest bit is that of the level."""
     own = levels.of(len(s))
-    return np.concatenate([level_signatures(s, levels, level) for level in (own, own + 1)])
+    return np.concatenate([level_signatures(s, levels, level) & ~np.uint64(1) | np.uint64(level & 1) for level in (own, own + 1)])
 
 
 def level_signatures(s: np.ndarray, levels: Levels, level: int) -> np.ndarray:
@@ -128,11 +154,16 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Record
         yield b, [shingle_set(w, k) for w in texts_words(b.column(1).to_pylist())]
 
 
+#: Sets of documents; see Levels.doubtful and Levels.demands.
+NAMED = "doc_id long, row_key long, n_shingles long, key long, uneven boolean, level int, filled int, least int, filled_next int, least_next int"
+
+
 def _name_sets(batches: Iterator[pa.RecordBatch], k: int, levels: Levels) -> Iterator[pa.RecordBatch]:
-    """(row_key, text, doc_id) -> (doc_id, row_key, n_shingles, key, uneven)."""
+    """(row_key, text, doc_id) -> rows of NAMED."""
     for b, sets in _sets(batches, k):
         columns = [(b.column(2), pa.int64()), (b.column(0), pa.int64()), ([len(s) for s in sets], pa.int64()), ([set_key(s) if len(s) else None for s in sets], pa.int64()), ([len(s) > 0 and levels.doubtful(s) for s in sets], pa.bool_())]
-        yield pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in columns], names=["doc_id", "row_key", "n_shingles", "key", "uneven"])
+        columns += [(x, pa.int32()) for x in zip(*[levels.demands(s) if len(s) else (None,) * 5 for s in sets], strict=True)]
+        yield pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in columns], names=[c.split()[0] for c in NAMED.split(", ")])
 
 
 def _sign_sets(batches: Iterator[pa.RecordBatch], k: int, levels: Levels) -> Iterator[pa.RecordBatch]:
@@ -174,6 +205,64 @@ def _stars(batches: Iterator[pa.RecordBatch], negative: bool = False) -> Iterato
             yield pa.record_batch([pa.array(x) for x in np.unique(np.stack((heads[pair], key[pair])), axis=1)], names=["a", "b"])
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (sig, key) -> those whose sig has several keys, once each. The last row waits for the next one."""
+    sig, key, known = np.empty(0, np.int64), np.empty(0, np.int64), False
+    for b in batches:
+        sig, key = np.concatenate((sig, b.column(0).to_numpy())), np.concatenate((key, b.column(1).to_numpy()))
+        if not len(sig):
+            continue
+        new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])))
+        sig, key = sig[new], key[new]
+        same = sig[1:] == sig[:-1]
+        out = np.concatenate(([known], same)) | np.concatenate((same, [False]))
+        yield pa.record_batch([pa.array(x[:-1][out[:-1]]) for x in (sig, key)], names=["sig", "key"])
+        sig, key, known = sig[-1:], key[-1:], bool(out[-1])
+    if known:
+        yield pa.record_batch([pa.array(sig), pa.array(key)], names=["sig", "key"])
+
+
+#: Pairs of sets that share a signature; in a large bucket each set alone, without b. least: what Levels.common and Levels.demands ask for.
+BUCKETS = "sig long, a long, b long, level int, least int"
+
+
+def _bucket_rows(sig: np.ndarray, key: np.ndarray, n: np.ndarray, level: np.ndarray, filled: np.ndarray, least: np.ndarray, large: np.ndarray, levels: Levels) -> pa.RecordBatch:
+    at = np.flatnonzero(large)
+    out, none = [(sig[at], key[at], np.zeros(len(at), np.int64), level[at], least[at])], len(at)
+    rows = np.flatnonzero(~large)
+    for d in range(1, SMALL_BUCKET):
+        i, j = rows[:-d], rows[d:]
+        fit = (sig[i] == sig[j]) & (level[i] == level[j]) & (levels.den * np.minimum(n[i], n[j]) >= levels.num * np.maximum(n[i], n[j]))
+        i, j = i[fit], j[fit]
+        differ = (n[i] + n[j]) * (levels.den - levels.num) // (levels.den + levels.num)
+        out.append((sig[i], key[i], key[j], level[i], levels.common(level[i], np.maximum(filled[i], filled[j]), differ)))
+    sig, a, b, level, least = (np.concatenate(x) for x in zip(*out, strict=True))
+    columns = [pa.array(sig), pa.array(a), pa.array(b, mask=np.arange(len(b)) < none), pa.array(level, pa.int32()), pa.array(least.astype(np.int32))]
+    return pa.record_batch(columns, names=[c.split()[0] for c in BUCKETS.split(", ")])
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], levels: Levels) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (sig, key) with n, level, filled and least -> rows of BUCKETS. Of the last sig few rows wait, or none if it has many."""
+    held, going_on = None, None
+    for b in batches:
+        columns = [c.to_numpy() for c in b.columns]
+        if held:
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        sig = columns[0]
+        if not len(sig):
+            continue
+        starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        sizes = np.diff(np.append(starts, len(sig)))
+        large = np.repeat(sizes, sizes) > SMALL_BUCKET
+        if going_on is not None:
+            large |= sig == going_on
+        end = len(sig) if large[-1] else int(starts[-1])
+        going_on, held = (sig[-1], None) if large[-1] else (None, [c[end:] for c in columns])
+        yield _bucket_rows(*(c[:end] for c in columns), large[:end], levels)
+    if held:
+        yield _bucket_rows(*held, np.zeros(len(held[0]), bool), levels)
+
+
 def _texts_sets(batches: Iterator[pa.RecordBatch], k: int, levels: Levels) -> Iterator[pa.RecordBatch]:
     """(key, text, large) -> rows of SETS."""
     for b, sets in _sets(batches, k):
@@ -349,7 +438,8 @@ def _candidates(docs: DataFrame, named: DataFrame, k: int, levels: Levels) -> Da
     The few sets whose ranges are uneven, if any, are joined by prefix shingles as well.
     """
     rows = docs.mapInArrow(partial(_sign_sets, k=k, levels=levels), "sig long, key long")
-    edges = rows.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(_stars, "a long, b long")
+    shared = stage(rows.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(_shared, "sig long, key long"), "shared-signatures")
+    edges = _counted(shared, named, levels)
     hard = stage(named.where("uneven").select("key").distinct(), "uneven")
     if hard.isEmpty():
         return edges
@@ -358,12 +448,41 @@ def _candidates(docs: DataFrame, named: DataFrame, k: int, levels: Levels) -> Da
     return edges.union(join_small(rows.select("sig", F.col("key").alias("b")), mine, ["sig"]).where("a <> b").select("a", "b"))
 
 
+def _counted(shared: DataFrame, named: DataFrame, levels: Levels) -> DataFrame:
+    """Edges (a, b) that connect all sets which share as many signatures (sig, key) as linked ones do.
+
+    Texts with a passage in common share a few by chance, which would chain most of a corpus; linked sets share
+    more (see Levels.common). So sets that share too few with all others together go first. Where few
+    sets have a signature they are paired up and pairs counted, and of the larger buckets a pair is taken to share as many as it
+    may. What may be linked by larger buckets only has enough of them, and is linked with the first such set of each.
+    """
+    bit = F.col("sig").bitwiseAND(F.lit(1)).cast("int").alias("bit")
+    classes = named.where("key is not null").dropDuplicates(["key"]).withColumnRenamed("n_shingles", "n")
+    sides = classes.select("key", "n", "level", "filled", "least").union(classes.select("key", "n", F.col("level") + 1, "filled_next", "least_next")).withColumn("bit", F.col("level").bitwiseAND(F.lit(1)))
+    enough = stage(shared.groupBy("key", bit).count().join(sides, ["key", "bit"]).where("count >= least").drop("count"), "signed-enough")
+    live = join_small(shared.select("sig", "key", bit), enough, ["key", "bit"]).select("sig", "key", "n", "level", "filled", "least")
+    found = stage(live.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(partial(_buckets, levels=levels), BUCKETS), "buckets")
+    drop_staged(shared)
+    large = found.where("b is null").select("sig", F.col("a").alias("key"), "level", "least")
+    most = stage(large.groupBy("key", "level").agg(F.count("*").alias("most"), F.first("least").alias("least")), "large-buckets")
+    pairs = found.where("b is not null").groupBy("a", "b", "level").agg(F.count("*").alias("both"), F.first("least").alias("least"))
+    for end in ("a", "b"):
+        pairs = pairs.join(most.select(F.col("key").alias(end), "level", F.col("most").alias(f"most_{end}")), [end, "level"], "left")
+    pairs = pairs.where("both + least(coalesce(most_a, 0), coalesce(most_b, 0)) >= `least`").select("a", "b")
+    many = stage(most.where("most >= `least`").select("key", "level"), "many-large")
+    heavy = join_small(large.select("sig", "key", "level"), many, ["key", "level"])
+    edges = pairs.union(heavy.select("sig", "key").repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(_stars, "a long, b long"))
+    edges = stage(edges.distinct(), "candidates")
+    drop_staged(enough, found, most, many)
+    return edges
+
+
 def link_rows(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, block_shingles: int = BLOCK_SHINGLES, levels: Levels | None = None) -> DataFrame:
     """Components of documents (doc_id, text, perhaps row_key) under Jaccard similarity of word k-shingles, num / den or more.
 
     Texts with A-Z lower-cased give sets of distinct shingles, as 64-bit hashes. Equal sets are
-    one class. Signatures (see Levels) bring every two classes that may be linked into one
-    candidate component. Sets of these classes only are gathered into blocks, and a prefix tree
+    one class. Signatures (see Levels), of which linked classes share a number, bring every two classes that may be linked into one
+    candidate component (see _counted). Sets of these classes only are gathered into blocks, and a prefix tree
     in each finds links. A candidate component beyond block_shingles is taken apart by size, where a set
     goes with those of its class and with those of the next, and by further signatures (see _refined). What is still beyond is dealt over
     several blocks that share one set, its hub; whatever is not connected to the hub afterwards meets all others in
@@ -381,7 +500,7 @@ def link_rows(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, block_
     rows = docs.select(row_key, "text", doc_id)
     docs = docs.select(doc_id, "text")
     levels = levels or Levels(num, den, 2**31)
-    named = stage(rows.mapInArrow(partial(_name_sets, k=k, levels=levels), "doc_id long, row_key long, n_shingles long, key long, uneven boolean"), "sets")
+    named = stage(rows.mapInArrow(partial(_name_sets, k=k, levels=levels), NAMED), "sets")
     classes = named.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"))
     comps = connected_components(_candidates(docs, named, k, levels))
     one = named.join(comps.withColumnRenamed("node", "key"), "key").groupBy("key", "root").agg(F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n"))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -411,6 +412,73 @@ def test_signatures_miss_no_link():
             assert len(np.intersect1d(ngram_join.signatures(a, levels), ngram_join.signatures(b, levels)))
 
 
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (85, 100), (9, 10)])
+def test_linked_sets_share_as_many_signatures_as_demanded(num, den):
+    levels, rng = ngram_join.Levels(num, den, 2**31), np.random.default_rng(3)
+    seen = 0
+    for _ in range(2000):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 300)), dtype=np.uint64) * np.uint64(2))
+        k = int(rng.integers(0, len(a) * (den - num) // den + 2))
+        b = np.unique(np.concatenate((rng.permutation(a)[: max(1, len(a) - int(rng.integers(0, k + 1)))], rng.integers(0, 2**63, k // 2, dtype=np.uint64))))
+        both = len(np.intersect1d(a, b))
+        if len(a) == len(b) == both or den * both < num * (len(a) + len(b) - both) or ngram_join.uneven(a, levels) or ngram_join.uneven(b, levels):
+            continue
+        level = max(levels.of(len(a)), levels.of(len(b)))
+        shared = len(np.intersect1d(ngram_join.level_signatures(a, levels, level), ngram_join.level_signatures(b, levels, level)))
+        filled = max(levels.filled(a, level), levels.filled(b, level))
+        assert shared >= levels.common(level, filled, levels.differ(len(a), len(b)))
+        for s in (a, b):
+            own, *demands = levels.demands(s)
+            assert shared >= demands[1 if level == own else 3]
+        seen += 1
+    assert seen > 500
+
+
+@pytest.mark.parametrize("size", [1, 3, 50])
+def test_rows_of_signatures_by_batches(size):
+    levels, rng = ngram_join.Levels(80, 100, 2**31), np.random.default_rng(4)
+    sigs = np.repeat(np.arange(60), rng.integers(1, 25, 60))
+    rows = sorted({(int(s), int(k)) for s, k in zip(sigs, rng.integers(0, 30, len(sigs)), strict=True)})
+    batches = lambda x, names: (pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in x[i : i + size]]) for i in range(0, len(x), size))
+    count = Counter(s for s, _ in rows)
+    got = [tuple(r.values()) for b in ngram_join._shared(batches(sorted(rows + rows[::3]), ("sig", "key"))) for r in b.to_pylist()]
+    assert got == [r for r in rows if count[r[0]] > 1]
+    level, filled = levels.of(100), 20
+    wide = [(s, k, 100, level, filled, 5) for s, k in rows]
+    got = Counter((r["sig"], r["a"], r["b"], r["least"]) for b in ngram_join._buckets(batches(wide, ("sig", "key", "n", "level", "filled", "least")), levels) for r in b.to_pylist())
+    need = max(1, filled - levels.differ(100, 100))
+    want = Counter((s, k, None, 5) for s, k in rows if count[s] > ngram_join.SMALL_BUCKET)
+    want += Counter((s, a, b, need) for (s, a), (t, b) in itertools.combinations(rows, 2) if s == t and count[s] <= ngram_join.SMALL_BUCKET)
+    assert got == want
+
+
+def family(copies=40, others=60, seed=7):
+    """Near copies of one text, more than a small bucket holds, and texts that share passages with each other and with them."""
+    rng = np.random.default_rng(seed)
+    word = lambda m: [f"w{x}" for x in rng.integers(0, 50000, m)]
+    parts, rows = [word(40) for _ in range(6)], []
+    first = [w for i in rng.permutation(6)[:4] for w in parts[i]] + word(200)
+    for _ in range(copies):
+        w = list(first)
+        for at in rng.integers(len(w), size=int(rng.integers(0, 7))):
+            w[int(at)] = f"e{at}"
+        rows.append(w)
+    rows += [word(60) + [w for i in rng.permutation(6)[:4] for w in parts[i]] + word(60) for _ in range(others)]
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def test_texts_that_share_passages_are_no_candidates(spark):
+    rows = family()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link_components(df, k=5, num=80, den=100).collect()}
+    assert got == brute_components(rows, 5, 80, 100)
+    levels = ngram_join.Levels(80, 100, 2**31)
+    named = df.selectExpr("xxhash64(doc_id) row_key", "text", "doc_id").mapInArrow(lambda b: ngram_join._name_sets(b, 5, levels), ngram_join.NAMED).cache()
+    ids = {r["key"]: r["doc_id"] for r in named.collect()}
+    found = {ids[x] for r in ngram_join._candidates(df, named, 5, levels).collect() for x in r}
+    assert found and all(i < 40 for i in found)
+
+
 def test_keep_one(spark, docs, none):
     rows = sample()
     kept = {r["doc_id"] for r in ngram_join.keep_one(docs).collect()}
